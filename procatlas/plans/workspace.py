@@ -1,0 +1,83 @@
+"""The analysis run as tables: corpus, facts, resolved dependencies.
+
+A run extracts facts once and stores them; listings, roll-ups and graphs then read the small fact
+tables and never touch a source text.  Tables are written on first use to the shared folder.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from procatlas.operators import extract, resolve
+from procatlas.sources import corpus
+from procatlas.session import configure, cut
+
+_open: dict[tuple[str, str], "Workspace"] = {}
+
+
+class Workspace:
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark = configure(spark)
+        self.sf_dir = sf_dir
+        self._tables: dict[str, DataFrame] = {}
+
+    def _table(self, name: str, build) -> DataFrame:
+        if name not in self._tables:
+            self._tables[name] = cut(build(), name)
+        return self._tables[name]
+
+    @property
+    def objects(self) -> DataFrame:
+        return self._table("objects", lambda: corpus.objects(self.spark, self.sf_dir))
+
+    @property
+    def second_objects(self) -> DataFrame:
+        return self._table("objects2", lambda: corpus.objects(self.spark, self.sf_dir, snapshot=2))
+
+    @property
+    def commented(self) -> DataFrame:
+        return self._table("commented", lambda: corpus.commented_texts(self.spark, self.sf_dir))
+
+    @property
+    def dependencies(self) -> DataFrame:
+        def build():
+            keys = self.objects.select("object_id", "connection_id")
+            facts = extract.dependencies(self.objects).join(keys, "object_id")
+            return resolve.resolve_targets(facts, self.objects)
+
+        return self._table("dependencies", build)
+
+    @property
+    def accesses(self) -> DataFrame:
+        return self._table("accesses", lambda: extract.table_accesses(self.objects).join(
+            self.objects.select("object_id", "connection_id"), "object_id"))
+
+    @property
+    def findings(self) -> DataFrame:
+        return self._table("findings", lambda: extract.findings(self.objects))
+
+    @property
+    def complexity(self) -> DataFrame:
+        return self._table("complexity", lambda: extract.complexity(self.objects))
+
+    @property
+    def variables(self) -> DataFrame:
+        return self._table("variables", lambda: extract.variable_references(self.objects))
+
+    @property
+    def graph(self) -> tuple[DataFrame, DataFrame]:
+        from procatlas.operators import graph
+
+        if "nodes" not in self._tables:
+            nodes, edges = graph.assemble(self.objects, self.dependencies, self.accesses,
+                                          self.complexity, self.findings)
+            self._tables["edges"] = cut(edges, "edges")
+            self._tables["nodes"] = cut(nodes, "nodes")
+        return self._tables["nodes"], self._tables["edges"]
+
+
+def workspace(spark: SparkSession, sf_dir: str) -> Workspace:
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _open:
+        _open[key] = Workspace(spark, sf_dir)
+    return _open[key]

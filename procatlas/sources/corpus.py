@@ -1,0 +1,219 @@
+"""Source-text corpus derived from the given tables.
+
+Each order with lines becomes one code object; each order line becomes one statement of it.  The
+statement is one SQL expression that Spark and other engines read alike, so a check can build the
+very same texts on its own.
+"""
+
+from __future__ import annotations
+
+import re
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from procatlas.functions.matching import clean
+from procatlas.sources.readers import assemble_lines
+
+# Statement columns over lineitem: k object, x part, u supplier, q quantity, d dialect number,
+# half / dbl callee keys within the same connection, t table name.
+STATEMENT_COLUMNS = """
+  l_orderkey AS k, l_partkey AS x, l_suppkey AS u, cast(l_quantity AS int) AS q, l_orderkey % 3 AS d,
+  cast(floor(floor(l_orderkey / 3) / 2) AS bigint) * 3 + l_orderkey % 3 AS half,
+  cast(floor(l_orderkey / 3) AS bigint) * 6 + l_orderkey % 3 AS dbl,
+  's' || cast(l_partkey % 8 AS string) || '.t' || cast(l_partkey % 50 AS string) AS t,
+  l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_returnflag
+"""
+LINE_ORDER = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"]
+
+
+def sql_text(template: str) -> str:
+    """SQL concatenation for a template with ``{expression}`` holes; no quotes or newlines inside literals."""
+    out = []
+    for part in re.split(r"(\{[^}]*\}|\n|')", template):
+        if not part:
+            continue
+        if part == "\n":
+            out.append("chr(10)")
+        elif part == "'":
+            out.append("chr(39)")
+        elif part.startswith("{"):
+            out.append(f"cast({part[1:-1]} AS string)")
+        else:
+            out.append(f"'{part}'")
+    return " || ".join(out)
+
+
+def _case(branches: list[tuple[str, str]]) -> str:
+    body = " ".join(f"WHEN {cond} THEN {text if text.startswith('CASE') else sql_text(text)}"
+                    for cond, text in branches)
+    return f"CASE {body} END"
+
+
+_READS = _case([
+    ("d = 0", "  SELECT @v = c FROM {t} WHERE k = @p;"),
+    ("d = 1", "  SELECT c INTO v_c FROM {t} WHERE k = p_in;"),
+    ("1 = 1", "  SELECT c INTO v_c FROM {t} a JOIN s{x % 8}.lookup{x % 6} b ON a.k = b.k;"),
+])
+_UPDATES = _case([
+    ("d = 0 AND q % 4 = 0", "  UPDATE {t}\n     SET c = @v\n   WHERE k = @p;"),
+    ("d = 0", "  UPDATE {t} SET c = @v WHERE k = @p;"),
+    ("1 = 1", "  UPDATE {t} SET c = v_c WHERE k = p_in;"),
+])
+_INSERTS = _case([
+    ("d = 0 AND q % 5 = 0", "  INSERT INTO #tmp{x % 5} SELECT c FROM {t};"),
+    ("d = 0", "  INSERT INTO {t} VALUES (@v, @p);"),
+    ("q % 5 = 0", "  INSERT INTO temp_{x % 5} SELECT c FROM {t};"),
+    ("1 = 1", "  INSERT INTO {t} VALUES (v_c);"),
+])
+_REMOVALS = _case([
+    ("x % 4 = 0", "  TRUNCATE TABLE {t};"),
+    ("x % 4 = 1", "  MERGE INTO {t} USING src ON k = k;"),
+    ("1 = 1", "  DELETE FROM {t};"),
+])
+_CALLS = _case([
+    ("x % 7 = 0 AND d < 2", "  CALL ext.sp_{x % 20};"),
+    ("x % 7 = 0", "  ext_sp_{x % 20}(v_c);"),
+    ("x % 97 = 0", "  EXECUTE p{dbl};"),
+    ("d = 0 AND q % 6 = 0", "  EXEC s{half % 8}.p{half} @a = @v, @b = @p;"),
+    ("d = 0 AND q % 6 = 1", "  EXECUTE [dbo].[P{half}] @v, @p;"),
+    ("d = 0 AND q % 6 = 2", "  EXEC\n  p{half};"),
+    ("d = 0", "  EXEC p{half};"),
+    ("d = 1 AND q % 4 = 0", "  v_c := s{half % 8}.p{half}(v_c);"),
+    ("d = 1 AND q % 4 = 1", "  SELECT s{x % 8}.fn_{x % 30}(v_c) INTO v_c;"),
+    ("d = 1", "  PERFORM s{half % 8}.p{half}(v_c);"),
+    ("q % 6 = 0", "  COALESCE(v_c, 1);"),
+    ("q % 6 = 1", "  v_log(p_in);"),
+    ("1 = 1", "  p{half}(p_in);"),
+])
+_RISKS = _case([
+    ("x % 6 = 0 AND d = 0", "  EXEC(@sql);"),
+    ("x % 6 = 0 AND d = 1 AND q % 2 = 0", "  EXECUTE format('SELECT %I', v_c);"),
+    ("x % 6 = 0 AND d = 1", "  EXECUTE format('SELECT', $1);"),
+    ("x % 6 = 0 AND q % 2 = 0", "  EXECUTE IMMEDIATE v_sql;"),
+    ("x % 6 = 0", "  EXECUTE IMMEDIATE v_sql USING v_c;"),
+    ("x % 6 = 1", "  GRANT SELECT ON obj TO app;"),
+    ("x % 6 = 2 AND d = 0", "  EXEC xp_cmdshell 'dir';"),
+    ("x % 6 = 2 AND d = 1", "  PERFORM util.dblink('db', 'q');"),
+    ("x % 6 = 2", "  v_c := UTL_HTTP.request('u');"),
+    ("x % 6 = 3 AND d = 0", "  SET @password = 'abc{x % 9}';"),
+    ("x % 6 = 3 AND d = 1", "  -- SECURITY DEFINER"),
+    ("x % 6 = 3", "  DBMS_SQL.parse(c1, v_sql);"),
+    ("x % 6 = 4 AND d = 0", "  SELECT c FROM srv{x % 3}.db.s{x % 8}.t{x % 50};"),
+    ("x % 6 = 4", "  SELECT c FROM s{x % 8}.view_{x % 11};"),
+    ("d = 0", "  EXEC('SELECT ' + @p);"),
+    ("1 = 1", "  v_c := 'WITH EXECUTE AS OWNER';"),
+])
+_CONTROL = _case([
+    ("x % 4 = 0 AND d = 0", "  IF @v > 1 BEGIN\n    SET @v = 2;\n  END"),
+    ("x % 4 = 0", "  IF v_c > 1 THEN\n    RETURN v_c;\n  END IF;"),
+    ("x % 4 = 1 AND d = 0", "  WHILE @v < 9 BEGIN\n    SET @v = @v + 1;\n    IF @v = 5 BREAK;\n  END"),
+    ("x % 4 = 1", "  WHILE v_c < 9 LOOP\n    v_c := v_c + 1;\n  END LOOP;"),
+    ("x % 4 = 2 AND d = 0", "  BEGIN TRY\n    DELETE FROM {t};\n  END TRY\n  BEGIN CATCH\n    THROW;\n  END CATCH"),
+    ("x % 4 = 2", "  FOR r IN c1 LOOP\n    IF r.a = 1 THEN\n      DELETE FROM {t};\n    END IF;\n  END LOOP;"),
+    ("d = 0", "  RETURN @v;"),
+    ("1 = 1", "  RAISE v_err;"),
+])
+_NOTES = _case([
+    ("x % 5 = 0", "  -- check stock level {x % 9}"),
+    ("x % 5 = 1 AND d = 0", "  DECLARE @v{x % 4} INT\n  DECLARE @w{x % 3} VARCHAR(10)"),
+    ("x % 5 = 2 AND d = 0", "  SET @v = @p; -- carry over {x % 9}\n  SET @w = @v;"),
+    ("x % 5 = 2", "  v_c := p_in; -- carry over {x % 9}"),
+    ("x % 5 = 3", "\n  -- step {x % 9}\n  -- of the plan"),
+    ("1 = 1", "  CASE WHEN c = 1 THEN 2 END;"),
+])
+STATEMENT = _case([
+    ("u % 8 = 0", _READS), ("u % 8 = 1", _UPDATES), ("u % 8 = 2", _INSERTS), ("u % 8 = 3", _REMOVALS),
+    ("u % 8 = 4", _CALLS), ("u % 8 = 5", _RISKS), ("u % 8 = 6", _CONTROL), ("1 = 1", _NOTES),
+])
+
+# Object columns over k.
+OBJECT_KIND = ("CASE WHEN k % 13 = 0 THEN 'function' WHEN k % 13 = 1 THEN 'trigger' WHEN k % 13 = 2 THEN 'view' "
+               "WHEN k % 13 = 3 AND k % 3 = 2 THEN 'package' WHEN k % 13 = 4 THEN 'anonymous' ELSE 'procedure' END")
+OBJECT_NAME = ("CASE WHEN k % 10 = 9 THEN 'p' || cast(k - 3 AS string) WHEN k % 10 = 7 THEN 'P' || cast(k AS string) "
+               "ELSE 'p' || cast(k AS string) END")
+OBJECT_SCHEMA = "'s' || cast(k % 8 AS string)"
+DIALECT = "CASE k % 3 WHEN 0 THEN 'tsql' WHEN 1 THEN 'plpgsql' ELSE 'plsql' END"
+HEADER = _case([
+    ("kind = 'anonymous'", "BEGIN"),
+    ("kind = 'view'", "CREATE VIEW {s}.{n} AS"),
+    ("d = 0 AND kind = 'function'", "CREATE FUNCTION {s}.{n}(@p INT, @q DECIMAL(10,2))\nRETURNS VARCHAR(40)\nAS BEGIN"),
+    ("d = 0 AND kind = 'trigger'", "CREATE TRIGGER {s}.{n} ON s1.t1 AFTER INSERT\nAS BEGIN"),
+    ("d = 0", "CREATE PROCEDURE {s}.{n} @p INT, @q VARCHAR(20) = 'x', @r INT OUTPUT\nAS BEGIN"),
+    ("d = 1 AND kind = 'function' AND k % 2 = 0",
+     "CREATE OR REPLACE FUNCTION {s}.{n}(p_in INT, p_t TEXT DEFAULT 'x') RETURNS SETOF INT AS $$\nBEGIN"),
+    ("d = 1 AND kind = 'function'", "CREATE OR REPLACE FUNCTION {s}.{n}(p_in INT) RETURNS TABLE(a INT, b TEXT) AS $$\nBEGIN"),
+    ("d = 1 AND kind = 'trigger'", "CREATE TRIGGER {s}.{n} AFTER INSERT ON s1.t1\nBEGIN"),
+    ("d = 1", "CREATE OR REPLACE PROCEDURE {s}.{n}(p_in INT, OUT p_out TEXT, INOUT p_io INT DEFAULT 5)\nAS $$\nBEGIN"),
+    ("kind = 'function'", "CREATE OR REPLACE FUNCTION {s}.{n}(p_in IN NUMBER) RETURN VARCHAR2\nIS\nBEGIN"),
+    ("kind = 'trigger'", "CREATE OR REPLACE TRIGGER {s}.{n} AFTER INSERT ON s1.t1\nBEGIN"),
+    ("kind = 'package'", "CREATE OR REPLACE PACKAGE {s}.{n} AS\nBEGIN"),
+    ("1 = 1", "CREATE OR REPLACE PROCEDURE {s}.{n}(p_in IN NUMBER, p_out IN OUT VARCHAR2, p_d DATE DEFAULT SYSDATE)\nIS\nBEGIN"),
+])
+
+# Comment-bearing texts over documents; header spelling follows the language column.
+COMMENT_PREFIX = _case([
+    ("lang = 'en' AND doc_id % 3 = 0",
+     "-- Author: {source}\n-- Create date: 2020-01-{doc_id % 28}\n-- Description: loads batch {doc_id % 50}\n-- Jira: T-{doc_id % 97}\n"
+     "-- Description: second note\n-- Version: {doc_id % 9}\n"),
+    ("lang = 'en' AND doc_id % 3 = 1",
+     "-- Modified: <{source}>\n-- Date: 2021-02-{doc_id % 28}\n-- Description: fix {doc_id % 50}\n-- Modified by: ann\n-- Purpose: keep {doc_id % 7}\n"),
+    ("lang = 'en'", "/*\n * Cleans rows of {source}\n * AUTHOR bob\n\n * in steps {doc_id % 9}\n */\n"),
+    ("lang = 'es'", "-- Autor: {source}\n-- Fecha de creación: 2020-03-{doc_id % 28}\n-- Descripción: carga {doc_id % 50}\n-- Versión: {doc_id % 9}\n"),
+    ("lang = 'fr'", "-- Criado por: {source}\n-- Data de criação: 2020-04-{doc_id % 28}\n-- Objetivo: limpar {doc_id % 50}\n-- Atualizado por: rui\n"),
+    ("1 = 1", "SELECT {doc_id % 9}; -- counts rows\n"),
+])
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def statements(spark: SparkSession, sf_dir: str, snapshot: int = 1) -> DataFrame:
+    """(k, statement, ordering columns): one row per order line of the snapshot."""
+    rows = table(spark, sf_dir, "lineitem").selectExpr(*_split_columns(STATEMENT_COLUMNS))
+    if snapshot == 2:
+        rows = rows.where((F.col("l_returnflag") != "R") & (F.col("k") % 11 != 0))
+    return rows.select("k", F.expr(STATEMENT).alias("statement"), *LINE_ORDER)
+
+
+def objects(spark: SparkSession, sf_dir: str, snapshot: int = 1) -> DataFrame:
+    """Code objects with their texts."""
+    body = assemble_lines(
+        statements(spark, sf_dir, snapshot), ["k"], LINE_ORDER, "statement",
+        chunk=F.col("l_linenumber"), separator="\n")
+    orders = table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("k"), F.col("o_orderdate").alias("seen_at"))
+    named = body.join(orders, "k").select(
+        "k", "text", "seen_at", F.expr(OBJECT_KIND).alias("kind"), F.expr(OBJECT_NAME).alias("n"),
+        F.expr(OBJECT_SCHEMA).alias("s"), F.expr(DIALECT).alias("dialect"), (F.col("k") % 3).alias("d"))
+    text = F.concat(F.expr(HEADER), F.lit("\n"), F.col("text"), F.lit("\nEND;"))
+    return named.select(
+        F.col("k").alias("object_id"),
+        F.col("d").cast("int").alias("connection_id"),
+        "dialect",
+        F.col("s").alias("schema_name"),
+        F.col("n").alias("object_name"),
+        F.concat_ws(".", "s", "n").alias("fqn"),
+        F.col("kind").alias("object_type"),
+        clean(text).alias("definition"),
+        "seen_at",
+    )
+
+
+def commented_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with a header comment: (object_id, lang, definition)."""
+    docs = table(spark, sf_dir, "documents")
+    return docs.select(
+        F.col("doc_id").alias("object_id"), "lang",
+        clean(F.concat(F.expr(COMMENT_PREFIX), F.col("text"))).alias("definition"))
+
+
+def _split_columns(text: str) -> list[str]:
+    out, depth, start = [], 0, 0
+    for i, ch in enumerate(text):
+        depth += (ch == "(") - (ch == ")")
+        if ch == "," and depth == 0:
+            out.append(text[start:i].strip())
+            start = i + 1
+    return [*out, text[start:].strip()]
