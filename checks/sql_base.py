@@ -59,7 +59,7 @@ def matches_sql(source: str, pattern: str, groups: int = 0, keep: str = "object_
     return f"""
 SELECT {keep}, pos, hit, prefix, {text}, {line_sql('prefix')} AS line{gs} FROM (
   SELECT {keep}, {text}, cast(i AS integer) AS pos, ms[i] AS hit,
-    array_to_string(ps[1:i], '') || array_to_string(ms[1:i-1], '') AS prefix FROM (
+    array_to_string(list_transform(range(1, i + 1), lambda j: CASE WHEN j > 1 THEN ms[j - 1] ELSE '' END || ps[j]), '') AS prefix FROM (
     SELECT {keep}, {text}, ms, regexp_split_to_array({text}, {pat}) AS ps, unnest(range(1, len(ms) + 1)) AS i FROM (
       SELECT {keep}, {text}, regexp_extract_all({text}, {pat}) AS ms FROM {source} WHERE {where}) a
     WHERE len(ms) > 0) b) c"""

@@ -57,7 +57,7 @@ def by_target(facts: DataFrame, ids: DataFrame) -> DataFrame:
 
 def _described(objects: DataFrame, complexity: DataFrame, side: str) -> DataFrame:
     return objects.join(complexity, "object_id").select(
-        F.col("object_id").alias(f"{side}_id"), F.col("object_name").alias(f"{side}_name"),
+        F.col("object_id").alias(f"{side}_id"), F.col("object_name").alias(f"{side}_object_name"),
         F.col("schema_name").alias(f"{side}_schema"), F.col("object_type").alias(f"{side}_type"),
         F.col("cyclomatic").alias(f"{side}_complexity"))
 

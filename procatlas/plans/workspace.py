@@ -64,6 +64,10 @@ class Workspace:
     def variables(self) -> DataFrame:
         return self._table("variables", lambda: extract.variable_references(self.objects))
 
+    @property
+    def tables(self) -> DataFrame:
+        return self._table("tables", lambda: corpus.tables(self.spark, self.sf_dir))
+
     @property
     def graph(self) -> tuple[DataFrame, DataFrame]:
         from procatlas.operators import graph
@@ -75,6 +79,14 @@ class Workspace:
             self._tables["nodes"] = cut(nodes, "nodes")
         return self._tables["nodes"], self._tables["edges"]
 
+    @property
+    def nodes(self) -> DataFrame:
+        return self.graph[0]
+
+    @property
+    def edges(self) -> DataFrame:
+        return self.graph[1]
+
 
 def workspace(spark: SparkSession, sf_dir: str) -> Workspace:
     key = (spark.sparkContext.applicationId, sf_dir)

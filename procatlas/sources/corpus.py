@@ -21,7 +21,7 @@ STATEMENT_COLUMNS = """
   l_orderkey AS k, l_partkey AS x, l_suppkey AS u, cast(l_quantity AS int) AS q, l_orderkey % 3 AS d,
   cast(floor(floor(l_orderkey / 3) / 2) AS bigint) * 3 + l_orderkey % 3 AS half,
   cast(floor(l_orderkey / 3) AS bigint) * 6 + l_orderkey % 3 AS dbl,
-  's' || cast(l_partkey % 8 AS string) || '.t' || cast(l_partkey % 50 AS string) AS t,
+  's' || cast(cast(floor(l_partkey / 4) AS bigint) % 8 AS string) || '.t' || cast(cast(floor(l_partkey / 4) AS bigint) AS string) AS t,
   l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_returnflag
 """
 LINE_ORDER = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"]
@@ -209,6 +209,104 @@ def commented_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
         clean(F.concat(F.expr(COMMENT_PREFIX), F.col("text"))).alias("definition"))
 
 
+# Table metadata over part: four parts make one table, each part one column of it.
+PART_COLUMNS = """
+  cast(floor(p_partkey / 4) AS bigint) AS tid, p_partkey % 4 AS c, p_size AS z
+"""
+TABLE_SCHEMA = "'s' || cast(tid % 8 AS string)"
+TABLE_NAME = "'t' || cast(tid AS string)"
+METADATA = {
+    "md_columns": ("1 = 1", {
+        "connection_id": "cast(tid % 3 AS int)", "schema_name": TABLE_SCHEMA, "table_name": TABLE_NAME,
+        "table_type": "CASE WHEN tid % 10 = 0 THEN 'v' ELSE 'r' END",
+        "column_name": "'c' || cast(c AS string)",
+        "data_type": "CASE c WHEN 0 THEN 'bigint' WHEN 1 THEN 'varchar' WHEN 2 THEN 'decimal' ELSE 'timestamp' END",
+        "ordinal": "cast(c + 1 AS int)", "is_nullable": "c > 0 AND z % 2 = 0",
+        "default_value": "CASE WHEN z % 7 = 0 THEN '0' END",
+        "max_length": "cast(CASE WHEN c = 1 THEN CASE WHEN z % 5 = 0 THEN -1 ELSE z END END AS int)",
+        "precision": "cast(CASE WHEN c = 2 THEN 10 END AS int)",
+        "scale": "cast(CASE WHEN c = 2 THEN z % 5 END AS int)"}),
+    "md_pk": ("c = 0 OR (c = 1 AND tid % 5 = 0)", {
+        "connection_id": "cast(tid % 3 AS int)", "schema_name": TABLE_SCHEMA, "table_name": TABLE_NAME,
+        "column_name": "'c' || cast(c AS string)", "ordinal": "cast(c + 1 AS int)"}),
+    "md_fk": ("c = 3 OR (c = 2 AND tid % 6 = 0)", {
+        "connection_id": "cast(tid % 3 AS int)", "schema_name": TABLE_SCHEMA, "table_name": TABLE_NAME,
+        "constraint_name": "'fk_' || cast(tid AS string)", "column_name": "'c' || cast(c AS string)",
+        "ref_schema": "CASE WHEN tid < 3 THEN 'nowhere' ELSE 's' || cast((tid - 3) % 8 AS string) END",
+        "ref_table": "CASE WHEN tid < 3 THEN 'none' WHEN tid % 7 = 0 THEN 'T' || cast(tid - 3 AS string) ELSE 't' || cast(tid - 3 AS string) END",
+        "ref_column": "'c' || cast(c - 2 AS string)", "ordinal": "cast(c AS int)",
+        "on_delete": "CASE tid % 3 WHEN 0 THEN 'c' WHEN 1 THEN 'a' ELSE 'n' END", "on_update": "'a'"}),
+    "md_index": ("c < 2", {
+        "connection_id": "cast(tid % 3 AS int)", "schema_name": TABLE_SCHEMA, "table_name": TABLE_NAME,
+        "index_name": "CASE WHEN tid % 5 = 0 THEN 'ix_' || cast(tid AS string) ELSE 'ix_' || cast(tid AS string) || '_' || cast(c AS string) END",
+        "column_name": "'c' || cast(c AS string)", "ordinal": "cast(c + 1 AS int)",
+        "is_unique": "tid % 2 = 0", "is_primary": "false", "index_type": "'btree'"}),
+    "md_partition": ("1 = 1", {
+        "connection_id": "cast(tid % 3 AS int)", "schema_name": TABLE_SCHEMA, "table_name": TABLE_NAME,
+        "row_count": "cast(z * 100 AS bigint)", "pages": "cast(z AS bigint)"}),
+}
+
+
+def metadata(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """Flat metadata rows: md_columns, md_pk, md_fk, md_index or md_partition."""
+    where, columns = METADATA[name]
+    rows = table(spark, sf_dir, "part").selectExpr(*_split_columns(PART_COLUMNS)).where(where)
+    return rows.selectExpr(*[f"{e} AS {c}" for c, e in columns.items()])
+
+
+def tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nested table metadata of all connections."""
+    from procatlas.functions import fixed_values as fv
+    from procatlas.functions.scalars import label_of
+    from procatlas.operators.metadata import nest_tables
+    from procatlas.operators.rollup import table_sizes
+
+    md = {n: metadata(spark, sf_dir, n) for n in METADATA}
+    cols = md["md_columns"].withColumn("table_type", label_of(F.col("table_type"), fv.RELATION_KINDS))
+    fks = md["md_fk"]
+    for c in ("on_delete", "on_update"):
+        fks = fks.withColumn(c, label_of(F.col(c), fv.KEY_ACTIONS))
+    nested = nest_tables(cols, md["md_pk"], fks, md["md_index"], table_sizes(md["md_partition"]), primary_by_columns=True)
+    owner = F.substring("table_name", 2, 20).cast("bigint") % 3
+    return nested.withColumn("connection_id", owner.cast("int"))
+
+
+# Connections from nation, jobs from orders, audit from events.
+CONNECTION_COLUMNS = {
+    "connection_id": "n_nationkey", "name": "n_name",
+    "engine": "CASE n_nationkey % 3 WHEN 0 THEN 'sqlserver' WHEN 1 THEN 'postgresql' ELSE 'oracle' END",
+    "is_active": "n_nationkey % 2 = 0", "created_day": "n_nationkey % 7",
+}
+JOB_COLUMNS = {
+    "job_id": "o_orderkey", "connection_id": "cast(o_custkey % 25 AS int)",
+    "status": "CASE WHEN o_orderstatus = 'F' THEN 'completed' WHEN o_orderstatus = 'P' THEN 'analyzing' "
+              "WHEN o_orderkey % 3 = 0 THEN 'failed' WHEN o_orderkey % 3 = 1 THEN 'cancelled' ELSE 'pending' END",
+    "total_objects": "cast(o_orderkey % 50 AS int)",
+    "processed_objects": "cast(floor((o_orderkey % 50) * (o_custkey % 11) / 10) AS int)",
+    "created_at": "o_orderdate",
+}
+AUDIT_COLUMNS = {
+    "event_id": "event_id", "user_id": "user_id", "action": "event_type", "created_at": "ts",
+    "resource_type": "CASE WHEN event_type IN ('view', 'click') THEN 'procedure' ELSE 'connection' END",
+}
+
+
+def connections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _shaped(spark, sf_dir, "nation", CONNECTION_COLUMNS)
+
+
+def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _shaped(spark, sf_dir, "orders", JOB_COLUMNS)
+
+
+def audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _shaped(spark, sf_dir, "events", AUDIT_COLUMNS)
+
+
+def _shaped(spark: SparkSession, sf_dir: str, name: str, columns: dict[str, str]) -> DataFrame:
+    return table(spark, sf_dir, name).selectExpr(*[f"{e} AS {c}" for c, e in columns.items()])
+
+
 def _split_columns(text: str) -> list[str]:
     out, depth, start = [], 0, 0
     for i, ch in enumerate(text):
