@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-AREAS = ["extraction", "documents", "relations", "graphs", "rollups"]
+AREAS = ["extraction", "documents", "relations", "graphs", "rollups", "upkeep"]
 
 
 def _load():

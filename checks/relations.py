@@ -106,10 +106,10 @@ SELECT l.* FROM links l, (SELECT fqn FROM (SELECT source_fqn AS fqn FROM links U
 def native_dependencies(s, sf):
     """Dependencies as the databases keep them: half of the call statements, bound to the real callee."""
     rows = corpus.table(s, sf, "lineitem").selectExpr(*corpus._split_columns(corpus.STATEMENT_COLUMNS))
-    return rows.where("u % 8 = 4 AND q % 2 = 0").select(F.col("k").alias("object_id"), F.col("half").alias("target_id")).distinct()
+    return rows.where("u % 10 IN (4, 8, 9) AND q % 2 = 0").select(F.col("k").alias("object_id"), F.col("half").alias("target_id")).distinct()
 
 
-_native = f"SELECT DISTINCT k AS object_id, half AS target_id FROM (SELECT {corpus.STATEMENT_COLUMNS} FROM lineitem) b WHERE u % 8 = 4 AND q % 2 = 0"
+_native = f"SELECT DISTINCT k AS object_id, half AS target_id FROM (SELECT {corpus.STATEMENT_COLUMNS} FROM lineitem) b WHERE u % 10 IN (4, 8, 9) AND q % 2 = 0"
 part("native", [], _native)
 register("s5_native_dependencies", native_dependencies, ["native"], "SELECT * FROM native")
 register("j9_reconciliation",

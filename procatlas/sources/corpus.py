@@ -16,11 +16,12 @@ from procatlas.functions.matching import clean
 from procatlas.sources.readers import assemble_lines
 
 # Statement columns over lineitem: k object, x part, u supplier, q quantity, d dialect number,
-# half / dbl callee keys within the same connection, t table name.
+# half / third / dbl callee keys within the same connection, t table name.
 STATEMENT_COLUMNS = """
   l_orderkey AS k, l_partkey AS x, l_suppkey AS u, cast(l_quantity AS int) AS q, l_orderkey % 3 AS d,
   cast(floor(floor(l_orderkey / 3) / 2) AS bigint) * 3 + l_orderkey % 3 AS half,
   cast(floor(l_orderkey / 3) AS bigint) * 6 + l_orderkey % 3 AS dbl,
+  cast(floor(l_orderkey / 9) AS bigint) * 3 + l_orderkey % 3 AS third,
   's' || cast(cast(floor(l_partkey / 4) AS bigint) % 8 AS string) || '.t' || cast(cast(floor(l_partkey / 4) AS bigint) AS string) AS t,
   l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_returnflag
 """
@@ -78,12 +79,15 @@ _CALLS = _case([
     ("d = 0 AND q % 6 = 0", "  EXEC s{half % 8}.p{half} @a = @v, @b = @p;"),
     ("d = 0 AND q % 6 = 1", "  EXECUTE [dbo].[P{half}] @v, @p;"),
     ("d = 0 AND q % 6 = 2", "  EXEC\n  p{half};"),
+    ("d = 0 AND q % 6 = 3", "  EXEC s{third % 8}.P{third};"),
     ("d = 0", "  EXEC p{half};"),
     ("d = 1 AND q % 4 = 0", "  v_c := s{half % 8}.p{half}(v_c);"),
     ("d = 1 AND q % 4 = 1", "  SELECT s{x % 8}.fn_{x % 30}(v_c) INTO v_c;"),
+    ("d = 1 AND q % 4 = 2", "  PERFORM S{third % 8}.p{third}(v_c);"),
     ("d = 1", "  PERFORM s{half % 8}.p{half}(v_c);"),
     ("q % 6 = 0", "  COALESCE(v_c, 1);"),
     ("q % 6 = 1", "  v_log(p_in);"),
+    ("q % 6 = 2", "  p{third}(p_in);"),
     ("1 = 1", "  p{half}(p_in);"),
 ])
 _RISKS = _case([
@@ -123,8 +127,8 @@ _NOTES = _case([
     ("1 = 1", "  CASE WHEN c = 1 THEN 2 END;"),
 ])
 STATEMENT = _case([
-    ("u % 8 = 0", _READS), ("u % 8 = 1", _UPDATES), ("u % 8 = 2", _INSERTS), ("u % 8 = 3", _REMOVALS),
-    ("u % 8 = 4", _CALLS), ("u % 8 = 5", _RISKS), ("u % 8 = 6", _CONTROL), ("1 = 1", _NOTES),
+    ("u % 10 = 0", _READS), ("u % 10 = 1", _UPDATES), ("u % 10 = 2", _INSERTS), ("u % 10 = 3", _REMOVALS),
+    ("u % 10 IN (4, 8, 9)", _CALLS), ("u % 10 = 5", _RISKS), ("u % 10 = 6", _CONTROL), ("1 = 1", _NOTES),
 ])
 
 # Object columns over k.
