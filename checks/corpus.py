@@ -17,14 +17,15 @@ from procatlas.sources.readers import assemble_lines
 
 # Statement columns over lineitem: k object, x part, u supplier, q quantity, d dialect number,
 # half / third / dbl callee keys within the same connection, t table name.
-STATEMENT_COLUMNS = """
-  l_orderkey AS k, l_partkey AS x, l_suppkey AS u, cast(l_quantity AS int) AS q, l_orderkey % 3 AS d,
-  cast(floor(floor(l_orderkey / 3) / 2) AS bigint) * 3 + l_orderkey % 3 AS half,
-  cast(floor(l_orderkey / 3) AS bigint) * 6 + l_orderkey % 3 AS dbl,
-  cast(floor(l_orderkey / 9) AS bigint) * 3 + l_orderkey % 3 AS third,
-  's' || cast(cast(floor(l_partkey / 4) AS bigint) % 8 AS string) || '.t' || cast(cast(floor(l_partkey / 4) AS bigint) AS string) AS t,
-  l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_returnflag
-"""
+STATEMENT_COLUMNS = {
+    "k": "l_orderkey", "x": "l_partkey", "u": "l_suppkey", "q": "cast(l_quantity AS int)", "d": "l_orderkey % 3",
+    "half": "cast(floor(floor(l_orderkey / 3) / 2) AS bigint) * 3 + l_orderkey % 3",
+    "dbl": "cast(floor(l_orderkey / 3) AS bigint) * 6 + l_orderkey % 3",
+    "third": "cast(floor(l_orderkey / 9) AS bigint) * 3 + l_orderkey % 3",
+    "t": "'s' || cast(cast(floor(l_partkey / 4) AS bigint) % 8 AS string) || '.t' || cast(cast(floor(l_partkey / 4) AS bigint) AS string)",
+    "l_linenumber": "l_linenumber", "l_partkey": "l_partkey", "l_suppkey": "l_suppkey", "l_quantity": "l_quantity",
+    "l_extendedprice": "l_extendedprice", "l_returnflag": "l_returnflag",
+}
 LINE_ORDER = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"]
 
 
@@ -136,7 +137,13 @@ OBJECT_KIND = ("CASE WHEN k % 13 = 0 THEN 'function' WHEN k % 13 = 1 THEN 'trigg
                "WHEN k % 13 = 3 AND k % 3 = 2 THEN 'package' WHEN k % 13 = 4 THEN 'anonymous' ELSE 'procedure' END")
 OBJECT_NAME = ("CASE WHEN k % 10 = 9 THEN 'p' || cast(k - 3 AS string) WHEN k % 10 = 7 THEN 'P' || cast(k AS string) "
                "ELSE 'p' || cast(k AS string) END")
-OBJECT_SCHEMA = "'s' || cast(k % 8 AS string)"
+# The second snapshot lacks urgent orders and lines returned; low-priority objects moved to another schema.
+SNAPSHOT_ORDERS = {1: "true", 2: "o_orderpriority <> '1-URGENT'"}
+SNAPSHOT_LINES = {1: "true", 2: "l_returnflag <> 'R'"}
+OBJECT_SCHEMA = {
+    1: "'s' || cast(k % 8 AS string)",
+    2: "CASE WHEN o_orderpriority = '5-LOW' THEN 'archive' ELSE 's' || cast(k % 8 AS string) END",
+}
 DIALECT = "CASE k % 3 WHEN 0 THEN 'tsql' WHEN 1 THEN 'plpgsql' ELSE 'plsql' END"
 HEADER = _case([
     ("kind = 'anonymous'", "BEGIN"),
@@ -173,12 +180,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def columns_sql(columns: dict[str, str]) -> str:
+    return ", ".join(f"{e} AS {c}" for c, e in columns.items())
+
+
+def shaped(spark: SparkSession, sf_dir: str, name: str, columns: dict[str, str]) -> DataFrame:
+    """A given table as the named expressions."""
+    return table(spark, sf_dir, name).selectExpr(*[f"{e} AS {c}" for c, e in columns.items()])
+
+
 def statements(spark: SparkSession, sf_dir: str, snapshot: int = 1) -> DataFrame:
     """(k, statement, ordering columns): one row per order line of the snapshot."""
-    rows = table(spark, sf_dir, "lineitem").selectExpr(*_split_columns(STATEMENT_COLUMNS))
-    if snapshot == 2:
-        rows = rows.where((F.col("l_returnflag") != "R") & (F.col("k") % 11 != 0))
-    return rows.select("k", F.expr(STATEMENT).alias("statement"), *LINE_ORDER)
+    rows = shaped(spark, sf_dir, "lineitem", STATEMENT_COLUMNS)
+    return rows.where(SNAPSHOT_LINES[snapshot]).select("k", F.expr(STATEMENT).alias("statement"), *LINE_ORDER)
 
 
 def objects(spark: SparkSession, sf_dir: str, snapshot: int = 1) -> DataFrame:
@@ -186,11 +200,11 @@ def objects(spark: SparkSession, sf_dir: str, snapshot: int = 1) -> DataFrame:
     body = assemble_lines(
         statements(spark, sf_dir, snapshot), ["k"], LINE_ORDER, "statement",
         chunk=F.col("l_linenumber"), separator="\n")
-    orders = table(spark, sf_dir, "orders").select(
-        F.col("o_orderkey").alias("k"), F.col("o_orderdate").alias("seen_at"))
+    orders = table(spark, sf_dir, "orders").where(F.expr(SNAPSHOT_ORDERS[snapshot])).select(
+        F.col("o_orderkey").alias("k"), F.col("o_orderdate").alias("seen_at"), "o_orderpriority")
     named = body.join(orders, "k").select(
         "k", "text", "seen_at", F.expr(OBJECT_KIND).alias("kind"), F.expr(OBJECT_NAME).alias("n"),
-        F.expr(OBJECT_SCHEMA).alias("s"), F.expr(DIALECT).alias("dialect"), (F.col("k") % 3).alias("d"))
+        F.expr(OBJECT_SCHEMA[snapshot]).alias("s"), F.expr(DIALECT).alias("dialect"), (F.col("k") % 3).alias("d"))
     text = F.concat(F.expr(HEADER), F.lit("\n"), F.col("text"), F.lit("\nEND;"))
     return named.select(
         F.col("k").alias("object_id"),
@@ -214,9 +228,7 @@ def commented_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # Table metadata over part: four parts make one table, each part one column of it.
-PART_COLUMNS = """
-  cast(floor(p_partkey / 4) AS bigint) AS tid, p_partkey % 4 AS c, p_size AS z
-"""
+PART_COLUMNS = {"tid": "cast(floor(p_partkey / 4) AS bigint)", "c": "p_partkey % 4", "z": "p_size"}
 TABLE_SCHEMA = "'s' || cast(tid % 8 AS string)"
 TABLE_NAME = "'t' || cast(tid AS string)"
 METADATA = {
@@ -254,7 +266,7 @@ METADATA = {
 def metadata(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Flat metadata rows: md_columns, md_pk, md_fk, md_index or md_partition."""
     where, columns = METADATA[name]
-    rows = table(spark, sf_dir, "part").selectExpr(*_split_columns(PART_COLUMNS)).where(where)
+    rows = shaped(spark, sf_dir, "part", PART_COLUMNS).where(where)
     return rows.selectExpr(*[f"{e} AS {c}" for c, e in columns.items()])
 
 
@@ -296,26 +308,12 @@ AUDIT_COLUMNS = {
 
 
 def connections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _shaped(spark, sf_dir, "nation", CONNECTION_COLUMNS)
+    return shaped(spark, sf_dir, "nation", CONNECTION_COLUMNS)
 
 
 def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _shaped(spark, sf_dir, "orders", JOB_COLUMNS)
+    return shaped(spark, sf_dir, "orders", JOB_COLUMNS)
 
 
 def audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _shaped(spark, sf_dir, "events", AUDIT_COLUMNS)
-
-
-def _shaped(spark: SparkSession, sf_dir: str, name: str, columns: dict[str, str]) -> DataFrame:
-    return table(spark, sf_dir, name).selectExpr(*[f"{e} AS {c}" for c, e in columns.items()])
-
-
-def _split_columns(text: str) -> list[str]:
-    out, depth, start = [], 0, 0
-    for i, ch in enumerate(text):
-        depth += (ch == "(") - (ch == ")")
-        if ch == "," and depth == 0:
-            out.append(text[start:i].strip())
-            start = i + 1
-    return [*out, text[start:].strip()]
+    return shaped(spark, sf_dir, "events", AUDIT_COLUMNS)

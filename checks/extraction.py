@@ -8,7 +8,7 @@ from checks.registry import register
 from checks.sql_base import first_call, line_sql, q, rx, strip_sql, words
 from procatlas.functions import fixed_values as fv
 from procatlas.operators import document, extract
-from procatlas.plans.workspace import workspace
+from checks.workspace import workspace
 
 
 def _double(df):
@@ -60,7 +60,8 @@ register("x13_object_kinds",
          _on_objects(lambda o: o.select("object_id", extract.object_kind(F.col("definition")).alias("kind"))),
          ["objs"], "SELECT object_id, object_type AS kind FROM objs")
 register("x14_rule_scan", _on_objects(extract.rule_findings), ["rule_hits"], "SELECT * FROM rule_hits")
-register("x15_credential_scan", _on_objects(extract.credential_findings), ["cred"], "SELECT * FROM cred")
+register("x15_credential_scan", _on_objects(lambda o: extract.credential_findings(o).drop("line")), ["cred"],
+         "SELECT * EXCLUDE (line) FROM cred")
 register("x16_conditional_rules", _on_objects(extract.conditional_findings), ["objs"], " UNION ALL ".join(
     f"SELECT object_id, {i} AS rule_id, {q(sev)} AS severity, {q(kind)} AS finding_type, {q(msg)} AS message, {q(adv)} AS recommendation "
     f"FROM objs WHERE dialect = '{d}' AND regexp_matches(definition, {rx(p)})"
@@ -68,11 +69,10 @@ register("x16_conditional_rules", _on_objects(extract.conditional_findings), ["o
     + (" AND object_type <> 'view'" if d == "plpgsql" else "")
     for i, d, p, n, sev, kind, msg, adv in fv.CONDITIONAL_RULES))
 register("x17_rules_per_dialect",
-         lambda s, sf: (lambda o, r: o.groupBy("dialect").agg(F.count(F.lit(1)).alias("objects")).join(
-             F.broadcast(r), F.col("rule_dialect").isin("*") | (F.col("rule_dialect") == F.col("dialect"))))(
-             workspace(s, sf).objects,
-             extract.rules(s).select("rule_id", F.col("dialect").alias("rule_dialect"), "severity", "finding_type", "message")),
-         ["objs"], "SELECT o.dialect, o.objects, r.* FROM (SELECT dialect, count(*) AS objects FROM objs GROUP BY dialect) o JOIN ("
+         lambda s, sf: workspace(s, sf).objects.groupBy("dialect").agg(F.count(F.lit(1)).alias("objects")).join(
+             extract.rules_by_dialect(extract.rules(s)).select(
+                 "rule_id", F.col("applies_to").alias("dialect"), "severity", "finding_type", "message"), "dialect"),
+         ["objs"], "SELECT o.dialect, o.objects, r.* EXCLUDE (rule_dialect) FROM (SELECT dialect, count(*) AS objects FROM objs GROUP BY dialect) o JOIN ("
          + " UNION ALL ".join(f"SELECT {i} AS rule_id, '{d}' AS rule_dialect, {q(s)} AS severity, {q(k)} AS finding_type, {q(m)} AS message"
                               for i, d, _, s, k, m, _ in fv.SECURITY_RULES)
          + ") r ON r.rule_dialect IN ('*', o.dialect)")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from checks.registry import register
 from checks.sql_base import part
 from procatlas.operators import graph, resolve, rollup
-from procatlas.plans.workspace import workspace
+from checks.workspace import workspace
 
 _san = lambda p, c: f"'{p}' || regexp_replace({c}, '[^a-zA-Z0-9_]', '_', 'g')"
 _last = lambda c: f"string_split({c}, '.')[-1]"
@@ -62,7 +62,8 @@ register("u3_roots_and_leaves",
              graph.leaf_nodes(w.nodes, w.edges).withColumn("role", F.lit("leaf")))), ["roots", "leaves"],
          "SELECT id, 'root' AS role FROM roots UNION ALL SELECT id, 'leaf' FROM leaves")
 register("g5_root_leaf_counts",
-         _ws(lambda w: graph.root_nodes(w.nodes, w.edges).agg(F.count(F.lit(1)).alias("roots")).crossJoin(
+         _ws(lambda w: rollup.side_by_side(
+             graph.root_nodes(w.nodes, w.edges).agg(F.count(F.lit(1)).alias("roots")),
              graph.leaf_nodes(w.nodes, w.edges).agg(F.count(F.lit(1)).alias("leaves")))), ["roots", "leaves"],
          "SELECT (SELECT count(*) FROM roots) AS roots, (SELECT count(*) FROM leaves) AS leaves")
 

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from checks.registry import register
 from checks.sql_base import part, words
 from procatlas.operators import resolve
-from procatlas.plans.workspace import workspace
-from procatlas.sources import corpus
+from checks.workspace import workspace
+from checks import corpus
 
 
 def _shape(columns: list[tuple[str, str]]) -> str:
@@ -16,7 +16,7 @@ def _shape(columns: list[tuple[str, str]]) -> str:
 
 
 for _name, (_where, _cols) in corpus.METADATA.items():
-    part(_name, [], f"SELECT {_shape(list(_cols.items()))} FROM (SELECT {corpus.PART_COLUMNS} FROM part) p WHERE {_where}")
+    part(_name, [], f"SELECT {_shape(list(_cols.items()))} FROM (SELECT {corpus.columns_sql(corpus.PART_COLUMNS)} FROM part) p WHERE {_where}")
 part("tabs", ["md_columns"], "SELECT DISTINCT connection_id, schema_name, table_name, schema_name || '.' || table_name AS fqn FROM md_columns")
 
 _dep = "object_id, connection_id, target_name, dep_type, line, is_dynamic, confidence, target_id"
@@ -87,29 +87,24 @@ def _flat(df):
 register("j8_relationships", lambda s, sf: _flat(_links(s, sf)), ["links"], "SELECT * FROM links")
 
 
-def _most_linked(s, sf):
-    links = _links(s, sf)
-    ends = links.select(F.explode(F.array("source_fqn", "target_fqn")).alias("fqn"))
-    return links, ends.groupBy("fqn").count().orderBy(F.col("count").desc(), "fqn").limit(1).select("fqn")
+def _most_linked(links):
+    ends = links.select("connection_id", F.explode(F.array("source_fqn", "target_fqn")).alias("fqn"))
+    return ends.groupBy("connection_id", "fqn").count().orderBy(F.col("count").desc(), "fqn").limit(1).select("connection_id", "fqn")
 
 
-def _table_relationships(s, sf):
-    links, top = _most_linked(s, sf)
-    return _flat(resolve.relationships_of_table(links.crossJoin(F.broadcast(top)), F.col("fqn")).drop("fqn"))
-
-
-register("j12_relationships_of_table", _table_relationships, ["links"], """
-SELECT l.* FROM links l, (SELECT fqn FROM (SELECT source_fqn AS fqn FROM links UNION ALL SELECT target_fqn FROM links) e
+register("j12_relationships_of_table",
+         lambda s, sf: _flat(resolve.relationships_of_tables(_links(s, sf), _most_linked(_links(s, sf)))), ["links"], """
+SELECT l.*, t.fqn FROM links l, (SELECT fqn FROM (SELECT source_fqn AS fqn FROM links UNION ALL SELECT target_fqn FROM links) e
   GROUP BY fqn ORDER BY count(*) DESC, fqn LIMIT 1) t WHERE l.source_fqn = t.fqn OR l.target_fqn = t.fqn""")
 
 
 def native_dependencies(s, sf):
     """Dependencies as the databases keep them: half of the call statements, bound to the real callee."""
-    rows = corpus.table(s, sf, "lineitem").selectExpr(*corpus._split_columns(corpus.STATEMENT_COLUMNS))
+    rows = corpus.shaped(s, sf, "lineitem", corpus.STATEMENT_COLUMNS)
     return rows.where("u % 10 IN (4, 8, 9) AND q % 2 = 0").select(F.col("k").alias("object_id"), F.col("half").alias("target_id")).distinct()
 
 
-_native = f"SELECT DISTINCT k AS object_id, half AS target_id FROM (SELECT {corpus.STATEMENT_COLUMNS} FROM lineitem) b WHERE u % 10 IN (4, 8, 9) AND q % 2 = 0"
+_native = f"SELECT DISTINCT k AS object_id, half AS target_id FROM (SELECT {corpus.columns_sql(corpus.STATEMENT_COLUMNS)} FROM lineitem) b WHERE u % 10 IN (4, 8, 9) AND q % 2 = 0"
 part("native", [], _native)
 register("s5_native_dependencies", native_dependencies, ["native"], "SELECT * FROM native")
 register("j9_reconciliation",

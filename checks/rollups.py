@@ -9,8 +9,9 @@ from checks.sql_base import RISK_SQL, part, q, words
 from procatlas.functions import fixed_values as fv
 from procatlas.functions import scalars
 from procatlas.operators import extract, listing, rollup
-from procatlas.plans.workspace import workspace
-from procatlas.sources import corpus, readers
+from checks.workspace import workspace
+from checks import corpus
+from procatlas.sources import readers
 import checks.graphs  # noqa: F401  (edges and nodes parts)
 import checks.relations  # noqa: F401  (metadata parts)
 
@@ -50,12 +51,12 @@ SELECT target, count(*) AS total, count(*) FILTER (dep_type = 'calls') AS n_exec
 
 
 def _impact_detail(w):
-    top = w.edges.groupBy("target").count().where(F.col("target").startswith("obj_")).orderBy(F.col("count").desc(), "target").limit(5)
+    top = w.edges.groupBy("target").count().where(F.col("target").startswith("obj_") & (F.col("count") >= 3))
     return rollup.impact_detail(w.edges, top.select("target"))
 
 
 register("a5_impact_detail", _ws(_impact_detail), ["edges"], """
-, top AS (SELECT target FROM edges WHERE starts_with(target, 'obj_') GROUP BY target ORDER BY count(*) DESC, target LIMIT 5)
+, top AS (SELECT target FROM edges WHERE starts_with(target, 'obj_') GROUP BY target HAVING count(*) >= 3)
 SELECT edge_id, source, target, dep_type, 'in' AS direction, cast(round(confidence * 100) AS integer) AS percent FROM edges WHERE target IN (SELECT target FROM top)
 UNION ALL SELECT edge_id, source, target, dep_type, 'out', cast(round(confidence * 100) AS integer) FROM edges WHERE source IN (SELECT target FROM top)""")
 _levels = " UNION ALL ".join(f"SELECT '{s}' AS severity" for s in fv.SEVERITIES)
@@ -92,7 +93,7 @@ SUBMITTED = {
 
 
 def _admitted(s, sf):
-    return readers.admit(corpus._shaped(s, sf, "documents", SUBMITTED))
+    return readers.admit(corpus.shaped(s, sf, "documents", SUBMITTED))
 
 
 _alias = "CASE lower(dialect) " + " ".join(f"WHEN '{a}' THEN '{d}'" for a, d in fv.DIALECT_ALIASES.items()) + " END"
@@ -280,7 +281,7 @@ SELECT schema_name, table_name, column_name, CASE table_type WHEN 'r' THEN 'tabl
   CASE data_type WHEN 'varchar' THEN 'varchar(' || CASE WHEN max_length = -1 THEN 'MAX' ELSE cast(max_length AS varchar) END || ')'
     WHEN 'decimal' THEN 'decimal(' || "precision" || ',' || scale || ')' ELSE data_type END AS display_type FROM md_columns""")
 register("p15_routine_kinds",
-         lambda s, sf: corpus._shaped(s, sf, "supplier", {"id": "s_suppkey", "code": "CASE s_nationkey % 7 WHEN 0 THEN 'P' WHEN 1 THEN 'FN' WHEN 2 THEN 'IF' WHEN 3 THEN 'TF' WHEN 4 THEN 'TR' WHEN 5 THEN 'V' ELSE 'X' END"}).select(
+         lambda s, sf: corpus.shaped(s, sf, "supplier", {"id": "s_suppkey", "code": "CASE s_nationkey % 7 WHEN 0 THEN 'P' WHEN 1 THEN 'FN' WHEN 2 THEN 'IF' WHEN 3 THEN 'TF' WHEN 4 THEN 'TR' WHEN 5 THEN 'V' ELSE 'X' END"}).select(
              "id", scalars.label_of(F.col("code"), fv.ROUTINE_KINDS).alias("kind")),
          None, """
 SELECT s_suppkey AS id, CASE s_nationkey % 7 WHEN 0 THEN 'procedure' WHEN 4 THEN 'trigger' WHEN 5 THEN 'view' WHEN 6 THEN NULL ELSE 'function' END AS kind FROM supplier""")

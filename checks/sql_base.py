@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 
 from procatlas.functions import fixed_values as fv
-from procatlas.sources import corpus
+from checks import corpus
 
 PARTS: dict[str, tuple[list[str], str]] = {}
 
@@ -70,22 +70,22 @@ def part_matches(name: str, source: str, pattern: str, groups: int = 0, keep: st
     part(name, [source], matches_sql(source, pattern, groups, keep, where))
 
 
-def _corpus(suffix: str, where: str) -> None:
+def _corpus(suffix: str, snapshot: int) -> None:
     part(f"bodies{suffix}", [], f"""
 SELECT k, string_agg(statement, chr(10) ORDER BY {', '.join(corpus.LINE_ORDER)}) AS text FROM (
-  SELECT *, {corpus.STATEMENT} AS statement FROM (SELECT {corpus.STATEMENT_COLUMNS} FROM lineitem) b
-  WHERE {where}) s
+  SELECT *, {corpus.STATEMENT} AS statement FROM (SELECT {corpus.columns_sql(corpus.STATEMENT_COLUMNS)} FROM lineitem) b
+  WHERE {corpus.SNAPSHOT_LINES[snapshot]}) s
 GROUP BY k""")
     part(f"objs{suffix}", [f"bodies{suffix}"], f"""
 SELECT k AS object_id, cast(d AS integer) AS connection_id, dialect, s AS schema_name, n AS object_name,
   s || '.' || n AS fqn, kind AS object_type, {corpus.HEADER} || chr(10) || text || chr(10) || 'END;' AS definition, seen_at
 FROM (SELECT k, text, o_orderdate AS seen_at, {corpus.OBJECT_KIND} AS kind, {corpus.OBJECT_NAME} AS n,
-    {corpus.OBJECT_SCHEMA} AS s, {corpus.DIALECT} AS dialect, k % 3 AS d
-  FROM bodies{suffix} JOIN orders ON o_orderkey = k) x""")
+    {corpus.OBJECT_SCHEMA[snapshot]} AS s, {corpus.DIALECT} AS dialect, k % 3 AS d
+  FROM bodies{suffix} JOIN orders ON o_orderkey = k WHERE {corpus.SNAPSHOT_ORDERS[snapshot]}) x""")
 
 
-_corpus("", "true")
-_corpus("2", "l_returnflag <> 'R' AND k % 11 <> 0")
+_corpus("", 1)
+_corpus("2", 2)
 
 part("code", ["objs"], "SELECT * FROM objs WHERE object_type <> 'view'")
 

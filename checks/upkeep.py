@@ -9,9 +9,10 @@ from checks.sql_base import part, q, strip_sql, words
 from procatlas.functions import fixed_values as fv
 from procatlas.functions import scalars
 from procatlas.operators import extract, maintain, metadata, resolve
-from procatlas.plans.workspace import workspace
+from checks.workspace import workspace
 from procatlas.session import cut, fresh_path
-from procatlas.sources import corpus, readers, sinks
+from checks import corpus
+from procatlas.sources import readers, sinks
 from procatlas.streaming import jobs as streams
 import checks.relations  # noqa: F401
 import checks.rollups  # noqa: F401
@@ -36,7 +37,7 @@ SOURCE_LINES = {
     "text": "'  step ' || cast(l_partkey AS string) || ';' || chr(10)",
 }
 part("source_lines", [], f"SELECT {', '.join(f'{e} AS {c}' for c, e in SOURCE_LINES.items())} FROM lineitem")
-register("s2_source_reassembly", lambda s, sf: readers.reassemble_source(corpus._shaped(s, sf, "lineitem", SOURCE_LINES)), ["source_lines"], """
+register("s2_source_reassembly", lambda s, sf: readers.reassemble_source(corpus.shaped(s, sf, "lineitem", SOURCE_LINES)), ["source_lines"], """
 SELECT owner AS schema_name, name AS object_name, replace(lower(type), ' body', '') AS object_type, string_agg(text, '' ORDER BY line) AS definition
 FROM source_lines GROUP BY ALL""")
 register("s3_column_metadata", lambda s, sf: corpus.metadata(s, sf, "md_columns"), ["md_columns"], "SELECT * FROM md_columns")
@@ -159,19 +160,16 @@ FULL JOIN (SELECT connection_id, schema_name, count(*) AS n FROM objs2 WHERE sch
 
 
 def _table_merge(w):
-    known = w.tables.select("connection_id", "fqn", "table_name", "estimated_rows")
-    tid = F.substring("table_name", 2, 20).cast("bigint")
-    old = known.where(tid % 7 != 0).drop("table_name")
-    new = known.where(tid % 5 != 0).withColumn("estimated_rows", F.col("estimated_rows") * 2).drop("table_name")
+    known = w.tables.select("connection_id", "fqn", "estimated_rows")
+    old = known.where("estimated_rows < 14000")
+    new = known.where("estimated_rows > 7000").withColumn("estimated_rows", F.col("estimated_rows") * 2)
     return maintain.merge_tables(old, new, ["estimated_rows"])
 
 
-register("m4_table_upsert", _ws(_table_merge), ["tabs", "md_partition"], """
-SELECT connection_id, fqn, CASE WHEN tid % 5 <> 0 THEN n * 2 ELSE n END AS estimated_rows,
-  CASE WHEN tid % 5 <> 0 AND tid % 7 <> 0 THEN 'updated' WHEN tid % 5 <> 0 THEN 'inserted' ELSE 'kept' END AS change FROM (
-  SELECT connection_id, fqn, cast(substring(table_name, 2) AS bigint) AS tid, n FROM tabs
-  JOIN (SELECT schema_name, table_name, cast(sum(row_count) AS bigint) AS n FROM md_partition GROUP BY ALL) r USING (schema_name, table_name)) x
-WHERE tid % 5 <> 0 OR tid % 7 <> 0""")
+register("m4_table_upsert", _ws(_table_merge), ["md_partition"], """
+SELECT connection_id, fqn, CASE WHEN n > 7000 THEN n * 2 ELSE n END AS estimated_rows,
+  CASE WHEN n > 7000 AND n < 14000 THEN 'updated' WHEN n > 7000 THEN 'inserted' ELSE 'kept' END AS change FROM (
+  SELECT connection_id, schema_name || '.' || table_name AS fqn, cast(sum(row_count) AS bigint) AS n FROM md_partition GROUP BY ALL) x""")
 register("m5_drop_runs",
          lambda s, sf: maintain.drop_runs(
              workspace(s, sf).accesses.select(F.col("object_id").alias("job_id"), "full_table_name", "operation"),
@@ -180,11 +178,11 @@ register("m5_drop_runs",
          ["acc", "jobs"], """
 SELECT operation, count(*) AS rows, count(DISTINCT object_id) AS runs FROM acc WHERE object_id NOT IN (SELECT job_id FROM jobs WHERE status = 'failed') GROUP BY operation""")
 register("m6_snapshot_diff",
-         _ws(lambda w: maintain.diff(_hashed(w.objects.where("object_id % 17 <> 0")), _hashed(w.second_objects), ["connection_id", "fqn"])),
+         _ws(lambda w: maintain.diff(_hashed(w.objects), _hashed(w.second_objects), ["connection_id", "fqn"])),
          ["objs", "objs2"], """
 SELECT coalesce(a.connection_id, b.connection_id) AS connection_id, coalesce(a.fqn, b.fqn) AS fqn,
   CASE WHEN a.fqn IS NULL THEN 'added' WHEN b.fqn IS NULL THEN 'removed' WHEN a.definition = b.definition THEN 'unchanged' ELSE 'changed' END AS state
-FROM (SELECT * FROM objs WHERE object_id % 17 <> 0) a FULL JOIN objs2 b ON a.connection_id = b.connection_id AND a.fqn = b.fqn""")
+FROM objs a FULL JOIN objs2 b ON a.connection_id = b.connection_id AND a.fqn = b.fqn""")
 
 
 def _runs(s, sf):

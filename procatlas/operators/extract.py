@@ -41,7 +41,10 @@ def _all(arrays: list[Column]) -> Column:
 
 # -- calls ---------------------------------------------------------------------------------------
 
-def call_matches(objects: DataFrame, kinds: list[str] | None = None) -> DataFrame:
+ID = ("object_id",)
+
+
+def call_matches(objects: DataFrame, kinds: list[str] | None = None, keep=ID) -> DataFrame:
     """Every call match that survives the name filters: object_id, target_name, rank, pos, line, confidence.
 
     All patterns are searched in one pass over the text.
@@ -57,8 +60,8 @@ def call_matches(objects: DataFrame, kinds: list[str] | None = None) -> DataFram
         hits = all_matches(F.col("definition"), pattern, groups)
         found.append(F.when(searched, F.transform(hits, _call_row(rank, confidence))))
         excluded = excluded | _excluded(kind, rank)
-    exploded = _bodies(objects).select("object_id", F.explode(_all(found)).alias("m")).select("object_id", "m.*")
-    return exploded.where(~excluded).select("object_id", "rank", "pos", "line", "target_name", "confidence")
+    exploded = _bodies(objects).select(*keep, F.explode(_all(found)).alias("m")).select(*keep, "m.*")
+    return exploded.where(~excluded).select(*keep, "rank", "pos", "line", "target_name", "confidence")
 
 
 def _call_row(rank: int, confidence: float):
@@ -83,29 +86,29 @@ def _excluded(kind: str, rank: int) -> Column:
     return (F.col("rank") == rank) & unwanted
 
 
-def named_calls(objects: DataFrame, kinds: list[str] | None = None) -> DataFrame:
+def named_calls(objects: DataFrame, kinds: list[str] | None = None, keep=ID) -> DataFrame:
     """First match per (object, target) in pattern order."""
-    return _first(call_matches(objects, kinds), ["object_id", "target_name"], ["rank", "pos"],
+    return _first(call_matches(objects, kinds, keep), [*keep, "target_name"], ["rank", "pos"],
                   ["line", "confidence"])
 
 
-def dynamic_calls(objects: DataFrame) -> DataFrame:
+def dynamic_calls(objects: DataFrame, keep=ID) -> DataFrame:
     """EXEC of a variable: one row per match, with the first 100 characters from the match on."""
     found = all_matches(F.col("definition"), fv.DYNAMIC_EXEC_PATTERN, after=100)
     return (
         _bodies(objects).where(has(F.col("definition"), fv.DYNAMIC_EXEC_PATTERN))
-        .select("object_id", F.explode(found).alias("m"))
-        .select("object_id", F.lit(fv.DYNAMIC_TARGET).alias("target_name"), F.col("m.line").alias("line"),
+        .select(*keep, F.explode(found).alias("m"))
+        .select(*keep, F.lit(fv.DYNAMIC_TARGET).alias("target_name"), F.col("m.line").alias("line"),
                 F.lit(0.5).cast(CONFIDENCE).alias("confidence"), F.col("m.after").alias("snippet")))
 
 
-def linked_server_references(objects: DataFrame) -> DataFrame:
+def linked_server_references(objects: DataFrame, keep=ID) -> DataFrame:
     """Four-part names in T-SQL texts, first per name."""
     found = (
         objects.where((F.col("dialect") == "tsql") & has(F.col("definition"), fv.LINKED_SERVER_PATTERN))
-        .select("object_id", F.explode(all_matches(F.col("definition"), fv.LINKED_SERVER_PATTERN, 4)).alias("m"))
-        .select("object_id", F.array_join("m.g", ".").alias("target_name"), "m.pos", "m.line"))
-    return _first(found, ["object_id", "target_name"], ["pos"], ["line"]).withColumn(
+        .select(*keep, F.explode(all_matches(F.col("definition"), fv.LINKED_SERVER_PATTERN, 4)).alias("m"))
+        .select(*keep, F.array_join("m.g", ".").alias("target_name"), "m.pos", "m.line"))
+    return _first(found, [*keep, "target_name"], ["pos"], ["line"]).withColumn(
         "confidence", F.lit(0.7).cast(CONFIDENCE))
 
 
@@ -122,21 +125,23 @@ def dynamic_sql_census(objects: DataFrame) -> DataFrame:
     return objects.select("object_id", F.explode(_all(arrays)).alias("m")).select("object_id", "m.*")
 
 
-def dependencies(objects: DataFrame) -> DataFrame:
-    """All dependency facts of a text: named calls, dynamic calls and linked-server references."""
-    def shaped(df, kind, dynamic, snippet):
-        return df.select(
-            "object_id", "target_name", F.lit(kind).alias("dep_type"), "line",
-            F.lit(dynamic).alias("is_dynamic"), "confidence", snippet.alias("snippet"))
+def dependencies(objects: DataFrame, keep=ID) -> DataFrame:
+    """All dependency facts of a text: named calls, dynamic calls and linked-server references.
 
-    none = F.lit(None).cast("string")
-    calls = named_calls(objects)
-    linked = linked_server_references(objects).join(
-        calls.select("object_id", "target_name"), ["object_id", "target_name"], "left_anti")
-    return (
-        shaped(calls, "calls", False, none)
-        .unionByName(shaped(dynamic_calls(objects), "calls", True, F.col("snippet")))
-        .unionByName(shaped(linked, "references", False, none)))
+    ``keep`` names object columns to carry along, so that facts need no join back to objects.
+    A linked-server name already found as a call is dropped by giving it the last rank in the same
+    first-wins aggregate.
+    """
+    named = call_matches(objects, keep=keep).withColumn("dep_type", F.lit("calls"))
+    linked = linked_server_references(objects, keep).select(
+        *keep, F.lit(9).alias("rank"), F.lit(1).alias("pos"), "line", "target_name", "confidence",
+        F.lit("references").alias("dep_type"))
+    first = _first(named.unionByName(linked), [*keep, "target_name"], ["rank", "pos"], ["dep_type", "line", "confidence"])
+    dynamic = dynamic_calls(objects, keep).select(
+        *keep, "target_name", F.lit("calls").alias("dep_type"), "line", "confidence",
+        F.lit(True).alias("is_dynamic"), "snippet")
+    plain = first.withColumn("is_dynamic", F.lit(False)).withColumn("snippet", F.lit(None).cast("string"))
+    return plain.unionByName(dynamic)
 
 
 # -- statements and table accesses ----------------------------------------------------------------
@@ -188,15 +193,15 @@ def _operation_names(text: Column) -> Column:
     return F.concat(*writes, reads)
 
 
-def table_accesses(objects: DataFrame) -> DataFrame:
+def table_accesses(objects: DataFrame, keep=ID) -> DataFrame:
     """Distinct (object, table, operation) with the first line: writes by statement target, other names read."""
     found = (
-        statements(objects)
-        .select("object_id", "line", F.explode(_operation_names(F.col("text"))).alias("a"))
-        .select("object_id", "line", "a.*")
+        objects.select(*keep, F.explode(statement_array(F.col("definition"))).alias("s"))
+        .select(*keep, F.col("s.line").alias("line"), F.explode(_operation_names(F.col("s.text"))).alias("a"))
+        .select(*keep, "line", "a.*")
         .withColumn("table_name", F.substring_index("full_table_name", ".", -1)))
     kept = found.where(~F.upper("table_name").isin(fv.NON_TABLE_WORDS) & ~F.col("table_name").startswith("@"))
-    return kept.groupBy("object_id", "full_table_name", "table_name", "operation").agg(
+    return kept.groupBy(*keep, "full_table_name", "table_name", "operation").agg(
         F.min("line").alias("line")).withColumn("is_temp", is_temp_table(F.col("table_name")))
 
 
@@ -303,6 +308,13 @@ def rules(spark) -> DataFrame:
         "message string, recommendation string")
 
 
+def rules_by_dialect(rule_table: DataFrame) -> DataFrame:
+    """One row per rule and dialect it applies to; ``applies_to`` is the dialect, ``*`` rules are repeated."""
+    every = F.array(*[F.lit(d) for d in fv.DEFAULT_SCHEMAS])
+    applies = F.when(F.col("dialect") == "*", every).otherwise(F.array("dialect"))
+    return rule_table.select("*", F.explode(applies).alias("applies_to"))
+
+
 def rules_for(rule_table: DataFrame, dialect: str) -> DataFrame:
     known = fv.DIALECT_ALIASES.get(dialect.lower(), dialect.lower())
     return rule_table.where(F.col("dialect").isin("*", known))

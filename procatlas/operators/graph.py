@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from procatlas.functions.scalars import access_edge_type
+from procatlas.operators.rollup import side_by_side
 from procatlas.session import cut
 
 EDGE_COLUMNS = ["edge_id", "source", "target", "dep_type", "is_dynamic", "confidence", "source_label", "target_label"]
@@ -243,4 +244,4 @@ def summary(nodes: DataFrame, edges: DataFrame, max_cycle: int = 6) -> DataFrame
     one = lambda df, label: df.agg(F.count(F.lit(1)).alias(label))
     parts = [one(nodes, "nodes"), one(edges, "edges"), one(root_nodes(nodes, edges), "roots"),
              one(leaf_nodes(nodes, edges), "leaves"), one(cycles(edges, max_cycle), "cycles"), max_depth(nodes, edges)]
-    return reduce(DataFrame.crossJoin, parts)
+    return side_by_side(*parts)

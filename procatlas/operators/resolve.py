@@ -109,8 +109,10 @@ def relationships(tables: DataFrame) -> DataFrame:
         "on_delete", "on_update")
 
 
-def relationships_of_table(links: DataFrame, fqn: Column) -> DataFrame:
-    return links.where((F.col("source_fqn") == fqn) | (F.col("target_fqn") == fqn))
+def relationships_of_tables(links: DataFrame, tables: DataFrame) -> DataFrame:
+    """Links that start or end at one of the tables (connection_id, fqn), with that table."""
+    ends = F.explode(F.array_distinct(F.array("source_fqn", "target_fqn")))
+    return links.withColumn("fqn", ends).join(tables, ["connection_id", "fqn"], "left_semi")
 
 
 def reconcile(native: DataFrame, extracted: DataFrame, keys: list[str]) -> DataFrame:

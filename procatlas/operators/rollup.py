@@ -17,6 +17,12 @@ def _count(label: str):
     return F.count(F.lit(1)).alias(label)
 
 
+def side_by_side(*summaries: DataFrame) -> DataFrame:
+    """Several one-row summaries as one row: stacked, then folded by an aggregate."""
+    stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), summaries)
+    return stacked.agg(*[F.max(c).alias(c) for c in stacked.columns])
+
+
 def crud_matrix(accesses: DataFrame, objects: DataFrame) -> DataFrame:
     """Sorted distinct operations per object and table (at most one of each operation)."""
     cells = accesses.groupBy("object_id", "full_table_name").agg(
@@ -84,8 +90,8 @@ def risk_distribution(objects: DataFrame, complexity: DataFrame) -> DataFrame:
 
 
 def dashboard(connections: DataFrame, objects: DataFrame, findings: DataFrame) -> DataFrame:
-    one = lambda df, label: df.agg(_count(label))
-    return one(connections, "connections").crossJoin(one(objects, "objects")).crossJoin(one(findings, "findings"))
+    return side_by_side(connections.agg(_count("connections")), objects.agg(_count("objects")),
+                        findings.agg(_count("findings")))
 
 
 def kind_counts(objects: DataFrame, keys: list[str], kinds: list[str]) -> DataFrame:
@@ -161,7 +167,7 @@ def analysis_summary(objects: DataFrame, dependencies: DataFrame, findings: Data
     found = findings.agg(_count("findings"), *[
         F.count_if(F.col("severity") == s).alias(s) for s in fv.SEVERITIES])
     span = jobs.agg(F.date_diff(F.max("completed_at"), F.min("started_at")).alias("days"))
-    return kinds.crossJoin(dependencies.agg(_count("dependencies"))).crossJoin(found).crossJoin(span)
+    return side_by_side(kinds, dependencies.agg(_count("dependencies")), found, span)
 
 
 def node_degree(edges: DataFrame) -> DataFrame:
