@@ -89,7 +89,7 @@ def admit(texts: DataFrame, text: str = "sql", dialect: str = "dialect") -> Data
 
 def read_sql_files(spark: SparkSession, path: str, dialect: str) -> DataFrame:
     """One row per file under ``path``, admission-checked."""
-    files = spark.read.option("wholetext", True).text(path).select(
+    files = spark.read.text(path, wholetext=True).select(
         F.col("_metadata.file_path").alias("path"), clean(F.col("value")).alias("sql"),
         F.lit(dialect).alias("dialect"))
     return admit(files)
