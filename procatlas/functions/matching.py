@@ -103,6 +103,55 @@ def all_matches(
     return let(marked, lambda m: let(without_groups(m), lambda b: let(parts(m, b), entries)))
 
 
+def first_of_each(rows: Column, key: list[str]) -> Column:
+    """First entry per key of an array of structs.
+
+    The structs must start with the key fields, then the fields that order entries of one key.  All
+    entries of a text sit in one row, so duplicates go here without any shuffle.
+    """
+    def differs(a: Column, b: Column) -> Column:
+        out = F.lit(False)
+        for k in key:
+            out = out | ~a[k].eqNullSafe(b[k])
+        return out
+
+    return let(F.array_sort(rows), lambda s: F.filter(
+        s, lambda r, i: (i == 0) | differs(r, F.get(s, i - 1))))
+
+
+def scan(rows: Column, start: Column, step, emit, row_type: str, block: int = 128) -> Column:
+    """What ``emit(state, row)`` (an array) gives at each row of a left-to-right pass, as one array.
+
+    ``step(state, row)`` gives the next state, which must stay small.  A first pass finds the state
+    at the start of every block of rows; the blocks then collect their own short outputs, because
+    an output kept in the state would be copied at every row.
+    """
+    def empty(t: str) -> Column:
+        return F.expr(f"cast(array() as array<{t}>)")
+
+    count = F.ceil(F.size(rows) / block).cast("int")
+    numbers = F.when(count > 0, F.sequence(F.lit(1), count)).otherwise(F.expr("cast(array() as array<int>)"))
+    blocks = F.transform(numbers, lambda b: F.slice(rows, (b - 1) * block + 1, F.lit(block)))
+
+    def advance(acc: Column, part: Column) -> Column:
+        return F.struct(F.aggregate(part, acc["state"], step).alias("state"),
+                        F.concat(acc["seen"], F.array(acc["state"])).alias("seen"))
+
+    def collect(part: Column, first: Column) -> Column:
+        def one(acc: Column, row: Column) -> Column:
+            return F.struct(step(acc["state"], row).alias("state"),
+                            F.concat(acc["out"], emit(acc["state"], row)).alias("out"))
+
+        return F.aggregate(part, F.struct(first.alias("state"), empty(row_type).alias("out")), one, lambda acc: acc["out"])
+
+    def both(parts: Column) -> Column:
+        none_seen = F.slice(F.array(start), 1, 0)
+        firsts = F.aggregate(parts, F.struct(start.alias("state"), none_seen.alias("seen")), advance, lambda acc: acc["seen"])
+        return F.flatten(F.zip_with(parts, firsts, collect))
+
+    return let(blocks, both)
+
+
 def explode_matches(df: DataFrame, pattern: str, keep: list[str], groups: int = 0,
                     text: str = "definition", after: int = 0, before: int = 0) -> DataFrame:
     """Rows of ``keep`` plus ``pos``, ``line``, ``g`` (and context); texts without a match are skipped early."""

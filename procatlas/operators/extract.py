@@ -1,8 +1,9 @@
 """Facts read out of source texts.
 
-Every function takes objects (``object_id``, ``dialect``, ``object_type``, ``definition``) and is a
-narrow pass over the texts: matches are found inside the row, and only the small fact rows are
-shuffled, after partial aggregation, where duplicates must go.
+Every function takes objects (``object_id``, ``dialect``, ``object_type``, ``definition``), one row
+per object, and is a narrow pass over the texts: matches are found, ordered and freed of duplicates
+inside the row, so extraction needs no shuffle.  ``keep`` names object columns to carry along, which
+saves joining facts back to objects.
 """
 
 from __future__ import annotations
@@ -12,7 +13,8 @@ from pyspark.sql import functions as F
 
 from procatlas.functions import fixed_values as fv
 from procatlas.functions.matching import (
-    START, SEP, STOP, all_matches, has, java_pattern, let, line_numbers, newlines, occurrences, strip,
+    START, SEP, STOP, all_matches, first_of_each, has, java_pattern, let, line_numbers, newlines, occurrences, scan,
+    strip,
 )
 
 CONFIDENCE = "decimal(3,2)"
@@ -23,10 +25,8 @@ def _bodies(objects: DataFrame) -> DataFrame:
     return objects.where(F.col("object_type") != "view")
 
 
-def _first(df: DataFrame, keys: list[str], order: list[str], values: list[str]) -> DataFrame:
-    """First row per key by ``order``: an aggregate with partial results, not a window."""
-    best = F.min_by(F.struct(*values), F.struct(*order)).alias("_b")
-    return df.groupBy(*keys).agg(best).select(*keys, "_b.*")
+def _rows(objects: DataFrame, facts: Column, keep) -> DataFrame:
+    return objects.select(*keep, F.explode(facts).alias("_f")).select(*keep, "_f.*")
 
 
 def _joined(groups: Column) -> Column:
@@ -44,72 +44,85 @@ def _all(arrays: list[Column]) -> Column:
 ID = ("object_id",)
 
 
-def call_matches(objects: DataFrame, kinds: list[str] | None = None, keep=ID) -> DataFrame:
-    """Every call match that survives the name filters: object_id, target_name, rank, pos, line, confidence.
-
-    All patterns are searched in one pass over the text.
-    """
-    found = []
-    excluded = F.lit(False)
+def _call_array(kinds: list[str] | None = None) -> Column:
+    """Call matches of a text that survive the name filters, all patterns in one pass."""
+    text, found = F.col("definition"), []
     for rank, kind, pattern, groups, confidence, dialects in fv.CALL_PATTERNS:
         if kinds and kind not in kinds:
             continue
-        searched = has(F.col("definition"), pattern)
+        searched = has(text, pattern)
         if dialects:
             searched = F.col("dialect").isin(dialects) & searched
-        hits = all_matches(F.col("definition"), pattern, groups)
-        found.append(F.when(searched, F.transform(hits, _call_row(rank, confidence))))
-        excluded = excluded | _excluded(kind, rank)
-    exploded = _bodies(objects).select(*keep, F.explode(_all(found)).alias("m")).select(*keep, "m.*")
-    return exploded.where(~excluded).select(*keep, "rank", "pos", "line", "target_name", "confidence")
+        hits = F.transform(all_matches(text, pattern, groups), _call_row(rank, confidence))
+        found.append(F.when(searched, F.filter(hits, _is_call(kind))))
+    return _all(found)
 
 
 def _call_row(rank: int, confidence: float):
     return lambda m: F.struct(
-        F.lit(rank).alias("rank"), m["pos"].alias("pos"), m["line"].alias("line"),
-        _joined(m["g"]).alias("target_name"), F.element_at(m["g"], -1).alias("last"),
-        F.lit(confidence).cast(CONFIDENCE).alias("confidence"))
-
-
-def _excluded(kind: str, rank: int) -> Column:
-    """Names that are no calls.  The word lists are fixed and short, so they are literals in the plan."""
-    name, last = F.upper("target_name"), F.upper("last")
-    if kind == "exec":
-        unwanted = name.isin(fv.SYSTEM_FUNCTIONS + fv.EXECUTE_SYNTAX_WORDS)
-    elif kind == "bare":
-        unwanted = (
-            last.isin(fv.SYSTEM_FUNCTIONS + fv.PLSQL_KEYWORDS)
-            | F.col("target_name").rlike("^(?:v_|p_|l_)") | last.startswith("SYS")
-            | (F.length("target_name") <= 2))
-    else:
-        unwanted = last.isin(fv.SYSTEM_FUNCTIONS)
-    return (F.col("rank") == rank) & unwanted
+        _joined(m["g"]).alias("target_name"), F.lit(rank).alias("rank"), m["pos"].alias("pos"), m["line"].alias("line"),
+        F.lit(confidence).cast(CONFIDENCE).alias("confidence"), F.lit("calls").alias("dep_type"))
+
+
+def _is_call(kind: str):
+    """Names that are calls.  The word lists are fixed and short, so they are literals in the plan."""
+    def test(m: Column) -> Column:
+        name = F.upper(m["target_name"])
+        if kind == "exec":
+            return ~name.isin(fv.SYSTEM_FUNCTIONS + fv.EXECUTE_SYNTAX_WORDS)
+        last = F.substring_index(name, ".", -1)
+        if kind == "bare":
+            return (~last.isin(fv.SYSTEM_FUNCTIONS + fv.PLSQL_KEYWORDS) & ~m["target_name"].rlike("^(?:v_|p_|l_)")
+                    & ~last.startswith("SYS") & (F.length(name) > 2))
+        return ~last.isin(fv.SYSTEM_FUNCTIONS)
+    return test
+
+
+def call_matches(objects: DataFrame, kinds: list[str] | None = None, keep=ID) -> DataFrame:
+    """Every call match: target_name, rank, pos, line, confidence."""
+    return _rows(_bodies(objects), _call_array(kinds), keep).drop("dep_type")
 
 
 def named_calls(objects: DataFrame, kinds: list[str] | None = None, keep=ID) -> DataFrame:
     """First match per (object, target) in pattern order."""
-    return _first(call_matches(objects, kinds, keep), [*keep, "target_name"], ["rank", "pos"],
-                  ["line", "confidence"])
+    return _rows(_bodies(objects), first_of_each(_call_array(kinds), ["target_name"]), keep).drop("rank", "pos", "dep_type")
 
 
 def dynamic_calls(objects: DataFrame, keep=ID) -> DataFrame:
     """EXEC of a variable: one row per match, with the first 100 characters from the match on."""
     found = all_matches(F.col("definition"), fv.DYNAMIC_EXEC_PATTERN, after=100)
-    return (
-        _bodies(objects).where(has(F.col("definition"), fv.DYNAMIC_EXEC_PATTERN))
-        .select(*keep, F.explode(found).alias("m"))
-        .select(*keep, F.lit(fv.DYNAMIC_TARGET).alias("target_name"), F.col("m.line").alias("line"),
-                F.lit(0.5).cast(CONFIDENCE).alias("confidence"), F.col("m.after").alias("snippet")))
+    return _rows(_bodies(objects).where(has(F.col("definition"), fv.DYNAMIC_EXEC_PATTERN)), found, keep).select(
+        *keep, F.lit(fv.DYNAMIC_TARGET).alias("target_name"), "line",
+        F.lit(0.5).cast(CONFIDENCE).alias("confidence"), F.col("after").alias("snippet"))
+
+
+def _linked_array() -> Column:
+    """Four-part names of a T-SQL text."""
+    text = F.col("definition")
+    hits = F.transform(all_matches(text, fv.LINKED_SERVER_PATTERN, 4), lambda m: F.struct(
+        F.array_join(m["g"], ".").alias("target_name"), F.lit(9).alias("rank"), m["pos"].alias("pos"),
+        m["line"].alias("line"), F.lit(0.7).cast(CONFIDENCE).alias("confidence"), F.lit("references").alias("dep_type")))
+    return F.when((F.col("dialect") == "tsql") & has(text, fv.LINKED_SERVER_PATTERN), hits)
 
 
 def linked_server_references(objects: DataFrame, keep=ID) -> DataFrame:
     """Four-part names in T-SQL texts, first per name."""
-    found = (
-        objects.where((F.col("dialect") == "tsql") & has(F.col("definition"), fv.LINKED_SERVER_PATTERN))
-        .select(*keep, F.explode(all_matches(F.col("definition"), fv.LINKED_SERVER_PATTERN, 4)).alias("m"))
-        .select(*keep, F.array_join("m.g", ".").alias("target_name"), "m.pos", "m.line"))
-    return _first(found, [*keep, "target_name"], ["pos"], ["line"]).withColumn(
-        "confidence", F.lit(0.7).cast(CONFIDENCE))
+    return _rows(objects, first_of_each(_linked_array(), ["target_name"]), keep).drop("rank", "pos", "dep_type")
+
+
+def dependencies(objects: DataFrame, keep=ID) -> DataFrame:
+    """All dependency facts of a text: named calls, linked-server references and dynamic calls.
+
+    A linked-server name ranks last, so one already found as a call stays a call.
+    """
+    calls = F.when(F.col("object_type") != "view", _call_array())
+    named = _rows(objects, first_of_each(_all([calls, _linked_array()]), ["target_name"]), keep).select(
+        *keep, "target_name", "dep_type", "line", "confidence", F.lit(False).alias("is_dynamic"),
+        F.lit(None).cast("string").alias("snippet"))
+    dynamic = dynamic_calls(objects, keep).select(
+        *keep, "target_name", F.lit("calls").alias("dep_type"), "line", "confidence",
+        F.lit(True).alias("is_dynamic"), "snippet")
+    return named.unionByName(dynamic)
 
 
 def dynamic_sql_census(objects: DataFrame) -> DataFrame:
@@ -125,25 +138,6 @@ def dynamic_sql_census(objects: DataFrame) -> DataFrame:
     return objects.select("object_id", F.explode(_all(arrays)).alias("m")).select("object_id", "m.*")
 
 
-def dependencies(objects: DataFrame, keep=ID) -> DataFrame:
-    """All dependency facts of a text: named calls, dynamic calls and linked-server references.
-
-    ``keep`` names object columns to carry along, so that facts need no join back to objects.
-    A linked-server name already found as a call is dropped by giving it the last rank in the same
-    first-wins aggregate.
-    """
-    named = call_matches(objects, keep=keep).withColumn("dep_type", F.lit("calls"))
-    linked = linked_server_references(objects, keep).select(
-        *keep, F.lit(9).alias("rank"), F.lit(1).alias("pos"), "line", "target_name", "confidence",
-        F.lit("references").alias("dep_type"))
-    first = _first(named.unionByName(linked), [*keep, "target_name"], ["rank", "pos"], ["dep_type", "line", "confidence"])
-    dynamic = dynamic_calls(objects, keep).select(
-        *keep, "target_name", F.lit("calls").alias("dep_type"), "line", "confidence",
-        F.lit(True).alias("is_dynamic"), "snippet")
-    plain = first.withColumn("is_dynamic", F.lit(False)).withColumn("snippet", F.lit(None).cast("string"))
-    return plain.unionByName(dynamic)
-
-
 # -- statements and table accesses ----------------------------------------------------------------
 
 _IN_LINE = r"[^\S\n]*"  # white space within one line
@@ -183,26 +177,28 @@ def _clean_name(name: Column) -> Column:
     return F.translate(name, "[]", "")
 
 
-def _operation_names(text: Column) -> Column:
+def _statement_accesses(s: Column) -> Column:
+    """(table, operation, line) for every table name of a statement."""
     def tagged(op: str, names: Column) -> Column:
-        return F.transform(names, lambda n: F.struct(F.lit(op).alias("operation"), _clean_name(n).alias("full_table_name")))
+        return F.transform(names, lambda n: F.struct(
+            _clean_name(n).alias("full_table_name"), F.lit(op).alias("operation"), s["line"].alias("line")))
 
+    text = s["text"]
     writes = [tagged(op, F.regexp_extract_all(text, F.lit(java_pattern(p)), 1)) for op, p in fv.WRITE_PATTERNS]
     reading = F.regexp_replace(text, java_pattern(fv.DELETE_FROM_PATTERN), "DELETE ")
-    reads = tagged("SELECT", F.regexp_extract_all(reading, F.lit(java_pattern(fv.READ_PATTERN)), 1))
-    return F.concat(*writes, reads)
+    return F.concat(*writes, tagged("SELECT", F.regexp_extract_all(reading, F.lit(java_pattern(fv.READ_PATTERN)), 1)))
 
 
 def table_accesses(objects: DataFrame, keep=ID) -> DataFrame:
     """Distinct (object, table, operation) with the first line: writes by statement target, other names read."""
-    found = (
-        objects.select(*keep, F.explode(statement_array(F.col("definition"))).alias("s"))
-        .select(*keep, F.col("s.line").alias("line"), F.explode(_operation_names(F.col("s.text"))).alias("a"))
-        .select(*keep, "line", "a.*")
-        .withColumn("table_name", F.substring_index("full_table_name", ".", -1)))
-    kept = found.where(~F.upper("table_name").isin(fv.NON_TABLE_WORDS) & ~F.col("table_name").startswith("@"))
-    return kept.groupBy(*keep, "full_table_name", "table_name", "operation").agg(
-        F.min("line").alias("line")).withColumn("is_temp", is_temp_table(F.col("table_name")))
+    def is_table(a: Column) -> Column:
+        name = F.substring_index(a["full_table_name"], ".", -1)
+        return ~F.upper(name).isin(fv.NON_TABLE_WORDS) & ~name.startswith("@")
+
+    found = F.filter(F.flatten(F.transform(statement_array(F.col("definition")), _statement_accesses)), is_table)
+    rows = _rows(objects, first_of_each(found, ["full_table_name", "operation"]), keep)
+    return rows.withColumn("table_name", F.substring_index("full_table_name", ".", -1)).withColumn(
+        "is_temp", is_temp_table(F.col("table_name")))
 
 
 def is_temp_table(name: Column) -> Column:
@@ -400,27 +396,30 @@ def block_paths(objects: DataFrame) -> DataFrame:
     the block words it carries itself.
     """
     target = r"^(?:EXEC|EXECUTE|CALL|PERFORM|INSERT|UPDATE|DELETE|MERGE|TRUNCATE|SELECT)\b"
+    words = ["BEGIN", "IF", "WHILE", "LOOP", "FOR", "CASE"]
 
-    def word(open_blocks: Column, w: Column) -> Column:
-        popped = F.slice(open_blocks, 1, F.greatest(F.size(open_blocks) - 1, F.lit(0)))
-        return F.when(F.upper(w) == "END", popped).otherwise(F.concat(open_blocks, F.array(F.upper(w))))
+    # The state is a string with one digit per open block; it is spelt out only for the rows that leave.
+    def push_or_pop(open_blocks: Column, word: Column) -> Column:
+        code = F.lit("0")
+        for n, w in enumerate(words):
+            code = F.when(F.upper(word) == w, str(n)).otherwise(code)
+        popped = F.left(open_blocks, F.greatest(F.length(open_blocks) - 1, F.lit(0)))
+        return F.when(F.upper(word) == "END", popped).otherwise(F.concat(open_blocks, code))
 
-    def block_edges(line: Column) -> Column:
-        return F.regexp_extract_all(line, F.lit(java_pattern(fv.BLOCK_WORDS)), 1)
+    def step(open_blocks: Column, row: Column) -> Column:
+        return F.aggregate(F.regexp_extract_all(row["text"], F.lit(java_pattern(fv.BLOCK_WORDS)), 1), open_blocks, push_or_pop)
 
-    def step(acc: Column, line: Column) -> Column:
-        path = F.array_join(F.filter(acc["open"], lambda w: w != "BEGIN"), ">")
-        row = F.struct((acc["n"] + 1).alias("line"), path.alias("path"), F.size(acc["open"]).alias("depth"))
-        hit = has(strip(line), target)
-        return F.struct(
-            (acc["n"] + 1).alias("n"),
-            F.aggregate(block_edges(line), acc["open"], word).alias("open"),
-            F.when(hit, F.concat(acc["rows"], F.array(row))).otherwise(acc["rows"]).alias("rows"))
+    def emit(open_blocks: Column, row: Column) -> Column:
+        hit = F.array(F.struct(row["line"].alias("line"), open_blocks.alias("open")))
+        return F.when(has(strip(row["text"]), target), hit).otherwise(F.slice(hit, 1, 0))
 
-    start = F.expr("""named_struct('n', 0, 'open', cast(array() as array<string>),
-        'rows', cast(array() as array<struct<line:int,path:string,depth:int>>))""")
-    folded = F.aggregate(F.split("definition", "\n", -1), start, step, lambda acc: acc["rows"])
-    return _bodies(objects).select("object_id", F.explode(folded).alias("r")).select("object_id", "r.*")
+    numbered = F.transform(F.split("definition", "\n", -1), lambda t, i: F.struct((i + 1).alias("line"), t.alias("text")))
+    found = let(numbered, lambda rows: scan(rows, F.lit(""), step, emit, "struct<line:int,open:string>"))
+    path = F.replace("open", F.lit("0"), F.lit(""))
+    for n, w in enumerate(words[1:], 1):
+        path = F.replace(path, F.lit(str(n)), F.lit(w + ">"))
+    return _rows(_bodies(objects), found, ID).select(
+        "object_id", "line", F.rtrim(path, F.lit(">")).alias("path"), F.length("open").alias("depth"))
 
 
 def line_class(trimmed: Column) -> Column:
@@ -469,8 +468,8 @@ def _variable(m: Column, rank: int, kind: str, name: Column, *, data_type=None,
               expression=None, sub=None) -> Column:
     null = F.lit(None).cast("string")
     return F.struct(
-        F.lit(rank).alias("rank"), m["pos"].alias("pos"), (sub if sub is not None else F.lit(0)).alias("sub"),
         name.alias("variable_name"), F.lit(kind).alias("reference_type"), m["line"].alias("line"),
+        F.lit(rank).alias("rank"), m["pos"].alias("pos"), (sub if sub is not None else F.lit(0)).alias("sub"),
         (null if data_type is None else data_type).alias("data_type"),
         (null if target is None else target).alias("target_variable"),
         (null if procedure is None else procedure).alias("target_procedure"),
@@ -521,9 +520,8 @@ def variable_references(objects: DataFrame) -> DataFrame:
     arrays = []
     for rank, kind, pattern, groups in fv.VARIABLE_PATTERNS:
         arrays.append(F.when(has(text, pattern), _variable_rows(rank, kind, pattern, groups)))
-    found = objects.select("object_id", F.explode(_all(arrays)).alias("v")).select("object_id", "v.*")
-    return _first(found, ["object_id", "variable_name", "reference_type", "line"], ["rank", "pos", "sub"],
-                  ["data_type", "target_variable", "target_procedure", "expression"])
+    return _rows(objects, first_of_each(_all(arrays), ["variable_name", "reference_type", "line"]), ID).drop(
+        "rank", "pos", "sub")
 
 
 def argument_mappings(objects: DataFrame) -> DataFrame:
