@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from procatlas.functions.scalars import access_edge_type
 from procatlas.operators.rollup import side_by_side
-from procatlas.session import cut
+from procatlas.session import Levels, cut
 
 EDGE_COLUMNS = ["edge_id", "source", "target", "dep_type", "is_dynamic", "confidence", "source_label", "target_label"]
 
@@ -99,16 +99,16 @@ def steps(edges: DataFrame, direction: str = "out") -> DataFrame:
 def reach(edges: DataFrame, roots: DataFrame, max_depth: int | None = None, direction: str = "both") -> DataFrame:
     """(id, depth) of every node within ``max_depth`` steps of ``roots`` (id)."""
     walk = cut(steps(edges, direction), "steps")
-    levels = [cut(roots.select("id").distinct().withColumn("depth", F.lit(0)), "level")]
-    depth = 0
-    while (max_depth is None or depth < max_depth) and not levels[-1].isEmpty():
-        depth += 1
-        known = reduce(DataFrame.unionByName, levels).select("id")
-        found = (
-            levels[-1].select(F.col("id").alias("src")).join(walk, "src").select(F.col("dst").alias("id")).distinct()
-            .join(known, "id", "left_anti"))
-        levels.append(cut(found.withColumn("depth", F.lit(depth)), "level"))
-    return reduce(DataFrame.unionByName, levels)
+    levels = Levels(edges.sparkSession, "reach")
+    newest = levels.add(roots.select("id").distinct())
+    while (max_depth is None or levels.count <= max_depth) and not newest.isEmpty():
+        # Used twice within the round and rebuilt from files if an executor is lost.
+        arrived = newest.select(F.col("id").alias("src")).join(walk, "src").select(F.col("dst").alias("id")).distinct().persist()
+        # Known nodes are first cut down to those just reached, so late, small rounds shuffle little.
+        known = levels.all().select("id").join(arrived, "id", "left_semi")
+        newest = levels.add(arrived.join(known, "id", "left_anti"))
+        arrived.unpersist()
+    return levels.all().select("id", F.col("level").alias("depth"))
 
 
 def induced(nodes: DataFrame, edges: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -138,32 +138,31 @@ def leaf_nodes(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def max_depth(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Largest shortest distance from any root; one row.
 
-    All roots are walked together.  Roots are numbered and packed 64 to a block; the state per
-    (node, block) is one bit set of the roots that have reached it, so a row stands for up to 64
-    (root, node) pairs and a round is one join, one ``bit_or`` and one outer join with the state.
+    All roots are walked together.  Roots are numbered and packed 64 to a block; a row (node, block,
+    bits) says which roots of the block reach the node at this level, so it stands for up to 64
+    (root, node) pairs.  A round is one join with the steps and one ``bit_or``; earlier levels are
+    only read where the new rows ask for them.
     """
     spark = edges.sparkSession
     walk = cut(steps(edges), "steps")
-    # The numbers are fixed by writing them; blocks follow the ids, so roots of one block lie close.
-    numbered = cut(
-        root_nodes(nodes, edges).join(walk.select(F.col("src").alias("id")), "id", "left_semi")
-        .withColumn("n", F.monotonically_increasing_id()), "roots")
-    state = cut(numbered.select(
-        "id", F.shiftright("n", 6).alias("block"),
-        F.expr("shiftleft(1L, cast(n % 64 as int))").alias("seen")).withColumn("fresh", F.col("seen")), "state")
-    depth = 0
-    while True:
-        fresh = state.where("fresh != 0").select(F.col("id").alias("src"), "block", "fresh")
-        arrived = fresh.join(walk, "src").groupBy(F.col("dst").alias("id"), "block").agg(
-            F.bit_or("fresh").alias("came"))
-        new = cut(
-            state.select("id", "block", "seen").join(arrived, ["id", "block"], "full").select(
-                "id", "block", F.expr("coalesce(seen, 0L) | coalesce(came, 0L)").alias("seen"),
-                F.expr("coalesce(came, 0L) & ~coalesce(seen, 0L)").alias("fresh")), "state")
-        if new.where("fresh != 0").isEmpty():
-            break
-        state, depth = new, depth + 1
-    return spark.createDataFrame([(depth,)], "max_depth int")
+    # Roots with the same first target share a block; the numbers are fixed by writing them.
+    first = walk.groupBy(F.col("src").alias("id")).agg(F.min("dst").alias("first"))
+    ordered = root_nodes(nodes, edges).join(first, "id").repartitionByRange("first", "id").sortWithinPartitions("first", "id")
+    numbered = cut(ordered.select("id", F.monotonically_increasing_id().alias("n")), "roots")
+    levels = Levels(spark, "depth")
+    newest = levels.add(numbered.select(
+        "id", F.shiftright("n", 6).alias("block"), F.expr("shiftleft(1L, cast(n % 64 as int))").alias("bits")))
+    while not newest.isEmpty():
+        arrived = (
+            newest.select(F.col("id").alias("src"), "block", "bits").join(walk, "src")
+            .groupBy(F.col("dst").alias("id"), "block").agg(F.bit_or("bits").alias("came")).persist())
+        seen = levels.all().drop("level").join(arrived.select("id", "block"), ["id", "block"], "left_semi")
+        both = arrived.withColumn("bits", F.lit(0).cast("long")).unionByName(seen.withColumn("came", F.lit(0).cast("long")))
+        newest = levels.add(both.groupBy("id", "block").agg(
+            F.expr("bit_or(came) & ~bit_or(bits)").alias("bits")).where("bits != 0"))
+        arrived.unpersist()
+    # The last level is empty; with no roots the first one is.
+    return spark.createDataFrame([(max(levels.count - 2, 0),)], "max_depth int")
 
 
 def cyclic_core(edges: DataFrame, rounds: int = 12) -> DataFrame:

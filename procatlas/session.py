@@ -8,6 +8,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 _SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -58,3 +59,24 @@ def cut(df: DataFrame, label: str) -> DataFrame:
     path = fresh_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+class Levels:
+    """A growing table written level by level under one folder; earlier levels are never rewritten."""
+
+    def __init__(self, spark: SparkSession, label: str):
+        self.spark, self.path = spark, fresh_path(spark, label)
+        self.count, self.schema = 0, None
+
+    def add(self, df: DataFrame) -> DataFrame:
+        """Write the next level (numbered from 0) and read it back."""
+        folder = f"{self.path}/level={self.count}"
+        df.write.parquet(folder)
+        self.schema = self.schema or df.schema
+        self.count += 1
+        return self.spark.read.schema(self.schema).parquet(folder)
+
+    def all(self) -> DataFrame:
+        """Every level as one scan, with its number in ``level``."""
+        schema = T.StructType([*self.schema.fields, T.StructField("level", T.IntegerType())])
+        return self.spark.read.schema(schema).parquet(self.path)
