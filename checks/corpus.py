@@ -199,7 +199,7 @@ def objects(spark: SparkSession, sf_dir: str, snapshot: int = 1) -> DataFrame:
     """Code objects with their texts."""
     body = assemble_lines(
         statements(spark, sf_dir, snapshot), ["k"], LINE_ORDER, "statement",
-        chunk=F.col("l_linenumber"), separator="\n")
+        chunk=F.struct("l_linenumber", F.floor(F.col("l_partkey") / 256)), separator="\n")
     orders = table(spark, sf_dir, "orders").where(F.expr(SNAPSHOT_ORDERS[snapshot])).select(
         F.col("o_orderkey").alias("k"), F.col("o_orderdate").alias("seen_at"), "o_orderpriority")
     named = body.join(orders, "k").select(

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from procatlas.operators.resolve import spread_join
+
 
 def merge_objects(catalog: DataFrame, snapshot: DataFrame, seen_at: Column, refreshed: list[str],
                   keys: list[str] | None = None) -> DataFrame:
@@ -17,7 +19,7 @@ def merge_objects(catalog: DataFrame, snapshot: DataFrame, seen_at: Column, refr
     keys = keys or ["connection_id", "fqn"]
     s = snapshot.select(*keys, *[F.col(c).alias(f"_{c}") for c in refreshed], F.lit(True).alias("_seen"))
     ran = snapshot.select("connection_id").distinct().withColumn("_ran", F.lit(True))
-    merged = catalog.join(s, keys, "full").join(ran, "connection_id", "left")
+    merged = spread_join(catalog.join(s, keys, "full"), ran, "connection_id", "left", keys[-1])
     seen = F.col("_seen").isNotNull()
     return merged.select(
         *keys,

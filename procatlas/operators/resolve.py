@@ -6,6 +6,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+SALTS = 64
+
+
+def spread_join(rows: DataFrame, lookup: DataFrame, key: str, how: str, spread_by: str) -> DataFrame:
+    """Join many rows per key with a small lookup of distinct keys (connections, say).
+
+    Every lookup row is repeated once per salt and every row takes a salt from ``spread_by``, so a key
+    that holds a large part of the rows is shared by many tasks whatever join is chosen.
+    """
+    salted = lookup.select("*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
+    return rows.withColumn("_salt", F.pmod(F.hash(spread_by), F.lit(SALTS))).join(salted, [key, "_salt"], how).drop("_salt")
+
+
 def _ranked_keys(name: Column) -> Column:
     """Lookup keys of a target name in priority order."""
     last = F.substring_index(name, ".", -1)
@@ -128,8 +141,8 @@ def reconcile(native: DataFrame, extracted: DataFrame, keys: list[str]) -> DataF
 def stale_objects(catalog: DataFrame, seen: DataFrame, keys: list[str]) -> DataFrame:
     """Live catalog rows of the connections in ``seen`` that this run did not see."""
     run = seen.select("connection_id").distinct()
-    return catalog.where(~F.col("is_deleted")).join(run, "connection_id", "left_semi").join(
-        seen.select(*keys), keys, "left_anti")
+    live = spread_join(catalog.where(~F.col("is_deleted")), run, "connection_id", "left_semi", keys[-1])
+    return live.join(seen.select(*keys), keys, "left_anti")
 
 
 def drill_down(dependencies: DataFrame, accesses: DataFrame, complexity: DataFrame, objects: DataFrame) -> DataFrame:
