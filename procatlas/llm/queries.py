@@ -4,23 +4,52 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from procatlas.llm import bpe, similarity
+from procatlas.llm import bpe, decontaminate, pii, similarity, toxicity, vectors
 from procatlas.llm.shared import ship, table
 
 
+def _fold(doc_id: Column, folds: int) -> Column:
+    return F.crc32(doc_id.cast("string")) % folds
+
+
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_spans(table(spark, sf_dir, "documents")).drop("found")
+
+
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     return similarity.jaccard_components(table(spark, sf_dir, "documents"), width=5, percent=75)
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     return bpe.encode_documents(table(spark, sf_dir, "documents"), with_ids=False)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_ngram_jaccard_join, op5_byte_bpe)}
+def toxicity_model(spark: SparkSession, sf_dir: str) -> toxicity.Model:
+    """Fitted on labelled rows outside the held-out fold."""
+    return toxicity.train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), lambda doc_id: _fold(doc_id, 5) != 0)
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    scored = toxicity.score_documents(table(spark, sf_dir, "documents"), toxicity_model(spark, sf_dir))
+    return scored.select("doc_id", (_fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score", "predicted")
+
+
+def op9_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return vectors.top_k(table(spark, sf_dir, "embeddings"), k=20, scale=64.0)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
+    op1_pii, op3_ngram_jaccard_join, op4_decontamination, op5_byte_bpe, op7_toxicity, op9_exact_top_k)}
 ORACLES: dict[str, str] = {}
