@@ -140,16 +140,42 @@ def leading(docs: DataFrame, width: int, percent: int, order: Order) -> DataFram
     return docs.select("doc_id", "text").mapInArrow(task, "gram long, doc_id long, n int, pos int")
 
 
-def fragments(docs: DataFrame, width: int, order: Order) -> DataFrame:
-    """(doc_id, fragment, grams): full sets, cut where the global order is cut (eight ranges of the first class, then
-    one for each further class)."""
-    shared = docs.sparkSession.sparkContext.broadcast(order)
+class Members:
+    """Bits by hashed doc_id of the documents a step needs: the others need not be read or moved.
+
+    Some others pass too, so the result is joined with the ids after.  There are 16 bits for each id, up to ``MOST_BITS``;
+    only 64-bit words of the table come to the driver, never ids.
+    """
+
+    MOST_BITS = 1 << 25
+
+    def __init__(self, wanted: DataFrame):
+        size = 1 << 12
+        while size < min(16 * wanted.count(), self.MOST_BITS):
+            size *= 2
+        self.mask = np.uint64(size - 1)
+        place = F.xxhash64("doc_id").bitwiseAND(F.lit(size - 1))
+        words = (wanted.select(F.shiftright(place, 6).alias("word"), F.expr("shiftleft(1L, cast(xxhash64(doc_id) & 63 as int))").alias("bit"))
+                 .groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas())
+        self.words = np.zeros(size >> 6, np.uint64)
+        self.words[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64).view(np.uint64)
+
+    def holds(self, hashed: np.ndarray) -> np.ndarray:
+        place = hashed.view(np.uint64) & self.mask
+        return (self.words[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63))) & np.uint64(1) == 1
+
+
+def fragments(docs: DataFrame, width: int, order: Order, members: Members) -> DataFrame:
+    """(doc_id, fragment, grams) of the documents in ``members``: full sets, cut where the global order is cut (eight
+    ranges of the first class, then one for each further class)."""
+    shared = docs.sparkSession.sparkContext.broadcast((order, members))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [[], [], []]
+            out, (order, members) = [[], [], []], shared.value
+            batch = batch.filter(pa.array(members.holds(batch.column(2).to_numpy(zero_copy_only=False))))
             for doc_id, text in zip(batch.column(0).to_pylist(), many(batch.column(1).to_pylist())):
-                key = shared.value.keys(shingles(text, width))
+                key = order.keys(shingles(text, width))
                 top = (key >> np.uint64(58)).astype(np.int64)
                 part = np.where(top < 8, top, 7 + (top >> 3))
                 for f in np.unique(part):
@@ -159,7 +185,7 @@ def fragments(docs: DataFrame, width: int, order: Order) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()),
                                               pa.array(out[2], pa.list_(pa.int64()))], names=["doc_id", "fragment", "grams"])
 
-    return docs.select("doc_id", "text").mapInArrow(task, "doc_id long, fragment int, grams array<long>")
+    return docs.select("doc_id", "text", F.xxhash64("doc_id").alias("h")).mapInArrow(task, "doc_id long, fragment int, grams array<long>")
 
 
 class _Join:
@@ -209,8 +235,8 @@ class _Join:
         pairs = cut(self._promising(pairs), label)
         if is_empty(pairs):
             return pairs.select("a", "b")
-        wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-        sets = cut(fragments(self.docs.join(wanted, "doc_id", "left_semi"), self.width, self.order)
+        wanted = cut(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "wanted")
+        sets = cut(fragments(self.docs, self.width, self.order, Members(wanted)).join(wanted, "doc_id", "left_semi")
                    .dropDuplicates(["doc_id", "fragment"]), "fragments")
         left = sets.select(F.col("doc_id").alias("a"), "fragment", F.col("grams").alias("ga"))
         right = sets.select(F.col("doc_id").alias("b"), "fragment", F.col("grams").alias("gb"))
