@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from procatlas.llm import bpe, decontaminate, pii, similarity, toxicity, vectors
+from procatlas.llm import bpe, decontaminate, language, pii, similarity, toxicity, vectors
 from procatlas.llm.shared import ship, table
 
 
@@ -19,6 +19,15 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_spans(table(spark, sf_dir, "documents")).drop("found")
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trained on the documents outside the held-out fold."""
+    ship(spark)
+    docs = table(spark, sf_dir, "documents")
+    net = language.train(docs, lambda doc_id: _fold(doc_id, 3) != 1)
+    found = language.predict(docs, net)
+    return found.select("doc_id", (_fold(F.col("doc_id"), 3) == 1).alias("held_out"), "lang_pred", "score")
+
+
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     return similarity.jaccard_components(table(spark, sf_dir, "documents"), width=5, percent=75)
@@ -51,5 +60,5 @@ def op9_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    op1_pii, op3_ngram_jaccard_join, op4_decontamination, op5_byte_bpe, op7_toxicity, op9_exact_top_k)}
+    op1_pii, op2_language_id, op3_ngram_jaccard_join, op4_decontamination, op5_byte_bpe, op7_toxicity, op9_exact_top_k)}
 ORACLES: dict[str, str] = {}
