@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from procatlas.llm import bpe, decontaminate, language, pii, similarity, toxicity, vectors
+from procatlas.llm import bpe, decontaminate, language, licences, pii, quality, sequences, similarity, toxicity, vectors
 from procatlas.llm.shared import ship, table
+from procatlas.session import fresh_path
 
 
 def _fold(doc_id: Column, folds: int) -> Column:
@@ -43,6 +44,15 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"), with_ids=False)
 
 
+def op6_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shards of all documents' ids in permuted order, read back record by record."""
+    ship(spark)
+    path = fresh_path(spark, "shards")
+    total = sequences.materialise(table(spark, sf_dir, "documents"), path, key=20)
+    return sequences.read_sequences(spark, path, total).select(
+        "slot", "shard", "offset", (F.length("ids") / 2).cast("long").alias("n_ids"), F.sha2("ids", 256).alias("ids_sha256"))
+
+
 def toxicity_model(spark: SparkSession, sf_dir: str) -> toxicity.Model:
     """Fitted on labelled rows outside the held-out fold."""
     return toxicity.train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), lambda doc_id: _fold(doc_id, 5) != 0)
@@ -54,11 +64,27 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (_fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score", "predicted")
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels of every fifth doc_id hash are left to measure the result."""
+    ship(spark)
+    scored = quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"),
+                                   lambda doc_id: _fold(doc_id, 5) != 0)
+    return scored.withColumn("held_out", _fold(F.col("doc_id"), 5) == 0)
+
+
 def op9_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     return vectors.top_k(table(spark, sf_dir, "embeddings"), k=20, scale=64.0)
 
 
+def op10_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A document is the file source/lang/doc_id."""
+    path = F.concat_ws("/", F.coalesce("source", F.lit("-")), F.coalesce("lang", F.lit("-")), F.col("doc_id").cast("string"))
+    found = licences.scan(table(spark, sf_dir, "documents").select(path.alias("path"), "text"))
+    return found.select(F.regexp_extract("path", "([0-9]+)$", 1).cast("long").alias("doc_id"), "path", "licence", "origin", "cosine", "licence_path")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    op1_pii, op2_language_id, op3_ngram_jaccard_join, op4_decontamination, op5_byte_bpe, op7_toxicity, op9_exact_top_k)}
+    op1_pii, op2_language_id, op3_ngram_jaccard_join, op4_decontamination, op5_byte_bpe, op6_training_order,
+    op7_toxicity, op8_quality, op9_exact_top_k, op10_licences)}
 ORACLES: dict[str, str] = {}

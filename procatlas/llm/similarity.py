@@ -286,3 +286,22 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 75, order
                 .select("n_shingles", "k1", "k2", F.coalesce("component", "rep").alias("component_id")))
     return (sets.join(of_class, ["n_shingles", "k1", "k2"], "left")
             .select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")))
+
+
+def keep_one_of_each(docs: DataFrame, width: int = 5, percent: int = 75) -> DataFrame:
+    """The rows of ``docs``, all columns, with one document of each group of ``jaccard_components``: the smallest doc_id.
+
+    Documents without words stay.  Of rows that repeat doc_id and text one stays; a row with a null doc_id stays unless
+    its text equals that of a row that has one.
+    """
+    groups = cut(jaccard_components(docs, width, percent), "groups")
+    keep = groups.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("rows"))
+    nameless = not is_empty(docs.where("doc_id IS NULL"))
+    kept = docs.join(keep.select("doc_id"), "doc_id", "left_semi")
+    if not is_empty(keep.where("rows > 1")):
+        kept = kept.dropDuplicates(["doc_id", "text"])
+    if nameless:
+        known = (docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.sha2("text", 256).alias("__h")).distinct())
+        alone = docs.where("doc_id IS NULL").withColumn("__h", F.sha2(F.coalesce("text", F.lit("")), 256)).join(known, "__h", "left_anti").drop("__h")
+        kept = kept.unionByName(alone)
+    return kept.select(docs.columns)
