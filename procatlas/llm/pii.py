@@ -57,21 +57,27 @@ _CONTEXT = 40
 _SPANS = "array<struct<s:int,e:int,v:string>>"
 
 
-def _pieces(text: Column, found: Column, gaps: Column) -> Column:
+def _let(value: Column, use) -> Column:
+    """``use(value)`` with the value worked out once."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _pieces(found: Column, gaps: Column) -> Column:
     """(start, end, value) of ``found`` that stand between ``gaps``, in code points."""
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(_SPANS).alias("out"))
-    step = lambda acc, k: F.transform(
-        F.array(acc["at"] + F.length(F.get(gaps, k))),
-        lambda s: F.struct((s + F.length(F.get(found, k))).alias("at"),
-                           F.array_append(acc["out"], F.struct(s.alias("s"), (s + F.length(F.get(found, k))).alias("e"),
-                                                               F.get(found, k).alias("v"))).cast(_SPANS).alias("out")))[0]
+    return _let(F.struct(found.alias("found"), gaps.alias("gaps")), lambda b: _placed(b["found"], b["gaps"]))
+
+
+def _placed(found: Column, gaps: Column) -> Column:
     places = F.when(F.size(found) > 0, F.sequence(F.lit(0), F.size(found) - 1)).otherwise(F.array().cast("array<int>"))
-    return F.aggregate(places, start, step, lambda acc: acc["out"])
+    ends = F.aggregate(places, F.array(F.lit(0)).cast("array<int>"), lambda acc, k: F.array_append(
+        acc, F.element_at(acc, -1) + F.length(F.get(gaps, k)) + F.length(F.get(found, k))))
+    return _let(ends, lambda e: F.transform(places, lambda k: F.struct(
+        (F.get(e, k) + F.length(F.get(gaps, k))).alias("s"), F.get(e, k + 1).alias("e"), F.get(found, k).alias("v"))))
 
 
 def spans(text: Column, pattern: str) -> Column:
     """Leftmost non-overlapping matches as array<struct<s, e, v>>; code points, end exclusive."""
-    return _pieces(text, F.regexp_extract_all(text, F.lit(pattern), 0), F.split(text, pattern, -1))
+    return _pieces(F.regexp_extract_all(text, F.lit(pattern), 0), F.split(text, pattern, -1))
 
 
 def _if(condition: Column, value: Column) -> Column:
@@ -100,7 +106,7 @@ def _card_runs(text: Column) -> Column:
     A run of digits and separators is cut where two separators meet; this needs no nested repetition, which would
     overflow on very long runs.
     """
-    parts = lambda r: _pieces(r["v"], F.split(r["v"], r"[\x20-]{2,}", -1),
+    parts = lambda r: _pieces(F.split(r["v"], r"[\x20-]{2,}", -1),
                               F.concat(F.array(F.lit("")), F.regexp_extract_all(r["v"], F.lit(r"[\x20-]{2,}"), 0)))
     shifted = lambda r: F.transform(parts(r), lambda p: F.struct(
         (r["s"] + p["s"]).alias("s"), (r["s"] + p["s"] + F.length(F.regexp_replace(p["v"], r"[\x20-]+$", ""))).alias("e"),
@@ -168,11 +174,6 @@ def candidates(docs: DataFrame) -> DataFrame:
     return with_candidates(docs.select("doc_id", "text")).select("doc_id", "found")
 
 
-def _let(value: Column, use) -> Column:
-    """``use(value)`` with the value worked out once."""
-    return F.transform(F.array(value), use)[0]
-
-
 def _sum(items: Column, value) -> Column:
     return F.aggregate(items, F.lit(0.0), lambda s, p: s + value(p))
 
