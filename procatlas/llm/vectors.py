@@ -129,9 +129,9 @@ def top_k(vectors: DataFrame, is_query=lambda vec_id: vec_id % 20 == 0, k: int =
     gives no row.  Exact.
     """
     reps, members = distinct_vectors(integer_vectors(vectors, scale), k)
-    ranges = _ranges(reps)
-    if not ranges:
+    if is_empty(reps):
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    ranges = {0: (np.zeros(0, np.int64), np.zeros(0, np.int64))} | _ranges(reps)
     queries = cut(integer_vectors(vectors.where(is_query(F.col("vec_id"))), scale).dropDuplicates(["vec_id", "x"])
                   .select(F.col("vec_id").alias("query_id"), F.xxhash64("x").alias("qh"), "dim", "x"), "queries")
     count = lambda df, size: df.groupBy("dim").agg(F.ceil(F.count("*") / size).cast("int").alias("blocks"))
