@@ -42,7 +42,8 @@ class ByteBpe:
         self.token_bytes = [b"" if i in special else bytes(back[c] for c in whole.id_to_token(i))
                             for i in range(whole.get_vocab_size())]
         self.simple = re.compile(" ?(?:[A-Za-z]|[À-ÖØ-öø-ÿ])+").fullmatch
-        self.inner = re.compile(r"[\s\x1c-\x1f\x85] ").search
+        self.before_space = re.compile(r"[\s\x1c-\x1f\x85] ").search
+        self.run = re.compile(r"[\s\x1c-\x1f\x85][\s\x1c-\x1f\x85]").search
         self.of_piece: dict[str, bytes] = {}
         self.of_chunk: dict[str, bytes] = {}
 
@@ -70,13 +71,18 @@ class ByteBpe:
         """Ids of a text as little-endian 32-bit numbers.
 
         A space after something that is not white space always begins a piece, so a text without other white space
-        before a space may be cut at its spaces first.
+        before a space may be cut at its spaces first; without any runs of white space each line end is a piece, too.
         """
         if not text:
             return b""
-        if self.inner(text):
-            return b"".join(map(self._piece, self.pieces(text)))
-        chunks = text.replace(" ", "\x00 ").split("\x00") if "\x00" not in text else [text]
+        if "\x00" in text:
+            chunks = [text]
+        elif not self.run(text):
+            chunks = text.replace("\n", "\x00\n\x00").replace(" ", "\x00 ").split("\x00")
+        elif not self.before_space(text):
+            chunks = text.replace(" ", "\x00 ").split("\x00")
+        else:
+            chunks = [text]
         known, out = self.of_chunk, []
         for chunk in chunks:
             ids = known.get(chunk)

@@ -25,11 +25,11 @@ from procatlas.llm.bpe import public_files, worker_bpe
 from procatlas.session import cut
 
 LENGTH = 512
-SHARD_SLOTS = 1 << 15
+SHARD_SLOTS = 1 << 14
 ROUNDS = 4
 #: Sequences compressed together on their way.
-_GROUP = 64
-_HELD = 64 << 20
+_GROUP = 256
+_HELD = 32 << 20
 
 
 class Permutation:
@@ -143,8 +143,8 @@ def materialise(docs: DataFrame, path: str, key: int = 1, length: int = LENGTH,
             rows = []
             for shard, pieces in held.items():
                 slots, records = (np.concatenate(x) for x in zip(*pieces))
-                for at in range(0, slots.size, 4 * _GROUP):
-                    part = slice(at, at + 4 * _GROUP)
+                for at in range(0, slots.size, _GROUP):
+                    part = slice(at, at + _GROUP)
                     rows.append((shard, slots[part].tobytes(), squeeze.compress(records[part].tobytes())))
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.binary(), pa.binary()))],
                                               names=["shard", "slots", "data"])
