@@ -92,11 +92,16 @@ _cyc = """, grow AS (
   SELECT src AS start, [src] AS path, dst AS next FROM walk_out WHERE src <= dst
   UNION ALL SELECT g.start, list_append(g.path, g.next), w.dst FROM grow g JOIN walk_out w ON w.src = g.next
   WHERE g.next <> g.start AND len(g.path) < 6 AND w.dst >= g.start AND (w.dst = g.start OR NOT list_contains(list_append(g.path, g.next), w.dst))),
-cyc AS MATERIALIZED (SELECT array_to_string(path, '>') AS cycle, cast(len(path) AS integer) AS length FROM grow WHERE next = start)
+cyc AS MATERIALIZED (SELECT array_to_string(path, '>') AS cycle, cast(len(path) AS integer) AS length FROM grow WHERE next = start),
+longer AS (SELECT count(*) > 0 AS has_longer FROM grow g JOIN walk_out w ON w.src = g.next WHERE g.next <> g.start AND len(g.path) = 6
+  AND w.dst >= g.start AND (w.dst = g.start OR NOT list_contains(list_append(g.path, g.next), w.dst)))
 """
-register("g7_circular_dependencies", _ws(lambda w: graph.cycles(w.edges)), ["walk_out"], _cyc + "SELECT * FROM cyc", recursive=True)
-register("g7_cycle_nodes", _ws(lambda w: graph.cycle_nodes(graph.cycles(w.edges))), ["walk_out"],
-         _cyc + "SELECT DISTINCT unnest(string_split(cycle, '>')) AS id FROM cyc", recursive=True)
+_comp = """, meets AS (SELECT src, dst FROM walk_out UNION SELECT m.src, w.dst FROM meets m JOIN walk_out w ON w.src = m.dst),
+comp AS MATERIALIZED (SELECT a.src AS id, min(a.dst) AS component FROM meets a JOIN meets b ON a.src = b.dst AND a.dst = b.src GROUP BY a.src)
+"""
+register("g7_circular_dependencies", _ws(lambda w: graph.cycles(w.edges, 6)), ["walk_out"], _cyc + "SELECT cyc.*, has_longer FROM cyc, longer", recursive=True)
+register("g7_cycle_nodes", _ws(lambda w: graph.cyclic_components(w.edges)), ["walk_out"],
+         _comp + "SELECT * FROM comp", recursive=True)
 register("g8_call_chain",
          _ws(lambda w: graph.call_chain(w.edges, hub(w)).select("edge_id", "source", "target", "dep_type", "direction")), ["edges", "hub"], """
 , down AS (SELECT id FROM hub UNION SELECT e.target FROM down JOIN edges e ON e.source = down.id),
@@ -104,9 +109,9 @@ up AS (SELECT id FROM hub UNION SELECT e.source FROM up JOIN edges e ON e.target
 SELECT edge_id, source, target, dep_type, 'downstream' AS direction FROM edges WHERE source IN (SELECT id FROM down) AND target IN (SELECT id FROM down)
 UNION ALL SELECT edge_id, source, target, dep_type, 'upstream' FROM edges WHERE source IN (SELECT id FROM up) AND target IN (SELECT id FROM up)""", recursive=True)
 register("g9_graph_summary", _ws(lambda w: graph.summary(w.nodes, w.edges)), ["nodes", "edges", "roots", "leaves", "root_walk", "walk_out"],
-         _cyc + _depth + """
+         _comp + _depth + """
 SELECT (SELECT count(*) FROM nodes) AS nodes, (SELECT count(*) FROM edges) AS edges, (SELECT count(*) FROM roots) AS roots,
-  (SELECT count(*) FROM leaves) AS leaves, (SELECT count(*) FROM cyc) AS cycles, (SELECT cast(max(depth) AS integer) FROM dist) AS max_depth""", recursive=True)
+  (SELECT count(*) FROM leaves) AS leaves, (SELECT count(DISTINCT component) FROM comp) AS cyclic_components, (SELECT cast(max(depth) AS integer) FROM dist) AS max_depth""", recursive=True)
 
 
 def _caller(w):

@@ -264,13 +264,11 @@ register("p13_job_state",
 SELECT job_id, status IN {words(fv.RUNNING_STATES)} AS running, status IN {words(fv.FINISHED_STATES)} AS finished,
   cast(CASE WHEN total_objects = 0 THEN 0 ELSE round(processed_objects / total_objects * 100) END AS integer) AS percent FROM jobs""")
 register("p14_connection_listing",
-         lambda s, sf: corpus.connections(s, sf).join(
-             corpus.jobs(s, sf).groupBy("connection_id").agg(F.count(F.lit(1)).alias("jobs"), F.date_format(F.max("created_at"), "yyyy-MM-dd").alias("newest_job")),
-             "connection_id", "left").orderBy(F.col("newest_job").desc(), "connection_id"),
+         lambda s, sf: listing.connection_listing(corpus.connections(s, sf), corpus.jobs(s, sf)),
          ["conns", "jobs"], """
 SELECT c.*, j.jobs, j.newest_job FROM conns c LEFT JOIN (SELECT connection_id, count(*) AS jobs, strftime(max(created_at), '%Y-%m-%d') AS newest_job FROM jobs GROUP BY connection_id) j USING (connection_id)""")
 register("p14_schema_listing",
-         _ws(lambda w: w.objects.groupBy("connection_id", "schema_name").agg(F.count(F.lit(1)).alias("objects")).orderBy("connection_id", "schema_name")),
+         _ws(lambda w: listing.schema_listing(w.objects)),
          ["objs"], "SELECT connection_id, schema_name, count(*) AS objects FROM objs GROUP BY connection_id, schema_name")
 register("p15_metadata_labels",
          lambda s, sf: corpus.metadata(s, sf, "md_columns").select(

@@ -187,15 +187,17 @@ FROM objs a FULL JOIN objs2 b ON a.connection_id = b.connection_id AND a.fqn = b
 
 def _runs(s, sf):
     return corpus.table(s, sf, "events").select(
-        F.col("user_id").alias("object_key"), F.struct("ts", "event_id").alias("run_at"), F.col("event_type").alias("definition_hash"))
+        F.col("user_id").alias("object_key"), F.struct("ts", "event_id").alias("run_at"),
+        F.when(F.col("event_id") % 7 != 0, F.col("event_type")).alias("definition_hash"))
 
 
 register("w4_version_history",
          lambda s, sf: maintain.version_history(_runs(s, sf), F.date_trunc("month", "run_at.ts")).select(
              "object_key", "version_number", "definition_hash", F.col("detected_at.event_id").alias("event_id")),
          None, """
-SELECT user_id AS object_key, cast(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS integer) AS version_number, event_type AS definition_hash, event_id
-FROM (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events) e WHERE before IS NULL OR before <> event_type""")
+SELECT user_id AS object_key, cast(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS integer) AS version_number, hash AS definition_hash, event_id
+FROM (SELECT *, lag(hash) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before, lag(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS prior
+  FROM (SELECT *, CASE WHEN event_id % 7 <> 0 THEN event_type END AS hash FROM events)) e WHERE prior IS NULL OR before IS DISTINCT FROM hash""")
 
 # -- streams over stored definitions and events
 TEXT_SCHEMA = "object_id long, connection_id int, dialect string, schema_name string, object_name string, fqn string, object_type string, definition string, seen_at timestamp_ntz"

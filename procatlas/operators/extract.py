@@ -311,11 +311,6 @@ def rules_by_dialect(rule_table: DataFrame) -> DataFrame:
     return rule_table.select("*", F.explode(applies).alias("applies_to"))
 
 
-def rules_for(rule_table: DataFrame, dialect: str) -> DataFrame:
-    known = fv.DIALECT_ALIASES.get(dialect.lower(), dialect.lower())
-    return rule_table.where(F.col("dialect").isin("*", known))
-
-
 def rule_findings(objects: DataFrame, rule_rows: list[tuple] | None = None) -> DataFrame:
     """One finding per rule match, with its line.
 

@@ -165,16 +165,11 @@ def max_depth(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return spark.createDataFrame([(max(levels.count - 2, 0),)], "max_depth int")
 
 
-def cyclic_core(edges: DataFrame, rounds: int = 12) -> DataFrame:
-    """Steps that can lie on a cycle: nodes without a way in or out are trimmed, round by round.
-
-    Trimming only removes steps that lie on no cycle, so stopping after any round is exact.
-    """
-    core = cut(steps(edges), "core")
+def cyclic_core(walk: DataFrame) -> DataFrame:
+    """The steps (src, dst) left when nodes without a way in or out have been trimmed to the end."""
+    core = cut(walk, "core")
     size = core.count()
-    for _ in range(rounds):
-        if size == 0:
-            break
+    while size:
         ins = core.select(F.col("dst").alias("src")).distinct()
         outs = core.select(F.col("src").alias("dst")).distinct()
         core = cut(core.join(ins, "src", "left_semi").join(outs, "dst", "left_semi"), "core")
@@ -185,9 +180,55 @@ def cyclic_core(edges: DataFrame, rounds: int = 12) -> DataFrame:
     return core
 
 
-def cycles(edges: DataFrame, max_length: int = 6) -> DataFrame:
-    """Simple directed cycles up to ``max_length``, smallest id first: (cycle, length)."""
-    walk = cyclic_core(edges)
+def _spread(steps_: DataFrame, start: DataFrame) -> DataFrame:
+    """(node, color): the smallest color of ``start`` (node, color) that reaches each node along the steps."""
+    colors = cut(start, "colors")
+    while True:
+        came = (steps_.join(colors.withColumnRenamed("node", "src"), "src")
+                .groupBy(F.col("dst").alias("node")).agg(F.min("color").alias("came")))
+        joined = cut(colors.join(came, "node", "full").select(
+            "node", F.least("color", "came").alias("color"),
+            (F.col("color").isNull() | (F.col("came") < F.col("color"))).alias("changed")), "colors")
+        colors = joined.select("node", "color")
+        if joined.where("changed").isEmpty():
+            return colors
+
+
+def cyclic_components(edges: DataFrame) -> DataFrame:
+    """(id, component): every node on a directed cycle of any length, with its strongly connected component.
+
+    Rounds of colors: each node takes the smallest id that reaches it; the nodes of a color that lead back to
+    the color's own node are one component.  They go, steps between colors go, and the rest is colored anew.
+    """
+    rest, found = cyclic_core(steps(edges)), []
+    while not rest.isEmpty():
+        nodes = rest.select(F.col("src").alias("node")).union(rest.select("dst")).distinct()
+        colors = cut(_spread(rest, nodes.withColumn("color", F.col("node"))), "colors")
+        both = (rest.join(colors.select(F.col("node").alias("src"), "color"), "src")
+                .join(colors.select(F.col("node").alias("dst"), F.col("color").alias("other")), "dst").where("color = other"))
+        inside = cut(both.select("src", "dst", "color"), "inside")
+        back = inside.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+        own = colors.where("node = color")
+        component = cut(_spread(back, own).select(F.col("node").alias("id"), F.col("color").alias("component")), "component")
+        looped = inside.where("src = dst").select(F.col("src").alias("id"))
+        several = component.groupBy("component").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("component")
+        found.append(cut(component.join(several, "component", "left_semi").select("id", "component").unionByName(
+            component.join(looped, "id", "left_semi").select("id", "component")).distinct(), "cyclic"))
+        done = component.select("id")
+        rest = cyclic_core(inside.select("src", "dst").join(done.withColumnRenamed("id", "src"), "src", "left_anti")
+                           .join(done.withColumnRenamed("id", "dst"), "dst", "left_anti"))
+    if not found:
+        return edges.select(F.col("source").alias("id"), F.col("source").alias("component")).limit(0)
+    return reduce(DataFrame.unionByName, found)
+
+
+def cycles(edges: DataFrame, max_length: int) -> DataFrame:
+    """Simple directed cycles up to ``max_length``, smallest id first: (cycle, length, has_longer).
+
+    ``has_longer`` says whether a path was still open at that length, so longer cycles may exist; nodes on cycles of
+    any length are in ``cyclic_components``.
+    """
+    walk = cyclic_core(steps(edges))
     paths = walk.where("src <= dst").select(
         F.col("src").alias("start"), F.array("src").alias("path"), F.col("dst").alias("next"))
     found = []
@@ -203,12 +244,13 @@ def cycles(edges: DataFrame, max_length: int = 6) -> DataFrame:
             .where((F.col("dst") >= F.col("start")) & ((F.col("dst") == F.col("start")) | ~F.array_contains("path", F.col("dst"))))
             .select("start", "path", F.col("dst").alias("next")))
     if not found:
-        return edges.sparkSession.createDataFrame([], "cycle string, length int")
-    return reduce(DataFrame.unionByName, found)
+        return edges.sparkSession.createDataFrame([], "cycle string, length int, has_longer boolean")
+    return reduce(DataFrame.unionByName, found).withColumn("has_longer", F.lit(not paths.isEmpty()))
 
 
-def cycle_nodes(found: DataFrame) -> DataFrame:
-    return found.select(F.explode(F.split("cycle", ">")).alias("id")).distinct()
+def cycle_nodes(edges: DataFrame) -> DataFrame:
+    """Nodes on a cycle of any length."""
+    return cyclic_components(edges).select("id")
 
 
 def call_chain(edges: DataFrame, roots: DataFrame, max_depth: int | None = None) -> DataFrame:
@@ -238,9 +280,9 @@ def call_tree(edges: DataFrame, roots: DataFrame, depth: int = 5) -> DataFrame:
     return reduce(DataFrame.unionByName, levels)
 
 
-def summary(nodes: DataFrame, edges: DataFrame, max_cycle: int = 6) -> DataFrame:
-    """Node, edge, root, leaf and cycle counts and the maximum depth, as one row."""
+def summary(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Node, edge, root, leaf and cyclic component counts and the maximum depth, as one row."""
     one = lambda df, label: df.agg(F.count(F.lit(1)).alias(label))
     parts = [one(nodes, "nodes"), one(edges, "edges"), one(root_nodes(nodes, edges), "roots"),
-             one(leaf_nodes(nodes, edges), "leaves"), one(cycles(edges, max_cycle), "cycles"), max_depth(nodes, edges)]
+             one(leaf_nodes(nodes, edges), "leaves"), one(cyclic_components(edges).select("component").distinct(), "cyclic_components"), max_depth(nodes, edges)]
     return side_by_side(*parts)

@@ -132,5 +132,14 @@ def running_jobs(jobs: DataFrame) -> DataFrame:
         "connection_id", "j.*")
 
 
-def connection_listing(connections: DataFrame) -> DataFrame:
-    return connections.orderBy(F.col("created_at").desc(), "connection_id")
+def connection_listing(connections: DataFrame, jobs: DataFrame) -> DataFrame:
+    """Connections with their number of jobs and the day of the newest, newest first."""
+    ran = jobs.groupBy("connection_id").agg(
+        F.count(F.lit(1)).alias("jobs"), F.date_format(F.max("created_at"), "yyyy-MM-dd").alias("newest_job"))
+    return connections.join(ran, "connection_id", "left").orderBy(F.col("newest_job").desc(), "connection_id")
+
+
+def schema_listing(objects: DataFrame) -> DataFrame:
+    """Schemas of each connection with their number of objects."""
+    return objects.groupBy("connection_id", "schema_name").agg(F.count(F.lit(1)).alias("objects")).orderBy(
+        "connection_id", "schema_name")

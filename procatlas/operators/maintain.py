@@ -71,6 +71,7 @@ def diff(before: DataFrame, after: DataFrame, keys: list[str]) -> DataFrame:
 def version_history(runs: DataFrame, slice_of: Column, order: str = "run_at") -> DataFrame:
     """Versions of each object over runs: a new one whenever the hash differs from the run before.
 
+    A run without a hash is a version of its own: it differs from every hash and equals another run without one.
     ``runs`` holds (object_key, run_at, definition_hash); ``slice_of`` cuts time into slices that do
     not decrease with it.  Changes are found inside a slice, and a second, small window over slice
     edges finds changes between slices and numbers the versions, so an object with very many runs is
@@ -79,13 +80,13 @@ def version_history(runs: DataFrame, slice_of: Column, order: str = "run_at") ->
     r = runs.withColumn("_slice", slice_of)
     w = Window.partitionBy("object_key", "_slice").orderBy(order)
     marked = r.withColumn("_before", F.lag("definition_hash").over(w)).withColumn("_n", F.row_number().over(w))
-    kept = marked.where((F.col("_n") == 1) | (F.col("_before") != F.col("definition_hash")))
+    kept = marked.where((F.col("_n") == 1) | ~F.col("_before").eqNullSafe(F.col("definition_hash")))
     edges = r.groupBy("object_key", "_slice").agg(
         F.min_by("definition_hash", order).alias("_first"), F.max_by("definition_hash", order).alias("_last"))
     inner = kept.where("_n > 1").groupBy("object_key", "_slice").agg(F.count(F.lit(1)).alias("_inner"))
     s = Window.partitionBy("object_key").orderBy("_slice")
     by_slice = edges.join(inner, ["object_key", "_slice"], "left").withColumn(
-        "_opens", F.coalesce(F.lag("_last").over(s) != F.col("_first"), F.lit(True)))
+        "_opens", (F.row_number().over(s) == 1) | ~F.lag("_last").over(s).eqNullSafe(F.col("_first")))
     total = (F.coalesce("_inner", F.lit(0)) + F.col("_opens").cast("int")).alias("_t")
     offsets = by_slice.select("object_key", "_slice", "_opens", total).withColumn(
         "_offset", F.coalesce(F.sum("_t").over(s.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))

@@ -6,15 +6,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def table_scope(rows: DataFrame) -> list[str]:
+    """The connection, where rows carry it."""
+    return [c for c in ("connection_id",) if c in rows.columns]
+
+
 def nest_tables(columns: DataFrame, keys: DataFrame, foreign: DataFrame, indexes: DataFrame, counts: DataFrame,
                 primary_by_columns: bool = False) -> DataFrame:
     """One row per table with ordered arrays.
 
     A table's lists are bounded by the column limit of the database it came from (a table, not a
     data set, is one group here).  With ``primary_by_columns`` an index is primary when its columns
-    are exactly the primary-key columns.
+    are exactly the primary-key columns.  Where ``columns`` has a connection_id, all inputs must, and tables of
+    different connections stay apart though they share a name.
     """
-    k = ["schema_name", "table_name"]
+    k = [*table_scope(columns), "schema_name", "table_name"]
 
     def ordered(order: str, value: str):
         return F.transform(F.array_sort(F.collect_list(F.struct(order, value))), lambda s: s[value])
@@ -54,10 +60,5 @@ def nest_tables(columns: DataFrame, keys: DataFrame, foreign: DataFrame, indexes
 
 def unnest_columns(tables: DataFrame) -> DataFrame:
     """Column rows of nested tables, with key flags."""
-    return tables.select("schema_name", "table_name", F.explode("columns").alias("c")).select(
-        "schema_name", "table_name", "c.*")
-
-
-def unnest_indexes(tables: DataFrame) -> DataFrame:
-    return tables.select("schema_name", "table_name", F.explode("indexes").alias("i")).select(
-        "schema_name", "table_name", "i.*")
+    k = [*table_scope(tables), "schema_name", "table_name"]
+    return tables.select(*k, F.explode("columns").alias("c")).select(*k, "c.*")

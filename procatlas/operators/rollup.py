@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from procatlas.functions import fixed_values as fv
 from procatlas.functions import scalars
+from procatlas.operators.metadata import table_scope
 
 EDGE_BUCKETS = {"calls": "exec", "reads_from": "reads", "writes_to": "writes"}
 
@@ -188,6 +189,6 @@ def objects_with_issues(findings: DataFrame) -> DataFrame:
 
 
 def table_sizes(partitions: DataFrame) -> DataFrame:
-    """Rows and bytes per table over its partitions."""
-    return partitions.groupBy("schema_name", "table_name").agg(
+    """Rows and bytes per table over its partitions; per connection, where the rows carry it."""
+    return partitions.groupBy(*table_scope(partitions), "schema_name", "table_name").agg(
         F.sum("row_count").alias("row_count"), (F.sum("pages") * fv.PAGE_BYTES).alias("bytes"))

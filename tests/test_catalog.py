@@ -56,7 +56,7 @@ def test_graph_view(spark):
     nodes, edges, summary = a.graph_view(connection_id=1)
     assert {r.id for r in nodes.collect()} == {"obj_1", "obj_2", "obj_3", "ext_nowhere", "tbl_b_t"}
     row = summary.first()
-    assert (row.nodes, row.edges, row.cycles, row.roots, row.leaves) == (5, 6, 1, 0, 2)
+    assert (row.nodes, row.edges, row.cyclic_components, row.roots, row.leaves) == (5, 6, 1, 0, 2)
     nodes, edges, _ = a.graph_view(connection_id=1, root="obj_2", max_depth=1, types=["calls"])
     assert {(r.source, r.target) for r in edges.collect()} == {("obj_1", "obj_2")}
     assert {r.id for r in nodes.collect()} == {"obj_1", "obj_2"}
@@ -174,3 +174,28 @@ def test_severity_histogram_shows_all_levels(spark):
     found = spark.createDataFrame([("high",)], "severity string")
     assert {r.severity: r.findings for r in rollup.severity_histogram(found).collect()} == {
         "critical": 0, "high": 1, "medium": 0, "low": 0, "info": 0}
+
+
+def test_versions_around_a_run_without_hash(spark):
+    rows = [(1, k, h) for k, h in enumerate(["h1", None, None, "h2", "h2", "h1"])] + [(2, 0, None), (2, 9, "x")]
+    runs = spark.createDataFrame(rows, "object_key int, run_at int, definition_hash string")
+    for width in (1, 2, 100):
+        got = maintain.version_history(runs, F.floor(F.col("run_at") / width))
+        assert sorted((r.object_key, r.version_number, r.detected_at, r.definition_hash) for r in got.collect()) == [
+            (1, 1, 0, "h1"), (1, 2, 1, None), (1, 3, 3, "h2"), (1, 4, 5, "h1"), (2, 1, 0, None), (2, 2, 9, "x")]
+
+
+def test_tables_of_two_connections_share_a_name(spark):
+    cols = spark.createDataFrame([(c, "s", "t", "r", f"c{c}{k}", "int", k, True, None, None, None, None) for c in (1, 2) for k in (1, 2)],
+        "connection_id int, schema_name string, table_name string, table_type string, column_name string, data_type string, ordinal int,"
+        "is_nullable boolean, default_value string, max_length int, precision int, scale int")
+    pk = spark.createDataFrame([(1, "s", "t", "c11", 1)], "connection_id int, schema_name string, table_name string, column_name string, ordinal int")
+    fk = spark.createDataFrame([], "connection_id int, schema_name string, table_name string, constraint_name string, column_name string, ref_schema string,"
+        "ref_table string, ref_column string, ordinal int, on_delete string, on_update string")
+    ix = spark.createDataFrame([], "connection_id int, schema_name string, table_name string, index_name string, column_name string, ordinal int,"
+        "is_unique boolean, is_primary boolean, index_type string")
+    sizes = rollup.table_sizes(spark.createDataFrame([(1, "s", "t", 5, 1), (2, "s", "t", 7, 1), (2, "s", "t", 1, 1)],
+        "connection_id int, schema_name string, table_name string, row_count long, pages long"))
+    got = {r.connection_id: r for r in metadata.nest_tables(cols, pk, fk, ix, sizes).collect()}
+    assert {c: [x.column_name for x in r.columns] for c, r in got.items()} == {1: ["c11", "c12"], 2: ["c21", "c22"]}
+    assert (got[1].primary_key, got[2].primary_key, got[1].estimated_rows, got[2].estimated_rows) == (["c11"], [], 5, 8)

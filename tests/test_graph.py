@@ -77,6 +77,21 @@ def test_against_plain_search(spark, shape):
     deepest = max((max(bfs(pairs, r).values()) for r in roots), default=0)
     assert graph.max_depth(nodes, edges).first()[0] == deepest
     assert {r.cycle for r in graph.cycles(edges, 5).collect()} == simple_cycles(pairs, 5)
+    reached = {n: set(bfs(pairs, m)) | {m} for n in ids for m in [n]}
+    step = {n: {m for _, b in [(x, y) for x, y in pairs if x == n] for m in reached[b]} for n in ids}
+    cyclic = {n: min(m for m in ids if m in step[n] and n in step[m]) for n in ids if n in step[n]}
+    assert {r.id: r.component for r in graph.cyclic_components(edges).collect()} == cyclic
+
+
+def test_rings_of_any_length_are_found(spark):
+    ring = lambda name, n: [(f"{name}{k:02d}", f"{name}{(k + 1) % n:02d}") for k in range(n)]
+    pairs = ring("a", 7) + ring("b", 12) + [("a03", "b05"), ("b01", "z"), ("s", "s"), ("y", "a00")]
+    _, edges = frames(spark, pairs)
+    got = {r.id: r.component for r in graph.cyclic_components(edges).collect()}
+    assert got == {**{a: "a00" for a, _ in ring("a", 7)}, **{b: "b00" for b, _ in ring("b", 12)}, "s": "s"}
+    short = graph.cycles(edges, 6).collect()
+    assert [(r.cycle, r.has_longer) for r in short] == [("s", True)]
+    assert {(r.length, r.has_longer) for r in graph.cycles(edges, 18).collect()} == {(1, False), (7, False), (12, False)}
 
 
 def test_many_roots_share_bit_blocks(spark):
