@@ -13,11 +13,14 @@ import hashlib
 import re
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 #: Chunks and pieces kept per worker.
-CACHE = 400_000
+CACHE = 300_000
+#: Bytes of ids that go out together.
+_OUT = 4 << 20
 _workers: dict[tuple[str, str], "ByteBpe"] = {}
 
 
@@ -143,22 +146,37 @@ def encode_documents(docs: DataFrame, tokenizer_file: str | None = None, pattern
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
     schema += ", ids array<int>" * with_ids + ", starts array<int>, ends array<int>" * with_offsets
 
+    def lists(parts: list[np.ndarray]) -> pa.Array:
+        ends = np.cumsum([0, *(p.size for p in parts)], dtype=np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int32), *parts]), pa.int32()))
+
+    def rows_of(bpe: ByteBpe, doc_ids: list, texts: list[bytes]) -> pa.RecordBatch:
+        counts, kept, digests = [], [], []
+        for ids in texts:
+            counts.append(len(ids) // 4)
+            digests.append((hashlib.sha256(ids).hexdigest(), hashlib.sha256(bpe.decode_bytes(ids)).hexdigest()))
+            if with_ids or with_offsets:
+                kept.append(np.frombuffer(ids, np.int32))
+        columns = [pa.array(doc_ids, pa.int64()), pa.array(counts, pa.int64()), *(pa.array([d[k] for d in digests], pa.string()) for k in (0, 1))]
+        if with_ids:
+            columns.append(lists(kept))
+        if with_offsets:
+            spans = [np.array(bpe.offsets(ids.tolist()), np.int32).reshape(-1, 2) for ids in kept]
+            columns += [lists([p[:, k] for p in spans]) for k in (0, 1)]
+        return pa.RecordBatch.from_arrays(columns, names=[f.split()[0] for f in schema.split(", ")])
+
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = worker_bpe(file, cut_by)
         for batch in batches:
-            out: list[list] = [[] for _ in range(3 + with_ids + 2 * with_offsets)]
-            for text in batch.column(1):
-                ids = bpe.encode(text.as_py() or "")
-                row = [len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(bpe.decode_bytes(ids)).hexdigest()]
-                numbers = memoryview(ids).cast("I").tolist() if with_ids or with_offsets else None
-                row += [numbers] * with_ids
-                if with_offsets:
-                    spans = bpe.offsets(numbers)
-                    row += [[s for s, _ in spans], [e for _, e in spans]]
-                for column, value in zip(out, row):
-                    column.append(value)
-            kinds = [pa.int64(), pa.string(), pa.string(), *[pa.list_(pa.int32())] * (with_ids + 2 * with_offsets)]
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), *map(pa.array, out, kinds)],
-                                             names=[f.split()[0] for f in schema.split(", ")])
+            doc_ids, texts, size = [], [], 0
+            for doc_id, text in zip(batch.column(0), batch.column(1)):
+                doc_ids.append(doc_id.as_py())
+                texts.append(bpe.encode(text.as_py() or ""))
+                size += len(texts[-1])
+                if size > _OUT:
+                    yield rows_of(bpe, doc_ids, texts)
+                    doc_ids, texts, size = [], [], 0
+            if doc_ids:
+                yield rows_of(bpe, doc_ids, texts)
 
     return docs.select("doc_id", "text").mapInArrow(task, schema)
