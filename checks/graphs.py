@@ -88,18 +88,19 @@ dist AS (SELECT root, id, min(depth) AS depth FROM far GROUP BY root, id)
 """
 register("g6_max_depth", _ws(lambda w: graph.max_depth(w.nodes, w.edges)), ["root_walk", "walk_out"],
          _depth + "SELECT cast(max(depth) AS integer) AS max_depth FROM dist", recursive=True)
+_comp = """, meets AS (SELECT src, dst FROM walk_out UNION SELECT m.src, w.dst FROM meets m JOIN walk_out w ON w.src = m.dst),
+comp AS MATERIALIZED (SELECT a.src AS id, min(a.dst) AS component FROM meets a JOIN meets b ON a.src = b.dst AND a.dst = b.src GROUP BY a.src)
+"""
 _cyc = """, grow AS (
   SELECT src AS start, [src] AS path, dst AS next FROM walk_out WHERE src <= dst
   UNION ALL SELECT g.start, list_append(g.path, g.next), w.dst FROM grow g JOIN walk_out w ON w.src = g.next
   WHERE g.next <> g.start AND len(g.path) < 6 AND w.dst >= g.start AND (w.dst = g.start OR NOT list_contains(list_append(g.path, g.next), w.dst))),
 cyc AS MATERIALIZED (SELECT array_to_string(path, '>') AS cycle, cast(len(path) AS integer) AS length FROM grow WHERE next = start),
-longer AS (SELECT count(*) > 0 AS has_longer FROM grow g JOIN walk_out w ON w.src = g.next WHERE g.next <> g.start AND len(g.path) = 6
+longer AS (SELECT count(*) > 0 AS has_longer FROM grow g JOIN walk_out w ON w.src = g.next JOIN comp a ON a.id = g.start
+  JOIN comp b ON b.id = w.dst AND b.component = a.component WHERE g.next <> g.start AND len(g.path) = 6
   AND w.dst >= g.start AND (w.dst = g.start OR NOT list_contains(list_append(g.path, g.next), w.dst)))
 """
-_comp = """, meets AS (SELECT src, dst FROM walk_out UNION SELECT m.src, w.dst FROM meets m JOIN walk_out w ON w.src = m.dst),
-comp AS MATERIALIZED (SELECT a.src AS id, min(a.dst) AS component FROM meets a JOIN meets b ON a.src = b.dst AND a.dst = b.src GROUP BY a.src)
-"""
-register("g7_circular_dependencies", _ws(lambda w: graph.cycles(w.edges, 6)), ["walk_out"], _cyc + "SELECT cyc.*, has_longer FROM cyc, longer", recursive=True)
+register("g7_circular_dependencies", _ws(lambda w: graph.cycles(w.edges, 6)), ["walk_out"], _comp + _cyc + "SELECT cyc.*, has_longer FROM cyc, longer", recursive=True)
 register("g7_cycle_nodes", _ws(lambda w: graph.cyclic_components(w.edges)), ["walk_out"],
          _comp + "SELECT * FROM comp", recursive=True)
 register("g8_call_chain",

@@ -149,8 +149,8 @@ SELECT id, count(*) AS degree, cast(sum(inward) AS bigint) AS in_degree FROM (
 register("a22_findings_per_object", _ws(lambda w: rollup.findings_per_object(w.objects, w.findings)), ["objs", "finds"], """
 SELECT o.object_id, count(f.object_id) AS findings FROM objs o LEFT JOIN finds f ON f.object_id = o.object_id GROUP BY o.object_id""")
 register("a23_table_sizes", lambda s, sf: rollup.table_sizes(corpus.metadata(s, sf, "md_partition")), ["md_partition"], f"""
-SELECT schema_name, table_name, cast(sum(row_count) AS bigint) AS row_count, cast(sum(pages) * {fv.PAGE_BYTES} AS bigint) AS bytes
-FROM md_partition GROUP BY schema_name, table_name""")
+SELECT connection_id, schema_name, table_name, cast(sum(row_count) AS bigint) AS row_count, cast(sum(pages) * {fv.PAGE_BYTES} AS bigint) AS bytes
+FROM md_partition GROUP BY connection_id, schema_name, table_name""")
 
 # -- listings
 part("listed_objs", ["objs", "finds", "cplx"], """

@@ -225,10 +225,13 @@ def cyclic_components(edges: DataFrame) -> DataFrame:
 def cycles(edges: DataFrame, max_length: int) -> DataFrame:
     """Simple directed cycles up to ``max_length``, smallest id first: (cycle, length, has_longer).
 
-    ``has_longer`` says whether a path was still open at that length, so longer cycles may exist; nodes on cycles of
-    any length are in ``cyclic_components``.
+    Only steps inside a strongly connected component are walked.  ``has_longer`` says whether a path of a component was
+    still open at that length, so longer cycles may exist; ``cyclic_components`` has the nodes on cycles of any length.
     """
-    walk = cyclic_core(steps(edges))
+    within = cyclic_components(edges)
+    walk = cut(steps(edges).join(within.select(F.col("id").alias("src"), "component"), "src")
+               .join(within.select(F.col("id").alias("dst"), F.col("component").alias("other")), "dst")
+               .where("component = other").select("src", "dst"), "walk")
     paths = walk.where("src <= dst").select(
         F.col("src").alias("start"), F.array("src").alias("path"), F.col("dst").alias("next"))
     found = []
