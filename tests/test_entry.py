@@ -25,7 +25,7 @@ def test_flagship(spark):
     assert entry.entry(spark).limit(1).count() == 1
 
 
-@pytest.mark.parametrize("name", list(QUERIES))
+@pytest.mark.parametrize("name", [n for n in QUERIES if n in ORACLES and not n.startswith("op")])
 def test_query_equals_sql(spark, db, name):
     df = QUERIES[name](spark, SF)
     cur = db.execute(ORACLES[name])
