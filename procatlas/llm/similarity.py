@@ -72,7 +72,7 @@ def scan(docs: DataFrame, width: int) -> DataFrame:
                 rows.append((0, doc_id, grams.size, *_digest(grams)))
                 pending.append(grams)
                 waiting += grams.size
-                if waiting > 3_000_000:
+                if waiting > 1_000_000:
                     count(2)
                     pending, waiting = [], 0
             yield batch_of(rows)

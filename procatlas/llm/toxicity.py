@@ -42,8 +42,19 @@ def edits_allowed(term: str, whole: bool) -> int:
     return (len(term) >= 5) + (len(term) >= 9)
 
 
+_automata: dict[tuple, "Automaton"] = {}
+
+
+def _automaton(entries: tuple[tuple[str, bool], ...]) -> "Automaton":
+    """The automaton of this worker for a lexicon; its states serve all models and tasks."""
+    if entries not in _automata:
+        _automata.clear()
+        _automata[entries] = Automaton(list(entries))
+    return _automata[entries]
+
+
 class Automaton:
-    """Lexicon trie with lazily built product states.
+    """Lexicon trie with lazily built product states.  Only the entries travel to the workers.
 
     A lexicon entry is (term, whole): ``whole`` entries match entire words, others any word that begins with them.
     """
@@ -69,6 +80,9 @@ class Automaton:
             self.ends[node].append(k)
         self._clear()
 
+    def __reduce__(self):
+        return _automaton, (tuple(self.entries),)
+
     def _clear(self):
         self.numbers: dict[frozenset, int] = {}
         self.states: list[frozenset] = []
@@ -140,7 +154,7 @@ class Automaton:
             for k in self.ends[node]:
                 if edits <= edits_allowed(*self.entries[k]) and (best is None or (edits, k) < best):
                     best = (edits, k)
-        if len(self.states) > 50_000:
+        if len(self.states) > 20_000:
             self._clear()
         return best and (best[1], best[0])
 
