@@ -1,8 +1,9 @@
 """Leaks with substitutions, clean documents, blocks."""
 
+import itertools
 import random
 
-from procatlas.llm.decontaminate import decontaminate, find_leaks
+from procatlas.llm.decontaminate import Seeds, _leaks, decontaminate, find_leaks, masks
 
 RNG = random.Random(3)
 VOCABULARY = [f"v{k}" for k in range(3000)]
@@ -65,3 +66,60 @@ def test_edges(spark, documents):
     long = " ".join(text(60_000) + ITEMS[3][1]) + " " + "z" * 300_000
     got = find_leaks(documents([(None, long), (2, "the " * 300), (2, "the " * 300)]), bench(spark, extra)).collect()
     assert sorted(((r.doc_id, r.item_id) for r in got), key=repr) == sorted([(None, 1), (2, 80), (2, 80)], key=repr)
+
+
+def loop(words, item, start):
+    """Most matches of a stretch along an alignment with three matches for each substitution."""
+    same = [0 <= start + k < len(words) and words[start + k] == w for k, w in enumerate(item)]
+    inside = [0 <= start + k < len(words) for k in range(len(item))]
+    best = 0
+    for i in range(len(item)):
+        for j in range(i + 1, len(item) + 1):
+            m = sum(same[i:j])
+            if all(inside[i:j]) and 4 * m >= 3 * (j - i):
+                best = max(best, m)
+    return best
+
+
+def test_every_substitution_set_of_short_items():
+    for n in range(8, 17):
+        item = text(n)
+        seeds = Seeds([(1, " ".join(item).encode())], 0.75)
+        least = -(-3 * n // 4)
+        for subs in (c for size in range(n // 4 + 2) for c in itertools.combinations(range(n), size)):
+            words = ["x", *(f"s{k}" if k in subs else w for k, w in enumerate(item)), "y"]
+            got = list(_leaks(seeds, [" ".join(words).encode()]))
+            most = loop(words, item, 1)
+            assert [g[2] for g in got] == [most] * (most >= least), (n, subs)
+
+
+def test_random_substitutions_of_longer_items():
+    rng = random.Random(6)
+    for _ in range(200):
+        n = rng.randint(17, 40)
+        item = [f"u{k}" for k in range(n)]
+        rate = rng.choice([0.15, 0.25, 0.3])
+        words = ["s" if rng.random() < rate else w for w in item]
+        got = list(_leaks(Seeds([(1, " ".join(item).encode())], 0.75), [" ".join(words).encode()]))
+        most = loop(words, item, 0)
+        assert [g[2] for g in got] == [most] * (most >= 12), words
+
+
+def test_masks_leave_out_no_stretch():
+    for length in range(12, 21):  # up to 31 when they were chosen
+        kept = [sum(1 << k for k, c in enumerate(m) if c == "1") for m in masks(0.75)]
+        for subs in itertools.combinations(range(1, length - 1), min(length // 4, length - 12)):
+            bits = (1 << length) - 1 - sum(1 << k for k in subs)
+            assert any(bits >> s & m == m for m in kept for s in range(length - m.bit_length() + 1)), (length, subs)
+
+
+def test_lower_shares_and_many_hits():
+    rng = random.Random(8)
+    for share, n, out in ((0.5, 16, 8), (0.3, 10, 7)):
+        item = [f"u{k}" for k in range(n)]
+        for _ in range(200):
+            subs = set(rng.sample(range(n), out))
+            words = [f"s{k}" if k in subs else w for k, w in enumerate(item)]
+            assert list(_leaks(Seeds([(1, " ".join(item).encode())], share), [" ".join(words).encode()]))
+    seeds = Seeds([(k, " ".join(["|"] * 30 + [f"a{k}b{j}" for j in range(10)]).encode()) for k in range(300)], 0.75)
+    assert len(list(_leaks(seeds, [b"| " * 2000]))) == 300
