@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from procatlas.llm.toxicity import logistic
+from procatlas.llm.toxicity import class_weights, logistic, row_weights
 from procatlas.llm.words import word_hashes
 from procatlas.session import cut
 
@@ -102,12 +102,16 @@ class CoTrained:
         self.text, self.meta, self.both = text, meta, both
 
     @classmethod
-    def fit(cls, x: list[np.ndarray], y: np.ndarray, pool: list[np.ndarray], rounds: int = ROUNDS) -> "CoTrained":
-        """``x``: both views of the labelled rows; every fifth is kept for calibration; ``pool``: both views without labels."""
+    def fit(cls, x: list[np.ndarray], y: np.ndarray, pool: list[np.ndarray], rounds: int = ROUNDS,
+            share: np.ndarray = np.ones(2)) -> "CoTrained":
+        """``x``: both views of the labelled rows; every fifth is kept for calibration; ``pool``: both views without labels;
+        ``share``: weights of the rows labelled 0 and 1."""
         apart = np.arange(y.size) % 5 == 0
         if len(set(y[apart])) < 2 or len(set(y[~apart])) < 2:
             apart = np.zeros(y.size, bool)
         own = [(v[~apart], y[~apart]) for v in x]
+        weigh = lambda labels: row_weights(share, labels, np.ones(labels.size))
+        first = weigh(y[~apart])
         given: list[dict[int, float]] = [{}, {}]
         for step in range(rounds + 1):
             betas = []
@@ -115,7 +119,7 @@ class CoTrained:
                 more = np.array(sorted(given[view]), np.int64)
                 rows = np.concatenate([own[view][0], pool[view][more]])
                 target = np.concatenate([own[view][1], [given[view][k] for k in more.tolist()]])
-                betas.append(logistic(rows, target, np.ones(target.size)))
+                betas.append(logistic(rows, target, np.concatenate([first, np.ones(more.size)])))
             if step == rounds or not len(pool[0]):
                 break
             for view in (0, 1):
@@ -125,9 +129,10 @@ class CoTrained:
                     given[1 - view].update(dict.fromkeys(order[:SHARED], label))
         held = apart if apart.any() else np.ones(y.size, bool)
         z = [_apply(b, v[held]) for b, v in zip(betas, x)]
-        calibrated = [logistic(v[:, None], y[held], np.ones(held.sum())) for v in z]
+        last_weights = weigh(y[held])
+        calibrated = [logistic(v[:, None], y[held], last_weights) for v in z]
         both = np.column_stack([_apply(c, v[:, None]) for c, v in zip(calibrated, z)])
-        last = logistic(both, y[held], np.ones(held.sum()))
+        last = logistic(both, y[held], last_weights)
         chain = lambda c, w, b: np.concatenate([[c[0] + c[1] * b[0]], c[1] * b[1:]])
         return cls(chain(calibrated[0], last, betas[0]), chain(calibrated[1], last, betas[1]), last)
 
@@ -142,7 +147,7 @@ def score_quality(docs: DataFrame, pages: DataFrame, labels: DataFrame, usable=l
 
     ``labels`` has (doc_id, quality 0 or 1), ``pages`` (url, html) with the doc_id as a number in the address's path.
     Training reads at most ``SAMPLE`` labelled rows of each class and ``POOL`` others, smallest hash of the doc_id
-    first; every row is scored.  ``predicted`` is 1 from score 0.5 on.  Null and empty texts are described by zeros,
+    first, and weighs the labelled ones by the shares of all usable labels; every row is scored.  ``predicted`` is 1 from score 0.5 on.  Null and empty texts are described by zeros,
     missing metadata by its own bucket; rows with null or repeated doc_ids are kept.  Without labels of both classes
     all scores are 0.5 and every row is predicted 1.
     """
@@ -160,7 +165,7 @@ def score_quality(docs: DataFrame, pages: DataFrame, labels: DataFrame, usable=l
     stack = lambda rs, c: np.array([r[c] for r in rs], float).reshape(len(rs), -1)
     x = [stack(rows, "text_x"), stack(rows, "meta_x")]
     pool = [stack(rest, c) if rest else np.zeros((0, v.shape[1])) for c, v in zip(("text_x", "meta_x"), x)]
-    model = CoTrained.fit(x, y, pool)
+    model = CoTrained.fit(x, y, pool, share=class_weights(good, SAMPLE))
     near = lambda z: 1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), z))))
     scored = views.select("doc_id", _dot(model.text, "text_x").alias("t"), _dot(model.meta, "meta_x").alias("m"))
     b = [float(v) for v in model.both]

@@ -22,7 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Labelled rows of each class that training reads at most, smallest hash of the doc_id first.
+#: Labelled rows of each class that training reads at most, smallest hash of the doc_id first.  Read rows count for those
+#: of their class that are not read.
 SAMPLE = 3000
 LEXICON = 1000
 LEAST_RATIO = 16.0
@@ -241,18 +242,31 @@ def choose_lexicon(counts: list[tuple[str, bool, int, int]], P: int, N: int) ->
     return chosen
 
 
-def _sample(docs: DataFrame, labels: DataFrame, usable, per_class: int) -> DataFrame:
-    """(doc_id, text, y) of at most ``per_class`` usable labelled documents of each class."""
+def class_weights(known: DataFrame, per_class: int) -> np.ndarray:
+    """Rows of class 0 and of class 1 in ``known`` (y) over those that a sample of ``per_class`` of each reads."""
+    counts = dict(known.groupBy("y").count().collect())
+    return np.array([max(1.0, counts.get(y, 0) / per_class) for y in (0, 1)])
+
+
+def row_weights(weights: np.ndarray, y: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """``n`` times the weight of each row's class, with the sum of ``n``: the classes get their shares, the penalty keeps its strength."""
+    w = weights[y.astype(int)] * n
+    return w * (n.sum() / w.sum())
+
+
+def _sample(docs: DataFrame, labels: DataFrame, usable, per_class: int) -> tuple[DataFrame, np.ndarray]:
+    """(doc_id, text, y) of at most ``per_class`` usable labelled documents of each class, and the weights of the classes."""
     known = (labels.where("toxic IN (0, 1) AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("y"))
              .where(usable(F.col("doc_id"))))
     order = F.xxhash64("doc_id"), F.col("doc_id")
     picked = known.where("y = 1").orderBy(*order).limit(per_class).union(known.where("y = 0").orderBy(*order).limit(per_class))
-    return docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").where("text IS NOT NULL")  # at most 2 * per_class rows
+    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").where("text IS NOT NULL")  # at most 2 * per_class rows
+    return rows, class_weights(known, per_class)
 
 
 def train(docs: DataFrame, labels: DataFrame, usable=lambda doc_id: F.lit(True), per_class: int = SAMPLE) -> Model:
     """Fit on a bounded sample of labelled rows; ``usable`` says from the doc_id which rows may be read."""
-    sample = _sample(docs, labels, usable, per_class)
+    sample, share = _sample(docs, labels, usable, per_class)
 
     def terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -289,7 +303,7 @@ def train(docs: DataFrame, labels: DataFrame, usable=lambda doc_id: F.lit(True),
     for entry, edits, p, n in seen:
         pos[entry, edits], neg[entry, edits] = p, n - p
     # without evidence a misspelling counts like two toxic documents and a fifth of a clean one
-    model.weight = np.maximum(0.0, np.log((pos + 2) / P) - np.log((neg + 0.2) / N) + np.log(P / N))
+    model.weight = np.maximum(0.0, np.log((pos + 2) / P) - np.log((neg + 0.2) / N) + np.log(share[1] * P / (share[0] * N)))
     weighted = docs.sparkSession.sparkContext.broadcast(model)
 
     def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -299,7 +313,8 @@ def train(docs: DataFrame, labels: DataFrame, usable=lambda doc_id: F.lit(True),
 
     # distinct rows with counts: at most 2 * per_class of them
     rows = sample.mapInArrow(rows_of, "x array<double>, y int").groupBy("x", "y").count().orderBy("x", "y").collect()
-    model.beta = logistic(np.array([r.x for r in rows]), np.array([r.y for r in rows], float), np.array([r["count"] for r in rows], float))
+    y = np.array([r.y for r in rows], float)
+    model.beta = logistic(np.array([r.x for r in rows]), y, row_weights(share, y, np.array([r["count"] for r in rows], float)))
     return model
 
 

@@ -96,3 +96,14 @@ def test_co_training_uses_the_other_view():
     helped = quality.CoTrained.fit([text[shuffled], meta[shuffled]], y[shuffled].astype(float), [text, meta])
     right = lambda m: ((m.meta[0] + meta @ m.meta[1:] > 0) == (y == 1)).mean()
     assert right(helped) >= max(0.95, right(alone))
+
+
+def test_quality_sample_keeps_the_class_shares(spark, documents, monkeypatch):
+    rng = np.random.default_rng(7)
+    bad = np.arange(800) % 10 == 0
+    rows = [(k, " ".join(["12345"] * int(d) + ["word"] * (20 - int(d)))) for k, d in enumerate(np.where(bad, rng.integers(5, 16, 800), rng.integers(0, 11, 800)))]
+    known = spark.createDataFrame([(k, int(not b)) for k, b in enumerate(bad.tolist())], "doc_id long, quality int")
+    pages = spark.createDataFrame([], "url string, html string")
+    monkeypatch.setattr(quality, "SAMPLE", 80)
+    got = quality.score_quality(documents(rows), pages, known).collect()
+    assert abs(sum(r.score for r in got) / 800 - 0.9) < 0.06

@@ -88,3 +88,23 @@ def test_held_out_rows(spark):
     got = {r.doc_id: r for r in QUERIES["op7_toxicity"](spark, sf).collect()}
     labels = [r for r in spark.read.parquet(f"{sf}/labels.parquet").collect() if got[r.doc_id].held_out]
     assert sum(got[r.doc_id].predicted == r.toxic for r in labels) / len(labels) >= 0.9
+
+
+def test_capped_sample_keeps_the_class_shares(spark, documents):
+    """A term of 48 toxic and 68 clean documents: whoever reads 60 of each class must not take it for toxic."""
+    rng = random.Random(5)
+    rows, labels = [], []
+    for k in range(1200):
+        toxic = k < 60
+        w = [rng.choice("ra to mi ne lo su".split()) for _ in range(12)]
+        if k < 48 or 60 <= k < 128:
+            w.insert(6, "zgrubbler")
+        rows.append((k, " ".join(w)))
+        labels.append((k, 1, int(toxic)))
+    docs, known = documents(rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    for per_class in (60, 2000):
+        model = toxicity.train(docs, known, per_class=per_class)
+        assert ("zgrubbler", True) in model.automaton.entries or any("zgrubbler".startswith(t) for t, _ in model.automaton.entries)
+        got = toxicity.score_documents(docs, model).collect()
+        assert not any(r.predicted for r in got)
+        assert abs(sum(r.score for r in got) / 1200 - 0.05) < 0.03
