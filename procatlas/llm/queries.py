@@ -78,10 +78,10 @@ def op9_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A document is the file source/lang/doc_id."""
-    path = F.concat_ws("/", F.coalesce("source", F.lit("-")), F.coalesce("lang", F.lit("-")), F.col("doc_id").cast("string"))
-    found = licences.scan(table(spark, sf_dir, "documents").select(path.alias("path"), "text"))
-    return found.select(F.regexp_extract("path", "([0-9]+)$", 1).cast("long").alias("doc_id"), "path", "licence", "origin", "cosine", "licence_path")
+    """A document is the file source/lang/doc_id; one without an id is named after the digest of its text."""
+    name = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("-"), F.sha2("text", 256)), F.lit("-"))
+    path = F.concat_ws("/", F.coalesce("source", F.lit("-")), F.coalesce("lang", F.lit("-")), name)
+    return licences.scan(table(spark, sf_dir, "documents").select("doc_id", path.alias("path"), "text"), keep=("doc_id",))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
