@@ -46,34 +46,60 @@ def sql_text(template: str) -> str:
     return " || ".join(out)
 
 
-def _case(branches: list[tuple[str, str]]) -> str:
-    body = " ".join(f"WHEN {cond} THEN {text if text.startswith('CASE') else sql_text(text)}"
-                    for cond, text in branches)
-    return f"CASE {body} END"
-
-
-_READS = _case([
-    ("d = 0", "  SELECT @v = c FROM {t} WHERE k = @p;"),
-    ("d = 1", "  SELECT c INTO v_c FROM {t} WHERE k = p_in;"),
-    ("1 = 1", "  SELECT c INTO v_c FROM {t} a JOIN s{x % 8}.lookup{x % 6} b ON a.k = b.k;"),
-])
-_UPDATES = _case([
-    ("d = 0 AND q % 4 = 0", "  UPDATE {t}\n     SET c = @v\n   WHERE k = @p;"),
-    ("d = 0", "  UPDATE {t} SET c = @v WHERE k = @p;"),
-    ("1 = 1", "  UPDATE {t} SET c = v_c WHERE k = p_in;"),
-])
-_INSERTS = _case([
-    ("d = 0 AND q % 5 = 0", "  INSERT INTO #tmp{x % 5} SELECT c FROM {t};"),
-    ("d = 0", "  INSERT INTO {t} VALUES (@v, @p);"),
-    ("q % 5 = 0", "  INSERT INTO temp_{x % 5} SELECT c FROM {t};"),
-    ("1 = 1", "  INSERT INTO {t} VALUES (v_c);"),
-])
-_REMOVALS = _case([
-    ("x % 4 = 0", "  TRUNCATE TABLE {t};"),
-    ("x % 4 = 1", "  MERGE INTO {t} USING src ON k = k;"),
-    ("1 = 1", "  DELETE FROM {t};"),
-])
-_CALLS = _case([
+def _case(branches: list[tuple], of: int = 1) -> str:
+    """CASE over the conditions; ``of`` 1 gives the texts, 2 what was planted in them ('' where nothing is named)."""
+    def hole(branch: tuple) -> str:
+        if isinstance(branch[1], list):
+            return _case(branch[1], of)
+        return sql_text(branch[of]) if len(branch) > of else "''"
+
+    return "CASE " + " ".join(f"WHEN {branch[0]} THEN {hole(branch)}" for branch in branches) + " END"
+
+
+# Statements by branch: condition, text, and the table accesses planted in it as operation~name~line of the statement
+# within the text, joined by |.
+_READS = [
+    ("d = 0 AND q % 8 = 0", "  SELECT a.c INTO #work{x % 3} FROM {t} a, s{x % 8}.lookup{x % 6} AS b WHERE a.k = b.k;",
+     "INSERT~#work{x % 3}~0|SELECT~{t}~0|SELECT~s{x % 8}.lookup{x % 6}~0"),
+    ("d = 0 AND q % 8 = 1", "  WITH recent AS (\n    SELECT k FROM {t}\n  ), few (k) AS (SELECT k FROM recent)\n  SELECT @v = k FROM few, recent r;",
+     "SELECT~{t}~1"),
+    ("d = 0 AND q % 8 = 2", "  /* SELECT c FROM gone{x % 3}\n     UPDATE gone */\n  SELECT @v = c FROM [{t}] -- FROM gone\n  CROSS APPLY s1.cut(c) WHERE c = 'DELETE FROM gone';",
+     "SELECT~{t}~2"),
+    ("d = 0", "  SELECT @v = c FROM {t} WHERE k = @p;", "SELECT~{t}~0"),
+    ("d = 1 AND q % 8 = 0", "  SELECT extract(year FROM c) INTO v_c FROM {t} a, s{x % 8}.lookup{x % 6} b WHERE a.k IS DISTINCT FROM b.k FOR UPDATE;",
+     "SELECT~{t}~0|SELECT~s{x % 8}.lookup{x % 6}~0"),
+    ("d = 1 AND q % 8 = 1", "  WITH old AS (DELETE FROM {t} RETURNING k) INSERT INTO s1.log SELECT k FROM old;", "DELETE~{t}~0|INSERT~s1.log~0"),
+    ("d = 1", "  SELECT c INTO v_c FROM {t} WHERE k = p_in;", "SELECT~{t}~0"),
+    ("1 = 1", "  SELECT c INTO v_c FROM {t} a JOIN s{x % 8}.lookup{x % 6} b ON a.k = b.k;", "SELECT~{t}~0|SELECT~s{x % 8}.lookup{x % 6}~0"),
+]
+_UPDATES = [
+    ("d = 0 AND q % 8 = 1", "  UPDATE o SET c = @v\n    FROM {t} AS o JOIN s{x % 8}.lookup{x % 6} b ON o.k = b.k;",
+     "UPDATE~{t}~0|SELECT~s{x % 8}.lookup{x % 6}~0"),
+    ("d = 0 AND q % 4 = 0", "  UPDATE {t}\n     SET c = @v\n   WHERE k = @p;", "UPDATE~{t}~0"),
+    ("d = 0", "  UPDATE {t} SET c = @v WHERE k = @p;", "UPDATE~{t}~0"),
+    ("q % 8 = 1", "  UPDATE {t} SET c = (SELECT max(c) FROM {t}) WHERE k = p_in;", "UPDATE~{t}~0|SELECT~{t}~0"),
+    ("1 = 1", "  UPDATE {t} SET c = v_c WHERE k = p_in;", "UPDATE~{t}~0"),
+]
+_INSERTS = [
+    ("d = 0 AND q % 5 = 0", "  INSERT INTO #tmp{x % 5} SELECT c FROM {t};", "INSERT~#tmp{x % 5}~0|SELECT~{t}~0"),
+    ("d = 0 AND q % 5 = 1", "  INSERT {t} (c)\n  SELECT c FROM s{x % 8}.lookup{x % 6} UNION ALL\n  SELECT c FROM #tmp{x % 5};",
+     "INSERT~{t}~0|SELECT~s{x % 8}.lookup{x % 6}~1|SELECT~#tmp{x % 5}~2"),
+    ("d = 0", "  INSERT INTO {t} VALUES (@v, @p);", "INSERT~{t}~0"),
+    ("q % 5 = 0", "  INSERT INTO temp_{x % 5} SELECT c FROM {t};", "INSERT~temp_{x % 5}~0|SELECT~{t}~0"),
+    ("q % 5 = 1", "  INSERT INTO {t} SELECT CASE WHEN a.c = 1 THEN 2 ELSE 3 END FROM s1.log a, (SELECT k FROM s2.log) b, s3.log;",
+     "INSERT~{t}~0|SELECT~s1.log~0|SELECT~s2.log~0|SELECT~s3.log~0"),
+    ("1 = 1", "  INSERT INTO {t} VALUES (v_c);", "INSERT~{t}~0"),
+]
+_REMOVALS = [
+    ("x % 4 = 0", "  TRUNCATE TABLE {t};", "TRUNCATE~{t}~0"),
+    ("x % 4 = 1 AND q % 2 = 0", "  MERGE INTO {t} USING src ON k = k;", "MERGE~{t}~0|SELECT~src~0"),
+    ("x % 4 = 1", "  MERGE {t} AS a USING (SELECT k FROM s1.log) b ON a.k = b.k\n  WHEN MATCHED THEN UPDATE SET c = 1 WHEN NOT MATCHED THEN INSERT (c) VALUES (2);",
+     "MERGE~{t}~0|SELECT~s1.log~0"),
+    ("d = 0 AND q % 3 = 0", "  DELETE o FROM {t} o, s{x % 8}.lookup{x % 6} b WHERE o.k = b.k", "DELETE~{t}~0|SELECT~s{x % 8}.lookup{x % 6}~0"),
+    ("q % 3 = 1", "  DELETE {t};", "DELETE~{t}~0"),
+    ("1 = 1", "  DELETE FROM {t};", "DELETE~{t}~0"),
+]
+_CALLS = [
     ("x % 7 = 0 AND d < 2", "  CALL ext.sp_{x % 20};"),
     ("x % 7 = 0", "  ext_sp_{x % 20}(v_c);"),
     ("x % 97 = 0", "  EXECUTE p{dbl};"),
@@ -90,8 +116,8 @@ _CALLS = _case([
     ("q % 6 = 1", "  v_log(p_in);"),
     ("q % 6 = 2", "  p{third}(p_in);"),
     ("1 = 1", "  p{half}(p_in);"),
-])
-_RISKS = _case([
+]
+_RISKS = [
     ("x % 6 = 0 AND d = 0", "  EXEC(@sql);"),
     ("x % 6 = 0 AND d = 1 AND q % 2 = 0", "  EXECUTE format('SELECT %I', v_c);"),
     ("x % 6 = 0 AND d = 1", "  EXECUTE format('SELECT', $1);"),
@@ -104,33 +130,37 @@ _RISKS = _case([
     ("x % 6 = 3 AND d = 0", "  SET @password = 'abc{x % 9}';"),
     ("x % 6 = 3 AND d = 1", "  -- SECURITY DEFINER"),
     ("x % 6 = 3", "  DBMS_SQL.parse(c1, v_sql);"),
-    ("x % 6 = 4 AND d = 0", "  SELECT c FROM srv{x % 3}.db.s{x % 8}.t{x % 50};"),
-    ("x % 6 = 4", "  SELECT c FROM s{x % 8}.view_{x % 11};"),
+    ("x % 6 = 4 AND d = 0", "  SELECT c FROM srv{x % 3}.db.s{x % 8}.t{x % 50};", "SELECT~srv{x % 3}.db.s{x % 8}.t{x % 50}~0"),
+    ("x % 6 = 4", "  SELECT c FROM s{x % 8}.view_{x % 11};", "SELECT~s{x % 8}.view_{x % 11}~0"),
     ("d = 0", "  EXEC('SELECT ' + @p);"),
     ("1 = 1", "  v_c := 'WITH EXECUTE AS OWNER';"),
-])
-_CONTROL = _case([
+]
+_CONTROL = [
     ("x % 4 = 0 AND d = 0", "  IF @v > 1 BEGIN\n    SET @v = 2;\n  END"),
     ("x % 4 = 0", "  IF v_c > 1 THEN\n    RETURN v_c;\n  END IF;"),
     ("x % 4 = 1 AND d = 0", "  WHILE @v < 9 BEGIN\n    SET @v = @v + 1;\n    IF @v = 5 BREAK;\n  END"),
     ("x % 4 = 1", "  WHILE v_c < 9 LOOP\n    v_c := v_c + 1;\n  END LOOP;"),
-    ("x % 4 = 2 AND d = 0", "  BEGIN TRY\n    DELETE FROM {t};\n  END TRY\n  BEGIN CATCH\n    THROW;\n  END CATCH"),
-    ("x % 4 = 2", "  FOR r IN c1 LOOP\n    IF r.a = 1 THEN\n      DELETE FROM {t};\n    END IF;\n  END LOOP;"),
+    ("x % 4 = 2 AND d = 0", "  BEGIN TRY\n    DELETE FROM {t};\n  END TRY\n  BEGIN CATCH\n    THROW;\n  END CATCH", "DELETE~{t}~1"),
+    ("x % 4 = 2", "  FOR r IN c1 LOOP\n    IF r.a = 1 THEN\n      DELETE FROM {t};\n    END IF;\n  END LOOP;", "DELETE~{t}~2"),
     ("d = 0", "  RETURN @v;"),
     ("1 = 1", "  RAISE v_err;"),
-])
-_NOTES = _case([
+]
+_NOTES = [
     ("x % 5 = 0", "  -- check stock level {x % 9}"),
+    ("x % 5 = 1 AND d = 0 AND q % 2 = 0", "  DECLARE @v{x % 4} INT, @w{x % 3} VARCHAR(10)"),
     ("x % 5 = 1 AND d = 0", "  DECLARE @v{x % 4} INT\n  DECLARE @w{x % 3} VARCHAR(10)"),
     ("x % 5 = 2 AND d = 0", "  SET @v = @p; -- carry over {x % 9}\n  SET @w = @v;"),
     ("x % 5 = 2", "  v_c := p_in; -- carry over {x % 9}"),
     ("x % 5 = 3", "\n  -- step {x % 9}\n  -- of the plan"),
     ("1 = 1", "  CASE WHEN c = 1 THEN 2 END;"),
-])
-STATEMENT = _case([
+]
+_STATEMENTS = [
     ("u % 10 = 0", _READS), ("u % 10 = 1", _UPDATES), ("u % 10 = 2", _INSERTS), ("u % 10 = 3", _REMOVALS),
     ("u % 10 IN (4, 8, 9)", _CALLS), ("u % 10 = 5", _RISKS), ("u % 10 = 6", _CONTROL), ("1 = 1", _NOTES),
-])
+]
+STATEMENT = _case(_STATEMENTS)
+#: The accesses planted in a statement, for the check.
+ACCESSES = _case(_STATEMENTS, 2)
 
 # Object columns over k.
 OBJECT_KIND = ("CASE WHEN k % 13 = 0 THEN 'function' WHEN k % 13 = 1 THEN 'trigger' WHEN k % 13 = 2 THEN 'view' "
@@ -145,22 +175,39 @@ OBJECT_SCHEMA = {
     2: "CASE WHEN o_orderpriority = '5-LOW' THEN 'archive' ELSE 's' || cast(k % 8 AS string) END",
 }
 DIALECT = "CASE k % 3 WHEN 0 THEN 'tsql' WHEN 1 THEN 'plpgsql' ELSE 'plsql' END"
-HEADER = _case([
+# Headers by branch: condition, text, and the parameters planted in it as name~type~mode~default, joined by |.
+_HEADERS = [
     ("kind = 'anonymous'", "BEGIN"),
     ("kind = 'view'", "CREATE VIEW {s}.{n} AS"),
-    ("d = 0 AND kind = 'function'", "CREATE FUNCTION {s}.{n}(@p INT, @q DECIMAL(10,2))\nRETURNS VARCHAR(40)\nAS BEGIN"),
+    ("d = 0 AND kind = 'function'", "CREATE FUNCTION {s}.{n}(@p INT, @q DECIMAL(10,2))\nRETURNS VARCHAR(40)\nAS BEGIN",
+     "@p~INT~IN~|@q~DECIMAL(10,2)~IN~"),
     ("d = 0 AND kind = 'trigger'", "CREATE TRIGGER {s}.{n} ON s1.t1 AFTER INSERT\nAS BEGIN"),
-    ("d = 0", "CREATE PROCEDURE {s}.{n} @p INT, @q VARCHAR(20) = 'x', @r INT OUTPUT\nAS BEGIN"),
+    ("d = 0 AND k % 4 = 0", "CREATE PROCEDURE {s}.{n} @p INT, @q INT AS BEGIN", "@p~INT~IN~|@q~INT~IN~"),
+    ("d = 0 AND k % 4 = 1",
+     "CREATE OR ALTER PROC [{s}].[{n}]\n  @p AS NUMERIC(12,2) = 1.5, -- first, of two\n  @q NVARCHAR(MAX) = 'a, (b' OUT\nWITH RECOMPILE AS\nBEGIN",
+     "@p~NUMERIC(12,2)~IN~1.5|@q~NVARCHAR(MAX)~INOUT~'a, (b'"),
+    ("d = 0", "CREATE PROCEDURE {s}.{n} @p INT, @q VARCHAR(20) = 'x', @r INT OUTPUT\nAS BEGIN",
+     "@p~INT~IN~|@q~VARCHAR(20)~IN~'x'|@r~INT~INOUT~"),
     ("d = 1 AND kind = 'function' AND k % 2 = 0",
-     "CREATE OR REPLACE FUNCTION {s}.{n}(p_in INT, p_t TEXT DEFAULT 'x') RETURNS SETOF INT AS $$\nBEGIN"),
-    ("d = 1 AND kind = 'function'", "CREATE OR REPLACE FUNCTION {s}.{n}(p_in INT) RETURNS TABLE(a INT, b TEXT) AS $$\nBEGIN"),
+     "CREATE OR REPLACE FUNCTION {s}.{n}(p_in INT, p_t TEXT DEFAULT 'x') RETURNS SETOF INT AS $$\nBEGIN", "p_in~INT~IN~|p_t~TEXT~IN~'x'"),
+    ("d = 1 AND kind = 'function'", "CREATE OR REPLACE FUNCTION {s}.{n}(p_in INT) RETURNS TABLE(a INT, b TEXT) AS $$\nBEGIN", "p_in~INT~IN~"),
     ("d = 1 AND kind = 'trigger'", "CREATE TRIGGER {s}.{n} AFTER INSERT ON s1.t1\nBEGIN"),
-    ("d = 1", "CREATE OR REPLACE PROCEDURE {s}.{n}(p_in INT, OUT p_out TEXT, INOUT p_io INT DEFAULT 5)\nAS $$\nBEGIN"),
-    ("kind = 'function'", "CREATE OR REPLACE FUNCTION {s}.{n}(p_in IN NUMBER) RETURN VARCHAR2\nIS\nBEGIN"),
+    ("d = 1 AND k % 4 = 0",
+     "CREATE OR REPLACE PROCEDURE {s}.{n}(p_in NUMERIC(10,2), p_d TEXT DEFAULT coalesce('x', f(1, 2)), /* p_x INT, */ p_f double precision)\nAS $$\nBEGIN",
+     "p_in~NUMERIC(10,2)~IN~|p_d~TEXT~IN~coalesce('x', f(1, 2))|p_f~double precision~IN~"),
+    ("d = 1", "CREATE OR REPLACE PROCEDURE {s}.{n}(p_in INT, OUT p_out TEXT, INOUT p_io INT DEFAULT 5)\nAS $$\nBEGIN",
+     "p_in~INT~IN~|p_out~TEXT~OUT~|p_io~INT~INOUT~5"),
+    ("kind = 'function'", "CREATE OR REPLACE FUNCTION {s}.{n}(p_in IN NUMBER) RETURN VARCHAR2\nIS\nBEGIN", "p_in~NUMBER~IN~"),
     ("kind = 'trigger'", "CREATE OR REPLACE TRIGGER {s}.{n} AFTER INSERT ON s1.t1\nBEGIN"),
     ("kind = 'package'", "CREATE OR REPLACE PACKAGE {s}.{n} AS\nBEGIN"),
-    ("1 = 1", "CREATE OR REPLACE PROCEDURE {s}.{n}(p_in IN NUMBER, p_out IN OUT VARCHAR2, p_d DATE DEFAULT SYSDATE)\nIS\nBEGIN"),
-])
+    ("k % 4 = 0",
+     "CREATE OR REPLACE PROCEDURE {s}.{n}(p_in t1.c%TYPE, p_out IN OUT NOCOPY VARCHAR2, p_d NUMBER := pk.f(1, ')'))\nIS\nBEGIN",
+     "p_in~t1.c%TYPE~IN~|p_out~VARCHAR2~INOUT~|p_d~NUMBER~IN~pk.f(1, ')')"),
+    ("1 = 1", "CREATE OR REPLACE PROCEDURE {s}.{n}(p_in IN NUMBER, p_out IN OUT VARCHAR2, p_d DATE DEFAULT SYSDATE)\nIS\nBEGIN",
+     "p_in~NUMBER~IN~|p_out~VARCHAR2~INOUT~|p_d~DATE~IN~SYSDATE"),
+]
+HEADER = _case(_HEADERS)
+PARAMETERS = _case(_HEADERS, 2)
 
 # Comment-bearing texts over documents; header spelling follows the language column.
 COMMENT_PREFIX = _case([

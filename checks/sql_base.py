@@ -155,18 +155,19 @@ FROM (SELECT *, sum(CASE WHEN opens OR closes THEN 1 ELSE 0 END) OVER (PARTITION
     regexp_matches(trimmed, '(?i)^END\\b') OR upper({strip_sql("rtrim(trimmed, ';')")}) IN {words(fv.CLOSING_LINES)} AS closes
   FROM src_lines WHERE trimmed <> '' AND NOT starts_with(trimmed, '--') AND NOT starts_with(trimmed, '/*')) a) b
 WHERE seg > 0 GROUP BY object_id, seg HAVING NOT bool_or(closes)""")
-_acc = " UNION ALL ".join(
-    [f"SELECT object_id, line, '{op}' AS operation, unnest(regexp_extract_all(text, {rx(p)}, 1)) AS name FROM stmts"
-     for op, p in fv.WRITE_PATTERNS]
-    + [f"SELECT object_id, line, 'SELECT', unnest(regexp_extract_all(regexp_replace(text, {rx(fv.DELETE_FROM_PATTERN)}, "
-       f"'DELETE ', 'g'), {rx(fv.READ_PATTERN)}, 1)) FROM stmts"])
-part("acc", ["stmts", "objs"], f"""
+# Accesses as they were planted, not as a pattern finds them.
+part("acc", ["bodies", "objs"], f"""
 SELECT object_id, connection_id, full_table_name, table_name, operation, cast(min(line) AS integer) AS line,
   left(table_name, 1) IN ('#', '@') OR left(upper(table_name), 4) = 'TEMP' AS is_temp
-FROM (SELECT *, string_split(full_table_name, '.')[-1] AS table_name FROM (
-  SELECT object_id, line, operation, replace(replace(name, '[', ''), ']', '') AS full_table_name FROM ({_acc}) u) n) t
+FROM (SELECT k AS object_id, d, a[1] AS operation, a[2] AS full_table_name, string_split(a[2], '.')[-1] AS table_name,
+    head + 1 + coalesce(before, 0) + cast(a[3] AS integer) AS line
+  FROM (SELECT k, d, head, before, unnest(list_transform(string_split(planted, '|'), lambda p: string_split(p, '~'))) AS a FROM (
+    SELECT s.k, s.d, s.planted, length(definition) - length(replace(definition, chr(10), '')) - length(text) + length(replace(text, chr(10), '')) - 1 AS head,
+      sum(lines) OVER (PARTITION BY s.k ORDER BY {', '.join('s.' + c for c in corpus.LINE_ORDER)} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before
+    FROM (SELECT *, {corpus.ACCESSES} AS planted, {line_sql(corpus.STATEMENT)} AS lines
+          FROM (SELECT {corpus.columns_sql(corpus.STATEMENT_COLUMNS)} FROM lineitem) b WHERE {corpus.SNAPSHOT_LINES[1]}) s
+    JOIN bodies ON bodies.k = s.k JOIN objs ON object_id = s.k) x WHERE planted <> '') y) z
 JOIN objs USING (object_id)
-WHERE upper(table_name) NOT IN {words(fv.NON_TABLE_WORDS)} AND left(table_name, 1) <> '@'
 GROUP BY object_id, connection_id, full_table_name, table_name, operation""")
 
 # -- findings and complexity
@@ -198,19 +199,15 @@ FROM (SELECT object_id, definition, len(regexp_extract_all(definition, {rx(fv.BR
 RISK_SQL = "CASE WHEN cyclomatic <= 5 THEN 'low' WHEN cyclomatic <= 10 THEN 'moderate' WHEN cyclomatic <= 20 THEN 'high' ELSE 'critical' END"
 
 
-# -- parameters
-part_matches("par_tsql", "code", fv.PARAMETER_PATTERNS["tsql"], 4, where="dialect = 'tsql'")
-part("listed", ["code"], f"""
-SELECT object_id, dialect, regexp_extract(definition, {rx(fv.FIRST_PARENTHESES)}, 1) AS definition FROM code
-WHERE dialect = 'plpgsql' OR (dialect = 'plsql' AND object_type <> 'trigger')""")
-part_matches("par_pg", "listed", fv.PARAMETER_PATTERNS["plpgsql"], 4, where="dialect = 'plpgsql'")
-part_matches("par_ora", "listed", fv.PARAMETER_PATTERNS["plsql"], 4, where="dialect = 'plsql'")
-part("params", ["par_tsql", "par_pg", "par_ora"], f"""
-SELECT object_id, pos AS ordinal, g1 AS name, g2 AS data_type, CASE WHEN g4 <> '' THEN 'INOUT' ELSE 'IN' END AS mode,
-  nullif({strip_sql('g3')}, '') AS default_value FROM par_tsql
-UNION ALL SELECT object_id, pos, g2, g3, CASE WHEN g1 = '' THEN 'IN' ELSE upper(g1) END, nullif({strip_sql('g4')}, '') FROM par_pg
-UNION ALL SELECT object_id, pos, g1, g3, CASE WHEN g2 = '' THEN 'IN' ELSE upper(replace(g2, ' ', '')) END,
-  nullif({strip_sql('g4')}, '') FROM par_ora""")
+# -- parameters, as they were planted
+part("params", ["bodies"], f"""
+SELECT k AS object_id, cast(i AS integer) AS ordinal, p[1] AS name, p[2] AS data_type, p[3] AS mode, nullif(p[4], '') AS default_value FROM (
+  SELECT k, i, string_split(planted[i], '~') AS p FROM (
+    SELECT k, planted, unnest(range(1, len(planted) + 1)) AS i FROM (
+      SELECT k, string_split({corpus.PARAMETERS}, '|') AS planted FROM (
+        SELECT k, {corpus.OBJECT_KIND} AS kind, {corpus.OBJECT_NAME} AS n, {corpus.OBJECT_SCHEMA[1]} AS s, k % 3 AS d
+        FROM bodies JOIN orders ON o_orderkey = k WHERE {corpus.SNAPSHOT_ORDERS[1]}) a) b) c) e
+WHERE p[1] <> ''""")
 
 # -- variables
 for _rank, _kind, _pattern, _groups in fv.VARIABLE_PATTERNS:

@@ -135,17 +135,7 @@ BLOCK_WORDS = r"\b(BEGIN|IF|WHILE|LOOP|FOR|CASE|END)\b"
 RISK_LIMITS = [("low", 5), ("moderate", 10), ("high", 20)]
 RISK_ABOVE = "critical"
 
-# Table-access patterns as (operation, pattern); a name may carry a leading # or @.
-_NAME = r"((?:\[?\w+\]?\.)*\[?[#@]?\w+\]?)"
-WRITE_PATTERNS = [
-    ("INSERT", r"\bINSERT\s+INTO\s+" + _NAME),
-    ("UPDATE", r"\bUPDATE\s+" + _NAME),
-    ("DELETE", r"\bDELETE\s+(?:FROM\s+)?" + _NAME),
-    ("MERGE", r"\bMERGE\s+(?:INTO\s+)?" + _NAME),
-    ("TRUNCATE", r"\bTRUNCATE\s+(?:TABLE\s+)?" + _NAME),
-]
-READ_PATTERN = r"\b(?:FROM|JOIN)\s+" + _NAME
-DELETE_FROM_PATTERN = r"\bDELETE\s+FROM\s+"
+# Operations that write, and names of temporary tables.
 WRITE_OPERATIONS = ["INSERT", "UPDATE", "DELETE", "MERGE", "TRUNCATE"]
 TEMP_TABLE_PATTERN = r"^(?:[#@]|(?i)TEMP)"
 
@@ -159,13 +149,7 @@ STATEMENT_OPENERS = (
 )
 CLOSING_LINES = ["END", "END TRY", "END CATCH", "END LOOP", "END IF", ")"]
 
-# Parameter and return-type patterns per dialect.
-PARAMETER_PATTERNS = {
-    "tsql": r"(@\w+)\s+(\w+(?:\([^)]*\))?)(?:\s*=\s*([^,\n]+?))?(?:\s+(OUTPUT|OUT))?\s*(?:,|$|\n)",
-    "plpgsql": r"(?:(IN|OUT|INOUT)\s+)?(\w+)\s+(\w+(?:\[\])?(?:\([^)]*\))?)(?:\s+DEFAULT\s+([^,)]+?))?(?:,|\)|\s*$)",
-    "plsql": r"(\w+)\s+(IN\s+OUT|IN|OUT)?\s*(\w+(?:\([^)]*\))?)(?:\s+DEFAULT\s+([^,)]+?))?(?:,|\)|\s*$)",
-}
-FIRST_PARENTHESES = r"(?s)\((.*?)\)"
+# Return-type patterns per dialect.
 RETURN_PATTERNS = {
     "tsql": r"RETURNS\s+(\w+(?:\([^)]*\))?)",
     "plpgsql": r"RETURNS\s+((?:SETOF\s+)?\w+(?:\[\])?(?:\([^)]*\))?)",

@@ -32,6 +32,32 @@ def has(text: Column, pattern: str) -> Column:
     return text.rlike(java_pattern(pattern))
 
 
+_HIDDEN = r"""--[^\n]*|/\*(?s:.*?)\*/|'[^']*'|"[^"\n]*"|\[[^\]\n]*\]"""
+
+
+def mask(text: Column, strings: bool = True) -> Column:
+    """``text`` with comments, and the insides of string literals, as blanks; length and line breaks stay.
+
+    Quoted and bracketed names are kept, and a comment sign or quote inside them opens nothing.
+    """
+    marked = F.regexp_replace(text, java_pattern(_HIDDEN), START + "$0" + STOP)
+
+    def blank(piece: Column) -> Column:
+        def shown(hit: Column) -> Column:
+            blanks = F.regexp_replace(hit, r"[^\n]", " ")
+            quoted = F.concat(F.lit("'"), F.substring(blanks, F.lit(2), F.length(hit) - 2), F.lit("'")) if strings else hit
+            kept = F.when(hit.startswith("'"), quoted).when(hit.startswith('"') | hit.startswith("["), hit).otherwise(blanks)
+            return F.concat(kept, F.substring(piece, F.length(hit) + 2, F.length(piece)))
+
+        return let(F.substring_index(piece, STOP, 1), shown)
+
+    def joined(pieces: Column) -> Column:
+        rest = F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0)))
+        return F.array_join(F.concat(F.slice(pieces, 1, 1), F.transform(rest, blank)), "")
+
+    return let(F.split(marked, START, -1), joined)
+
+
 def occurrences(text: Column, pattern: str, ignore_case: bool = True) -> Column:
     return F.regexp_count(text, F.lit(java_pattern(pattern, ignore_case)))
 
@@ -119,12 +145,12 @@ def first_of_each(rows: Column, key: list[str]) -> Column:
         s, lambda r, i: (i == 0) | differs(r, F.get(s, i - 1))))
 
 
-def scan(rows: Column, start: Column, step, emit, row_type: str, block: int = 128) -> Column:
+def scan(rows: Column, start: Column, step, emit, row_type: str, block: int = 128, both=None) -> Column:
     """What ``emit(state, row)`` (an array) gives at each row of a left-to-right pass, as one array.
 
-    ``step(state, row)`` gives the next state, which must stay small.  A first pass finds the state
-    at the start of every block of rows; the blocks then collect their own short outputs, because
-    an output kept in the state would be copied at every row.
+    ``step(state, row)`` gives the next state, which must stay small; ``both(state, row)``, a struct of the next ``state``
+    and the row's ``out``, can save work that the two share.  A first pass finds the state at the start of every block of
+    rows; the blocks then collect their own short outputs, because an output kept in the state would be copied at every row.
     """
     def empty(t: str) -> Column:
         return F.expr(f"cast(array() as array<{t}>)")
@@ -139,17 +165,22 @@ def scan(rows: Column, start: Column, step, emit, row_type: str, block: int = 12
 
     def collect(part: Column, first: Column) -> Column:
         def one(acc: Column, row: Column) -> Column:
+            if both:
+                return let(both(acc["state"], row), lambda r: F.struct(
+                    r["state"].alias("state"), F.when(F.size(r["out"]) > 0, F.concat(acc["out"], r["out"])).otherwise(acc["out"]).alias("out")))
             return F.struct(step(acc["state"], row).alias("state"),
                             F.concat(acc["out"], emit(acc["state"], row)).alias("out"))
 
         return F.aggregate(part, F.struct(first.alias("state"), empty(row_type).alias("out")), one, lambda acc: acc["out"])
 
-    def both(parts: Column) -> Column:
+    def all_blocks(parts: Column) -> Column:
         none_seen = F.slice(F.array(start), 1, 0)
-        firsts = F.aggregate(parts, F.struct(start.alias("state"), none_seen.alias("seen")), advance, lambda acc: acc["seen"])
-        return F.flatten(F.zip_with(parts, firsts, collect))
+        all_but_last = F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0)))
+        firsts = F.aggregate(all_but_last, F.struct(start.alias("state"), none_seen.alias("seen")), advance,
+                             lambda acc: F.concat(acc["seen"], F.array(acc["state"])))
+        return F.flatten(F.zip_with(parts, F.slice(firsts, 1, F.size(parts)), collect))
 
-    return let(blocks, both)
+    return let(blocks, all_blocks)
 
 
 def explode_matches(df: DataFrame, pattern: str, keep: list[str], groups: int = 0,

@@ -16,6 +16,8 @@ from procatlas.functions.matching import (
     START, SEP, STOP, all_matches, first_of_each, has, java_pattern, let, line_numbers, newlines, occurrences, scan,
     strip,
 )
+from procatlas.operators.access import is_temp_table, table_accesses  # noqa: F401
+from procatlas.operators.signature import parameters  # noqa: F401
 
 CONFIDENCE = "decimal(3,2)"
 
@@ -177,34 +179,6 @@ def _clean_name(name: Column) -> Column:
     return F.translate(name, "[]", "")
 
 
-def _statement_accesses(s: Column) -> Column:
-    """(table, operation, line) for every table name of a statement."""
-    def tagged(op: str, names: Column) -> Column:
-        return F.transform(names, lambda n: F.struct(
-            _clean_name(n).alias("full_table_name"), F.lit(op).alias("operation"), s["line"].alias("line")))
-
-    text = s["text"]
-    writes = [tagged(op, F.regexp_extract_all(text, F.lit(java_pattern(p)), 1)) for op, p in fv.WRITE_PATTERNS]
-    reading = F.regexp_replace(text, java_pattern(fv.DELETE_FROM_PATTERN), "DELETE ")
-    return F.concat(*writes, tagged("SELECT", F.regexp_extract_all(reading, F.lit(java_pattern(fv.READ_PATTERN)), 1)))
-
-
-def table_accesses(objects: DataFrame, keep=ID) -> DataFrame:
-    """Distinct (object, table, operation) with the first line: writes by statement target, other names read."""
-    def is_table(a: Column) -> Column:
-        name = F.substring_index(a["full_table_name"], ".", -1)
-        return ~F.upper(name).isin(fv.NON_TABLE_WORDS) & ~name.startswith("@")
-
-    found = F.filter(F.flatten(F.transform(statement_array(F.col("definition")), _statement_accesses)), is_table)
-    rows = _rows(objects, first_of_each(found, ["full_table_name", "operation"]), keep)
-    return rows.withColumn("table_name", F.substring_index("full_table_name", ".", -1)).withColumn(
-        "is_temp", is_temp_table(F.col("table_name")))
-
-
-def is_temp_table(name: Column) -> Column:
-    return name.rlike(fv.TEMP_TABLE_PATTERN)
-
-
 def statement_runs(objects: DataFrame) -> DataFrame:
     """Adjacent DECLARE (or SET) statements as one row with the variables they write."""
     def written(op: Column, text: Column) -> Column:
@@ -254,29 +228,6 @@ def statement_variables(objects: DataFrame) -> DataFrame:
 
 # -- parameters, kinds, return types --------------------------------------------------------------
 
-def parameters(objects: DataFrame) -> DataFrame:
-    """object_id, ordinal, name, data_type, mode, default_value by the grammar of the dialect."""
-    text = F.col("definition")
-    listed = F.regexp_extract(text, java_pattern(fv.FIRST_PARENTHESES), 1)
-
-    def rows(source: Column, dialect: str, name: int, kind: int, mode, default: int) -> Column:
-        return F.transform(all_matches(source, fv.PARAMETER_PATTERNS[dialect], 4), lambda m: F.struct(
-            m["pos"].alias("ordinal"), F.get(m["g"], F.lit(name)).alias("name"),
-            F.get(m["g"], F.lit(kind)).alias("data_type"), mode(m["g"]).alias("mode"),
-            F.nullif(strip(F.get(m["g"], F.lit(default))), F.lit("")).alias("default_value")))
-
-    def direction(i: int):
-        return lambda g: F.regexp_replace(
-            F.upper(F.when(F.get(g, F.lit(i)) == "", F.lit("IN")).otherwise(F.get(g, F.lit(i)))), r"\s+", "")
-
-    tsql = rows(text, "tsql", 0, 1, lambda g: F.when(F.get(g, F.lit(3)) != "", "INOUT").otherwise("IN"), 2)
-    plpgsql = rows(listed, "plpgsql", 1, 2, direction(0), 3)
-    plsql = rows(listed, "plsql", 0, 2, direction(1), 3)
-    bodies = _bodies(objects).where(~((F.col("dialect") == "plsql") & (F.col("object_type") == "trigger")))
-    chosen = F.when(F.col("dialect") == "tsql", tsql).when(F.col("dialect") == "plpgsql", plpgsql).otherwise(plsql)
-    return bodies.select("object_id", F.explode(chosen).alias("p")).select("object_id", "p.*")
-
-
 def return_types(objects: DataFrame) -> DataFrame:
     chosen = F.lit("")
     for dialect, pattern in fv.RETURN_PATTERNS.items():
