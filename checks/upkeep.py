@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from checks.registry import register
@@ -12,7 +15,8 @@ from procatlas.operators import extract, maintain, metadata, resolve
 from checks.workspace import workspace
 from procatlas.session import cut, fresh_path
 from checks import corpus
-from procatlas.sources import readers, sinks
+from procatlas.plans.analysis import Analysis
+from procatlas.sources import readers, scripts, sinks
 from procatlas.streaming import jobs as streams
 import checks.relations  # noqa: F401
 import checks.rollups  # noqa: F401
@@ -46,6 +50,55 @@ register("s4_foreign_keys", lambda s, sf: corpus.metadata(s, sf, "md_fk"), ["md_
 register("s4_indexes", lambda s, sf: corpus.metadata(s, sf, "md_index"), ["md_index"], "SELECT * FROM md_index")
 
 
+# Script files: a connection's objects by the hundred, closed as the dialect asks for it.  Views outside T-SQL and triggers of PL/pgSQL,
+# whose texts here hold semicolons without a quoted body, stay out.
+_SCRIPTED = "dialect = 'tsql' OR object_type IN ('procedure', 'function') OR (dialect = 'plsql' AND object_type <> 'view')"
+_SCRIPT = "cast(floor(object_id / 300) AS bigint)"
+_ENDS = ("CASE dialect WHEN 'tsql' THEN chr(10) || 'GO' WHEN 'plsql' THEN chr(10) || '/' "
+         "ELSE CASE WHEN contains(definition, '$$') THEN chr(10) || '$$ LANGUAGE plpgsql;' ELSE '' END END")
+
+
+def _script_files(s, sf):
+    """The folder of files: dialect=NAME/script=NUMBER, one file each."""
+    path = fresh_path(s, "scripts")
+    pieces = workspace(s, sf).objects.where(_SCRIPTED).select(
+        "dialect", F.expr(_SCRIPT).alias("script"), "object_id", F.concat("definition", F.expr(_ENDS)).alias("piece"))
+    texts = readers.assemble_lines(pieces, ["dialect", "script"], ["object_id"], "piece", chunk=F.lit(0), separator="\n")
+    texts.repartition("dialect", "script").withColumnRenamed("text", "value").write.partitionBy("dialect", "script").text(path)
+    return path
+
+
+def _from_files(s, sf):
+    """Files to objects, objects to facts: what each object of each file calls and touches."""
+    path = _script_files(s, sf)
+    found = [scripts.read_scripts(s, f"{path}/dialect={d}", d)[0] for d in fv.DEFAULT_SCHEMAS]
+    run = Analysis(s, scripts.catalog_objects(reduce(DataFrame.unionByName, found), F.lit(0), F.current_timestamp()).withColumn(
+        "script", F.regexp_extract("path", "script=([0-9]+)", 1).cast("long")))
+    per = lambda facts, name: facts.groupBy("object_id").agg(F.count(F.lit(1)).alias(name))
+    counts = (run.objects.join(per(run.accesses, "accesses"), "object_id", "left").join(per(run.dependencies, "calls"), "object_id", "left")
+              .join(run.complexity.select("object_id", "cyclomatic", "lines"), "object_id"))
+    return counts.where("number > 0").select(
+        "dialect", "script", "number", "line", "object_type", "schema_name", "object_name", "fqn", "signature",
+        F.coalesce("accesses", F.lit(0)).alias("accesses"), F.coalesce("calls", F.lit(0)).alias("calls"), "cyclomatic",
+        F.sha2(F.regexp_replace("definition", r"\n\$\$ LANGUAGE plpgsql;$", ""), 256).alias("definition_hash"))
+
+
+register("s6_files_to_facts", _from_files, ["objs", "params", "acc", "facts", "cplx"], f"""
+, own AS (SELECT *, {_SCRIPT} AS script, length(definition) - length(replace(definition, chr(10), '')) + 2
+    - CASE WHEN dialect = 'plpgsql' AND NOT contains(definition, '$$') THEN 1 ELSE 0 END AS n_lines
+  FROM objs WHERE {_SCRIPTED}),
+-- a script's own lines in front of an object are those of all objects before it, the anonymous ones too
+placed AS (SELECT *, cast(1 + coalesce(sum(n_lines) OVER (PARTITION BY dialect, script ORDER BY object_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS integer) AS line FROM own)
+SELECT dialect, script, cast(row_number() OVER (PARTITION BY dialect, script ORDER BY object_id) AS integer) AS number, line, object_type,
+  schema_name, object_name, fqn, CASE WHEN object_type IN ('procedure', 'function') THEN coalesce(s.signature, '') ELSE '' END AS signature,
+  coalesce(a.n, 0) AS accesses, coalesce(f.n, 0) AS calls, cyclomatic, sha256(definition) AS definition_hash
+FROM placed JOIN cplx USING (object_id)
+LEFT JOIN (SELECT object_id, string_agg(data_type, ', ' ORDER BY ordinal) AS signature FROM params GROUP BY object_id) s USING (object_id)
+LEFT JOIN (SELECT object_id, count(*) AS n FROM acc GROUP BY object_id) a USING (object_id)
+LEFT JOIN (SELECT object_id, count(*) AS n FROM facts GROUP BY object_id) f USING (object_id)
+WHERE object_type <> 'anonymous'""")
+
+
 def _export(s, sf):
     w = workspace(s, sf)
     folder = fresh_path(s, "export")

@@ -58,35 +58,35 @@ def _last(name: Column) -> Column:
     return F.substring_index(name, ".", -1)
 
 
-def _token(piece: Column, line: Column, following: Column) -> Column:
-    """k, line, name, alias, and whether a bracket follows the name directly, as behind the name of a function."""
-    behind = rf"(?s)^\s*{_AHEAD}({_NAME})(?:\s+(?:AS\s+)?({_PART}))?"
-    opens_query = rf"(?s)^\s*{_AHEAD}{_NAME}\s*(?:AS\s*(?:(?:NOT\s+)?MATERIALIZED\s*)?)?$"
-
-    def kind_of(head: Column) -> Column:
-        def by_word(word: Column) -> Column:
-            kind = F.when(head.isin("(", ")", ",", ";"), head).when(head == SEP, "o").when(F.endswith(word, F.lit("JOIN")), "J")
-            for k in dict.fromkeys(k for k, _, _ in _CLASSES):
-                kind = kind.when(F.regexp_extract(word, "^[A-Z]+", 0).isin([w for c, _, words in _CLASSES if c == k for w in words]), k)
-            return kind
-        return let(F.upper(head), by_word)
-
-    def named(t: Column) -> Column:
-        def shaped(found: Column) -> Column:
-            name, alias = _plain(F.get(found, F.lit(0))), F.upper(_plain(F.get(found, F.lit(1))))
-            return F.struct(
-                t["k"].alias("k"), line.alias("line"),
-                F.when(F.upper(_last(name)).isin(fv.NON_TABLE_WORDS + _NO_TARGET), "").otherwise(name).alias("name"),
-                F.when(alias.isin(_NO_ALIAS), "").otherwise(alias).alias("alias"),
-                (t["k"].isin("W", ",") & (following == "(") & has(t["rest"], opens_query)).alias("query"),
-                ((following == "(") & has(t["rest"], r"""[\w\]"]$""")).alias("call"))
-
-        wanted = t["k"].isin("F", "J", "U", "N", "I", "P", "D", "M", "T", "W", ",")
-        groups = F.array(*(F.regexp_extract(t["rest"], java_pattern(behind), n) for n in (1, 2)))
-        return let(F.when(wanted, groups).otherwise(F.array(F.lit(""), F.lit(""))), shaped)
-
-    parts = F.struct(kind_of(F.substring_index(piece, STOP, 1)).alias("k"), F.substring_index(piece, STOP, -1).alias("rest"))
-    return let(parts, named)
+def _kind(head: Column) -> Column:
+    """Class of a token."""
+    def by_word(word: Column) -> Column:
+        kind = F.when(word == SEP, "o").when(word.isin("(", ")", ",", ";"), word).when(F.endswith(word, F.lit("JOIN")), "J")
+        for k in dict.fromkeys(k for k, _, _ in _CLASSES):
+            kind = kind.when(F.substring_index(word, " ", 1).isin([w for c, _, words in _CLASSES if c == k for w in words]), k)
+        return kind
+
+    return let(F.upper(F.translate(head, "\n\t\r", "   ")), by_word)
+
+
+_BEHIND = rf"(?s)^\s*{_AHEAD}({_NAME})(?:\s+(?:AS\s+)?({_PART}))?"
+_OPENS_QUERY = rf"(?s)^\s*{_AHEAD}{_NAME}\s*(?:AS\s*(?:(?:NOT\s+)?MATERIALIZED\s*)?)?$"
+_NAMING = ("F", "J", "U", "N", "I", "P", "D", "M", "T", "W", ",")
+
+
+def _names(t: Column) -> Column:
+    """name and alias behind a token, whether a query name is declared there, and whether the name is that of a function."""
+    def shaped(found: Column) -> Column:
+        name, alias = _plain(F.get(found, F.lit(0))), F.upper(_plain(F.get(found, F.lit(1))))
+        return F.struct(
+            F.when(F.upper(_last(name)).isin(fv.NON_TABLE_WORDS + _NO_TARGET), "").otherwise(name).alias("name"),
+            F.when(alias.isin(_NO_ALIAS), "").otherwise(alias).alias("alias"),
+            (t["k"].isin("W", ",") & t["bracket"] & has(t["rest"], _OPENS_QUERY)).alias("query"),
+            (t["bracket"] & has(t["rest"], r"""[\w\]"]$""")).alias("call"))
+
+    groups = F.array(*(F.regexp_extract(t["rest"], java_pattern(_BEHIND), n) for n in (1, 2)))
+    return let(F.when(t["k"].isin(*_NAMING), groups).otherwise(F.array(F.lit(""), F.lit(""))), shaped)
+
 
 def _tokens(text: Column) -> Column:
     """Tokens of a text in order, closed by a semicolon; a token ``o`` opens each line that starts a statement (so does WITH)."""
@@ -97,17 +97,18 @@ def _tokens(text: Column) -> Column:
     def cut(p: Column) -> Column:
         rest = F.slice(p["pieces"], 2, F.greatest(F.size(p["pieces"]) - 1, F.lit(0)))
         following = lambda i: F.substring(F.coalesce(F.get(p["pieces"], i + 2), F.lit("")), 1, 1)
-        all_tokens = F.transform(rest, lambda piece, i: _token(piece, F.get(p["lines"], i), following(i)))
-        end = F.struct(F.lit(";").alias("k"), F.lit(0).alias("line"), F.lit("").alias("name"), F.lit("").alias("alias"),
-                       F.lit(False).alias("query"), F.lit(False).alias("call"))
+        all_tokens = F.transform(rest, lambda piece, i: F.struct(
+            _kind(F.substring_index(piece, STOP, 1)).alias("k"), F.get(p["lines"], i).alias("line"),
+            F.substring_index(piece, STOP, -1).alias("rest"), (following(i) == "(").alias("bracket")))
+        end = F.struct(F.lit(";").alias("k"), F.lit(0).alias("line"), F.lit("").alias("rest"), F.lit(False).alias("bracket"))
         return F.concat(all_tokens, F.array(end))
 
     return let(marked, lambda m: let(F.struct(F.split(m, START, -1).alias("pieces"), line_numbers(m).alias("lines")), cut))
 
 
-def _seen(acc: Column, t: Column, tsql: Column) -> Column:
+def _seen(acc: Column, k: Column, t: Column, tsql: Column) -> Column:
     """What a token means in the state: used by the next state and by the rows that leave."""
-    k, top, depth = t["k"], F.right(acc["stack"], F.lit(1)), F.length(acc["stack"])
+    top, depth = F.right(acc["stack"], F.lit(1)), F.length(acc["stack"])
     named = t["name"] != ""
     bare = ~F.contains(t["name"], F.lit("."))
     target = k.isin("I", "P", "D", "M", "T") & named
@@ -125,7 +126,7 @@ def _seen(acc: Column, t: Column, tsql: Column) -> Column:
     table = ~(bare & F.array_contains(acc["queries"], F.upper(t["name"])))
     return F.struct(top.alias("top"), depth.alias("depth"), target.alias("target"), query.alias("query"), ends.alias("ends"),
                     (source & table & ~found).alias("source"), (into & table).alias("into"), found.alias("found"),
-                    over.alias("over"), (target & table).alias("write"), source.alias("from"))
+                    over.alias("over"), (target & table).alias("write"), source.alias("from"), t["name"].alias("name"))
 
 
 def _next(acc: Column, t: Column, s: Column) -> Column:
@@ -153,8 +154,8 @@ def _next(acc: Column, t: Column, s: Column) -> Column:
     return F.struct(
         stack.alias("stack"), line.alias("line"),
         ((k == "Q") | acc["joined"] & ~k.isin("S", ";", "X")).alias("joined"),
-        F.when(s["query"], F.concat(kept, F.array(F.upper(t["name"])))).otherwise(kept).alias("queries"),
-        old(k, "kind", "").alias("kind"), old(t["name"], "target", "").alias("target"),
+        F.when(s["query"], F.concat(kept, F.array(F.upper(s["name"])))).otherwise(kept).alias("queries"),
+        old(k, "kind", "").alias("kind"), old(s["name"], "target", "").alias("target"),
         old(F.when(acc["line"] > 0, acc["line"]).otherwise(t["line"]), "at", F.lit(0)).alias("at"),
         old(s["depth"], "depth", F.lit(0)).alias("depth"))
 
@@ -168,10 +169,10 @@ def _rows(acc: Column, t: Column, s: Column) -> Column:
     row = lambda name, op, at: F.array(F.struct(name.alias("full_table_name"), op.alias("operation"), at.alias("line")))
     own = ~F.array_contains(acc["queries"], F.upper(acc["target"]))
     none = F.expr(f"cast(array() as array<{_ROW}>)")
-    waited = (F.when(s["found"], row(t["name"], op_of(acc["kind"]), acc["at"]))
+    waited = (F.when(s["found"], row(s["name"], op_of(acc["kind"]), acc["at"]))
               .when(s["over"] & own, row(acc["target"], op_of(acc["kind"]), acc["at"])).otherwise(none))
-    now = (F.when(s["source"], row(t["name"], F.lit("SELECT"), line)).when(s["into"], row(t["name"], F.lit("INSERT"), line))
-           .when(s["write"] & t["k"].isin("I", "M", "T"), row(t["name"], op_of(t["k"]), line)).otherwise(none))
+    now = (F.when(s["source"], row(s["name"], F.lit("SELECT"), line)).when(s["into"], row(s["name"], F.lit("INSERT"), line))
+           .when(s["write"] & t["k"].isin("I", "M", "T"), row(s["name"], op_of(t["k"]), line)).otherwise(none))
     return F.when(s["found"] | s["over"] | s["source"] | s["into"] | s["write"], F.concat(waited, now)).otherwise(none)
 
 
@@ -185,11 +186,26 @@ def access_array(text: Column, dialect: Column) -> Column:
     start = F.struct(F.lit("-").alias("stack"), F.lit(0).alias("line"), F.lit(False).alias("joined"),
                      F.expr("cast(array() as array<string>)").alias("queries"), F.lit("").alias("kind"), F.lit("").alias("target"),
                      F.lit(0).alias("at"), F.lit(0).alias("depth"))
+    fields = ["stack", "line", "joined", "queries", "kind", "target", "at", "depth"]
+    none = F.expr(f"cast(array() as array<{_ROW}>)")
+
+    def simple(acc: Column, t: Column, wrap, full) -> Column:
+        """Most tokens change one field at most; ``full`` is for the others."""
+        k, top = t["k"], F.right(acc["stack"], F.lit(1))
+        but = lambda name, value: F.struct(*(value.alias(f) if f == name else acc[f].alias(f) for f in fields))
+        less = F.left(acc["stack"], F.greatest(F.length(acc["stack"]) - 1, F.lit(1)))
+        return (F.when((k == ",") & ~top.isin("f", "w") | (k == "0"), wrap(acc))
+                .when(k == "(", wrap(but("stack", F.concat(acc["stack"], F.lit("-")))))
+                .when(k == "o", wrap(but("line", t["line"])))
+                .when((k == ")") & (acc["target"] == ""), wrap(but("stack", less)))
+                .otherwise(let(_names(t), lambda n: let(_seen(acc, k, n, tsql), lambda s: full(acc, t, s)))))
+
     def step(acc: Column, t: Column) -> Column:
-        return let(_seen(acc, t, tsql), lambda s: _next(acc, t, s))
+        return simple(acc, t, lambda state: state, _next)
 
     def both(acc: Column, t: Column) -> Column:
-        return let(_seen(acc, t, tsql), lambda s: F.struct(_next(acc, t, s).alias("state"), _rows(acc, t, s).alias("out")))
+        pair = lambda state, out: F.struct(state.alias("state"), out.alias("out"))
+        return simple(acc, t, lambda state: pair(state, none), lambda *x: pair(_next(*x), _rows(*x)))
 
     names_some = has(text, r"\b(?:FROM|INTO|INSERT|UPDATE|DELETE|MERGE|TRUNCATE)\b")
     return F.when(names_some, let(_tokens(text), lambda tokens: scan(tokens, start, step, None, _ROW, both=both)))

@@ -87,7 +87,8 @@ def parameter_list(text: Column, dialect: Column) -> Column:
     return F.filter(let(copies, after_name), lambda p: p != "")
 
 
-def _row(piece: Column, i: Column, dialect: Column) -> Column:
+def row_of(piece: Column, i: Column, dialect: Column) -> Column:
+    """One parameter as written, read by the grammar of the dialect; null if it does not fit."""
     def group(pattern: str, *numbers: int) -> Column:
         found = F.lit("")
         for n in reversed(numbers):
@@ -126,5 +127,5 @@ def parameters(objects: DataFrame) -> DataFrame:
     is called $1, $2...
     """
     pieces = parameter_list(F.col("definition"), F.col("dialect"))
-    rows = F.filter(F.transform(pieces, lambda p, i: _row(p, i, F.col("dialect"))), lambda r: r.isNotNull())
+    rows = F.filter(F.transform(pieces, lambda p, i: row_of(p, i, F.col("dialect"))), lambda r: r.isNotNull())
     return objects.where(F.col("object_type") != "view").select("object_id", F.explode(rows).alias("p")).select("object_id", "p.*")

@@ -75,12 +75,12 @@ def canonical_dialect(name: Column) -> Column:
     return F.element_at(F.create_map(*pairs), F.lower(name))
 
 
-def admit(texts: DataFrame, text: str = "sql", dialect: str = "dialect") -> DataFrame:
-    """Admission check: adds ``canonical``, ``accepted`` and ``reason``."""
+def admit(texts: DataFrame, text: str = "sql", dialect: str = "dialect", max_length: int | None = fv.MAX_TEXT_LENGTH) -> DataFrame:
+    """Admission check: adds ``canonical``, ``accepted`` and ``reason``; without ``max_length`` texts of any length go on."""
     canonical = canonical_dialect(F.col(dialect))
     reason = (
         F.when(strip(F.coalesce(F.col(text), F.lit(""))) == "", F.lit("blank text"))
-        .when(F.length(text) > fv.MAX_TEXT_LENGTH, F.lit("text too long"))
+        .when(F.lit(False) if max_length is None else F.length(text) > max_length, F.lit("text too long"))
         .when(canonical.isNull(), F.lit("unknown dialect"))
     )
     return texts.withColumn("canonical", canonical).withColumn("reason", reason).withColumn(
