@@ -47,9 +47,16 @@ def components(edges: DataFrame, src: str = "a", dst: str = "b") -> DataFrame:
 _shipped: set[str] = set()
 
 
+#: Rows of an Arrow batch: whole texts are among them, so far fewer than Spark sends by default.
+BATCH_ROWS = 1000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def ship(spark: SparkSession) -> None:
-    """Give the executors' Python workers this package, once per application."""
+    """Give the executors' Python workers this package, once per application, and texts in small batches."""
     app = spark.sparkContext.applicationId
+    if not 0 < int(spark.conf.get(_BATCH)) <= BATCH_ROWS:
+        spark.conf.set(_BATCH, str(BATCH_ROWS))
     if app in _shipped:
         return
     root = Path(__file__).resolve().parents[1]

@@ -2,16 +2,16 @@
 
 All shingles stand in one global order: rare ones first, frequent ones last, by hash inside a frequency class.  A
 document's sorted set is cut where the order is cut into fragments; overlaps of a pair are counted in each fragment
-alone and summed per pair.
+alone and summed per pair.  Equal sets are one node, known by a digest of the set.
 
 1. Scan: size and digest of every set; shingles that several documents of one task hold are reported, and the most
    frequent get the last classes.  The order steers cost only; results are the same for every order.
 2. Leading fragment: two sets whose similarity is at least t share one of their first ``n - ceil(t n) + 1`` shingles,
-   so only those are grouped.  Equal sets count as one node, under their smallest doc_id.
-3. Pairs inside a group are not all tested: first each member against the group's most central member, then only
-   pairs whose ends are still in different components.  No link that joins two components is lost.  The overlap in
-   the leading fragment already rules out most pairs.
-4. Remaining pairs: full sets are cut into fragments, overlaps counted per fragment and summed.
+   so only those are grouped, in one shuffle.  Groups of a very frequent shingle are dealt to several tasks.
+3. Hub pairs: each member of a group with the group's first member; these settle most components.
+4. Cross pairs: of each group all pairs whose ends are still in different components, with the number of leading
+   shingles they share, which rules out most of them.  No link that joins two components is lost.
+5. Pairs of both kinds: full sets are cut into fragments, overlaps counted per fragment and summed.
 """
 
 from __future__ import annotations
@@ -20,11 +20,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from procatlas.llm.shared import components, is_empty
-from procatlas.llm.words import many, shingles
+from procatlas.llm.terms import texts
+from procatlas.llm.words import mix, shingles
 from procatlas.session import cut
 
 TOP = np.uint64(1 << 63)
@@ -32,6 +33,10 @@ TOP = np.uint64(1 << 63)
 OFTEN_IN_TASK = 3
 #: So many of the most frequent shingles go to the end of the order (9 bytes each in every task).
 ORDER_TAIL = 400_000
+#: A leading shingle that more documents hold is dealt to several tasks, of about so many documents each.
+GROUP_ROWS = 8192
+#: Sets that a task remembers so as not to repeat them.
+REMEMBERED = 100_000
 
 
 def _signed(x: np.ndarray) -> np.ndarray:
@@ -39,21 +44,27 @@ def _signed(x: np.ndarray) -> np.ndarray:
     return (x ^ TOP).view(np.int64)
 
 
-def _digest(grams: np.ndarray) -> tuple[int, int]:
+def _digest(grams: np.ndarray) -> int:
+    """64 bits that tell a set from others, as a signed number; 0 for the empty set."""
     if not grams.size:
-        return 0, 0
+        return 0
     a = np.bitwise_xor.reduce(grams * np.uint64(0x9E3779B97F4A7C15) ^ (grams >> np.uint64(29)))
     b = (grams * (grams | np.uint64(1))).sum(dtype=np.uint64)
-    return int(a.view(np.int64)), int(b.view(np.int64))
+    return int(mix(np.array([a ^ mix(np.array([b]))[0] ^ np.uint64(grams.size)]))[0].view(np.int64))
+
+
+def _sets(batch: pa.RecordBatch, column: int, width: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(row, shingles) of a batch, a few texts at a time."""
+    for row, text in texts(batch, column):
+        yield row, shingles(text, width)
 
 
 def scan(docs: DataFrame, width: int) -> DataFrame:
-    """kind 0: (doc_id, n, k1, k2) of every row; kind 1: k1 = shingle, n = documents of this task that hold it."""
+    """kind 0: (doc_id, n, node) of every row; kind 1: node = shingle, n = documents of this task that hold it."""
 
-    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
-        cols = list(zip(*rows)) or [[]] * 5
-        return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *(pa.array(c, pa.int64()) for c in cols[1:])],
-                                          names=["kind", "doc_id", "n", "k1", "k2"])
+    def batch_of(kind: int, doc_id: pa.Array, n, node) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(n), kind, np.int32)), doc_id, pa.array(n, pa.int64()), pa.array(node, pa.int64())],
+                                          names=["kind", "doc_id", "n", "node"])
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often, pending, waiting = (np.zeros(0, np.uint64), np.zeros(0, np.int64)), [], 0
@@ -66,24 +77,23 @@ def scan(docs: DataFrame, width: int) -> DataFrame:
             often = both[total >= least], total[total >= least]
 
         for batch in batches:
-            rows = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), many(batch.column(1).to_pylist())):
-                grams = shingles(text, width)
-                rows.append((0, doc_id, grams.size, *_digest(grams)))
+            sizes, nodes = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
+            for row, grams in _sets(batch, 1, width):
+                sizes[row], nodes[row] = grams.size, _digest(grams)
                 pending.append(grams)
                 waiting += grams.size
                 if waiting > 1_000_000:
                     count(2)
                     pending, waiting = [], 0
-            yield batch_of(rows)
+            yield batch_of(0, batch.column(0), sizes, nodes)
         if pending:
             count(OFTEN_IN_TASK)
         gram, n = often
         for at in range(0, gram.size, 20_000):
             part = slice(at, at + 20_000)
-            yield batch_of([(1, None, k, g, 0) for g, k in zip(gram[part].view(np.int64).tolist(), n[part].tolist())])
+            yield batch_of(1, pa.nulls(gram[part].size, pa.int64()), n[part], gram[part].view(np.int64))
 
-    return docs.select("doc_id", "text").mapInArrow(task, "kind int, doc_id long, n long, k1 long, k2 long")
+    return docs.select("doc_id", "text").mapInArrow(task, "kind int, doc_id long, n long, node long")
 
 
 class Order:
@@ -91,8 +101,12 @@ class Order:
 
     def __init__(self, grams: np.ndarray, held: np.ndarray):
         at = np.argsort(grams)
-        self.grams = grams[at]
-        self.classes = np.clip(np.log2(np.maximum(held[at], 2)).astype(np.int64) // 2 + 1, 1, 7).astype(np.uint64)
+        self.grams, held = grams[at], held[at]
+        self.classes = np.clip(np.log2(np.maximum(held, 2)).astype(np.int64) // 2 + 1, 1, 7).astype(np.uint64)
+        many = held > GROUP_ROWS
+        keys = (self.grams[many] >> np.uint64(3)) | (self.classes[many] << np.uint64(61))
+        at = np.argsort(keys)
+        self.heavy, self.parts = keys[at], (held[many][at] // GROUP_ROWS + 1)
 
     def keys(self, grams: np.ndarray) -> np.ndarray:
         key = grams >> np.uint64(3)
@@ -103,48 +117,96 @@ class Order:
         key.sort()
         return key
 
+    def part(self, keys: np.ndarray, nodes: np.ndarray) -> np.ndarray:
+        """Part of a very frequent shingle that a node is dealt to, from 1; 0 for all others."""
+        out = np.zeros(keys.size, np.int32)
+        if self.heavy.size:
+            at = np.searchsorted(self.heavy, keys)
+            at[at == self.heavy.size] = 0
+            hit = self.heavy[at] == keys
+            out[hit] = mix(nodes[hit].view(np.uint64)) % self.parts[at[hit]].astype(np.uint64) + np.uint64(1)
+        return out
+
 
 def _head(n: int, percent: int) -> int:
     return n - (percent * n + 99) // 100 + 1
 
 
 def leading(docs: DataFrame, width: int, percent: int, order: Order) -> DataFrame:
-    """(gram, doc_id, n, pos): the first order keys of every set; sets that a task has met before are left out
-    unless their doc_id is smaller."""
+    """(gram, part, node, n): the first order keys of every set; a set that the task has met before is left out."""
     shared = docs.sparkSession.sparkContext.broadcast(order)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        met: dict[tuple[int, int], int] = {}
+        met: set[int] = set()
+
+        def batch_of(heads: list[np.ndarray], nodes: list[int], sizes: list[int]) -> pa.RecordBatch:
+            each = np.array([h.size for h in heads])
+            key, node = np.concatenate(heads), np.repeat(np.array(nodes, np.int64), each)
+            return pa.RecordBatch.from_arrays([pa.array(_signed(key)), pa.array(shared.value.part(key, node)), pa.array(node),
+                                               pa.array(np.repeat(np.array(sizes, np.int32), each))], names=["gram", "part", "node", "n"])
+
         for batch in batches:
-            ids, sizes, heads = [], [], []
-            for doc_id, text in zip(batch.column(0).to_pylist(), many(batch.column(1).to_pylist())):
-                if doc_id is None:
-                    continue
-                grams = shingles(text, width)
-                same = _digest(grams)
-                if not grams.size or met.get(same, doc_id + 1) <= doc_id:
+            out, rows = ([], [], []), 0
+            for _, grams in _sets(batch, 0, width):
+                node = _digest(grams)
+                if not grams.size or node in met:
                     continue
-                if len(met) < 100_000 or same in met:
-                    met[same] = doc_id
-                heads.append(shared.value.keys(grams)[:_head(grams.size, percent)])
-                ids.append(doc_id)
-                sizes.append(grams.size)
-            if heads:
-                each = np.array([h.size for h in heads])
-                pos = np.concatenate([np.arange(k, dtype=np.int32) for k in each])
+                if len(met) < REMEMBERED:
+                    met.add(node)
+                for c, value in zip(out, (shared.value.keys(grams)[:_head(grams.size, percent)], node, grams.size)):
+                    c.append(value)
+                rows += out[0][-1].size
+                if rows > 200_000:
+                    yield batch_of(*out)
+                    out, rows = ([], [], []), 0
+            if rows:
+                yield batch_of(*out)
+
+    return docs.select("text").mapInArrow(task, "gram long, part int, node long, n int")
+
+
+def grouped(heads: DataFrame) -> DataFrame:
+    """``heads`` without repeats and without shingles of one set alone, each row with its group's first member (hub, nh).
+
+    Rows stream through sorted by group, so a group may have any size.  A part of a very frequent shingle may have one row.
+    """
+    key = ["gram", "part"]
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hub, sent = np.zeros((4, 0), np.int64), False  # first member of the group that is open, and whether it has gone out
+        last = np.zeros((4, 0), np.int64)
+        for batch in batches:
+            rows = np.stack([c.to_numpy().astype(np.int64) for c in batch.columns])
+            before = np.concatenate([last, rows], axis=1)[:3]
+            fresh = np.concatenate([np.ones(1 - last.shape[1], bool), (before[:, 1:] != before[:, :-1]).any(axis=0)])
+            last = rows[:, -1:]
+            ahead = np.concatenate([hub, rows[:, fresh]], axis=1)
+            if ahead.shape[1] == hub.shape[1]:
+                continue
+            opens = np.concatenate([[True], (ahead[:2, 1:] != ahead[:2, :-1]).any(axis=0)])
+            first = np.maximum.accumulate(np.where(opens, np.arange(opens.size), 0))
+            goes = ~opens | np.concatenate([~opens[1:], [False]]) | (ahead[1] > 0)
+            if hub.shape[1] and sent:
+                goes[0] = False
+            out = np.flatnonzero(goes)
+            if out.size:
+                gram, part, node, n = ahead[:, out]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(_signed(np.concatenate(heads))), pa.array(np.repeat(np.array(ids, np.int64), each)),
-                     pa.array(np.repeat(np.array(sizes, np.int32), each)), pa.array(pos)],
-                    names=["gram", "doc_id", "n", "pos"])
+                    [pa.array(gram), pa.array(part.astype(np.int32)), pa.array(node), pa.array(n.astype(np.int32)),
+                     pa.array(ahead[2, first[out]]), pa.array(ahead[3, first[out]].astype(np.int32))], names=["gram", "part", "node", "n", "hub", "nh"])
+            end = int(first[-1])
+            sent = bool(goes[end]) or (end == 0 and bool(hub.shape[1]) and sent)
+            hub = ahead[:, end:end + 1]
 
-    return docs.select("doc_id", "text").mapInArrow(task, "gram long, doc_id long, n int, pos int")
+    return (heads.repartition(*key).sortWithinPartitions(*key, "node").select(*key, "node", "n")
+            .mapInArrow(task, "gram long, part int, node long, n int, hub long, nh int"))
 
 
 class Members:
-    """Bits by hashed doc_id of the documents a step needs: the others need not be read or moved.
+    """Bits by hashed node of the sets a step needs: the others need not be moved.
 
-    Some others pass too, so the result is joined with the ids after.  There are 16 bits for each id, up to ``MOST_BITS``;
-    only 64-bit words of the table come to the driver, never ids.
+    Some others pass too and find no pair later.  There are 16 bits for each node, up to ``MOST_BITS``; only 64-bit words
+    of the table come to the driver, never nodes.
     """
 
     MOST_BITS = 1 << 25
@@ -154,138 +216,139 @@ class Members:
         while size < min(16 * wanted.count(), self.MOST_BITS):
             size *= 2
         self.mask = np.uint64(size - 1)
-        place = F.xxhash64("doc_id").bitwiseAND(F.lit(size - 1))
-        words = (wanted.select(F.shiftright(place, 6).alias("word"), F.expr("shiftleft(1L, cast(xxhash64(doc_id) & 63 as int))").alias("bit"))
+        place = F.col("node").bitwiseAND(F.lit(size - 1))  # a node is a digest, so its last bits are a hash
+        words = (wanted.select(F.shiftright(place, 6).alias("word"), F.expr("shiftleft(1L, cast(node & 63 as int))").alias("bit"))
                  .groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas())
         self.words = np.zeros(size >> 6, np.uint64)
         self.words[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64).view(np.uint64)
 
-    def holds(self, hashed: np.ndarray) -> np.ndarray:
-        place = hashed.view(np.uint64) & self.mask
-        return (self.words[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63))) & np.uint64(1) == 1
+    def __contains__(self, node: int) -> bool:
+        place = node & int(self.mask)
+        return bool(int(self.words[place >> 6]) >> (place & 63) & 1)
 
 
 def fragments(docs: DataFrame, width: int, order: Order, members: Members) -> DataFrame:
-    """(doc_id, fragment, grams) of the documents in ``members``: full sets, cut where the global order is cut (eight
-    ranges of the first class, then one for each further class)."""
+    """(node, fragment, grams) of the sets in ``members``: full sets, cut where the global order is cut (eight ranges of
+    the first class, then one for each further class); a set that the task has met before is left out."""
     shared = docs.sparkSession.sparkContext.broadcast((order, members))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        order, members = shared.value
+        met: set[int] = set()
+
+        def batch_of(nodes: list[int], parts: list[int], grams: list[np.ndarray]) -> pa.RecordBatch:
+            ends = np.cumsum([0, *(g.size for g in grams)], dtype=np.int32)
+            return pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(parts, pa.int32()),
+                                               pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(grams)))], names=["node", "fragment", "grams"])
+
         for batch in batches:
-            out, (order, members) = [[], [], []], shared.value
-            batch = batch.filter(pa.array(members.holds(batch.column(2).to_numpy(zero_copy_only=False))))
-            for doc_id, text in zip(batch.column(0).to_pylist(), many(batch.column(1).to_pylist())):
-                key = order.keys(shingles(text, width))
+            out, size = ([], [], []), 0
+            for _, grams in _sets(batch, 0, width):
+                node = _digest(grams)
+                if not grams.size or node not in members or node in met:
+                    continue
+                if len(met) < REMEMBERED:
+                    met.add(node)
+                key = order.keys(grams)
                 top = (key >> np.uint64(58)).astype(np.int64)
-                part = np.where(top < 8, top, 7 + (top >> 3))
-                for f in np.unique(part):
-                    out[0].append(doc_id)
-                    out[1].append(int(f))
-                    out[2].append(_signed(key[part == f]))
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()),
-                                              pa.array(out[2], pa.list_(pa.int64()))], names=["doc_id", "fragment", "grams"])
+                part = np.where(top < 8, top, 7 + (top >> 3))  # grows with the key
+                edge = np.flatnonzero(np.diff(part)) + 1
+                for f, piece in zip(part[np.concatenate([[0], edge])].tolist(), np.split(_signed(key), edge)):
+                    for c, value in zip(out, (node, f, piece)):
+                        c.append(value)
+                size += key.size
+                if size > 200_000:
+                    yield batch_of(*out)
+                    out, size = ([], [], []), 0
+            if size:
+                yield batch_of(*out)
 
-    return docs.select("doc_id", "text", F.xxhash64("doc_id").alias("h")).mapInArrow(task, "doc_id long, fragment int, grams array<long>")
+    return docs.select("text").mapInArrow(task, "node long, fragment int, grams array<long>")
 
 
 class _Join:
     """What the steps share: the documents, the order, the groups of the leading fragment."""
 
-    def __init__(self, docs: DataFrame, reps: DataFrame, width: int, percent: int, order: Order):
+    def __init__(self, docs: DataFrame, width: int, percent: int, order: Order):
         self.docs, self.width, self.percent, self.order = docs, width, percent, order
-        by_gram = Window.partitionBy("gram")
-        met = (leading(docs, width, percent, order).withColumn("held", F.count("*").over(by_gram)).where("held > 1").drop("held"))
-        met = cut(met.join(reps, "doc_id", "left_semi").distinct(), "met")
-        lists = cut(met.withColumn("held", F.count("*").over(by_gram)).where("held > 1"), "lists")
-        self.heads = cut(lists.groupBy("doc_id").agg(F.first("n").alias("n"), F.collect_set("gram").alias("grams"),
-                                                     (F.sum("held") / F.first("n")).alias("central")), "heads")
-        self.lists = cut(lists.join(self.heads.select("doc_id", "central"), "doc_id"), "lists")
-
-    def near_size(self):
-        """Sizes that allow the threshold, and positions in the leading part that allow the overlap it needs."""
-        need = F.ceil(self.percent * (F.col("na") + F.col("nb")) / (100 + self.percent))
-        return ((F.lit(100) * F.least("na", "nb") >= self.percent * F.greatest("na", "nb"))
-                & (F.col("pa") <= F.col("na") - need) & (F.col("pb") <= F.col("nb") - need))
+        self.lists = cut(grouped(leading(docs, width, percent, order)), "lists")
+
+    def _counted(self, met: DataFrame) -> DataFrame:
+        """(a, na, b, nb) of the pairs met in groups, whose number of common leading shingles leaves the threshold within reach.
+
+        The set whose leading part ends first in the order has all its common shingles of that part in the other's
+        leading part too, so the overlap is at most this number plus what follows the leading part.
+        """
+        rest = lambda n: F.ceil(self.percent * F.col(n) / 100) - 1
+        most = F.col("shared") + F.greatest(rest("na"), rest("nb"))
+        return (met.where(F.lit(100) * F.least("na", "nb") >= self.percent * F.greatest("na", "nb"))
+                .groupBy("a", "na", "b", "nb").agg(F.count("*").alias("shared"))
+                .where((100 + self.percent) * most >= self.percent * (F.col("na") + F.col("nb"))).drop("shared"))
 
     def to_hubs(self) -> DataFrame:
-        """Each member of a group with the group's most central member."""
-        hub = (self.lists.groupBy("gram").agg(F.min(F.struct(-F.col("central"), "doc_id", "n", "pos")).alias("h"))
-               .select("gram", F.col("h.doc_id").alias("hub"), F.col("h.n").alias("nh"), F.col("h.pos").alias("ph")))
-        first = F.col("hub") < F.col("doc_id")
-        pick = lambda x, y: F.when(first, F.col(x)).otherwise(F.col(y))
-        return (self.lists.join(hub, "gram").where("hub <> doc_id")
-                .select(pick("hub", "doc_id").alias("a"), pick("nh", "n").alias("na"), pick("ph", "pos").alias("pa"),
-                        pick("doc_id", "hub").alias("b"), pick("n", "nh").alias("nb"), pick("pos", "ph").alias("pb"))
-                .where(self.near_size()).select("a", "na", "b", "nb").distinct())
+        """Each member of a group with its first member, and the first members of a shingle's parts with the first of them.
+
+        A pair is counted only where its smaller node opens the group, so some similar pairs stay out; ``across`` has them.
+        """
+        pair = lambda rows, hub, nh: rows.select(F.col(hub).alias("a"), F.col(nh).alias("na"), F.col("node").alias("b"), F.col("n").alias("nb"))
+        hubs = self.lists.where("part > 0 AND hub = node")
+        first = hubs.groupBy("gram").agg(F.min(F.struct("node", "n")).alias("f")).select("gram", F.col("f.node").alias("top"), F.col("f.n").alias("nt"))
+        return self._counted(pair(self.lists.where("hub <> node"), "hub", "nh").union(pair(hubs.join(first, "gram").where("top <> node"), "top", "nt")))
 
     def across(self, labels: DataFrame) -> DataFrame:
         """Pairs of a group whose ends are in different components."""
-        named = (self.lists.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-                 .withColumn("label", F.coalesce("component", "doc_id")))
+        named = cut(self.lists.select("gram", "node", "n").join(labels, "node", "left")
+                    .withColumn("label", F.coalesce("component", "node")).drop("component"), "named")
         split = named.groupBy("gram").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y")
-        open_ = cut(named.join(split.select("gram"), "gram", "left_semi"), "open")
-        side = lambda d, n, p, k: open_.select("gram", F.col("doc_id").alias(d), F.col("n").alias(n),
-                                               F.col("pos").alias(p), F.col("label").alias(k))
-        return (side("a", "na", "pa", "ka").join(side("b", "nb", "pb", "kb"), "gram")
-                .where((F.col("a") < F.col("b")) & (F.col("ka") != F.col("kb")) & self.near_size())
-                .select("a", "na", "b", "nb").distinct())
+        open_ = named.join(split.select("gram"), "gram", "left_semi")
+        side = lambda d, n, k: open_.select("gram", F.col("node").alias(d), F.col("n").alias(n), F.col("label").alias(k))
+        return self._counted(side("a", "na", "ka").join(side("b", "nb", "kb"), "gram").where("a < b AND ka <> kb"))
 
     def similar(self, pairs: DataFrame, label: str) -> DataFrame:
         """The pairs (a, b) that reach the threshold."""
-        pairs = cut(self._promising(pairs), label)
+        pairs = cut(pairs, label)
         if is_empty(pairs):
             return pairs.select("a", "b")
-        wanted = cut(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "wanted")
-        sets = cut(fragments(self.docs, self.width, self.order, Members(wanted)).join(wanted, "doc_id", "left_semi")
-                   .dropDuplicates(["doc_id", "fragment"]), "fragments")
-        left = sets.select(F.col("doc_id").alias("a"), "fragment", F.col("grams").alias("ga"))
-        right = sets.select(F.col("doc_id").alias("b"), "fragment", F.col("grams").alias("gb"))
+        wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+        sets = cut(fragments(self.docs, self.width, self.order, Members(wanted)).groupBy("node", "fragment").agg(F.first("grams").alias("grams")), "fragments")
+        left = sets.select(F.col("node").alias("a"), "fragment", F.col("grams").alias("ga"))
+        right = sets.select(F.col("node").alias("b"), "fragment", F.col("grams").alias("gb"))
         return cut(pairs.join(left, "a").join(right, ["b", "fragment"])
                    .select("a", "na", "b", "nb", F.size(F.array_intersect("ga", "gb")).cast("long").alias("part"))
                    .groupBy("a", "na", "b", "nb").agg(F.sum("part").alias("common"))
                    .where(F.lit(100) * F.col("common") >= self.percent * (F.col("na") + F.col("nb") - F.col("common")))
                    .select("a", "b"), "similar")
 
-    def _promising(self, pairs: DataFrame) -> DataFrame:
-        """Pairs whose count in the leading fragment leaves the threshold within reach.
-
-        The set whose leading part ends first in the order has all its common shingles of that part in the other's
-        leading part too, so the overlap is at most this count plus what follows the leading part.
-        """
-        rest = lambda n: F.ceil(self.percent * F.col(n) / 100) - 1
-        left = self.heads.select(F.col("doc_id").alias("a"), F.col("grams").alias("ga"))
-        right = self.heads.select(F.col("doc_id").alias("b"), F.col("grams").alias("gb"))
-        most = F.size(F.array_intersect("ga", "gb")) + F.greatest(rest("na"), rest("nb"))
-        return (pairs.join(left, "a").join(right, "b")
-                .where((100 + self.percent) * most >= self.percent * (F.col("na") + F.col("nb"))).select("a", "na", "b", "nb"))
-
 
 def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 75, order_tail: int = ORDER_TAIL) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of ``docs`` (doc_id, text; other columns are ignored).
 
     Two documents link when their sets of ``width``-word shingles have a Jaccard similarity of ``percent`` / 100 or
     more.  ``component_id`` is the smallest doc_id reachable by links.  Null and empty texts have size 0 and link with
-    nothing.  Rows that repeat a doc_id stay rows and link by their own texts; a row with a null doc_id keeps its size
-    and takes the component of its set, if another row has the same.  An empty table gives an empty result.  Exact for
-    every input; ``order_tail`` bounds memory and changes the cost only.
+    nothing.  Rows that repeat a doc_id stay rows and link by their own texts; a row with a null doc_id keeps its size,
+    links like any other and takes the smallest doc_id it reaches, if there is one.  An empty table gives an empty result.
+    Shingles are compared by 61 bits of a hash and sets told apart by a digest of 64 bits; but for their collisions no link
+    is lost for any input.  ``order_tail`` bounds memory and changes the cost only.
     """
     docs = docs.select("doc_id", "text")
     seen = cut(scan(docs, width), "scan")
-    sets = seen.where("kind = 0").select("doc_id", F.col("n").alias("n_shingles"), "k1", "k2")
-    often = (seen.where("kind = 1").groupBy("k1").agg(F.sum("n").alias("held"))
-             .orderBy(F.desc("held"), "k1").limit(order_tail).toPandas())
-    order = Order(often["k1"].to_numpy(np.int64).view(np.uint64), often["held"].to_numpy(np.int64))
-    classes = cut(sets.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("n_shingles", "k1", "k2")
-                  .agg(F.min("doc_id").alias("rep")), "classes")
-    join = _Join(docs, classes.select(F.col("rep").alias("doc_id")).distinct(), width, percent, order)
+    sets = seen.where("kind = 0").select("doc_id", F.col("n").alias("n_shingles"), "node")
+    often = (seen.where("kind = 1").groupBy("node").agg(F.sum("n").alias("held"))
+             .orderBy(F.desc("held"), "node").limit(order_tail).toPandas())
+    order = Order(often["node"].to_numpy(np.int64).view(np.uint64), often["held"].to_numpy(np.int64))
+    join = _Join(docs, width, percent, order)
     edges = join.similar(join.to_hubs(), "hub_pairs")
     labels = components(edges)
-    edges = edges.union(join.similar(join.across(labels), "cross_pairs"))
-    labels = components(edges)
-    of_class = (classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left")
-                .select("n_shingles", "k1", "k2", F.coalesce("component", "rep").alias("component_id")))
-    return (sets.join(of_class, ["n_shingles", "k1", "k2"], "left")
-            .select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")))
+    more = join.similar(join.across(labels), "cross_pairs")
+    if not is_empty(more):
+        labels = components(edges.union(more))
+    classes = sets.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("least"))
+    named = cut(classes.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node")), "classes")
+    least = named.groupBy("component").agg(F.min("least").alias("component_id"))
+    of_node = named.join(least, "component").select("node", "component_id")
+    linked = sets.where("n_shingles > 0").join(of_node, "node")
+    alone = sets.where("n_shingles = 0").withColumn("component_id", F.col("doc_id"))
+    return linked.unionByName(alone).select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def keep_one_of_each(docs: DataFrame, width: int = 5, percent: int = 75) -> DataFrame:
@@ -301,7 +364,8 @@ def keep_one_of_each(docs: DataFrame, width: int = 5, percent: int = 75) -> Data
     if not is_empty(keep.where("rows > 1")):
         kept = kept.dropDuplicates(["doc_id", "text"])
     if nameless:
-        known = (docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.sha2("text", 256).alias("__h")).distinct())
-        alone = docs.where("doc_id IS NULL").withColumn("__h", F.sha2(F.coalesce("text", F.lit("")), 256)).join(known, "__h", "left_anti").drop("__h")
-        kept = kept.unionByName(alone)
+        digest = lambda text: F.sha2(F.coalesce(text, F.lit("")), 256)
+        known = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(digest(F.col("text")).alias("known")).distinct().alias("k")
+        nobody = docs.where("doc_id IS NULL").alias("d")
+        kept = kept.unionByName(nobody.join(known, digest(F.col("d.text")) == F.col("k.known"), "left_anti"))
     return kept.select(docs.columns)
