@@ -12,16 +12,19 @@
 
 from __future__ import annotations
 
+import itertools
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from procatlas.llm.words import mix
+
 #: Labelled rows of each class that training reads at most, smallest hash of the doc_id first.  Read rows count for those
 #: of their class that are not read.
 SAMPLE = 3000
@@ -32,6 +35,8 @@ WINDOW = 8
 ADDRESS = frozenset("you your yours u ur du dich dir dein deine ihr euch tu toi te ton vous votre tú ti usted vosotros eres".split())
 REPORT = frozenset("said says wrote writes called quote quoted quoting term word words sagte schrieb nannte zitat wort dit écrit "
                    "cite mot terme dijo escribió llamó cita palabra".split())
+#: Texts of about so many characters are searched together.
+_TOGETHER = 1 << 20
 _OPEN = re.compile("[\"“”„«»]")
 _WORD = re.compile(r"[^\W_]+")
 
@@ -54,10 +59,97 @@ def _automaton(entries: tuple[tuple[str, bool], ...]) -> "Automaton":
     return _automata[entries]
 
 
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+
+
+def shortened(words: np.ndarray, most: int) -> Iterator[np.ndarray]:
+    """Hashes of the words, all of one length, with each choice of up to ``most`` characters left out."""
+    size = words.dtype.itemsize // 4
+    chars = np.ascontiguousarray(words).view(np.uint32).reshape(-1, size).astype(np.uint64)
+    power = np.cumprod(np.concatenate([[np.uint64(1)], np.full(size, _BASE)]))
+    ahead = [np.zeros(len(chars), np.uint64)]
+    for k in range(size):
+        ahead.append(ahead[-1] * _BASE + chars[:, k] + np.uint64(1))
+    piece = lambda i, j: ahead[j] - ahead[i] * power[j - i]
+    yield mix(ahead[size])
+    if most:
+        for i in range(size):
+            first = ahead[i]
+            yield mix(first * power[size - 1 - i] + piece(i + 1, size))
+            if most > 1:
+                for j in range(i + 1, size):
+                    yield mix((first * power[j - i - 1] + piece(i + 1, j)) * power[size - 1 - j] + piece(j + 1, size))
+
+
+class Nearby:
+    """Tells most words that are within reach of no entry, before the automaton is asked.
+
+    Two words of at most k edits (a swap of neighbours is one) become equal when up to k characters are left out of
+    each.  So a word can only match if it, or for a beginning one of its own beginnings, shares a shortened form with an entry
+    of the same number of edits.  Forms are kept as two bits each in a table that grows with the lexicon.  No word that
+    matches is turned away.
+    """
+
+    def __init__(self, entries: list[tuple[str, bool]]):
+        self.groups: list[tuple[bool, int, list[int], np.ndarray]] = []
+        for whole in (True, False):
+            for most in (0, 1, 2):
+                some = [t for t, w in entries if w == whole and edits_allowed(t, w) == most]
+                if some:
+                    hashes = [np.concatenate(list(shortened(np.array(same), most))) for same in self._by_size(some).values()]
+                    table = np.zeros(1 << (64 * sum(h.size for h in hashes)).bit_length(), bool)
+                    for at in self._places(np.concatenate(hashes), table):
+                        table[at] = True
+                    self.groups.append((whole, most, sorted({len(t) + d for t in some for d in range(-most, most + 1)}), table))
+
+    @staticmethod
+    def _by_size(words: Iterable[str]) -> dict[int, list[str]]:
+        out: dict[int, list[str]] = {}
+        for w in words:
+            out.setdefault(len(w), []).append(w)
+        return out
+
+    @staticmethod
+    def _places(hashes: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        last = np.uint64(table.size - 1)
+        return hashes & last, (hashes >> np.uint64(32)) & last
+
+    def _meets(self, words: np.ndarray, most: int, table: np.ndarray) -> np.ndarray:
+        found = np.zeros(len(words), bool)
+        for hashes in shortened(words, most):
+            one, two = self._places(hashes, table)
+            found |= table[one] & table[two]
+        return found
+
+    def among(self, words: set[str]) -> set[str]:
+        """Those of the words that may match."""
+        by_size, out = self._by_size(words), set()
+        for whole, most, sizes, table in self.groups:
+            for size in sizes:
+                if whole:
+                    some = by_size.get(size, [])
+                    if some:
+                        out.update(itertools.compress(some, self._meets(np.array(some), most, table).tolist()))
+                elif size > 0:
+                    some = [w for n, same in by_size.items() if n >= size for w in same]
+                    if some:
+                        begins, at = np.unique(np.array(some, f"<U{size}"), return_inverse=True)
+                        out.update(itertools.compress(some, self._meets(begins, most, table)[at].tolist()))
+        return out
+
+
+#: Product states that an automaton keeps at most (some hundred bytes each, whatever the lexicon).
+MOST_STATES = 20_000
+_WAITS = 1 << 21  # a waiting character is below this code point
+
+
 class Automaton:
     """Lexicon trie with lazily built product states.  Only the entries travel to the workers.
 
-    A lexicon entry is (term, whole): ``whole`` entries match entire words, others any word that begins with them.
+    A lexicon entry is (term, whole): ``whole`` entries match entire words, others any word that begins with them.  A state
+    is a set of numbers, each a trie node, the edits so far and the trie character that a swap still waits for.  States
+    are kept from the start on, as words meet them, up to ``MOST_STATES``; a word that leaves the kept ones goes on from
+    set to set, so the result is the same and nothing is built twice over.
     """
 
     def __init__(self, entries: list[tuple[str, bool]]):
@@ -79,84 +171,107 @@ class Automaton:
                 node = nxt
                 self.reach[node] = max(self.reach[node], most)
             self.ends[node].append(k)
+        self.nearby = Nearby(entries)
+        self.open_end = [any(not entries[k][1] for k in ends) for ends in self.ends]
         self._clear()
 
     def __reduce__(self):
         return _automaton, (tuple(self.entries),)
 
     def _clear(self):
-        self.numbers: dict[frozenset, int] = {}
-        self.states: list[frozenset] = []
+        self.numbers: dict[bytes, int] = {}
+        self.states: list[bytes] = []
         self.steps: list[dict[str, int]] = []
-        self.start = self._number(self._closed({(0, 0, "")}))
+        self.results: dict[int, tuple[int, int] | None] = {}
+        self.start = self._keep(self._closed({(0, 0, "")}))
 
-    def _closed(self, state: set) -> frozenset:
-        """Add trie characters the word leaves out.  The third part is the trie character a swap still waits for."""
-        todo, seen = list(state), set(state)
+    def _closed(self, state: set) -> dict[tuple[int, str], int]:
+        """Add trie characters the word leaves out; gives the least edits of each (node, awaited character)."""
+        least: dict[tuple[int, str], int] = {}
+        todo = sorted(state, key=lambda x: -x[1])
         while todo:
             node, edits, wait = todo.pop()
+            if edits >= least.get((node, wait), 9):
+                continue
+            least[node, wait] = edits
             if not wait and edits < self.reach[node]:
                 for nxt in self.children[node].values():
-                    new = (nxt, edits + 1, "")
-                    if edits + 1 <= self.reach[nxt] and new not in seen:
-                        seen.add(new)
-                        todo.append(new)
-        least: dict[tuple[int, str], int] = {}
-        for node, edits, wait in seen:
-            least[node, wait] = min(edits, least.get((node, wait), 9))
-        return frozenset((n, e, w) for (n, w), e in least.items())
+                    if edits < self.reach[nxt]:
+                        todo.append((nxt, edits + 1, ""))
+        return least
 
-    def _number(self, state: frozenset) -> int:
+    def _keep(self, state: dict[tuple[int, str], int]) -> int:
+        """Number of a state: -1 for the empty one, -2 for one that has no place."""
         if not state:
             return -1
-        if state not in self.numbers:
-            self.numbers[state] = len(self.states)
-            self.states.append(state)
+        packed = np.array(sorted((n * 4 + e) * _WAITS + (ord(w) if w else 0) for (n, w), e in state.items()), np.int64).tobytes()
+        if packed not in self.numbers:
+            if len(self.states) >= MOST_STATES:
+                return -2
+            self.numbers[packed] = len(self.states)
+            self.states.append(packed)
             self.steps.append({})
-        return self.numbers[state]
+        return self.numbers[packed]
 
-    def _step(self, at: int, c: str) -> int:
+    def _unpacked(self, number: int) -> dict[tuple[int, str], int]:
+        found = np.frombuffer(self.states[number], np.int64).tolist()
+        return {(x // _WAITS // 4, chr(x % _WAITS) if x % _WAITS else ""): x // _WAITS % 4 for x in found}
+
+    def _after(self, state: dict[tuple[int, str], int], c: str) -> dict[tuple[int, str], int]:
+        """The state behind one more character of the word."""
         new = set()
-        for node, edits, wait in self.states[at]:
+        for (node, wait), edits in state.items():
             if wait:  # the second half of two swapped characters
                 if wait == c:
                     new.add((node, edits, ""))
                 continue
-            if node and any(not self.entries[k][1] for k in self.ends[node]):
+            if node and self.open_end[node]:
                 new.add((node, edits, ""))  # a beginning has matched: the rest of the word is free
-            for label, nxt in self.children[node].items():
-                if label == c:
-                    new.add((nxt, edits, ""))
-                elif edits < self.reach[nxt]:
-                    new.add((nxt, edits + 1, ""))
-                    deep = self.children[nxt].get(c)
-                    if deep is not None and edits < self.reach[deep]:
-                        new.add((deep, edits + 1, label))
+            nxt = self.children[node].get(c)
+            if nxt is not None:
+                new.add((nxt, edits, ""))
             if edits < self.reach[node]:
+                for label, nxt in self.children[node].items():
+                    if label != c and edits < self.reach[nxt]:
+                        new.add((nxt, edits + 1, ""))
+                        deep = self.children[nxt].get(c)
+                        if deep is not None and edits < self.reach[deep]:
+                            new.add((deep, edits + 1, label))
                 new.add((node, edits + 1, ""))
-        to = self._number(self._closed(new))
-        self.steps[at][c] = to
-        return to
+        return self._closed(new)
 
     def match(self, word: str) -> tuple[int, int] | None:
         """(entry, edits) with the fewest edits, the first entry of several; None without a match."""
-        at, steps = self.start, self.steps
+        at, steps, loose = self.start, self.steps, None
         for c in word:
-            nxt = steps[at].get(c)
-            if nxt is None:
-                nxt = self._step(at, c)
-            if nxt < 0:
-                return None
-            at = nxt
+            if loose is None:
+                nxt = steps[at].get(c)
+                if nxt is None:
+                    loose = self._after(self._unpacked(at), c)
+                    nxt = self._keep(loose)
+                    if nxt != -2:
+                        steps[at][c], loose = nxt, None
+                if nxt == -1:
+                    return None
+                at = nxt
+            else:
+                loose = self._after(loose, c)
+                if not loose:
+                    return None
+        if loose is not None:
+            return self._best(loose)
+        if at not in self.results:
+            self.results[at] = self._best(self._unpacked(at))
+        return self.results[at]
+
+    def _best(self, state: dict[tuple[int, str], int]) -> tuple[int, int] | None:
         best = None
-        for node, edits, wait in self.states[at]:
+        for (node, wait), edits in state.items():
             if wait:
                 continue
             for k in self.ends[node]:
                 if edits <= edits_allowed(*self.entries[k]) and (best is None or (edits, k) < best):
                     best = (edits, k)
-        if len(self.states) > 20_000:
-            self._clear()
         return best and (best[1], best[0])
 
 
@@ -168,15 +283,20 @@ class Model:
         self.weight = np.ones((len(entries), 3))
         self.beta: np.ndarray | None = None
 
-    def hits(self, text: str) -> tuple[list[tuple[int, int, int]], list[str], str]:
-        """(word number, entry, edits) of every hit, the words, and the lowered text."""
+    def _matches(self, words: set[str]) -> dict[str, tuple[int, int]]:
+        """(entry, edits) of every word that has one."""
+        return {w: m for w in self.automaton.nearby.among(words) if (m := self.automaton.match(w))}
+
+    def hits(self, text: str, found: dict[str, tuple[int, int]] | None = None) -> tuple[list[tuple[int, int, int]], list[str], str]:
+        """(word number, entry, edits) of every hit, the words, and the lowered text; ``found`` are the matches if known."""
         low = text.lower()
-        words, match = _WORD.findall(low), self.automaton.match
-        found = {w: m for w in set(words) if (m := match(w))}
+        words = _WORD.findall(low)
+        if found is None:
+            found = self._matches(set(words))
         return ([(k, *found[w]) for k, w in enumerate(words) if w in found] if found else []), words, low
 
-    def features(self, text: str) -> np.ndarray:
-        hits, words, low = self.hits(text)
+    def features(self, text: str, found: dict[str, tuple[int, int]] | None = None) -> np.ndarray:
+        hits, words, low = self.hits(text, found)
         if not hits:
             return np.zeros(6)
         starts = None
@@ -199,12 +319,25 @@ class Model:
         return np.array([max(scores), math.log1p(max(0.0, total)), math.log1p(len(hits)), quoted / len(hits),
                          fuzzy / len(hits), 10 * len(hits) / len(words)])
 
-    def score(self, text: str) -> float:
+    def score(self, text: str, found: dict[str, tuple[int, int]] | None = None) -> float:
         if self.beta is None:
             return 0.0
-        z = self.beta[0] + float(self.features(text) @ self.beta[1:])
+        z = self.beta[0] + float(self.features(text, found) @ self.beta[1:])
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
+    def scores(self, column: pa.Array) -> np.ndarray:
+        """Scores of a column of texts, some texts at a time; null is empty."""
+        out, some, size = [], [], 0
+        for at, text in enumerate(column, 1):
+            some.append(text.as_py() or "")
+            size += len(some[-1])
+            if size > _TOGETHER or at == len(column):
+                held = [set(_WORD.findall(t.lower())) if self.beta is not None else set() for t in some]
+                found = self._matches(set().union(*held))
+                out += [self.score(t if not found.keys().isdisjoint(words) else "", found) for t, words in zip(some, held)]
+                some, size = [], 0
+        return np.array(out, float)
+
 
 def _candidates(text: str) -> set[tuple[str, bool]]:
     words = set(_WORD.findall(text.lower()))
@@ -343,7 +476,7 @@ def score_documents(docs: DataFrame, model: Model, keep_columns: bool = False) -
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             text = batch.column(batch.schema.get_field_index("text"))
-            scores = np.array([shared.value.score(t.as_py() or "") for t in text])
+            scores = shared.value.scores(text)
             own = batch.columns if keep_columns else [batch.column(batch.schema.get_field_index("doc_id"))]
             names = batch.schema.names if keep_columns else ["doc_id"]
             yield pa.RecordBatch.from_arrays([*own, pa.array(scores, pa.float64()), pa.array((scores >= 0.5).astype(np.int32))],
@@ -361,6 +494,6 @@ def drop_toxic(docs: DataFrame, model: Model) -> DataFrame:
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             text = batch.column(batch.schema.get_field_index("text"))
-            yield batch.filter(pa.array([shared.value.score(t.as_py() or "") < 0.5 for t in text], pa.bool_()))
+            yield batch.filter(pa.array(shared.value.scores(text) < 0.5))
 
     return docs.mapInArrow(task, docs.schema)

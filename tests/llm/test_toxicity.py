@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 from procatlas.llm import toxicity
 
 
@@ -33,6 +34,45 @@ def test_automaton_equals_distances():
             if d <= toxicity.edits_allowed(term, whole) and (best is None or (d, k) < best):
                 best = (d, k)
         assert automaton.match(word) == (best and (best[1], best[0])), word
+        assert best is None or automaton.nearby.among({word}) == {word}, word
+
+
+def test_bound_on_states_changes_no_match(monkeypatch):
+    rng = random.Random(7)
+    entries = [("".join(rng.choices("abcde", k=rng.randint(3, 12))), rng.random() < 0.8) for _ in range(60)]
+    free = toxicity.Automaton(entries)
+    words = {"".join(rng.choices("abcde", k=rng.randint(0, 14))) for _ in range(2000)}
+    words |= {t[:k] + rng.choice("abcde") + t[k + 1:] for t, _ in entries for k in range(len(t))}
+    want = {w: free.match(w) for w in words}
+    monkeypatch.setattr(toxicity, "MOST_STATES", 25)
+    tight = toxicity.Automaton(entries)
+    assert {w: tight.match(w) for w in words} == want and len(tight.states) <= 25
+    held = free.nearby.among(words)
+    assert all(w in held for w, m in want.items() if m)
+
+
+def test_scores_of_a_column_equal_those_of_each_text(spark, documents):
+    import pyarrow as pa
+
+    docs, labels, _ = data(spark, documents, 120)
+    model = toxicity.train(docs, labels)
+    texts = [r.text for r in docs.collect()] + [None, "", 'they said "zgrubler" \n you quoxidant', "quoxidnat you"]
+    assert model.scores(pa.array(texts)).tolist() == [model.score(t or "") for t in texts]
+
+
+def test_features_against_a_plain_loop():
+    model = toxicity.Model([("zgrubbler", True), ("vexm", False)])
+    model.weight[:] = [[2.0, 1.0, 0.5], [3.0, 3.0, 3.0]]
+    text = 'You zgrubbler one two\nthey wrote vexmarrow "three" four "zgrubler five" and zgrubbler'
+    # hits: zgrubbler (word 1), vexmarrow (6, reported), zgrubler (9, one edit, in quotes), zgrubbler (12)
+    places, base, said = [1, 6, 9, 12], [2.0, 3.0, 1.0, 2.0], [False, True, True, False]
+    scores = []
+    for k, at in enumerate(places):
+        near = sum(1 for j, b in enumerate(places) if j != k and abs(b - at) <= 8)
+        address = any(abs(w - at) <= 8 for w in [0])
+        scores.append(base[k] * (1 + 0.2 * near + 0.2 * address) * (0.3 if said[k] else 1))
+    want = [max(scores), np.log1p(sum(scores)), np.log1p(4), 0.5, 0.25, 10 * 4 / 13]
+    assert np.allclose(model.features(text), want)
 
 
 def data(spark, documents, n=240):
@@ -84,10 +124,12 @@ def test_edges(spark, documents):
 def test_held_out_rows(spark):
     from procatlas.llm.queries import QUERIES
 
-    sf = "/root/testdata/sf0.01"
+    sf = "/root/testdata/sf0.1"
     got = {r.doc_id: r for r in QUERIES["op7_toxicity"](spark, sf).collect()}
     labels = [r for r in spark.read.parquet(f"{sf}/labels.parquet").collect() if got[r.doc_id].held_out]
-    assert sum(got[r.doc_id].predicted == r.toxic for r in labels) / len(labels) >= 0.9
+    toxic = [got[r.doc_id].predicted for r in labels if r.toxic == 1]
+    clean = [got[r.doc_id].predicted for r in labels if r.toxic == 0]
+    assert len(toxic) > 50 and sum(toxic) / len(toxic) >= 0.9 and sum(clean) / len(clean) <= 0.02
 
 
 def test_capped_sample_keeps_the_class_shares(spark, documents):
