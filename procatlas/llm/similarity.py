@@ -8,7 +8,8 @@ alone and summed per pair.  Equal sets are one node, known by a digest of the se
    frequent get the last classes.  The order steers cost only; results are the same for every order.
 2. Leading fragment: two sets whose similarity is at least t share one of their first ``n - ceil(t n) + 1`` shingles,
    so only those are grouped, in one shuffle.  Groups of a very frequent shingle are dealt to several tasks.
-3. Hub pairs: each member of a group with the group's first member; these settle most components.
+3. Hub pairs: each member of a group with the group's hub, the member that shares the most of its leading part with
+   anybody; these settle most components.
 4. Cross pairs: of each group all pairs whose ends are still in different components, with the number of leading
    shingles they share, which rules out most of them.  No link that joins two components is lost.
 5. Pairs of both kinds: full sets are cut into fragments, overlaps counted per fragment and summed.
@@ -20,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from procatlas.llm.shared import components, is_empty
@@ -29,6 +30,7 @@ from procatlas.llm.words import mix, shingles
 from procatlas.session import cut
 
 TOP = np.uint64(1 << 63)
+_ALL = (1 << 64) - 1
 #: A task reports a shingle that at least so many of its documents hold.
 OFTEN_IN_TASK = 3
 #: So many of the most frequent shingles go to the end of the order (9 bytes each in every task).
@@ -50,7 +52,10 @@ def _digest(grams: np.ndarray) -> int:
         return 0
     a = np.bitwise_xor.reduce(grams * np.uint64(0x9E3779B97F4A7C15) ^ (grams >> np.uint64(29)))
     b = (grams * (grams | np.uint64(1))).sum(dtype=np.uint64)
-    return int(mix(np.array([a ^ mix(np.array([b]))[0] ^ np.uint64(grams.size)]))[0].view(np.int64))
+    x = (int(a) ^ int(b) * 0xD6E8FEB86659FD93 ^ grams.size * 0xA0761D6478BD642F) & _ALL
+    x = (x ^ (x >> 31)) * 0xBF58476D1CE4E5B9 & _ALL
+    x ^= x >> 29
+    return x - (1 << 64) if x >> 63 else x
 
 
 def _sets(batch: pa.RecordBatch, column: int, width: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -165,8 +170,9 @@ def leading(docs: DataFrame, width: int, percent: int, order: Order) -> DataFram
     return docs.select("text").mapInArrow(task, "gram long, part int, node long, n int")
 
 
-def grouped(heads: DataFrame) -> DataFrame:
-    """``heads`` without repeats and without shingles of one set alone, each row with its group's first member (hub, nh).
+def grouped(heads: DataFrame, *order: Column) -> DataFrame:
+    """``heads`` without repeats and without shingles of one set alone, each row with its group's first member (hub, nh) by
+    ``order``.
 
     Rows stream through sorted by group, so a group may have any size.  A part of a very frequent shingle may have one row.
     """
@@ -198,7 +204,7 @@ def grouped(heads: DataFrame) -> DataFrame:
             sent = bool(goes[end]) or (end == 0 and bool(hub.shape[1]) and sent)
             hub = ahead[:, end:end + 1]
 
-    return (heads.repartition(*key).sortWithinPartitions(*key, "node").select(*key, "node", "n")
+    return (heads.repartition(*key).sortWithinPartitions(*key, *order, "node").select(*key, "node", "n")
             .mapInArrow(task, "gram long, part int, node long, n int, hub long, nh int"))
 
 
@@ -271,7 +277,10 @@ class _Join:
 
     def __init__(self, docs: DataFrame, width: int, percent: int, order: Order):
         self.docs, self.width, self.percent, self.order = docs, width, percent, order
-        self.lists = cut(grouped(leading(docs, width, percent, order)), "lists")
+        met = cut(grouped(leading(docs, width, percent, order)).select("gram", "part", "node", "n"), "met")
+        # a document that others are copies of shares nearly all it has, a changed copy less
+        shares = met.groupBy("node").agg(F.count("*").alias("shared"))
+        self.lists = cut(grouped(met.join(shares, "node"), F.desc(F.col("shared") / F.col("n"))), "lists")
 
     def _counted(self, met: DataFrame) -> DataFrame:
         """(a, na, b, nb) of the pairs met in groups, whose number of common leading shingles leaves the threshold within reach.
@@ -286,9 +295,9 @@ class _Join:
                 .where((100 + self.percent) * most >= self.percent * (F.col("na") + F.col("nb"))).drop("shared"))
 
     def to_hubs(self) -> DataFrame:
-        """Each member of a group with its first member, and the first members of a shingle's parts with the first of them.
+        """Each member of a group with its hub, and the hubs of a shingle's parts with one of them.
 
-        A pair is counted only where its smaller node opens the group, so some similar pairs stay out; ``across`` has them.
+        A pair is counted only where one of it is the hub, so some similar pairs stay out; ``across`` has them.
         """
         pair = lambda rows, hub, nh: rows.select(F.col(hub).alias("a"), F.col(nh).alias("na"), F.col("node").alias("b"), F.col("n").alias("nb"))
         hubs = self.lists.where("part > 0 AND hub = node")
