@@ -286,33 +286,55 @@ UPDATES = {
 }
 
 
+def _arrivals(s, parts, schema):
+    """Tables as files that come one after the other, and a stream that takes each in a batch of its own."""
+    path = fresh_path(s, "arrivals")
+    for number, rows in enumerate(parts):
+        rows.repartition(4).write.parquet(f"{path}/part={number}")
+    return s.readStream.schema(schema).option("maxFilesPerTrigger", 4).parquet(f"{path}/part=*")
+
+
 def _job_states(s, sf):
-    schema = corpus.table(s, sf, "events").schema
-    raw = s.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
-    updates = raw.selectExpr(*[f"{e} AS {c}" for c, e in UPDATES.items()])
-    out = fresh_path(s, "stream-states")
-    streams.run_to_end(streams.latest_job_state(updates), out, fresh_path(s, "stream-log"), "update")
-    return streams.newest_states(s, out, ["connection_id", "job_id"])
+    """Three arrivals of updates, in no order of time, with states of finished jobs dropped between them."""
+    updates = corpus.table(s, sf, "events").selectExpr(*[f"{e} AS {c}" for c, e in UPDATES.items()])
+    stream = _arrivals(s, [updates.where(f"update_id % 3 = {k}") for k in (1, 0, 2)], updates.schema)
+    table = streams.StateTable(s, fresh_path(s, "stream-states"), ["connection_id", "job_id"], ["updated_at", "update_id"], ["updates"], fold_every=2)
+    streams.run_to_end(streams.latest_job_state(stream, keep_finished_ms=1), table.add, fresh_path(s, "stream-log"), "update")
+    return table.read()
 
 
 part("states", [], f"""
-SELECT connection_id, job_id, status, ts, updates FROM (
+SELECT connection_id, job_id, status, ts, update_id, updates FROM (
   SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY ts DESC, update_id DESC) AS rn, count(*) OVER (PARTITION BY job_id) AS updates FROM (
     SELECT {', '.join(f'{e} AS {c}' for c, e in UPDATES.items())} FROM events) u) x WHERE rn = 1""")
 register("t2_stream_job_state", lambda s, sf: _job_states(s, sf).drop("updated_at"), ["states"],
-         "SELECT connection_id, job_id, status, updates FROM states")
+         "SELECT connection_id, job_id, status, update_id, updates FROM states")
 register("t2_running_per_connection", lambda s, sf: streams.running_per_connection(_job_states(s, sf)), ["states"], f"""
 SELECT connection_id, count(*) FILTER (status IN {words(fv.RUNNING_STATES)}) AS running FROM states GROUP BY connection_id""")
 
 
 def _stream_changes(s, sf):
-    arrivals = _text_stream(s, sf).select(
-        "connection_id", "fqn", scalars.definition_hash(F.col("definition")).alias("definition_hash"),
-        F.col("seen_at").cast("timestamp").alias("seen_at"))
-    out = fresh_path(s, "stream-changes")
-    streams.run_to_end(streams.changed_definitions(arrivals, "3650 days"), out, fresh_path(s, "stream-log"))
-    return s.read.parquet(out).select("connection_id", "fqn", "definition_hash")
+    """First snapshot, second one, the first again, and then older rows of the second that come too late."""
+    w = workspace(s, sf)
 
+    def arrival(objects, days):
+        return objects.select("connection_id", "fqn", scalars.definition_hash(F.col("definition")).alias("definition_hash"),
+                              F.expr(f"cast(seen_at AS timestamp) + INTERVAL {days} DAYS").alias("seen_at"))
 
-register("t3_stream_changed_definitions", _stream_changes, ["objs", "objs2"], """
-SELECT connection_id, fqn, sha256(definition) AS definition_hash FROM objs UNION SELECT connection_id, fqn, sha256(definition) FROM objs2""")
+    parts = [arrival(w.objects, 0), arrival(w.second_objects, 4000), arrival(w.objects, 8000), arrival(w.second_objects.where("object_id % 5 = 0"), 2000)]
+    stream = _arrivals(s, parts, parts[0].schema)
+    out = fresh_path(s, "stream-changes")
+    streams.run_to_end(streams.changed_definitions(stream), out, fresh_path(s, "stream-log"))
+    return s.read.parquet(out).select("connection_id", "fqn", "definition_hash", F.col("seen_at").cast("date").cast("string").alias("day"), "kind")
+
+
+# Each name's rows by arrival; a name has several rows where objects share it.
+part("arrivals", ["objs", "objs2"], """
+SELECT connection_id, fqn, sha256(definition) AS hash, 0 AS part, seen_at AS moment FROM objs
+UNION ALL SELECT connection_id, fqn, sha256(definition), 1, seen_at + INTERVAL 4000 DAY FROM objs2
+UNION ALL SELECT connection_id, fqn, sha256(definition), 2, seen_at + INTERVAL 8000 DAY FROM objs""")
+register("t3_stream_changed_definitions", _stream_changes, ["arrivals", "objs", "objs2"], """
+SELECT connection_id, fqn, hash AS definition_hash, cast(cast(moment AS date) AS varchar) AS day, 'changed' AS kind FROM (
+  SELECT *, lag(hash) OVER (PARTITION BY connection_id, fqn ORDER BY part, moment, hash) AS before FROM arrivals) x WHERE before IS DISTINCT FROM hash
+UNION ALL SELECT connection_id, fqn, sha256(definition), cast(cast(seen_at + INTERVAL 2000 DAY AS date) AS varchar), 'late' FROM objs2
+WHERE object_id % 5 = 0""")

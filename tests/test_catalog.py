@@ -140,9 +140,58 @@ def test_job_state_stream_over_several_files(spark, tmp_path):
     for i, b in enumerate(batches):
         spark.createDataFrame(b, schema).coalesce(1).write.parquet(str(tmp_path / f"in/b{i}"))
     source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in/*"))
-    streams.run_to_end(streams.latest_job_state(source), str(tmp_path / "out"), str(tmp_path / "log"), "update")
-    got = {r.job_id: (r.status, r.updates) for r in streams.newest_states(spark, str(tmp_path / "out"), ["connection_id", "job_id"]).collect()}
-    assert got == {10: ("completed", 3), 11: ("pending", 1)}
+    table = streams.StateTable(spark, str(tmp_path / "out"), ["connection_id", "job_id"], ["updated_at", "update_id"], ["updates"])
+    progress = streams.run_to_end(streams.latest_job_state(source), table.add, str(tmp_path / "log"), "update")
+    got = {r.job_id: (r.status, r.updates, r.update_id) for r in table.read().collect()}
+    assert got == {10: ("completed", 3, 3), 11: ("pending", 1, 2)} and [p["rows"] for p in progress if p["rows"]] == [2, 1, 1]
+
+
+def test_job_state_forgets_finished_jobs_and_folds_its_table(spark, tmp_path):
+    """Six batches of a hundred jobs each, all but one of which finish: the state does not add up, nor do the folders."""
+    schema = "update_id long, connection_id long, job_id long, ts timestamp, status string"
+    for b in range(6):
+        rows = [(1000 * b + k, k % 3, 100 * b + k, day(1 + b), "completed" if k else "parsing") for k in range(100)]
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / f"in/b{b}"))
+    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in/*"))
+    table = streams.StateTable(spark, str(tmp_path / "out"), ["connection_id", "job_id"], ["updated_at", "update_id"], ["updates"], fold_every=3)
+    progress = streams.run_to_end(streams.latest_job_state(source, keep_finished_ms=1), table.add, str(tmp_path / "log"), "update")
+    assert max(p["state"] for p in progress) <= 106
+    got = table.read()
+    assert got.count() == 600 and got.where("status = 'parsing'").count() == 6 and got.where("updates = 1").count() == 600
+    assert len(list((tmp_path / "out").iterdir())) <= 1 + 3
+    # a batch that is stored again changes nothing
+    last = spark.read.parquet(str(tmp_path / "in/b5")).selectExpr("connection_id", "job_id", "status", "update_id", "1L AS updates", "ts AS updated_at")
+    number = 1 + max(p["batch"] for p in progress)
+    for _ in range(2):
+        table.add(last.where("job_id = 500"), number)
+    assert {r.updates for r in table.read().where("job_id = 500").collect()} == {2}
+
+
+def test_changed_definitions_over_batches(spark, tmp_path):
+    """Returns to an old text, repeats, late rows, several rows of a name in a batch, and names that are forgotten."""
+    schema = "connection_id int, fqn string, definition_hash string, seen_at timestamp"
+    batches = [[(1, "p", "A", day(1)), (2, "p", "A", day(1)), (1, "q", "X", day(2)), (1, "q", "Y", day(1))],
+               [(1, "p", "B", day(3)), (2, "p", "A", day(3)), (1, "q", "Z", day(1))],
+               [(1, "p", "A", day(5)), (1, "p", "A", day(6)), (1, "p", None, day(7)), (1, "r", "R", None)],
+               [(1, "p", "C", day(4)), (1, "p", "C", day(2)), (2, "p", "B", day(9)), (1, "q", "X", day(2))]]
+    for i, b in enumerate(batches):
+        spark.createDataFrame(b, schema).coalesce(1).write.parquet(str(tmp_path / f"in/b{i}"))
+
+    def run(name, **options):
+        source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in/*"))
+        progress = streams.run_to_end(streams.changed_definitions(source, **options), str(tmp_path / name), str(tmp_path / f"{name}-log"))
+        rows = spark.read.parquet(str(tmp_path / name))
+        return rows, sorted((r.connection_id, r.fqn, str(r.definition_hash), r.seen_at.day, r.kind) for r in rows.collect()), progress
+
+    rows, got, progress = run("kept")
+    assert got == sorted([
+        (1, "p", "A", 1, "changed"), (1, "p", "B", 3, "changed"), (1, "p", "A", 5, "changed"), (1, "p", "None", 7, "changed"),
+        (1, "p", "C", 4, "late"), (1, "p", "C", 2, "late"), (2, "p", "A", 1, "changed"), (2, "p", "B", 9, "changed"),
+        (1, "q", "Y", 1, "changed"), (1, "q", "X", 2, "changed"), (1, "q", "Z", 1, "late")])
+    assert {r.connection_id: (r.late, r.newest.day) for r in streams.late_rows(rows).collect()} == {1: (3, 4)}
+    assert max(p["state"] for p in progress) == 3
+    _, forgetful, progress = run("forgotten", forget_ms=1)
+    assert forgetful.count((1, "q", "X", 2, "changed")) == 2 and progress[-2]["state"] < 3  # nothing of q in two batches
 
 
 def test_fingerprint_prefers_exact_then_lowest_id(spark):
