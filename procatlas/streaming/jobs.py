@@ -27,7 +27,7 @@ def rule_scan(definitions: DataFrame) -> DataFrame:
 def latest_job_state(updates: DataFrame, keep_finished_ms: int = 3_600_000) -> DataFrame:
     """State per job of a stream of (job_id, connection_id, status, ts, update_id), in update mode.
 
-    One row for each job that a batch updates: connection_id, job_id, status, updated_at, update_id of the newest update so
+    Updates without a time or number are left out.  One row for each job that a batch updates: connection_id, job_id, status, updated_at, update_id of the newest update so
     far by (ts, update_id), and the number of ``updates`` in this batch.  The state of a finished job is dropped when nothing
     has come for ``keep_finished_ms`` of processing time, so the state holds running jobs and those just finished.
     """
@@ -40,10 +40,9 @@ def latest_job_state(updates: DataFrame, keep_finished_ms: int = 3_600_000) -> D
         newest, count = (tuple(state.get) if state.exists else None), 0
         for rows in batches:
             count += len(rows)
-            last = rows.sort_values(["ts", "update_id"], na_position="first").iloc[-1]
-            found = (last["status"], int(last["ts"].value // 1000), int(last["update_id"]))
-            if newest is None or found[1:] > newest[1:]:
-                newest = found
+            for found in zip(rows["status"].tolist(), rows["ts"].tolist(), rows["update_id"].tolist()):
+                if newest is None or found[1:] > newest[1:]:
+                    newest = found
         state.update(newest)
         if newest[0] in finished:
             state.setTimeoutDuration(keep_finished_ms)
@@ -52,7 +51,8 @@ def latest_job_state(updates: DataFrame, keep_finished_ms: int = 3_600_000) -> D
 
     kinds = dict(updates.dtypes)
     out = f"connection_id {kinds['connection_id']}, job_id {kinds['job_id']}, status string, updated_us long, update_id long, updates long"
-    rows = updates.select("connection_id", "job_id", "status", F.col("ts").cast("timestamp").alias("ts"), F.col("update_id").cast("long").alias("update_id"))
+    rows = updates.select("connection_id", "job_id", "status", F.unix_micros(F.col("ts").cast("timestamp")).alias("ts"),
+                          F.col("update_id").cast("long").alias("update_id")).where("ts IS NOT NULL AND update_id IS NOT NULL")
     kept = rows.groupBy("connection_id", "job_id").applyInPandasWithState(
         step, out, "status string, ts long, update_id long", "update", GroupStateTimeout.ProcessingTimeTimeout)
     return kept.withColumn("updated_at", F.timestamp_micros("updated_us")).drop("updated_us")
@@ -122,10 +122,9 @@ def changed_definitions(definitions: DataFrame, forget_ms: int | None = None) ->
             state.remove()
             return
         last, at = tuple(state.get) if state.exists else (None, None)
-        rows = pd.concat(list(batches)).sort_values(["seen_at", "definition_hash"])
+        rows = [row for b in batches for row in zip(b["seen_us"].tolist(), b["definition_hash"].tolist())]
         out = []
-        for value, hash_ in zip(rows["seen_at"], rows["definition_hash"]):
-            time = int(value.value // 1000)
+        for time, hash_ in sorted(rows, key=lambda r: (r[0], r[1] is not None, r[1] or "")):
             if at is not None and time < at:
                 out.append((hash_, time, "late"))
                 continue
@@ -136,13 +135,12 @@ def changed_definitions(definitions: DataFrame, forget_ms: int | None = None) ->
         if forget_ms is not None:
             state.setTimeoutDuration(forget_ms)
         if out:
-            frame = pd.DataFrame(out, columns=["definition_hash", "seen_us", "kind"])
-            frame.insert(0, "connection_id", key[0])
-            frame.insert(1, "fqn", key[1])
-            yield frame
+            hashes, times, changes = (list(c) for c in zip(*out))
+            yield pd.DataFrame({"connection_id": [key[0]] * len(out), "fqn": [key[1]] * len(out), "definition_hash": hashes,
+                                "seen_us": times, "kind": changes})
 
     kinds = dict(definitions.dtypes)
-    rows = definitions.select("connection_id", "fqn", "definition_hash", F.col("seen_at").cast("timestamp").alias("seen_at")).where("seen_at IS NOT NULL")
+    rows = definitions.select("connection_id", "fqn", "definition_hash", F.unix_micros(F.col("seen_at").cast("timestamp")).alias("seen_us")).where("seen_us IS NOT NULL")
     kept = rows.groupBy("connection_id", "fqn").applyInPandasWithState(
         step, f"connection_id {kinds['connection_id']}, fqn string, definition_hash string, seen_us long, kind string",
         "definition_hash string, seen_us long", "append", GroupStateTimeout.ProcessingTimeTimeout)
