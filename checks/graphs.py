@@ -9,16 +9,16 @@ from checks.sql_base import part
 from procatlas.operators import graph, resolve, rollup
 from checks.workspace import workspace
 
-_san = lambda p, c: f"'{p}' || regexp_replace({c}, '[^a-zA-Z0-9_]', '_', 'g')"
+_san = lambda p, c, of="": f"'{p}' || {of}connection_id || '_' || regexp_replace({c}, '[^a-zA-Z0-9_]', '_', 'g')"
 _last = lambda c: f"string_split({c}, '.')[-1]"
 _schema = lambda c: f"CASE WHEN contains({c}, '.') THEN string_split({c}, '.')[1] ELSE '' END"
 part("call_edges", ["deps", "objs"], f"""
 SELECT concat_ws('_', 'dep', d.object_id, dep_type, target_name, line) AS edge_id, 'obj_' || d.object_id AS source,
-  CASE WHEN t.object_id IS NOT NULL THEN 'obj_' || t.object_id ELSE {_san('ext_', 'target_name')} END AS target, dep_type, is_dynamic,
+  CASE WHEN t.object_id IS NOT NULL THEN 'obj_' || t.object_id ELSE {_san('ext_', 'target_name', 'd.')} END AS target, dep_type, is_dynamic,
   cast(confidence AS double) AS confidence, s.object_name AS source_label, coalesce(t.object_name, {_last('target_name')}) AS target_label
 FROM deps d JOIN objs s USING (object_id) LEFT JOIN objs t ON t.object_id = d.target_id""")
 part("table_edges", ["acc", "objs"], f"""
-SELECT concat_ws('_', 'ta', object_id, operation, full_table_name) AS edge_id, 'obj_' || object_id AS source, {_san('tbl_', 'full_table_name')} AS target,
+SELECT concat_ws('_', 'ta', object_id, operation, full_table_name) AS edge_id, 'obj_' || object_id AS source, {_san('tbl_', 'full_table_name', 'acc.')} AS target,
   CASE WHEN operation = 'SELECT' THEN 'reads_from' ELSE 'writes_to' END AS dep_type, false AS is_dynamic, cast(1.0 AS double) AS confidence,
   object_name AS source_label, table_name AS target_label FROM acc JOIN objs USING (object_id)""")
 part("edges", ["call_edges", "table_edges"], "SELECT * FROM call_edges UNION ALL SELECT * FROM table_edges")
@@ -127,7 +127,13 @@ top AS (SELECT src AS id FROM steps GROUP BY src ORDER BY count(*) DESC, src LIM
 tree AS (SELECT [id] AS path, 0 AS depth, id AS node, false AS is_circular FROM top
   UNION ALL SELECT list_append(t.path, s.dst), t.depth + 1, s.dst, list_contains(t.path, s.dst) FROM tree t JOIN steps s ON s.src = t.node
   WHERE NOT t.is_circular AND t.depth < 6)
-SELECT array_to_string(path, '>') AS path, depth, node, is_circular FROM tree""", recursive=True)
+SELECT array_to_string(path, '>') AS path, depth, node, is_circular, depth = 6 AND NOT is_circular AND node IN (SELECT src FROM steps) AS is_truncated FROM tree""", recursive=True)
+register("g10_call_tree_counts",
+         _ws(lambda w: graph.call_tree_counts(w.edges, _caller(w), 6).withColumn("paths", F.col("paths").cast("long"))), ["edges"], """
+, steps AS MATERIALIZED (SELECT DISTINCT source AS src, target AS dst FROM edges WHERE dep_type = 'calls'),
+top AS (SELECT src AS id FROM steps GROUP BY src ORDER BY count(*) DESC, src LIMIT 1),
+walks AS (SELECT id AS node, 0 AS depth FROM top UNION ALL SELECT s.dst, w.depth + 1 FROM walks w JOIN steps s ON s.src = w.node WHERE w.depth < 6)
+SELECT node, depth, count(*) AS paths, depth = 6 AND node IN (SELECT src FROM steps) AS is_truncated FROM walks GROUP BY node, depth""", recursive=True)
 register("j14_direct_lineage", _ws(lambda w: resolve.direct_lineage(w.edges, hub(w))), ["edges", "hub"], """
 SELECT DISTINCT source, target, dep_type, 'upstream' AS direction FROM edges WHERE target IN (SELECT id FROM hub)
 UNION ALL SELECT DISTINCT source, target, dep_type, CASE WHEN dep_type = 'calls' THEN 'downstream' ELSE 'tables' END FROM edges WHERE source IN (SELECT id FROM hub)""")

@@ -247,15 +247,16 @@ SELECT object_id, CASE WHEN len(p) >= 2 THEN p[len(p) - 1] ELSE d END AS schema_
     string_split(replace(replace(replace({_bare}, '[', ''), ']', ''), chr(34), ''), '.') AS p FROM objs) x""")
 _asked = ("CASE object_id % 3 WHEN 0 THEN replace(definition, ' ', chr(9) || ' ') WHEN 1 THEN substring(definition, 1, 60) || ' changed' "
           "ELSE 'nothing like ' || definition END")
-_print = lambda e: f"lower(substring(trim(regexp_replace({e}, '\\s+', ' ', 'g')), 1, 80))"
-part("prints", ["objs"], f"SELECT object_id, {_print('definition')} AS print FROM objs")
+_normal = lambda e: f"lower(trim(regexp_replace({e}, '\\s+', ' ', 'g')))"
 register("p12_fingerprint_lookup",
          _ws(lambda w: listing.by_fingerprint(w.objects.select(F.col("object_id").alias("text_id"), F.expr(_asked).alias("text")), w.objects)),
-         ["objs", "prints"], f"""
-SELECT text_id, coalesce(exact_id, head_id) AS object_id, CASE WHEN exact_id IS NOT NULL THEN 'exact' WHEN head_id IS NOT NULL THEN 'prefix' ELSE 'none' END AS matched_by FROM (
-  SELECT object_id AS text_id, {_print(_asked)} AS print FROM objs) a
-LEFT JOIN (SELECT print, min(object_id) AS exact_id FROM prints GROUP BY print) e USING (print)
-LEFT JOIN (SELECT left(print, 40) AS head, min(object_id) AS head_id FROM prints GROUP BY 1) h ON h.head = left(a.print, 40)""")
+         ["objs"], f"""
+, norm AS (SELECT object_id, {_normal('definition')} AS print, {_normal(_asked)} AS asked FROM objs)
+SELECT a.object_id AS text_id, coalesce(e.id, h.id, g.id) AS object_id,
+  CASE WHEN e.id IS NOT NULL THEN 'exact' WHEN h.id IS NOT NULL THEN 'prefix-80' WHEN g.id IS NOT NULL THEN 'prefix-40' ELSE 'none' END AS matched_by
+FROM norm a LEFT JOIN (SELECT print, min(object_id) AS id FROM norm GROUP BY print) e ON e.print = a.asked
+LEFT JOIN (SELECT left(print, 80) AS head, min(object_id) AS id FROM norm GROUP BY 1) h ON h.head = left(a.asked, 80)
+LEFT JOIN (SELECT left(print, 40) AS head, min(object_id) AS id FROM norm GROUP BY 1) g ON g.head = left(a.asked, 40)""")
 register("p13_job_state",
          lambda s, sf: _jobs(s, sf).select(
              "job_id", scalars.is_running(F.col("status")).alias("running"), scalars.is_finished(F.col("status")).alias("finished"),

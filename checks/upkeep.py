@@ -180,11 +180,15 @@ def _merged(w):
     return maintain.merge_objects(_catalog(w), _hashed(w.second_objects), F.lit(_RUN), ["definition_hash", "object_type"])
 
 
-part("merged", ["objs", "objs2"], f"""
-SELECT coalesce(a.connection_id, b.connection_id) AS connection_id, coalesce(a.fqn, b.fqn) AS fqn, sha256(coalesce(b.definition, a.definition)) AS definition_hash,
+for _n, _source in (("one1", "objs"), ("one2", "objs2")):
+    part(_n, [_source], f"""
+SELECT connection_id, fqn, r[1] AS hash, r[2] AS object_type FROM (
+  SELECT connection_id, fqn, max([sha256(definition), object_type]) AS r FROM {_source} GROUP BY connection_id, fqn) x""")
+part("merged", ["one1", "one2"], f"""
+SELECT coalesce(a.connection_id, b.connection_id) AS connection_id, coalesce(a.fqn, b.fqn) AS fqn, coalesce(b.hash, a.hash) AS definition_hash,
   coalesce(b.object_type, a.object_type) AS object_type, CASE WHEN a.fqn IS NULL THEN '{_RUN}' ELSE '{_FIRST}' END AS first_seen,
   CASE WHEN b.fqn IS NULL THEN '{_FIRST}' ELSE '{_RUN}' END AS last_seen, b.fqn IS NULL AS is_deleted
-FROM objs a FULL JOIN objs2 b ON a.connection_id = b.connection_id AND a.fqn = b.fqn""")
+FROM one1 a FULL JOIN one2 b ON a.connection_id = b.connection_id AND a.fqn = b.fqn""")
 register("m1_object_upsert", _ws(_merged), ["merged"], "SELECT * FROM merged")
 register("m2_soft_delete",
          _ws(lambda w: _merged(w).groupBy("connection_id", "is_deleted").agg(F.count(F.lit(1)).alias("objects"))), ["merged"],
@@ -232,10 +236,10 @@ register("m5_drop_runs",
 SELECT operation, count(*) AS rows, count(DISTINCT object_id) AS runs FROM acc WHERE object_id NOT IN (SELECT job_id FROM jobs WHERE status = 'failed') GROUP BY operation""")
 register("m6_snapshot_diff",
          _ws(lambda w: maintain.diff(_hashed(w.objects), _hashed(w.second_objects), ["connection_id", "fqn"])),
-         ["objs", "objs2"], """
+         ["one1", "one2"], """
 SELECT coalesce(a.connection_id, b.connection_id) AS connection_id, coalesce(a.fqn, b.fqn) AS fqn,
-  CASE WHEN a.fqn IS NULL THEN 'added' WHEN b.fqn IS NULL THEN 'removed' WHEN a.definition = b.definition THEN 'unchanged' ELSE 'changed' END AS state
-FROM objs a FULL JOIN objs2 b ON a.connection_id = b.connection_id AND a.fqn = b.fqn""")
+  CASE WHEN a.fqn IS NULL THEN 'added' WHEN b.fqn IS NULL THEN 'removed' WHEN a.hash = b.hash THEN 'unchanged' ELSE 'changed' END AS state
+FROM one1 a FULL JOIN one2 b ON a.connection_id = b.connection_id AND a.fqn = b.fqn""")
 
 
 def _runs(s, sf):

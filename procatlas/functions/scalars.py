@@ -66,9 +66,14 @@ def name_parts(raw: Column, dialect: Column) -> Column:
     return F.struct(schema.alias("schema_name"), name.alias("object_name"), fqn.alias("fqn"))
 
 
-def fingerprint(text: Column) -> Column:
-    """First 80 characters of the text with white space collapsed, in lower case."""
-    return F.lower(F.substring(F.trim(F.regexp_replace(text, r"\s+", " ")), 1, 80))
+def normalised(text: Column) -> Column:
+    """The text with white space collapsed, in lower case."""
+    return F.lower(F.trim(F.regexp_replace(text, r"\s+", " ")))
+
+
+def fingerprint(text: Column, length: int = 80) -> Column:
+    """First characters of the normalised text."""
+    return F.substring(normalised(text), 1, length)
 
 
 def is_running(status: Column) -> Column:

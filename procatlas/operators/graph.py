@@ -20,7 +20,9 @@ EDGE_COLUMNS = ["edge_id", "source", "target", "dep_type", "is_dynamic", "confid
 
 
 def _sanitised(prefix: str, name: Column) -> Column:
-    return F.concat(F.lit(prefix), F.regexp_replace(name, "[^a-zA-Z0-9_]", "_"))
+    """Id of an external name or a table; the same name in another connection is another node."""
+    connection = F.coalesce(F.col("connection_id").cast("string"), F.lit(""))
+    return F.concat(F.lit(prefix), connection, F.lit("_"), F.regexp_replace(name, "[^a-zA-Z0-9_]", "_"))
 
 
 def _schema_of(name: Column) -> Column:
@@ -57,7 +59,7 @@ def access_edges(accesses: DataFrame, objects: DataFrame) -> DataFrame:
 
 
 def _virtual_nodes(names: DataFrame, name: str, prefix: str, kind: str) -> DataFrame:
-    """One node per sanitised name; of several names under one id the smallest gives the label."""
+    """One node per connection and sanitised name; of several names under one id the smallest gives the label."""
     label = F.min(F.struct(F.substring_index(name, ".", -1).alias("label"), _schema_of(F.col(name)).alias("schema_name")))
     return names.groupBy(_sanitised(prefix, F.col(name)).alias("id")).agg(label.alias("n")).select(
         "id", "n.label", F.lit(kind).alias("object_type"), "n.schema_name",
@@ -267,7 +269,11 @@ def call_chain(edges: DataFrame, roots: DataFrame, max_depth: int | None = None)
 
 
 def call_tree(edges: DataFrame, roots: DataFrame, depth: int = 5) -> DataFrame:
-    """Calls expanded from the roots: (path, depth, node, is_circular); a repeated node is not expanded."""
+    """Calls expanded from the roots: (path, depth, node, is_circular, is_truncated); a repeated node is not expanded.
+
+    ``is_truncated`` marks the rows at the last level whose calls are not shown.  There is a row for each path, which can be very
+    many; ``call_tree_counts`` has them by number.
+    """
     walk = cut(steps(edges.where(F.col("dep_type") == "calls")), "steps")
     level = roots.select(F.array("id").alias("path"), F.lit(0).alias("depth"), F.col("id").alias("node"),
                          F.lit(False).alias("is_circular"))
@@ -280,7 +286,30 @@ def call_tree(edges: DataFrame, roots: DataFrame, depth: int = 5) -> DataFrame:
         levels.append(cut(level, "tree"))
         if levels[-1].isEmpty():
             break
-    return reduce(DataFrame.unionByName, levels)
+    calls = walk.select(F.col("src").alias("node")).distinct().withColumn("more", F.lit(True))
+    last = (F.col("depth") == depth) & ~F.col("is_circular") & F.col("more").isNotNull()
+    rows = reduce(DataFrame.unionByName, levels).join(calls, "node", "left")
+    return rows.select("path", "depth", "node", "is_circular", last.alias("is_truncated"))
+
+
+def call_tree_counts(edges: DataFrame, roots: DataFrame, depth: int = 5) -> DataFrame:
+    """The tree of calls with shared subtrees once: (node, depth, paths, is_truncated).
+
+    ``paths`` counts the call sequences of that length from a root to the node, as a decimal; where calls are circular a sequence may
+    come by a node again, so only ``depth`` ends it.  A level has a row for each node, however many paths lead to it.
+    """
+    walk = cut(steps(edges.where(F.col("dep_type") == "calls")), "steps")
+    whole = "decimal(38,0)"
+    levels = [cut(roots.groupBy(F.col("id").alias("node")).agg(F.lit(1).cast(whole).alias("paths")), "counts")]
+    for _ in range(depth):
+        level = (levels[-1].withColumnRenamed("node", "src").join(walk, "src").groupBy(F.col("dst").alias("node"))
+                 .agg(F.sum("paths").cast(whole).alias("paths")))
+        levels.append(cut(level, "counts"))
+        if levels[-1].isEmpty():
+            break
+    calls = walk.select(F.col("src").alias("node")).distinct().withColumn("more", F.lit(True))
+    rows = reduce(DataFrame.unionByName, [df.withColumn("depth", F.lit(d)) for d, df in enumerate(levels)]).join(calls, "node", "left")
+    return rows.select("node", "depth", "paths", ((F.col("depth") == depth) & F.col("more").isNotNull()).alias("is_truncated"))
 
 
 def summary(nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -102,19 +102,28 @@ def top_complex(objects: DataFrame, complexity: DataFrame, n: int = 10) -> DataF
     return best.join(objects.select("object_id", "fqn"), "object_id")
 
 
-def by_fingerprint(texts: DataFrame, objects: DataFrame) -> DataFrame:
-    """Object of each text by fingerprint, else by the first 40 characters of it; the lowest id wins."""
-    prints = objects.select("object_id", scalars.fingerprint(F.col("definition")).alias("print"))
-    whole = prints.groupBy("print").agg(F.min("object_id").alias("exact_id"))
-    head = prints.groupBy(F.substring("print", 1, 40).alias("head")).agg(F.min("object_id").alias("head_id"))
-    asked = texts.select("text_id", scalars.fingerprint(F.col("text")).alias("print"))
-    # A text that many rows share is looked up once; both lookup sides hold one row per key.
-    keys = asked.select("print").distinct().withColumn("head", F.substring("print", 1, 40))
-    found = keys.join(whole, "print", "left").join(head, "head", "left").select(
-        "print", F.coalesce("exact_id", "head_id").alias("object_id"),
-        F.when(F.col("exact_id").isNotNull(), "exact").when(F.col("head_id").isNotNull(), "prefix")
-        .otherwise("none").alias("matched_by"))
-    return asked.join(found, "print").select("text_id", "object_id", "matched_by")
+def by_fingerprint(texts: DataFrame, objects: DataFrame, lengths: tuple[int, ...] = (80, 40)) -> DataFrame:
+    """Object of each text (text_id, object_id, matched_by): the one with the same normalised text, else the one that shares
+    the longest beginning of the given ``lengths``; the lowest id wins.
+
+    ``matched_by`` is exact, prefix-N or none.  Whole texts meet by their hash, so they are not shuffled.
+    """
+    def keys(text: str) -> list[Column]:
+        whole = scalars.normalised(F.col(text))
+        return [F.sha2(whole, 256).alias("whole"), *(F.substring(whole, 1, n).alias(f"first_{n}") for n in lengths)]
+
+    steps = [("whole", "exact"), *((f"first_{n}", f"prefix-{n}") for n in lengths)]
+    prints = objects.select("object_id", *keys("definition"))
+    asked = texts.select("text_id", *keys("text"))
+    # A text that many rows share is looked up once; all lookup sides hold one row per key.
+    found = asked.drop("text_id").distinct()
+    for key, _ in steps:
+        found = found.join(prints.groupBy(key).agg(F.min("object_id").alias(f"by_{key}")), key, "left")
+    matched = F.lit("none")
+    for key, label in reversed(steps):
+        matched = F.when(F.col(f"by_{key}").isNotNull(), label).otherwise(matched)
+    found = found.select("whole", F.coalesce(*(f"by_{key}" for key, _ in steps)).alias("object_id"), matched.alias("matched_by"))
+    return asked.select("text_id", "whole").join(found, "whole").select("text_id", "object_id", "matched_by")
 
 
 def recent_jobs(jobs: DataFrame, connections: DataFrame, per_connection: int = 3, overall: int = 5) -> DataFrame:

@@ -8,16 +8,34 @@ from pyspark.sql import functions as F
 from procatlas.operators.resolve import spread_join
 
 
+def one_per_key(rows: DataFrame, keys: list[str], newest: list[str] | None = None) -> DataFrame:
+    """One row per key: the largest by ``newest``, then by all other columns in order; null comes first.
+
+    Grouped by the keys that a merge joins on, so the join after it finds its rows in place.
+    """
+    rest = [c for c in rows.columns if c not in keys]
+    order = [c for c in newest or [] if c in rest]
+    largest = F.max(F.struct(*order, *[c for c in rest if c not in order])).alias("_r")
+    return rows.groupBy(*keys).agg(largest).select(*keys, *[F.col(f"_r.{c}") for c in rest])
+
+
+def repeated_keys(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Keys that several rows have, with their number: what a merge folds."""
+    return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows")).where("rows > 1")
+
+
 def merge_objects(catalog: DataFrame, snapshot: DataFrame, seen_at: Column, refreshed: list[str],
                   keys: list[str] | None = None) -> DataFrame:
     """Upsert and soft delete in one full outer join.
 
     Known keys take the snapshot's ``refreshed`` columns and keep ``first_seen``; new keys are added;
     keys of a connection in the snapshot that it lacks become deleted.  Connections without any row
-    in the snapshot are left alone.
+    in the snapshot are left alone.  Rows that repeat a key are one (see ``one_per_key``); overloaded
+    functions stay apart when ``keys`` holds their signature.
     """
     keys = keys or ["connection_id", "fqn"]
-    s = snapshot.select(*keys, *[F.col(c).alias(f"_{c}") for c in refreshed], F.lit(True).alias("_seen"))
+    catalog = one_per_key(catalog, keys, ["last_seen"])
+    s = one_per_key(snapshot.select(*keys, *[c for c in refreshed if c not in keys]), keys).select(*keys, *[F.col(c).alias(f"_{c}") for c in refreshed], F.lit(True).alias("_seen"))
     ran = snapshot.select("connection_id").distinct().withColumn("_ran", F.lit(True))
     merged = spread_join(catalog.join(s, keys, "full"), ran, "connection_id", "left", keys[-1])
     seen = F.col("_seen").isNotNull()
@@ -44,9 +62,10 @@ def merge_schemas(catalog: DataFrame, snapshot: DataFrame) -> DataFrame:
 
 
 def merge_tables(catalog: DataFrame, snapshot: DataFrame, refreshed: list[str]) -> DataFrame:
-    """Table upsert on (connection, fqn); tables the snapshot lacks stay as they are."""
+    """Table upsert on (connection, fqn); tables the snapshot lacks stay as they are.  Rows that repeat a key are one."""
     keys = ["connection_id", "fqn"]
-    s = snapshot.select(*keys, *[F.col(c).alias(f"_{c}") for c in refreshed], F.lit(True).alias("_seen"))
+    catalog = one_per_key(catalog, keys)
+    s = one_per_key(snapshot.select(*keys, *refreshed), keys).select(*keys, *[F.col(c).alias(f"_{c}") for c in refreshed], F.lit(True).alias("_seen"))
     seen = F.col("_seen").isNotNull()
     return catalog.withColumn("_old", F.lit(True)).join(s, keys, "full").select(
         *keys, *[F.when(seen, F.col(f"_{c}")).otherwise(F.col(c)).alias(c) for c in refreshed],
@@ -59,9 +78,9 @@ def drop_runs(facts: DataFrame, runs: DataFrame) -> DataFrame:
 
 
 def diff(before: DataFrame, after: DataFrame, keys: list[str]) -> DataFrame:
-    """added / removed / changed / unchanged by definition hash."""
-    a = before.select(*keys, F.col("definition_hash").alias("old_hash"))
-    b = after.select(*keys, F.col("definition_hash").alias("new_hash"))
+    """added / removed / changed / unchanged by definition hash; rows that repeat a key are one."""
+    a = one_per_key(before.select(*keys, F.coalesce("definition_hash", F.lit("")).alias("old_hash")), keys)
+    b = one_per_key(after.select(*keys, F.coalesce("definition_hash", F.lit("")).alias("new_hash")), keys)
     state = (
         F.when(F.col("old_hash").isNull(), "added").when(F.col("new_hash").isNull(), "removed")
         .when(F.col("old_hash") == F.col("new_hash"), "unchanged").otherwise("changed"))

@@ -5,7 +5,7 @@ import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from procatlas.operators import document, listing, maintain, metadata, resolve, rollup
+from procatlas.operators import document, graph, listing, maintain, metadata, resolve, rollup
 from procatlas.plans.analysis import Analysis
 from procatlas.session import fresh_path, shared_root
 from procatlas.sources import readers, sinks
@@ -51,10 +51,19 @@ def test_analysis_run_and_second_run(spark):
     assert spark.read.parquet(f"{folder}/dependencies").select("job_id").distinct().count() == 2
 
 
+def test_the_same_name_in_two_connections_is_two_nodes(spark):
+    a = Analysis(spark, objects(spark).withColumn("connection_id", F.when(F.col("object_id") == 2, 9).otherwise(F.col("connection_id"))))
+    nodes, edges = a.nodes, a.edges
+    assert {r.target for r in edges.where("target LIKE 'tbl%'").collect()} == {r.id for r in nodes.where("object_type = 'table'").collect()}
+    reached = graph.reach(edges, spark.createDataFrame([("obj_2",)], "id string"))
+    owner = {f"obj_{r.object_id}": r.connection_id for r in a.objects.collect()}
+    assert {owner[r.id] for r in reached.collect() if r.id in owner} == {9}
+
+
 def test_graph_view(spark):
     a = Analysis(spark, objects(spark))
     nodes, edges, summary = a.graph_view(connection_id=1)
-    assert {r.id for r in nodes.collect()} == {"obj_1", "obj_2", "obj_3", "ext_nowhere", "tbl_b_t"}
+    assert {r.id for r in nodes.collect()} == {"obj_1", "obj_2", "obj_3", "ext_1_nowhere", "tbl_1_b_t"}
     row = summary.first()
     assert (row.nodes, row.edges, row.cyclic_components, row.roots, row.leaves) == (5, 6, 1, 0, 2)
     nodes, edges, _ = a.graph_view(connection_id=1, root="obj_2", max_depth=1, types=["calls"])
@@ -196,9 +205,31 @@ def test_changed_definitions_over_batches(spark, tmp_path):
 
 def test_fingerprint_prefers_exact_then_lowest_id(spark):
     texts = objects(spark).select("object_id", "definition")
-    asked = spark.createDataFrame([(1, "create   procedure b.Save AS\nUPDATE b.t SET c = 1"), (2, "unrelated")], "text_id int, text string")
+    asked = spark.createDataFrame([(1, "create   procedure b.Save AS\nUPDATE b.t SET c = 1"), (2, "unrelated"), (3, None)], "text_id int, text string")
     got = {r.text_id: (r.object_id, r.matched_by) for r in listing.by_fingerprint(asked, texts).collect()}
     assert got == {1: (2, "exact"), 2: (None, "none")}
+    head = "create procedure p as " + "x" * 70
+    known = spark.createDataFrame([(5, head + " one"), (7, head + " two"), (9, head[:50] + " else"), (6, head + " TWO")], "object_id int, definition string")
+    asked = spark.createDataFrame([(1, head + "  two"), (2, head + " three"), (3, head[:45] + " other")], "text_id int, text string")
+    got = {r.text_id: (r.object_id, r.matched_by) for r in listing.by_fingerprint(asked, known).collect()}
+    assert got == {1: (6, "exact"), 2: (5, "prefix-80"), 3: (5, "prefix-40")}
+
+
+def test_repeated_keys_are_one_row(spark):
+    """Overloads under one name, over three runs: the catalog does not multiply, and keeps them apart by signature if asked."""
+    schema = "connection_id int, fqn string, signature string, definition_hash string"
+    run = spark.createDataFrame([(1, "s.f", "INT", "a"), (1, "s.f", "TEXT", "b"), (1, "s.f", "TEXT", "c"), (1, "s.g", "", "d")], schema)
+    empty = run.select("connection_id", "fqn", "signature", "definition_hash", F.lit(0).alias("first_seen"), F.lit(0).alias("last_seen"),
+                       F.lit(False).alias("is_deleted")).limit(0)
+    for keys, rows in ((["connection_id", "fqn"], [("s.f", "c"), ("s.g", "d")]),
+                       (["connection_id", "fqn", "signature"], [("s.f", "a"), ("s.f", "c"), ("s.g", "d")])):
+        catalog = empty.drop("signature") if "signature" not in keys else empty
+        for day_ in (1, 2, 3):
+            catalog = maintain.merge_objects(catalog, run, F.lit(day_), ["definition_hash"], keys)
+        assert sorted((r.fqn, r.definition_hash) for r in catalog.collect()) == rows
+        assert {(r.first_seen, r.last_seen, r.is_deleted) for r in catalog.collect()} == {(1, 3, False)}
+    assert {r.fqn: r.rows for r in maintain.repeated_keys(run, ["connection_id", "fqn"]).collect()} == {"s.f": 3}
+    assert maintain.diff(run, run, ["connection_id", "fqn"]).groupBy("state").count().collect() == [("unchanged", 2)]
 
 
 def test_recent_jobs_plan_limits_before_the_shuffle(spark):

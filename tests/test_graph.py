@@ -107,6 +107,22 @@ def test_no_roots_means_depth_zero(spark):
     assert graph.max_depth(nodes, edges).first()[0] == 0
 
 
+def test_call_tree_counts_a_ladder_of_diamonds(spark):
+    """2^30 paths from one end to the other; a level has a row for each node."""
+    pairs = [p for k in range(30) for p in ((f"n{k}", f"l{k}"), (f"n{k}", f"r{k}"), (f"l{k}", f"n{k + 1}"), (f"r{k}", f"n{k + 1}"))]
+    _, edges = frames(spark, pairs)
+    rows = graph.call_tree_counts(edges, spark.createDataFrame([("n0",)], "id string"), 12).collect()
+    assert {(r.node, r.depth): int(r.paths) for r in rows if r.node[0] == "n"} == {(f"n{k}", 2 * k): 2 ** k for k in range(7)}
+    assert [r.node for r in rows if r.is_truncated] == ["n6"] and len(rows) == 7 + 2 * 6
+
+
+def test_call_tree_says_where_it_ends(spark):
+    _, edges = frames(spark, [("a", "b"), ("b", "c"), ("b", "a"), ("c", "d")])
+    start = spark.createDataFrame([("a",)], "id string")
+    got = {(">".join(r.path), r.is_circular, r.is_truncated) for r in graph.call_tree(edges, start, 2).collect()}
+    assert got == {("a", False, False), ("a>b", False, False), ("a>b>c", False, True), ("a>b>a", True, False)}
+
+
 def test_call_tree_and_chain(spark):
     pairs = [("a", "b"), ("b", "c"), ("c", "a"), ("b", "d"), ("x", "a")]
     _, edges = frames(spark, pairs)
