@@ -86,7 +86,7 @@ _depth = """, far AS (
   SELECT id AS root, id, 0 AS depth FROM root_walk UNION SELECT far.root, w.dst, far.depth + 1 FROM far JOIN walk_out w ON w.src = far.id WHERE far.depth < 24),
 dist AS (SELECT root, id, min(depth) AS depth FROM far GROUP BY root, id)
 """
-register("g6_max_depth", _ws(lambda w: graph.max_depth(w.nodes, w.edges)), ["root_walk", "walk_out"],
+register("g6_max_depth", _ws(lambda w: w.deepest), ["root_walk", "walk_out"],
          _depth + "SELECT cast(max(depth) AS integer) AS max_depth FROM dist", recursive=True)
 _comp = """, meets AS (SELECT src, dst FROM walk_out UNION SELECT m.src, w.dst FROM meets m JOIN walk_out w ON w.src = m.dst),
 comp AS MATERIALIZED (SELECT a.src AS id, min(a.dst) AS component FROM meets a JOIN meets b ON a.src = b.dst AND a.dst = b.src GROUP BY a.src)
@@ -100,8 +100,8 @@ longer AS (SELECT count(*) > 0 AS has_longer FROM grow g JOIN walk_out w ON w.sr
   JOIN comp b ON b.id = w.dst AND b.component = a.component WHERE g.next <> g.start AND len(g.path) = 6
   AND w.dst >= g.start AND (w.dst = g.start OR NOT list_contains(list_append(g.path, g.next), w.dst)))
 """
-register("g7_circular_dependencies", _ws(lambda w: graph.cycles(w.edges, 6)), ["walk_out"], _comp + _cyc + "SELECT cyc.*, has_longer FROM cyc, longer", recursive=True)
-register("g7_cycle_nodes", _ws(lambda w: graph.cyclic_components(w.edges)), ["walk_out"],
+register("g7_circular_dependencies", _ws(lambda w: graph.cycles(w.edges, 6, w.components)), ["walk_out"], _comp + _cyc + "SELECT cyc.*, has_longer FROM cyc, longer", recursive=True)
+register("g7_cycle_nodes", _ws(lambda w: w.components), ["walk_out"],
          _comp + "SELECT * FROM comp", recursive=True)
 register("g8_call_chain",
          _ws(lambda w: graph.call_chain(w.edges, hub(w)).select("edge_id", "source", "target", "dep_type", "direction")), ["edges", "hub"], """
@@ -109,7 +109,7 @@ register("g8_call_chain",
 up AS (SELECT id FROM hub UNION SELECT e.source FROM up JOIN edges e ON e.target = up.id)
 SELECT edge_id, source, target, dep_type, 'downstream' AS direction FROM edges WHERE source IN (SELECT id FROM down) AND target IN (SELECT id FROM down)
 UNION ALL SELECT edge_id, source, target, dep_type, 'upstream' FROM edges WHERE source IN (SELECT id FROM up) AND target IN (SELECT id FROM up)""", recursive=True)
-register("g9_graph_summary", _ws(lambda w: graph.summary(w.nodes, w.edges)), ["nodes", "edges", "roots", "leaves", "root_walk", "walk_out"],
+register("g9_graph_summary", _ws(lambda w: graph.summary(w.nodes, w.edges, w.components, w.deepest)), ["nodes", "edges", "roots", "leaves", "root_walk", "walk_out"],
          _comp + _depth + """
 SELECT (SELECT count(*) FROM nodes) AS nodes, (SELECT count(*) FROM edges) AS edges, (SELECT count(*) FROM roots) AS roots,
   (SELECT count(*) FROM leaves) AS leaves, (SELECT count(DISTINCT component) FROM comp) AS cyclic_components, (SELECT cast(max(depth) AS integer) FROM dist) AS max_depth""", recursive=True)

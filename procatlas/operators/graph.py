@@ -224,13 +224,14 @@ def cyclic_components(edges: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, found)
 
 
-def cycles(edges: DataFrame, max_length: int) -> DataFrame:
+def cycles(edges: DataFrame, max_length: int, within: DataFrame | None = None) -> DataFrame:
     """Simple directed cycles up to ``max_length``, smallest id first: (cycle, length, has_longer).
 
     Only steps inside a strongly connected component are walked.  ``has_longer`` says whether a path of a component was
-    still open at that length, so longer cycles may exist; ``cyclic_components`` has the nodes on cycles of any length.
+    still open at that length, so longer cycles may exist; ``cyclic_components`` has the nodes on cycles of any length and can be
+    given as ``within`` where it is known.
     """
-    within = cyclic_components(edges)
+    within = cyclic_components(edges) if within is None else within
     walk = cut(steps(edges).join(within.select(F.col("id").alias("src"), "component"), "src")
                .join(within.select(F.col("id").alias("dst"), F.col("component").alias("other")), "dst")
                .where("component = other").select("src", "dst"), "walk")
@@ -312,9 +313,13 @@ def call_tree_counts(edges: DataFrame, roots: DataFrame, depth: int = 5) -> Data
     return rows.select("node", "depth", "paths", ((F.col("depth") == depth) & F.col("more").isNotNull()).alias("is_truncated"))
 
 
-def summary(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Node, edge, root, leaf and cyclic component counts and the maximum depth, as one row."""
+def summary(nodes: DataFrame, edges: DataFrame, within: DataFrame | None = None, deepest: DataFrame | None = None) -> DataFrame:
+    """Node, edge, root, leaf and cyclic component counts and the maximum depth, as one row.
+
+    ``within`` and ``deepest`` are the results of ``cyclic_components`` and ``max_depth`` where they are known.
+    """
+    within = cyclic_components(edges) if within is None else within
     one = lambda df, label: df.agg(F.count(F.lit(1)).alias(label))
-    parts = [one(nodes, "nodes"), one(edges, "edges"), one(root_nodes(nodes, edges), "roots"),
-             one(leaf_nodes(nodes, edges), "leaves"), one(cyclic_components(edges).select("component").distinct(), "cyclic_components"), max_depth(nodes, edges)]
+    parts = [one(nodes, "nodes"), one(edges, "edges"), one(root_nodes(nodes, edges), "roots"), one(leaf_nodes(nodes, edges), "leaves"),
+             one(within.select("component").distinct(), "cyclic_components"), max_depth(nodes, edges) if deepest is None else deepest]
     return side_by_side(*parts)

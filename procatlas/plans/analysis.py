@@ -71,6 +71,15 @@ class Analysis:
     def edges(self) -> DataFrame:
         return self.stored("edges", lambda: self._graph()[1])
 
+    @property
+    def components(self) -> DataFrame:
+        """Nodes on a cycle with their component."""
+        return self.stored("components", lambda: graph.cyclic_components(self.edges))
+
+    @property
+    def deepest(self) -> DataFrame:
+        return self.stored("deepest", lambda: graph.max_depth(self.nodes, self.edges))
+
     def _graph(self, connection_id=None) -> tuple[DataFrame, DataFrame]:
         def scoped(df: DataFrame) -> DataFrame:
             return df if connection_id is None else df.where(F.col("connection_id") == connection_id)
@@ -87,6 +96,8 @@ class Analysis:
             start = nodes.where(F.col("id") == root).select("id")
             nodes, edges = graph.induced(nodes, edges, graph.reach(edges, start, max_depth))
         nodes, edges = graph.filter_types(nodes, edges, types, prune=root is not None)
+        if connection_id is None and root is None and not types:  # the whole graph, whose cycles and depth are stored
+            return nodes, edges, graph.summary(nodes, edges, self.components, self.deepest)
         nodes, edges = cut(nodes, "view"), cut(edges, "view")
         return nodes, edges, graph.summary(nodes, edges)
 
