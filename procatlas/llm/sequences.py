@@ -184,6 +184,14 @@ def materialise(docs: DataFrame, path: str, key: int = 1, length: int = LENGTH,
     return total
 
 
+def _shards_from(first: int) -> str:
+    """Glob of the file names of shard ``first`` and all after it."""
+    digits = f"{first:05d}"
+    ahead = [digits] + [f"{digits[:k]}[{int(d) + 1}-9]{'?' * (len(digits) - k - 1)}" for k, d in enumerate(digits) if d < "9"]
+    longer = ["[1-9]" + "?" * (n - 1) for n in range(len(digits) + 1, 11)]
+    return "part-{" + ",".join(ahead + longer) + "}-*"
+
+
 def read_sequences(spark: SparkSession, path: str, total: int, length: int = LENGTH, shard_slots: int = SHARD_SLOTS,
                    first_slot: int = 0, wide: bool = False) -> DataFrame:
     """(slot, shard, offset, ids binary) of all records from ``first_slot`` on; earlier shards are not opened."""
@@ -206,6 +214,5 @@ def read_sequences(spark: SparkSession, path: str, total: int, length: int = LEN
     schema = "slot long, shard int, offset long, ids binary"
     if not total:
         return spark.createDataFrame([], schema)
-    opened = spark.read.format("binaryFile").load(path)
-    shard = F.regexp_extract("path", r"part-(\d+)[^/]*$", 1).cast("int")
-    return opened.where(shard >= first_slot // shard_slots).select("path", "content").mapInArrow(task, schema)
+    opened = spark.read.format("binaryFile").option("pathGlobFilter", _shards_from(first_slot // shard_slots)).load(path)
+    return opened.select("path", "content").mapInArrow(task, schema)

@@ -41,10 +41,22 @@ def test_round_trip(spark, documents):
 
     again = fresh_path(spark, "shards")
     assert sequences.materialise(docs, again, key=3, length=16, shard_slots=64) == total
-    rest = sequences.read_sequences(spark, again, total, length=16, shard_slots=64, first_slot=100).collect()
+    resumed = sequences.read_sequences(spark, again, total, length=16, shard_slots=64, first_slot=100)
+    assert {int(f.rsplit("part-", 1)[1][:5]) for f in resumed.inputFiles()} == set(range(1, -(-total // 64)))  # shard 0 is not opened
+    rest = resumed.collect()
     assert sorted((r.slot, bytes(r.ids)) for r in rest) == sorted((r.slot, bytes(r.ids)) for r in got if r.slot >= 100)
 
 
+def test_shards_from_a_number_on():
+    from fnmatch import fnmatch
+
+    for first in (0, 7, 90, 99, 12345, 99999, 100000, 120300):
+        some = sequences._shards_from(first)[len("part-{"):-len("}-*")].split(",")
+        for n in {*range(0, 300), first - 1, first, first + 1, 99999, 100000, 120299, 120300, 999999, 1000000}:
+            if n >= 0:
+                assert any(fnmatch(f"{n:05d}", g) for g in some) == (n >= first), (first, n)
+
+
 def test_nothing_to_write(spark, documents):
     for rows in ([], [(1, None), (2, "")]):
         path = fresh_path(spark, "shards")
