@@ -36,3 +36,14 @@ def test_query_equals_sql(spark, db, name):
     place = [names.index(c) for c in cols]
     want = sorted(repr([canonical(r[i]) for i in place]) for r in cur.fetchall())
     assert sorted(repr([canonical(r[c]) for c in cols]) for r in df.collect()) == want
+
+
+def test_the_rest_works_without_the_training_data_part(monkeypatch):
+    """A missing module, or one that something is missing for, takes only its own queries away."""
+    def missing(name):
+        raise ModuleNotFoundError(name)
+
+    monkeypatch.setattr(entry, "import_module", missing)
+    names = set(entry.queries())
+    assert names == {n for n in QUERIES if not n.startswith("op") and n != "pipeline"}
+    assert set(entry.oracle_sql()) <= names
