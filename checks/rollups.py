@@ -66,23 +66,26 @@ register("a7_risk_distribution", _ws(lambda w: rollup.risk_distribution(w.object
          f"SELECT {RISK_SQL} AS risk, count(*) AS objects FROM cplx GROUP BY 1")
 register("a8_dashboard", lambda s, sf: rollup.dashboard(corpus.connections(s, sf), workspace(s, sf).objects, workspace(s, sf).findings),
          ["objs", "finds"], "SELECT (SELECT count(*) FROM nation) AS connections, (SELECT count(*) FROM objs) AS objects, (SELECT count(*) FROM finds) AS findings")
+_SEQUENCE = "column_name = 'c0'"  # the first key column of each table counts from a sequence
 register("a9_schema_inventory",
-         lambda s, sf: rollup.schema_inventory(workspace(s, sf).objects, workspace(s, sf).tables, corpus.metadata(s, sf, "md_index")).withColumnRenamed("indexes", "n_indexes"),
-         ["objs", "tabs", "md_index"], """
+         lambda s, sf: rollup.schema_inventory(
+             workspace(s, sf).objects, workspace(s, sf).tables,
+             corpus.metadata(s, sf, "md_index"), corpus.metadata(s, sf, "md_pk").where(_SEQUENCE)).withColumnRenamed("indexes", "n_indexes"),
+         ["objs", "tabs", "md_index", "md_pk"], f"""
 SELECT *, procedures + functions + triggers + views + tables AS total FROM (
-  SELECT schema_name, count(*) FILTER (k = 'procedure') AS procedures, count(*) FILTER (k = 'function') AS functions, count(*) FILTER (k = 'trigger') AS triggers,
-    count(*) FILTER (k = 'view') AS views, count(*) FILTER (k = 'table') AS tables, count(*) FILTER (k = 'index') AS n_indexes FROM (
-    SELECT schema_name, object_type AS k FROM objs UNION ALL SELECT schema_name, 'table' FROM tabs
-    UNION ALL SELECT DISTINCT ON (schema_name, table_name, index_name) schema_name, 'index' FROM md_index) u GROUP BY schema_name) x""")
+  SELECT connection_id, schema_name, count(*) FILTER (k = 'procedure') AS procedures, count(*) FILTER (k = 'function') AS functions, count(*) FILTER (k = 'trigger') AS triggers,
+    count(*) FILTER (k = 'view') AS views, count(*) FILTER (k = 'table') AS tables, count(*) FILTER (k = 'sequence') AS sequences, count(*) FILTER (k = 'index') AS n_indexes FROM (
+    SELECT connection_id, schema_name, object_type AS k FROM objs UNION ALL SELECT connection_id, schema_name, 'table' FROM tabs
+    UNION ALL SELECT connection_id, schema_name, 'sequence' FROM md_pk WHERE {_SEQUENCE}
+    UNION ALL SELECT DISTINCT ON (connection_id, schema_name, table_name, index_name) connection_id, schema_name, 'index' FROM md_index) u GROUP BY connection_id, schema_name) x""")
 register("a10_connection_counts",
          _ws(lambda w: rollup.kind_counts(w.objects, ["connection_id"], ["procedure", "function", "trigger", "view"])), ["objs"], """
 SELECT connection_id, count(*) FILTER (object_type = 'procedure') AS procedures, count(*) FILTER (object_type = 'function') AS functions,
   count(*) FILTER (object_type = 'trigger') AS triggers, count(*) FILTER (object_type = 'view') AS views FROM objs GROUP BY connection_id""")
-register("a11_schema_tree", _ws(lambda w: rollup.schema_tree(w.objects, w.tables)), ["objs", "tabs"], """
-SELECT schema_name, sum(o) AS objects, sum(t) AS tables, sum(o) + sum(t) AS total FROM (
-  SELECT schema_name, cast(count(*) AS bigint) AS o, 0 AS t FROM objs GROUP BY schema_name
-  UNION ALL SELECT schema_name, 0, count(*) FROM tabs GROUP BY schema_name) u GROUP BY schema_name""".replace(
-    "sum(o) + sum(t)", "cast(sum(o) + sum(t) AS bigint)").replace("sum(o) AS", "cast(sum(o) AS bigint) AS").replace("sum(t) AS", "cast(sum(t) AS bigint) AS"))
+register("a11_schema_tree", _ws(lambda w: rollup.schema_tree(w.objects, w.tables, by="count")), ["objs", "tabs"], """
+SELECT connection_id, schema_name, cast(sum(o) AS bigint) AS objects, cast(sum(t) AS bigint) AS tables, cast(sum(o) + sum(t) AS bigint) AS total FROM (
+  SELECT connection_id, schema_name, count(*) AS o, 0 AS t FROM objs GROUP BY ALL
+  UNION ALL SELECT connection_id, schema_name, 0, count(*) FROM tabs GROUP BY ALL) u GROUP BY connection_id, schema_name""")
 
 SUBMITTED = {
     "text_id": "doc_id",

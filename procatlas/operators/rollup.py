@@ -101,26 +101,28 @@ def kind_counts(objects: DataFrame, keys: list[str], kinds: list[str]) -> DataFr
         F.count_if(F.col("object_type") == k).alias(f"{k}s") for k in kinds])
 
 
-def schema_inventory(objects: DataFrame, tables: DataFrame, indexes: DataFrame) -> DataFrame:
-    """Procedures, functions, triggers, views, tables and indexes per schema, with the total of all but indexes."""
-    code = objects.select("schema_name", "object_type")
-    held = tables.select("schema_name", F.lit("table").alias("object_type"))
-    found = indexes.select("schema_name", "table_name", "index_name").distinct().select(
-        "schema_name", F.lit("indexe").alias("object_type"))
-    kinds = ["procedure", "function", "trigger", "view", "table", "indexe"]
-    counted = kind_counts(code.unionByName(held).unionByName(found), ["schema_name"], kinds)
+def schema_inventory(objects: DataFrame, tables: DataFrame, indexes: DataFrame, sequences: DataFrame) -> DataFrame:
+    """Procedures, functions, triggers, views, tables, sequences and indexes per connection and schema, with the total of the
+    first five; ``sequences`` has a row (connection_id, schema_name) for each."""
+    key = ["connection_id", "schema_name"]
+    found = indexes.select(*key, "table_name", "index_name").distinct()
+    held = [df.select(*key, F.lit(kind).alias("object_type")) for df, kind in ((tables, "table"), (found, "indexe"), (sequences, "sequence"))]
+    kinds = ["procedure", "function", "trigger", "view", "table", "sequence", "indexe"]
+    counted = kind_counts(reduce(DataFrame.unionByName, [objects.select(*key, "object_type"), *held]), key, kinds)
     total = reduce(lambda a, b: a + b, [F.col(f"{k}s") for k in kinds[:5]])
     return counted.withColumn("total", total)
 
 
-def schema_tree(objects: DataFrame, tables: DataFrame) -> DataFrame:
-    """Objects, tables and both together per schema."""
-    a = objects.groupBy("schema_name").agg(_count("objects"))
-    b = tables.groupBy("schema_name").agg(_count("tables"))
+def schema_tree(objects: DataFrame, tables: DataFrame, by: str = "name") -> DataFrame:
+    """Objects, tables and both together per connection and schema, in order of name, or of total with the largest first."""
+    key = ["connection_id", "schema_name"]
+    a = objects.groupBy(*key).agg(_count("objects"))
+    b = tables.groupBy(*key).agg(_count("tables"))
     zero = F.lit(0)
-    return a.join(b, "schema_name", "full").select(
-        "schema_name", F.coalesce("objects", zero).alias("objects"), F.coalesce("tables", zero).alias("tables"),
+    counted = a.join(b, key, "full").select(
+        *key, F.coalesce("objects", zero).alias("objects"), F.coalesce("tables", zero).alias("tables"),
         (F.coalesce("objects", zero) + F.coalesce("tables", zero)).alias("total"))
+    return counted.orderBy(*key) if by == "name" else counted.orderBy(F.col("total").desc(), *key)
 
 
 def batch_summary(admitted: DataFrame) -> DataFrame:
