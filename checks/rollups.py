@@ -140,12 +140,16 @@ def _timed(s, sf):
 
 
 register("a20_analysis_summary",
-         lambda s, sf: rollup.analysis_summary(workspace(s, sf).objects, workspace(s, sf).dependencies, workspace(s, sf).findings, _timed(s, sf)),
-         ["objs", "deps", "finds", "jobs"], """
+         lambda s, sf: rollup.analysis_summary(workspace(s, sf).objects, workspace(s, sf).dependencies, workspace(s, sf).findings, _timed(s, sf),
+                                              workspace(s, sf).complexity),
+         ["objs", "deps", "finds", "jobs", "cplx"], """
 SELECT * FROM (SELECT count(*) AS objects, """ + ", ".join(f"count(*) FILTER (object_type = '{k}') AS {k}s" for k in ("procedure", "function", "trigger", "view", "package"))
          + " FROM objs) o, (SELECT count(*) AS dependencies FROM deps) d, (SELECT count(*) AS findings, "
          + ", ".join(f"count(*) FILTER (severity = '{s}') AS {s}" for s in fv.SEVERITIES)
-         + """ FROM finds) f, (SELECT cast(date_diff('day', min(cast(created_at AS date)), max(cast(created_at AS date) + total_objects) FILTER (status = 'completed')) AS integer) AS days FROM jobs) j""")
+         + """ FROM finds) f, (SELECT cast(date_diff('day', min(cast(created_at AS date)), max(cast(created_at AS date) + total_objects) FILTER (status = 'completed')) AS integer) AS days,
+    cast(date_diff('second', min(cast(created_at AS timestamp)), max(cast(cast(created_at AS date) + total_objects AS timestamp)) FILTER (status = 'completed')) AS bigint) AS seconds FROM jobs) j,
+  (SELECT string_agg(fqn || ':' || cyclomatic, ', ' ORDER BY cyclomatic DESC, fqn, object_id) AS top_complex FROM (
+    SELECT object_id, fqn, cyclomatic FROM cplx JOIN objs USING (object_id) ORDER BY cyclomatic DESC, fqn, object_id LIMIT 5) t) c""")
 register("a21_node_degree", _ws(lambda w: rollup.node_degree(w.edges)), ["edges"], """
 SELECT id, count(*) AS degree, cast(sum(inward) AS bigint) AS in_degree FROM (
   SELECT source AS id, 0 AS inward FROM edges UNION ALL SELECT target, 1 FROM edges) e GROUP BY id""")

@@ -163,14 +163,20 @@ def referenced_by(accesses: DataFrame, heavy: int = 10) -> DataFrame:
         "heavily_referenced", F.col("objects") > heavy)
 
 
-def analysis_summary(objects: DataFrame, dependencies: DataFrame, findings: DataFrame, jobs: DataFrame) -> DataFrame:
-    """Counts, severe findings and the time span of the runs, as one row."""
+def analysis_summary(objects: DataFrame, dependencies: DataFrame, findings: DataFrame, jobs: DataFrame, complexity: DataFrame,
+                     top: int = 5) -> DataFrame:
+    """Counts, severe findings, the ``top`` most complex objects (fqn:cyclomatic, ties by name and id) and the seconds from the first start
+    to the last end of the runs, with whole days beside them, as one row."""
     kinds = objects.agg(_count("objects"), *[
         F.count_if(F.col("object_type") == k).alias(f"{k}s") for k in ("procedure", "function", "trigger", "view", "package")])
     found = findings.agg(_count("findings"), *[
         F.count_if(F.col("severity") == s).alias(s) for s in fv.SEVERITIES])
-    span = jobs.agg(F.date_diff(F.max("completed_at"), F.min("started_at")).alias("days"))
-    return side_by_side(kinds, dependencies.agg(_count("dependencies")), found, span)
+    first, last = F.min("started_at"), F.max("completed_at")
+    span = jobs.agg(F.date_diff(last, first).alias("days"), F.timestamp_diff("SECOND", first.cast("timestamp"), last.cast("timestamp")).alias("seconds"))
+    ranked = (complexity.join(objects.select("object_id", "fqn"), "object_id").orderBy(F.col("cyclomatic").desc(), "fqn", "object_id").limit(top)
+              .agg(F.array_sort(F.collect_list(F.struct((-F.col("cyclomatic")).alias("c"), "fqn", "object_id"))).alias("t")))
+    most = ranked.select(F.array_join(F.transform("t", lambda o: F.concat(o["fqn"], F.lit(":"), (-o["c"]).cast("string"))), ", ").alias("top_complex"))
+    return side_by_side(kinds, dependencies.agg(_count("dependencies")), found, span, most)
 
 
 def node_degree(edges: DataFrame) -> DataFrame:
