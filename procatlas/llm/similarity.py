@@ -7,11 +7,10 @@ alone and summed per pair.  Equal sets are one node, known by a digest of the se
 1. Scan: size and digest of every set; shingles that several documents of one task hold are reported, and the most
    frequent get the last classes.  The order steers cost only; results are the same for every order.
 2. Leading fragment: two sets whose similarity is at least t share one of their first ``n - ceil(t n) + 1`` shingles,
-   so only those are grouped, in one shuffle.  Groups of a very frequent shingle are dealt to several tasks.
-3. Hub pairs: each member of a group with the group's hub, the member that shares the most of its leading part with
-   anybody; these settle most components.
-4. Cross pairs: of each group all pairs whose ends are still in different components, with the number of leading
-   shingles they share, which rules out most of them.  No link that joins two components is lost.
+   so only those are grouped.
+3. Hub pairs: each member of a group with the group's most central member; these settle most components.
+4. Cross pairs: of each group all pairs whose ends are still in different components.  No link that joins two components
+   is lost.  The overlap in the leading fragment already rules out most pairs.
 5. Pairs of both kinds: full sets are cut into fragments, overlaps counted per fragment and summed.
 """
 
@@ -21,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from procatlas.llm.shared import components, is_empty
@@ -35,8 +34,6 @@ _ALL = (1 << 64) - 1
 OFTEN_IN_TASK = 3
 #: So many of the most frequent shingles go to the end of the order (9 bytes each in every task).
 ORDER_TAIL = 400_000
-#: A leading shingle that more documents hold is dealt to several tasks, of about so many documents each.
-GROUP_ROWS = 8192
 #: Sets that a task remembers so as not to repeat them.
 REMEMBERED = 100_000
 
@@ -106,12 +103,8 @@ class Order:
 
     def __init__(self, grams: np.ndarray, held: np.ndarray):
         at = np.argsort(grams)
-        self.grams, held = grams[at], held[at]
-        self.classes = np.clip(np.log2(np.maximum(held, 2)).astype(np.int64) // 2 + 1, 1, 7).astype(np.uint64)
-        many = held > GROUP_ROWS
-        keys = (self.grams[many] >> np.uint64(3)) | (self.classes[many] << np.uint64(61))
-        at = np.argsort(keys)
-        self.heavy, self.parts = keys[at], (held[many][at] // GROUP_ROWS + 1)
+        self.grams = grams[at]
+        self.classes = np.clip(np.log2(np.maximum(held[at], 2)).astype(np.int64) // 2 + 1, 1, 7).astype(np.uint64)
 
     def keys(self, grams: np.ndarray) -> np.ndarray:
         key = grams >> np.uint64(3)
@@ -122,23 +115,13 @@ class Order:
         key.sort()
         return key
 
-    def part(self, keys: np.ndarray, nodes: np.ndarray) -> np.ndarray:
-        """Part of a very frequent shingle that a node is dealt to, from 1; 0 for all others."""
-        out = np.zeros(keys.size, np.int32)
-        if self.heavy.size:
-            at = np.searchsorted(self.heavy, keys)
-            at[at == self.heavy.size] = 0
-            hit = self.heavy[at] == keys
-            out[hit] = mix(nodes[hit].view(np.uint64)) % self.parts[at[hit]].astype(np.uint64) + np.uint64(1)
-        return out
-
 
 def _head(n: int, percent: int) -> int:
     return n - (percent * n + 99) // 100 + 1
 
 
 def leading(docs: DataFrame, width: int, percent: int, order: Order) -> DataFrame:
-    """(gram, part, node, n): the first order keys of every set; a set that the task has met before is left out."""
+    """(gram, node, n, pos): the first order keys of every set; a set that the task has met before is left out."""
     shared = docs.sparkSession.sparkContext.broadcast(order)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,8 +130,9 @@ def leading(docs: DataFrame, width: int, percent: int, order: Order) -> DataFram
         def batch_of(heads: list[np.ndarray], nodes: list[int], sizes: list[int]) -> pa.RecordBatch:
             each = np.array([h.size for h in heads])
             key, node = np.concatenate(heads), np.repeat(np.array(nodes, np.int64), each)
-            return pa.RecordBatch.from_arrays([pa.array(_signed(key)), pa.array(shared.value.part(key, node)), pa.array(node),
-                                               pa.array(np.repeat(np.array(sizes, np.int32), each))], names=["gram", "part", "node", "n"])
+            pos = np.arange(key.size) - np.repeat(np.cumsum(each) - each, each)
+            return pa.RecordBatch.from_arrays([pa.array(_signed(key)), pa.array(node), pa.array(np.repeat(np.array(sizes, np.int32), each)),
+                                               pa.array(pos.astype(np.int32))], names=["gram", "node", "n", "pos"])
 
         for batch in batches:
             out, rows = ([], [], []), 0
@@ -167,45 +151,7 @@ def leading(docs: DataFrame, width: int, percent: int, order: Order) -> DataFram
             if rows:
                 yield batch_of(*out)
 
-    return docs.select("text").mapInArrow(task, "gram long, part int, node long, n int")
-
-
-def grouped(heads: DataFrame, *order: Column) -> DataFrame:
-    """``heads`` without repeats and without shingles of one set alone, each row with its group's first member (hub, nh) by
-    ``order``.
-
-    Rows stream through sorted by group, so a group may have any size.  A part of a very frequent shingle may have one row.
-    """
-    key = ["gram", "part"]
-
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hub, sent = np.zeros((4, 0), np.int64), False  # first member of the group that is open, and whether it has gone out
-        last = np.zeros((4, 0), np.int64)
-        for batch in batches:
-            rows = np.stack([c.to_numpy().astype(np.int64) for c in batch.columns])
-            before = np.concatenate([last, rows], axis=1)[:3]
-            fresh = np.concatenate([np.ones(1 - last.shape[1], bool), (before[:, 1:] != before[:, :-1]).any(axis=0)])
-            last = rows[:, -1:]
-            ahead = np.concatenate([hub, rows[:, fresh]], axis=1)
-            if ahead.shape[1] == hub.shape[1]:
-                continue
-            opens = np.concatenate([[True], (ahead[:2, 1:] != ahead[:2, :-1]).any(axis=0)])
-            first = np.maximum.accumulate(np.where(opens, np.arange(opens.size), 0))
-            goes = ~opens | np.concatenate([~opens[1:], [False]]) | (ahead[1] > 0)
-            if hub.shape[1] and sent:
-                goes[0] = False
-            out = np.flatnonzero(goes)
-            if out.size:
-                gram, part, node, n = ahead[:, out]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(gram), pa.array(part.astype(np.int32)), pa.array(node), pa.array(n.astype(np.int32)),
-                     pa.array(ahead[2, first[out]]), pa.array(ahead[3, first[out]].astype(np.int32))], names=["gram", "part", "node", "n", "hub", "nh"])
-            end = int(first[-1])
-            sent = bool(goes[end]) or (end == 0 and bool(hub.shape[1]) and sent)
-            hub = ahead[:, end:end + 1]
-
-    return (heads.repartition(*key).sortWithinPartitions(*key, *order, "node").select(*key, "node", "n")
-            .mapInArrow(task, "gram long, part int, node long, n int, hub long, nh int"))
+    return docs.select("text").mapInArrow(task, "gram long, node long, n int, pos int")
 
 
 class Members:
@@ -277,45 +223,45 @@ class _Join:
 
     def __init__(self, docs: DataFrame, width: int, percent: int, order: Order):
         self.docs, self.width, self.percent, self.order = docs, width, percent, order
-        met = cut(grouped(leading(docs, width, percent, order)).select("gram", "part", "node", "n"), "met")
-        # a document that others are copies of shares nearly all it has, a changed copy less
-        shares = met.groupBy("node").agg(F.count("*").alias("shared"))
-        self.lists = cut(grouped(met.join(shares, "node"), F.desc(F.col("shared") / F.col("n"))), "lists")
-
-    def _counted(self, met: DataFrame) -> DataFrame:
-        """(a, na, b, nb) of the pairs met in groups, whose number of common leading shingles leaves the threshold within reach.
-
-        The set whose leading part ends first in the order has all its common shingles of that part in the other's
-        leading part too, so the overlap is at most this number plus what follows the leading part.
-        """
-        rest = lambda n: F.ceil(self.percent * F.col(n) / 100) - 1
-        most = F.col("shared") + F.greatest(rest("na"), rest("nb"))
-        return (met.where(F.lit(100) * F.least("na", "nb") >= self.percent * F.greatest("na", "nb"))
-                .groupBy("a", "na", "b", "nb").agg(F.count("*").alias("shared"))
-                .where((100 + self.percent) * most >= self.percent * (F.col("na") + F.col("nb"))).drop("shared"))
+        # one shuffle by shingle serves the repeats of a set, which other tasks have met, and the count
+        met = leading(docs, width, percent, order).repartition("gram").groupBy("gram", "node").agg(F.min("n").alias("n"), F.min("pos").alias("pos"))
+        lists = cut(met.withColumn("held", F.count("*").over(Window.partitionBy("gram"))).where("held > 1"), "lists")
+        self.heads = cut(lists.groupBy("node").agg(F.first("n").alias("n"), F.collect_set("gram").alias("grams"),
+                                                   (F.sum("held") / F.first("n")).alias("central")), "heads")
+        self.lists = cut(lists.drop("held").join(self.heads.select("node", "central"), "node"), "lists")
+
+    def near_size(self):
+        """Sizes that allow the threshold, and positions in the leading part that allow the overlap it needs."""
+        need = F.ceil(self.percent * (F.col("na") + F.col("nb")) / (100 + self.percent))
+        return ((F.lit(100) * F.least("na", "nb") >= self.percent * F.greatest("na", "nb"))
+                & (F.col("pa") <= F.col("na") - need) & (F.col("pb") <= F.col("nb") - need))
 
     def to_hubs(self) -> DataFrame:
-        """Each member of a group with its hub, and the hubs of a shingle's parts with one of them.
-
-        A pair is counted only where one of it is the hub, so some similar pairs stay out; ``across`` has them.
-        """
-        pair = lambda rows, hub, nh: rows.select(F.col(hub).alias("a"), F.col(nh).alias("na"), F.col("node").alias("b"), F.col("n").alias("nb"))
-        hubs = self.lists.where("part > 0 AND hub = node")
-        first = hubs.groupBy("gram").agg(F.min(F.struct("node", "n")).alias("f")).select("gram", F.col("f.node").alias("top"), F.col("f.n").alias("nt"))
-        return self._counted(pair(self.lists.where("hub <> node"), "hub", "nh").union(pair(hubs.join(first, "gram").where("top <> node"), "top", "nt")))
+        """Each member of a group with the group's most central member."""
+        hub = (self.lists.groupBy("gram").agg(F.min(F.struct(-F.col("central"), "node", "n", "pos")).alias("h"))
+               .select("gram", F.col("h.node").alias("hub"), F.col("h.n").alias("nh"), F.col("h.pos").alias("ph")))
+        first = F.col("hub") < F.col("node")
+        pick = lambda x, y: F.when(first, F.col(x)).otherwise(F.col(y))
+        return (self.lists.join(hub, "gram").where("hub <> node")
+                .select(pick("hub", "node").alias("a"), pick("nh", "n").alias("na"), pick("ph", "pos").alias("pa"),
+                        pick("node", "hub").alias("b"), pick("n", "nh").alias("nb"), pick("pos", "ph").alias("pb"))
+                .where(self.near_size()).select("a", "na", "b", "nb").distinct())
 
     def across(self, labels: DataFrame) -> DataFrame:
         """Pairs of a group whose ends are in different components."""
-        named = cut(self.lists.select("gram", "node", "n").join(labels, "node", "left")
-                    .withColumn("label", F.coalesce("component", "node")).drop("component"), "named")
+        named = (self.lists.join(labels, "node", "left")
+                 .withColumn("label", F.coalesce("component", "node")))
         split = named.groupBy("gram").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y")
-        open_ = named.join(split.select("gram"), "gram", "left_semi")
-        side = lambda d, n, k: open_.select("gram", F.col("node").alias(d), F.col("n").alias(n), F.col("label").alias(k))
-        return self._counted(side("a", "na", "ka").join(side("b", "nb", "kb"), "gram").where("a < b AND ka <> kb"))
+        open_ = cut(named.join(split.select("gram"), "gram", "left_semi"), "open")
+        side = lambda d, n, p, k: open_.select("gram", F.col("node").alias(d), F.col("n").alias(n),
+                                               F.col("pos").alias(p), F.col("label").alias(k))
+        return (side("a", "na", "pa", "ka").join(side("b", "nb", "pb", "kb"), "gram")
+                .where((F.col("a") < F.col("b")) & (F.col("ka") != F.col("kb")) & self.near_size())
+                .select("a", "na", "b", "nb").distinct())
 
     def similar(self, pairs: DataFrame, label: str) -> DataFrame:
         """The pairs (a, b) that reach the threshold."""
-        pairs = cut(pairs, label)
+        pairs = cut(self._promising(pairs), label)
         if is_empty(pairs):
             return pairs.select("a", "b")
         wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
@@ -328,6 +274,19 @@ class _Join:
                    .where(F.lit(100) * F.col("common") >= self.percent * (F.col("na") + F.col("nb") - F.col("common")))
                    .select("a", "b"), "similar")
 
+    def _promising(self, pairs: DataFrame) -> DataFrame:
+        """Pairs whose count in the leading fragment leaves the threshold within reach.
+
+        The set whose leading part ends first in the order has all its common shingles of that part in the other's
+        leading part too, so the overlap is at most this count plus what follows the leading part.
+        """
+        rest = lambda n: F.ceil(self.percent * F.col(n) / 100) - 1
+        left = self.heads.select(F.col("node").alias("a"), F.col("grams").alias("ga"))
+        right = self.heads.select(F.col("node").alias("b"), F.col("grams").alias("gb"))
+        most = F.size(F.array_intersect("ga", "gb")) + F.greatest(rest("na"), rest("nb"))
+        return (pairs.join(left, "a").join(right, "b")
+                .where((100 + self.percent) * most >= self.percent * (F.col("na") + F.col("nb"))).select("a", "na", "b", "nb"))
+
 
 def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 75, order_tail: int = ORDER_TAIL) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of ``docs`` (doc_id, text; other columns are ignored).

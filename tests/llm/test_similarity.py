@@ -126,11 +126,10 @@ def test_repeated_and_missing_ids_link_by_their_own_texts(documents):
     assert component[None, 1] is None and component[None, 0] is None and len(got) == len(rows)
 
 
-def test_groups_of_frequent_shingles_are_dealt(documents, monkeypatch):
-    """Parts of one row, several parts of a shingle, and tasks that remember nothing."""
+def test_tasks_that_remember_nothing(documents, monkeypatch):
+    """Sets that every task repeats."""
     from procatlas.llm import similarity
 
-    monkeypatch.setattr(similarity, "GROUP_ROWS", 3)
     monkeypatch.setattr(similarity, "REMEMBERED", 0)
     base = [f"x{k}" for k in range(100)]
     rows = []
@@ -142,21 +141,3 @@ def test_groups_of_frequent_shingles_are_dealt(documents, monkeypatch):
     rows += [(100 + k, t) for k, t in rows[:20]] + [(200 + i, t) for i, t in corpus(6)]
     got = jaccard_components(documents(rows, parts=2), order_tail=10_000)
     assert sorted(map(tuple, got.collect())) == brute(rows)
-
-
-@pytest.mark.parametrize("rows_a_batch", [1, 2, 7, 1000])
-def test_grouping_in_any_batches(spark, rows_a_batch):
-    from procatlas.llm.similarity import grouped
-
-    rng = random.Random(rows_a_batch)
-    rows = [(rng.randrange(12), 0, rng.randrange(6), 10) for _ in range(60)] + [(50, 0, 1, 10), (51, 2, 4, 10), (51, 3, 9, 10), (60, 1, 5, 10)] * 2
-    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows_a_batch))
-    try:
-        got = sorted(map(tuple, grouped(spark.createDataFrame(rows, "gram long, part int, node long, n int").repartition(3)).collect()))
-    finally:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
-    groups = {}
-    for g, p, node, _ in rows:
-        groups.setdefault((g, p), set()).add(node)
-    assert got == sorted((g, p, node, 10, min(m), 10) for (g, p), m in groups.items() for node in m if len(m) > 1 or p)
