@@ -1,7 +1,8 @@
 """Licence scan, in DataFrame functions only.
 
-1. Statements: every line of every text that names a licence, cut into sentences; one that goes on in the next piece or
-   line is also taken together with that.
+1. Statements: every piece of every text (a line's sentence or part of one) alone, and together with the pieces behind it
+   up to the end of its sentence; in a piece longer than any template also its runs of words, at every position.  Only
+   those without any telling term are left out, which by its weights a template cannot be near without.
 2. Sparse TF-IDF vectors of statements and of licence templates meet on their terms; the cosine picks the template.
    Document frequencies of the templates' terms are counted over all documents; a term that no template has is as rare
    as a term can be.
@@ -61,12 +62,15 @@ NAMES = {
     "CC-BY-NC-4.0": ("cc-by-nc-4.0", "cc by-nc 4.0", "cc-by-nc 4.0"),
     "Proprietary": ("proprietary", "all rights reserved"),
 }
-_LABEL = r"(?i)^.{0,40}?\b(?:spdx-license-identifier|licen[cs]e)\s*:\s*"
-_ANCHOR = r"(?i)licen[cs]e|copyright|rights reserved|public domain|spdx"
+_LABEL = r"(?i)\b(?:spdx-license-identifier|licen[cs]e)\s*:\s*"
 _NAMED = r"(?i)^(?:licen[cs]e|copying|notice|unlicense)(?:[.-][a-z0-9.]+)?$"
 # Dots and hyphens belong to a term only inside it.
 _CUT = r"[^a-z0-9.-]+|[.-]+(?![a-z0-9.-])|(?<![a-z0-9.-])[.-]+"
+# No statement goes on over the end of a sentence or a line without terms.
+_ENDS = r"(?<=[.!?])[^\w\n]*\n|(?<=[.!?])\s+|\n[^A-Za-z0-9\n]*(?=\n)"
 THRESHOLD = 0.6
+#: A run of words inside a longer sentence has to be closer, as its ends are free.
+INSIDE = 0.8
 
 
 def terms(text: Column) -> Column:
@@ -81,29 +85,83 @@ def template_table(spark) -> DataFrame:
 
 
 def _named(statement: Column) -> Column:
-    """The licence that a statement of a label and a name has; the first known one where SPDX joins several with OR or AND."""
-    rest = F.array_join(terms(F.regexp_replace(statement, _LABEL, "")), " ")
-    first = F.regexp_replace(F.element_at(F.split(rest, r" (?:or|and|with) "), 1), r"-(?:only|or-later)$", "")
+    """The licence that a statement of a label and a name has, wherever the label stands; the first known one of several
+    labels, or of those that SPDX joins with OR or AND."""
     table = F.create_map(*(F.lit(x) for licence, names in NAMES.items() for name in names for x in (name, licence)))
-    return F.when(statement.rlike(_LABEL), F.coalesce(F.element_at(table, rest), F.element_at(table, first)))
 
+    def known(name: Column) -> Column:
+        rest = F.array_join(terms(name), " ")
+        first = F.regexp_replace(F.element_at(F.split(rest, r" (?:or|and|with) "), 1), r"-(?:only|or-later)$", "")
+        return F.coalesce(F.element_at(table, rest), F.element_at(table, first))
 
-def statements(files: DataFrame) -> DataFrame:
-    """(path, n_terms, line, part, words, statement): sentences that name a licence, in every line of every text.
+    each = F.transform(F.slice(F.split(statement, _LABEL), F.lit(2), F.lit(1_000_000_000)), known)
+    return F.when(statement.rlike(_LABEL), F.coalesce(known(F.regexp_replace(statement, "^.*?" + _LABEL, "")),
+                                                      F.get(F.array_compact(each), F.lit(0))))
 
-    A piece that no full stop ends comes once more with the piece behind it, or with the next line's first sentence;
-    ``words`` counts those of the piece alone.
+
+class Telling:
+    """Terms that a statement needs one of to reach the threshold with any template.
+
+    Of each template's terms, by falling idf, only the last ones whose weights are too small a part of its norm are
+    left out: a statement that shares no more than those has a smaller cosine, by Cauchy and Schwarz.
+    """
+
+    def __init__(self, templates: list, threshold: float):
+        of: dict[int, list] = {}
+        for r in templates:
+            of.setdefault(r.template, []).append(r)
+        self.longest = max(sum(r.tf for r in rows) for rows in of.values())
+        #: Telling term -> lengths of the templates that it tells.
+        self.lengths: dict[str, set[int]] = {}
+        for rows in of.values():
+            rows.sort(key=lambda r: (r.idf, r.term))
+            least = max(0.0, threshold - 1e-6) ** 2 * sum(r.w * r.w for r in rows)
+            rest = 0.0
+            for r in rows:
+                rest += r.w * r.w
+                if rest >= least:
+                    self.lengths.setdefault(r.term, set()).add(sum(x.tf for x in rows))
+        #: For lower-case text; labels are found by the second part.
+        self.pattern = "(?<![a-z0-9])(?:" + "|".join(t.replace(".", r"\.") for t in sorted(self.lengths)) + ")(?![a-z0-9])|licen[cs]e"
+
+    def inside(self, text: Column) -> Column:
+        return F.lower(text).rlike(self.pattern)
+
+
+def statements(files: DataFrame, telling: Telling) -> DataFrame:
+    """(path, n_terms, line, part, words, statement, run): the statements of every text that hold a telling term.
+
+    ``line`` and ``part`` give the place of the first piece; ``words`` counts those of that piece alone, and 0 where it
+    holds no telling term itself.  ``run`` marks runs of words inside a piece, each as long as a template.
     """
-    pieces = lambda s: F.split(s, r"(?<=[.!?;])\s+")
-    lines, rest = F.split("text", r"\r\n|\n|\r"), F.lit(1_000_000_000)
-    lines = F.filter(F.zip_with(lines, F.slice(lines, F.lit(2), rest), lambda s, n: F.struct(s.alias("s"), n.alias("n"))), lambda p: p["s"].rlike(_ANCHOR))
-    found = files.where(F.col("text").rlike(_ANCHOR)).select("path", "n_terms", F.posexplode(lines).alias("line", "p")).select("path", "n_terms", "line", "p.*")
-    pairs = F.zip_with(pieces("s"), F.slice(pieces("s"), F.lit(2), rest), lambda a, b: F.struct(a.alias("own"), b.alias("behind")))
-    found = found.select("path", "n_terms", "line", F.element_at(F.split(F.trim("n"), r"(?<=[.!?])\s+"), 1).alias("below"), F.posexplode(pairs).alias("part", "q"))
-    own, behind = F.col("q.own"), F.coalesce("q.behind", "below")
-    both = F.when(~own.rlike(r"[.!?]\W*$") & (F.size(terms(behind)) > 0), F.concat_ws(" ", own, behind))
-    return (found.where(own.rlike(_ANCHOR)).select("path", "n_terms", "line", "part", F.size(terms(own)).alias("words"),
-                                                   F.explode(F.array_compact(F.array(own, both))).alias("statement")))
+    size = telling.longest  # pieces behind the first one have a term each, so more are never needed
+    found = (files.where(telling.inside(F.col("text"))).select("path", "n_terms", F.regexp_replace("text", r"\r\n?", "\n").alias("text"))
+             .select("path", "n_terms", F.posexplode(F.split("text", _ENDS)).alias("line", "sentence")).where(telling.inside(F.col("sentence")))
+             .select("path", "n_terms", "line", F.split("sentence", r"\n|(?<=;)\s+").alias("pieces")))
+    hits = lambda pieces: F.filter(F.transform(pieces, lambda s, i: F.when(telling.inside(s), i + 1)), lambda i: i.isNotNull())
+    starts = F.array_distinct(F.flatten(F.transform(hits(F.col("pieces")), lambda i: F.sequence(F.greatest(F.lit(1), i - size), i))))
+    found = (found.withColumn("starts", starts)
+             .select("path", "n_terms", "line", F.explode(F.transform("starts", lambda i: F.struct(i.alias("part"), F.slice("pieces", i, F.lit(size + 1)).alias("window")))).alias("q"))
+             .select("path", "n_terms", "line", "q.part", "q.window"))
+    count = lambda s: F.size(terms(s))
+    # pieces are added while none is without terms and those added before have fewer words than the longest template
+    own = F.get("window", F.lit(0))
+    step = lambda a, s: (F.when((a["more"] >= size) | (count(s) == 0), F.struct(a["texts"].alias("texts"), F.lit(size).alias("more")))
+                         .otherwise(F.struct(F.concat(a["texts"], F.array(F.concat_ws(" ", F.element_at(a["texts"], -1), s))).alias("texts"),
+                                             (a["more"] + count(s)).alias("more"))))
+    grown = F.aggregate(F.slice("window", F.lit(2), F.lit(size)), F.struct(F.array(own).alias("texts"), F.lit(0).alias("more")), step, lambda a: a["texts"])
+    place = ("path", "n_terms", "line", "part")
+    found = found.where(count(own) > 0).select(*place, F.when(telling.inside(own), count(own)).otherwise(0).alias("words"), own.alias("own"), grown.alias("texts"))
+    found = found.withColumn("own", F.when(F.col("words") > size, terms(F.col("own"))))
+    lengths = F.create_map(*(x for t, ns in sorted(telling.lengths.items()) for x in (F.lit(t), F.array(*map(F.lit, sorted(ns))))))
+    told = F.filter(F.transform("own", lambda w, i: F.struct((i + 1).alias("i"), F.element_at(lengths, w).alias("ns"))), lambda t: t["ns"].isNotNull())
+    runs = F.flatten(F.transform("told", lambda t: F.flatten(F.transform(t["ns"], lambda n: F.transform(
+        F.sequence(F.greatest(F.lit(1), t["i"] - n + 1), F.least(t["i"], F.size("own") - n + 1)), lambda k: F.struct(k.alias("k"), n.alias("n")))))))
+    entry = lambda words, statement, run: F.struct(words.alias("words"), statement.alias("statement"), F.lit(run).alias("run"))
+    whole = F.transform(F.filter("texts", telling.inside), lambda s: entry(F.col("words"), s, False))
+    inner = F.transform("runs", lambda r: entry(r["n"], F.array_join(F.slice("own", r["k"], r["n"]), " "), True))
+    return (found.withColumn("told", told).withColumn("runs", F.array_distinct(runs))
+            .select(*place, F.explode(F.when(F.col("runs").isNull(), whole).otherwise(F.concat(whole, inner))).alias("q")).select(*place, "q.*"))
 
 
 def headers(files: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -120,10 +178,11 @@ def headers(files: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     counted = (listed.where("text IS NOT NULL").select(F.explode(held).alias("term")).groupBy("term").agg(F.count("*").alias("df")))
     total = listed.count()
     idf = lambda df: F.log((F.lit(total) + 1) / (df + 1)) + 1
-    weights = cut(templates.join(counted, "term", "left").select("template", "licence", "term", (F.col("tf") * idf(F.coalesce("df", F.lit(0)))).alias("w"),
+    weights = cut(templates.join(counted, "term", "left").select("template", "licence", "term", "tf", (F.col("tf") * idf(F.coalesce("df", F.lit(0)))).alias("w"),
                                                                 idf(F.coalesce("df", F.lit(0))).alias("idf")), "templates")
     weights = weights.withColumn("norm", F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("template"))))
-    found = cut(statements(listed).withColumn("sid", F.monotonically_increasing_id()), "statements")
+    telling = Telling(weights.select("template", "term", "tf", "w", "idf").collect(), threshold)  # fixed templates
+    found = cut(statements(listed, telling).withColumn("sid", F.monotonically_increasing_id()), "statements")
     per_term = found.select("sid", F.explode(terms(F.col("statement"))).alias("term")).groupBy("sid", "term").agg(F.count("*").alias("tf"))
     rarest = float(spark.range(1).select(idf(F.lit(0))).first()[0])
     per_term = per_term.join(weights.select("term", "idf").distinct(), "term", "left").select(
@@ -134,8 +193,8 @@ def headers(files: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
              .join(norms, "sid").select("sid", "template", "licence", F.round(F.col("dot") / F.col("norm") / F.col("snorm"), 6).alias("cosine")))
     best = close.groupBy("sid").agg(F.min(F.struct(-F.col("cosine"), "template", "licence")).alias("b")).select(
         "sid", (-F.col("b.col1")).alias("cosine"), F.col("b.template").alias("template"), F.col("b.licence").alias("licence"))
-    near = found.join(best.where(F.col("cosine") >= threshold), "sid").select("path", "licence", "cosine", "line", "part", "n_terms", "words")
-    labelled = found.withColumn("licence", _named(F.col("statement"))).where("licence IS NOT NULL")
+    near = found.join(best.where(F.col("cosine") >= threshold), "sid").where(~F.col("run") | (F.col("cosine") >= INSIDE)).select("path", "licence", "cosine", "line", "part", "n_terms", "words")
+    labelled = found.where("not run").withColumn("licence", _named(F.col("statement"))).where("licence IS NOT NULL")
     named = near.union(labelled.select("path", "licence", F.lit(1.0).alias("cosine"), "line", "part", "n_terms", "words"))
     # a row of each place: a piece counts its words once
     named = named.groupBy("path", "licence", "line", "part").agg(F.max("cosine").alias("cosine"), F.max("n_terms").alias("n_terms"), F.max("words").alias("words"))

@@ -2,6 +2,8 @@
 
 import re
 
+from pyspark.sql import Row
+
 from procatlas.llm import licences
 
 
@@ -85,3 +87,27 @@ def test_labels_and_wrapped_headers(spark):
     assert got == {f"{p}/{p}": want for p, (_, want) in rows.items()}
     below = scan(spark, [("p/LICENSE", "SPDX-License-Identifier: MPL-2.0"), ("p/q/x.txt", FILLER)])
     assert ("p/q/x.txt", "MPL-2.0", "directory", "p/LICENSE") in below
+
+
+def test_every_position(spark):
+    """Labels at any column, templates without a licence word, statements over many lines, before and inside other words."""
+    other = " ".join(f"word{k}" for k in range(60))
+    rows = {"a.c": (" " * 60 + "// SPDX-License-Identifier: MIT\n", "MIT"), "b.c": (f"{other} License: ISC\n", "ISC"),
+            "c.c": ("license: unknown, License: MPL-2.0\n", "MPL-2.0"),
+            "d.c": ("Permission is hereby granted, free of charge, to any person obtaining a copy of this software and files\n", "MIT"),
+            "e.c": ("This work\nis licensed\nunder the\nGNU General\nPublic\nLicense,\nversion 3\n", "GPL-3.0"),
+            "f.c": ("under the terms of the GNU Lesser General Public\nLicense as published by the Free\nSoftware Foundation, either version\n3 of the License, or\n", "LGPL-3.0"),
+            "g.c": (f"{other} Released under the MIT License {other}\n", "MIT"), "h.c": (f"{other} all was well and rights were kept {other}\n", None),
+            "i.c": ("This is free and\r\nunencumbered\r\nsoftware released into\r\nthe public domain\r\n", "Unlicense"),
+            "j.c": ("This work is\n\nGNU General\n\nversion 3\n", None)}
+    got = {p: licence for p, licence, _, _ in scan(spark, [(f"{p}/{p}", t + "\n" + FILLER) for p, (t, _) in rows.items()])}
+    assert got == {f"{p}/{p}": want for p, (_, want) in rows.items()}
+
+
+def test_only_statements_below_the_threshold_are_left_out(spark):
+    rows = [Row(template=0, term=t, tf=1, w=w, idf=w) for t, w in (("the", 1.0), ("mit", 5.0), ("license", 4.0), ("under", 2.0))]
+    telling = licences.Telling(rows, 0.6)
+    norm = sum(r.w ** 2 for r in rows) ** 0.5
+    rest = [r.w for r in rows if r.term not in telling.lengths]
+    assert rest and sum(w * w for w in rest) ** 0.5 / norm < 0.6
+    assert set(licences.Telling(rows, 0.0).lengths) == {r.term for r in rows}
