@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 CACHE = 300_000
 #: Bytes of ids that go out together.
 _OUT = 4 << 20
-_workers: dict[tuple[str, str], "ByteBpe"] = {}
+_workers: dict[tuple[str, str, bool], "ByteBpe"] = {}
 
 
 def byte_characters() -> dict[int, str]:
@@ -70,24 +70,26 @@ class ByteBpe:
             self.of_chunk[chunk] = found
         return found
 
-    def encode(self, text: str) -> bytes:
-        """Ids of a text as little-endian 32-bit numbers.
+    def _chunks(self, text: str) -> list[str]:
+        """Parts of a text that can be encoded alone.
 
         A space after something that is not white space always begins a piece, so a text without other white space
         before a space may be cut at its spaces first; without any runs of white space each line end is a piece, too.
         """
+        if "\x00" in text:
+            return [text]
+        if not self.run(text):
+            return text.replace("\n", "\x00\n\x00").replace(" ", "\x00 ").split("\x00")
+        if not self.before_space(text):
+            return text.replace(" ", "\x00 ").split("\x00")
+        return [text]
+
+    def encode(self, text: str) -> bytes:
+        """Ids of a text as little-endian 32-bit numbers."""
         if not text:
             return b""
-        if "\x00" in text:
-            chunks = [text]
-        elif not self.run(text):
-            chunks = text.replace("\n", "\x00\n\x00").replace(" ", "\x00 ").split("\x00")
-        elif not self.before_space(text):
-            chunks = text.replace(" ", "\x00 ").split("\x00")
-        else:
-            chunks = [text]
         known, out = self.of_chunk, []
-        for chunk in chunks:
+        for chunk in self._chunks(text):
             ids = known.get(chunk)
             out.append(self._chunk(chunk) if ids is None else ids)
         return b"".join(out)
@@ -118,11 +120,60 @@ class ByteBpe:
         return [(place[a], place[b - 1] + 1) if b > a else (seen, seen) for a, b in spans]
 
 
-def worker_bpe(tokenizer_file: str, pattern: str) -> ByteBpe:
+class RankedBpe(ByteBpe):
+    """The same ids by the tiktoken library, in one call for all new chunks of plain Latin characters of a text.
+
+    Only for tokenizers whose ids are the ranks of their merges, such as the public one.
+    """
+
+    def __init__(self, tokenizer_file: str, pattern: str):
+        import tiktoken
+
+        super().__init__(tokenizer_file, pattern)
+        ranks = {b: i for i, b in enumerate(self.token_bytes) if b}
+        self.ranked = tiktoken.Encoding("ranked", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_to_numpy
+        self.newline = ranks[b"\n"]
+        # Both libraries cut these characters alike.  A line end between two such chunks is always a piece of its own.
+        self.plain = re.compile(" ?[!-~À-ÖØ-öø-ÿ]+").fullmatch
+        self.all_plain = re.compile(" ?[!-~À-ÖØ-öø-ÿ]+(?:\n ?[!-~À-ÖØ-öø-ÿ]+)*").fullmatch
+
+    def _learn(self, chunks: list[str]) -> dict[str, bytes]:
+        text = "\n".join(chunks)
+        if not self.all_plain(text):
+            plain = [c for c in chunks if self.plain(c)]
+            others = {c: super(RankedBpe, self)._chunk(c) for c in chunks if not self.plain(c)}
+            return others | (self._learn(plain) if plain else {})
+        ids = self.ranked(text)
+        at, data = [-1, *np.flatnonzero(ids == self.newline).tolist(), ids.size], ids.astype("<u4").tobytes()
+        return {c: data[4 * a + 4:4 * b] for c, a, b in zip(chunks, at, at[1:])}
+
+    def _chunks(self, text: str) -> list[str]:
+        if not text.replace("\n", "").isprintable() or "\n " in text or "  " in text:
+            return super()._chunks(text)
+        # spaces and line ends are the only white space, and none stands before a space
+        if "\n\n" not in text and " \n" not in text:
+            text = text.replace("\n", "\x00\n\x00")
+        return text.replace(" ", "\x00 ").split("\x00")
+
+    def encode(self, text: str) -> bytes:
+        if not text:
+            return b""
+        chunks, known = self._chunks(text), self.of_chunk
+        out = list(map(known.get, chunks))
+        if None in out:
+            new = self._learn(list(dict.fromkeys([c for c, ids in zip(chunks, out) if ids is None])))
+            out = [new[c] if ids is None else ids for c, ids in zip(chunks, out)]
+            if len(known) + len(new) > CACHE:
+                known.clear()
+            known.update(new if len(max(new, key=len)) < 64 else {c: ids for c, ids in new.items() if len(c) < 64})
+        return b"".join(out)
+
+
+def worker_bpe(tokenizer_file: str, pattern: str, ranked: bool = False) -> ByteBpe:
     """The encoder of this Python worker, loaded once."""
-    key = (tokenizer_file, pattern)
+    key = (tokenizer_file, pattern, ranked)
     if key not in _workers:
-        _workers[key] = ByteBpe(*key)
+        _workers[key] = (RankedBpe if ranked else ByteBpe)(tokenizer_file, pattern)
     return _workers[key]
 
 

@@ -74,12 +74,13 @@ class Permutation:
 
 def pack(docs: DataFrame, length: int, tokenizer_file: str, pattern: str) -> DataFrame:
     """(part, first, n, data): compressed groups of packed sequences of each task, numbered from 0 in the task."""
+    ranked = (tokenizer_file, pattern) == public_files()
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
         from pyspark import TaskContext
 
-        bpe, part, squeeze = worker_bpe(tokenizer_file, pattern), TaskContext.get().partitionId(), zstandard.ZstdCompressor(level=3)
+        bpe, part, squeeze = worker_bpe(tokenizer_file, pattern, ranked), TaskContext.get().partitionId(), zstandard.ZstdCompressor(level=3)
         end = len(bpe.token_bytes) - 1
         width = np.uint16 if end < 1 << 16 else np.uint32
         waiting, held, first = [], 0, 0

@@ -62,3 +62,18 @@ def test_nothing_to_write(spark, documents):
         path = fresh_path(spark, "shards")
         assert sequences.materialise(documents(rows), path) == 0
         assert sequences.read_sequences(spark, path, 0).collect() == []
+
+
+def test_ranked_encoder_gives_the_same_ids():
+    """Every character alone, in words, before and after spaces; long, mixed and repeated texts; beyond the caches."""
+    own, ranked = bpe.ByteBpe(*bpe.public_files()), bpe.RankedBpe(*bpe.public_files())
+    texts = [f"a{c}b {c} {c}x y{c}. 1{c}2\n{c}" for c in map(chr, [*range(0x500), 0x1680, 0x2003, 0x2028, 0x3000, 0x4E2D, 0xA7C0, 0x1F600])]
+    texts += ["", " ", "\n", "  two  spaces ", "a\n\nb\n c", "it's we'll 'tis ' 's", "x" * 5000, "word, " * 500, "é" * 70 + " " + "!" * 90, "a\r\nb \t c"]
+    rng = np.random.default_rng(1)
+    texts += [" ".join("".join(rng.choice(list("abcdeé.,'19-"), rng.integers(1, 9))) for _ in range(200)) for _ in range(40)]
+    for text in texts * 2:
+        assert ranked.encode(text) == own.encode(text), text
+    one_by_one, calls = bpe.RankedBpe(*bpe.public_files()), []
+    ranked_call, one_by_one.model = one_by_one.ranked, None  # new words need no call each
+    one_by_one.ranked = lambda text: calls.append(text) or ranked_call(text)
+    assert one_by_one.encode("never met before, these words") == own.encode("never met before, these words") and len(calls) == 1
