@@ -20,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from procatlas.llm.shared import components, is_empty
@@ -218,6 +218,11 @@ def fragments(docs: DataFrame, width: int, order: Order, members: Members) -> Da
     return docs.select("text").mapInArrow(task, "node long, fragment int, grams array<long>")
 
 
+def _short(gram: str) -> Column:
+    """The last 16 bits of an order key, which are bits of its hash."""
+    return (F.col(gram).bitwiseAND(F.lit(0xFFFF)) - 0x8000).cast("smallint")
+
+
 class _Join:
     """What the steps share: the documents, the order, the groups of the leading fragment."""
 
@@ -226,8 +231,8 @@ class _Join:
         # one shuffle by shingle serves the repeats of a set, which other tasks have met, and the count
         met = leading(docs, width, percent, order).repartition("gram").groupBy("gram", "node").agg(F.min("n").alias("n"), F.min("pos").alias("pos"))
         lists = cut(met.withColumn("held", F.count("*").over(Window.partitionBy("gram"))).where("held > 1"), "lists")
-        self.heads = cut(lists.groupBy("node").agg(F.first("n").alias("n"), F.collect_set("gram").alias("grams"),
-                                                   (F.sum("held") / F.first("n")).alias("central")), "heads")
+        self.heads = cut(lists.groupBy("node").agg(F.first("n").alias("n"), F.collect_set(_short("gram")).alias("grams"),
+                                                   F.count("*").alias("held_grams"), (F.sum("held") / F.first("n")).alias("central")), "heads")
         self.lists = cut(lists.drop("held").join(self.heads.select("node", "central"), "node"), "lists")
 
     def near_size(self):
@@ -278,12 +283,14 @@ class _Join:
         """Pairs whose count in the leading fragment leaves the threshold within reach.
 
         The set whose leading part ends first in the order has all its common shingles of that part in the other's
-        leading part too, so the overlap is at most this count plus what follows the leading part.
+        leading part too, so the overlap is at most this count plus what follows the leading part.  The count is taken
+        from the last 16 bits of each shingle, as these sets travel with every pair; shingles of a set that share them
+        are added, so it is never too small.
         """
         rest = lambda n: F.ceil(self.percent * F.col(n) / 100) - 1
         left = self.heads.select(F.col("node").alias("a"), F.col("grams").alias("ga"))
-        right = self.heads.select(F.col("node").alias("b"), F.col("grams").alias("gb"))
-        most = F.size(F.array_intersect("ga", "gb")) + F.greatest(rest("na"), rest("nb"))
+        right = self.heads.select(F.col("node").alias("b"), F.col("grams").alias("gb"), (F.col("held_grams") - F.size("grams")).alias("alike"))
+        most = F.size(F.array_intersect("ga", "gb")) + F.col("alike") + F.greatest(rest("na"), rest("nb"))
         return (pairs.join(left, "a").join(right, "b")
                 .where((100 + self.percent) * most >= self.percent * (F.col("na") + F.col("nb"))).select("a", "na", "b", "nb"))
 

@@ -141,3 +141,16 @@ def test_tasks_that_remember_nothing(documents, monkeypatch):
     rows += [(100 + k, t) for k, t in rows[:20]] + [(200 + i, t) for i, t in corpus(6)]
     got = jaccard_components(documents(rows, parts=2), order_tail=10_000)
     assert sorted(map(tuple, got.collect())) == brute(rows)
+
+
+def test_sets_that_travel_with_pairs_are_short_and_lose_no_link(documents, monkeypatch):
+    """Two bytes for each shingle; also with keys that nearly all shingles share."""
+    from procatlas.llm import similarity
+    from pyspark.sql import functions as F
+
+    rows = corpus(7)
+    order = similarity.Order(np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    heads = similarity._Join(documents(rows).select("doc_id", "text"), 5, 75, order).heads
+    assert heads.schema["grams"].dataType.elementType.simpleString() == "smallint"
+    monkeypatch.setattr(similarity, "_short", lambda gram: F.col(gram).bitwiseAND(F.lit(3)).cast("smallint"))
+    assert sorted(map(tuple, jaccard_components(documents(rows)).collect())) == brute(rows)
