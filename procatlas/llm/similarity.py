@@ -17,6 +17,7 @@ alone and summed per pair.  Equal sets are one node, known by a digest of the se
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -61,12 +62,29 @@ def _sets(batch: pa.RecordBatch, column: int, width: int) -> Iterator[tuple[int,
         yield row, shingles(text, width)
 
 
+def _text_key(text: bytes) -> int:
+    """64 bits that tell a text from others, as a signed number; far cheaper than its set."""
+    return int.from_bytes(blake2b(text, digest_size=8).digest(), "little", signed=True)
+
+
+def _parities(grams: np.ndarray) -> np.ndarray:
+    """A table of 64-bit words with one bit for each place of a hash: whether an odd number of the set's shingles has it.
+
+    The places are the least power of two that is not below the size of the set, 64 at least.  Bits in which the tables of
+    two sets differ are no more than the shingles that only one of them holds.  Of two tables the longer one folds to the
+    length of the other by exclusive or of its halves.
+    """
+    places = max(64, 1 << (grams.size - 1).bit_length()) if grams.size else 64
+    at = ((grams >> np.uint64(3)) & np.uint64(places - 1)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=places) & 1).astype(np.uint8), bitorder="little").view(np.int64)
+
+
 def scan(docs: DataFrame, width: int) -> DataFrame:
-    """kind 0: (doc_id, n, node) of every row; kind 1: node = shingle, n = documents of this task that hold it."""
+    """kind 0: (doc_id, n, node, text_key, parities) of every row; kind 1: node = shingle, n = documents of this task that hold it."""
 
-    def batch_of(kind: int, doc_id: pa.Array, n, node) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(n), kind, np.int32)), doc_id, pa.array(n, pa.int64()), pa.array(node, pa.int64())],
-                                          names=["kind", "doc_id", "n", "node"])
+    def batch_of(kind: int, doc_id: pa.Array, n, node, text_key: pa.Array, parities: pa.Array) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(n), kind, np.int32)), doc_id, pa.array(n, pa.int64()), pa.array(node, pa.int64()), text_key, parities],
+                                          names=["kind", "doc_id", "n", "node", "text_key", "parities"])
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often, pending, waiting = (np.zeros(0, np.uint64), np.zeros(0, np.int64)), [], 0
@@ -79,23 +97,34 @@ def scan(docs: DataFrame, width: int) -> DataFrame:
             often = both[total >= least], total[total >= least]
 
         for batch in batches:
-            sizes, nodes = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
-            for row, grams in _sets(batch, 1, width):
-                sizes[row], nodes[row] = grams.size, _digest(grams)
+            sizes, nodes, text_keys = (np.zeros(batch.num_rows, np.int64) for _ in range(3))
+            tables, ends = [np.zeros(0, np.int64)], np.zeros(batch.num_rows + 1, np.int32)
+            for row, text in texts(batch, 1):
+                grams = shingles(text, width)
+                sizes[row], nodes[row], text_keys[row] = grams.size, _digest(grams), _text_key(text)
+                if grams.size:
+                    tables.append(_parities(grams))
+                ends[row + 1] = ends[row] + (tables[-1].size if grams.size else 0)
                 pending.append(grams)
                 waiting += grams.size
                 if waiting > 1_000_000:
                     count(2)
                     pending, waiting = [], 0
-            yield batch_of(0, batch.column(0), sizes, nodes)
+            yield batch_of(0, batch.column(0), sizes, nodes, pa.array(text_keys), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(tables))))
         if pending:
             count(OFTEN_IN_TASK)
         gram, n = often
         for at in range(0, gram.size, 20_000):
             part = slice(at, at + 20_000)
-            yield batch_of(1, pa.nulls(gram[part].size, pa.int64()), n[part], gram[part].view(np.int64))
+            none = pa.nulls(gram[part].size, pa.int64())
+            yield batch_of(1, none, n[part], gram[part].view(np.int64), none, pa.nulls(gram[part].size, pa.list_(pa.int64())))
+
+    return docs.select("doc_id", "text").mapInArrow(task, "kind int, doc_id long, n long, node long, text_key long, parities array<long>")
 
-    return docs.select("doc_id", "text").mapInArrow(task, "kind int, doc_id long, n long, node long")
+
+def nodes(sets: DataFrame) -> DataFrame:
+    """(node, least, text_key, parities): each set that is not empty, its least doc_id, one of its texts, its table."""
+    return (sets.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("least"), F.min("text_key").alias("text_key"), F.first("parities").alias("parities")))
 
 
 class Order:
@@ -155,32 +184,37 @@ def leading(docs: DataFrame, width: int, percent: int, order: Order) -> DataFram
 
 
 class Members:
-    """Bits by hashed node of the sets a step needs: the others need not be moved.
+    """Bits by hashed text of the sets a step needs: the others need not be cut into shingles again, nor moved.
 
-    Some others pass too and find no pair later.  There are 16 bits for each node, up to ``MOST_BITS``; only 64-bit words
-    of the table come to the driver, never nodes.
+    A text has three of 32 bits, up to ``MOST_BITS``; the few others that pass find no pair later.  Only 64-bit words of the
+    table come to the driver, never texts or nodes.
     """
 
     MOST_BITS = 1 << 25
+    SHIFTS = (0, 19, 38)  # a key is a digest, so any of its bits are a hash
 
     def __init__(self, wanted: DataFrame):
         size = 1 << 12
-        while size < min(16 * wanted.count(), self.MOST_BITS):
+        while size < min(32 * wanted.count(), self.MOST_BITS):
             size *= 2
-        self.mask = np.uint64(size - 1)
-        place = F.col("node").bitwiseAND(F.lit(size - 1))  # a node is a digest, so its last bits are a hash
-        words = (wanted.select(F.shiftright(place, 6).alias("word"), F.expr("shiftleft(1L, cast(node & 63 as int))").alias("bit"))
+        self.mask = size - 1
+        places = F.explode(F.array(*(F.shiftrightunsigned("text_key", k).bitwiseAND(F.lit(self.mask)) for k in self.SHIFTS)))
+        words = (wanted.select(places.alias("place"))
+                 .select(F.shiftright("place", 6).alias("word"), F.expr("shiftleft(1L, cast(place & 63 as int))").alias("bit"))
                  .groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas())
         self.words = np.zeros(size >> 6, np.uint64)
         self.words[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64).view(np.uint64)
 
-    def __contains__(self, node: int) -> bool:
-        place = node & int(self.mask)
-        return bool(int(self.words[place >> 6]) >> (place & 63) & 1)
+    def __contains__(self, text_key: int) -> bool:
+        for k in self.SHIFTS:
+            place = (text_key & _ALL) >> k & self.mask
+            if not int(self.words[place >> 6]) >> (place & 63) & 1:
+                return False
+        return True
 
 
 def fragments(docs: DataFrame, width: int, order: Order, members: Members) -> DataFrame:
-    """(node, fragment, grams) of the sets in ``members``: full sets, cut where the global order is cut (eight ranges of
+    """(node, fragment, grams) of the sets whose texts are in ``members``: full sets, cut where the global order is cut (eight ranges of
     the first class, then one for each further class); a set that the task has met before is left out."""
     shared = docs.sparkSession.sparkContext.broadcast((order, members))
 
@@ -195,13 +229,16 @@ def fragments(docs: DataFrame, width: int, order: Order, members: Members) -> Da
 
         for batch in batches:
             out, size = ([], [], []), 0
-            for _, grams in _sets(batch, 0, width):
-                node = _digest(grams)
-                if not grams.size or node not in members or node in met:
+            for _, text in texts(batch, 0):
+                text_key = _text_key(text)
+                if text_key not in members or text_key in met:
                     continue
                 if len(met) < REMEMBERED:
-                    met.add(node)
-                key = order.keys(grams)
+                    met.add(text_key)
+                grams = shingles(text, width)
+                if not grams.size:
+                    continue
+                node, key = _digest(grams), order.keys(grams)
                 top = (key >> np.uint64(58)).astype(np.int64)
                 part = np.where(top < 8, top, 7 + (top >> 3))  # grows with the key
                 edge = np.flatnonzero(np.diff(part)) + 1
@@ -223,16 +260,25 @@ def _short(gram: str) -> Column:
     return (F.col(gram).bitwiseAND(F.lit(0xFFFF)) - 0x8000).cast("smallint")
 
 
+def _halved(parities: str, other: str) -> Column:
+    """A table of parities folded once if it is longer than the other."""
+    table, half = F.col(parities), F.floor(F.size(parities) / 2).cast("int")
+    folded = F.zip_with(F.slice(table, F.lit(1), half), F.slice(table, half + 1, half), lambda x, y: x.bitwiseXOR(y))
+    return F.when(F.size(parities) > F.size(other), folded).otherwise(table)
+
+
 class _Join:
     """What the steps share: the documents, the order, the groups of the leading fragment."""
 
-    def __init__(self, docs: DataFrame, width: int, percent: int, order: Order):
+    def __init__(self, docs: DataFrame, width: int, percent: int, order: Order, known: DataFrame | None = None):
         self.docs, self.width, self.percent, self.order = docs, width, percent, order
+        self.known = cut(nodes(scan(docs, width).where("kind = 0")), "nodes") if known is None else known
         # one shuffle by shingle serves the repeats of a set, which other tasks have met, and the count
         met = leading(docs, width, percent, order).repartition("gram").groupBy("gram", "node").agg(F.min("n").alias("n"), F.min("pos").alias("pos"))
         lists = cut(met.withColumn("held", F.count("*").over(Window.partitionBy("gram"))).where("held > 1"), "lists")
-        self.heads = cut(lists.groupBy("node").agg(F.first("n").alias("n"), F.collect_set(_short("gram")).alias("grams"),
-                                                   F.count("*").alias("held_grams"), (F.sum("held") / F.first("n")).alias("central")), "heads")
+        heads = lists.groupBy("node").agg(F.first("n").alias("n"), F.collect_set(_short("gram")).alias("grams"),
+                                          F.count("*").alias("held_grams"), (F.sum("held") / F.first("n")).alias("central"))
+        self.heads = cut(heads.join(self.known.select("node", "text_key", "parities"), "node"), "heads")
         self.lists = cut(lists.drop("held").join(self.heads.select("node", "central"), "node"), "lists")
 
     def near_size(self):
@@ -269,7 +315,7 @@ class _Join:
         pairs = cut(self._promising(pairs), label)
         if is_empty(pairs):
             return pairs.select("a", "b")
-        wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+        wanted = pairs.select(F.col("key_a").alias("text_key")).union(pairs.select("key_b")).distinct()
         sets = cut(fragments(self.docs, self.width, self.order, Members(wanted)).groupBy("node", "fragment").agg(F.first("grams").alias("grams")), "fragments")
         left = sets.select(F.col("node").alias("a"), "fragment", F.col("grams").alias("ga"))
         right = sets.select(F.col("node").alias("b"), "fragment", F.col("grams").alias("gb"))
@@ -280,19 +326,26 @@ class _Join:
                    .select("a", "b"), "similar")
 
     def _promising(self, pairs: DataFrame) -> DataFrame:
-        """Pairs whose count in the leading fragment leaves the threshold within reach.
+        """Pairs whose count in the leading fragment and whose parities leave the threshold within reach.
 
         The set whose leading part ends first in the order has all its common shingles of that part in the other's
         leading part too, so the overlap is at most this count plus what follows the leading part.  The count is taken
         from the last 16 bits of each shingle, as these sets travel with every pair; shingles of a set that share them
-        are added, so it is never too small.
+        are added, so it is never too small.  The parities bound what only one of the sets holds, also behind the leading
+        part, so hardly a pair that meets by chance is left whose full sets would have to be moved.
         """
         rest = lambda n: F.ceil(self.percent * F.col(n) / 100) - 1
-        left = self.heads.select(F.col("node").alias("a"), F.col("grams").alias("ga"))
-        right = self.heads.select(F.col("node").alias("b"), F.col("grams").alias("gb"), (F.col("held_grams") - F.size("grams")).alias("alike"))
+        left = self.heads.select(F.col("node").alias("a"), F.col("grams").alias("ga"), F.col("text_key").alias("key_a"), F.col("parities").alias("pa"))
+        right = self.heads.select(F.col("node").alias("b"), F.col("grams").alias("gb"), (F.col("held_grams") - F.size("grams")).alias("alike"),
+                                  F.col("text_key").alias("key_b"), F.col("parities").alias("pb"))
         most = F.size(F.array_intersect("ga", "gb")) + F.col("alike") + F.greatest(rest("na"), rest("nb"))
-        return (pairs.join(left, "a").join(right, "b")
-                .where((100 + self.percent) * most >= self.percent * (F.col("na") + F.col("nb"))).select("a", "na", "b", "nb"))
+        both = pairs.join(left, "a").join(right, "b").where((100 + self.percent) * most >= self.percent * (F.col("na") + F.col("nb")))
+        for _ in range((100 // self.percent).bit_length()):  # so many doublings lie between sizes that allow the threshold
+            both = both.withColumns({"pa": _halved("pa", "pb"), "pb": _halved("pb", "pa")})
+        apart = F.aggregate(F.zip_with("pa", "pb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda total, x: total + x)
+        total = F.col("na") + F.col("nb")
+        return (both.where(apart <= total - 2 * F.ceil(self.percent * total / (100 + self.percent)))
+                .select("a", "na", "key_a", "b", "nb", "key_b"))
 
 
 def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 75, order_tail: int = ORDER_TAIL) -> DataFrame:
@@ -307,18 +360,18 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 75, order
     """
     docs = docs.select("doc_id", "text")
     seen = cut(scan(docs, width), "scan")
+    known = cut(nodes(seen.where("kind = 0")), "nodes")
     sets = seen.where("kind = 0").select("doc_id", F.col("n").alias("n_shingles"), "node")
     often = (seen.where("kind = 1").groupBy("node").agg(F.sum("n").alias("held"))
              .orderBy(F.desc("held"), "node").limit(order_tail).toPandas())
     order = Order(often["node"].to_numpy(np.int64).view(np.uint64), often["held"].to_numpy(np.int64))
-    join = _Join(docs, width, percent, order)
+    join = _Join(docs, width, percent, order, known)
     edges = join.similar(join.to_hubs(), "hub_pairs")
     labels = components(edges)
     more = join.similar(join.across(labels), "cross_pairs")
     if not is_empty(more):
         labels = components(edges.union(more))
-    classes = sets.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("least"))
-    named = cut(classes.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node")), "classes")
+    named = cut(known.select("node", "least").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node")), "classes")
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
     of_node = named.join(least, "component").select("node", "component_id")
     linked = sets.where("n_shingles > 0").join(of_node, "node")

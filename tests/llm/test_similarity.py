@@ -154,3 +154,34 @@ def test_sets_that_travel_with_pairs_are_short_and_lose_no_link(documents, monke
     assert heads.schema["grams"].dataType.elementType.simpleString() == "smallint"
     monkeypatch.setattr(similarity, "_short", lambda gram: F.col(gram).bitwiseAND(F.lit(3)).cast("smallint"))
     assert sorted(map(tuple, jaccard_components(documents(rows)).collect())) == brute(rows)
+
+
+def test_pairs_that_share_half_are_ruled_out_before_their_sets_move(documents):
+    """Sets that meet in the leading part but differ behind it, of sizes on both sides of a power of two."""
+    from procatlas.llm import similarity
+
+    rows = []
+    for g in range(12):
+        half = [f"h{g}.{k}" for k in range(40 + 4 * g)]
+        rows += [(100 * g + v, " ".join(half + [f"t{g}.{v}.{k}" for k in range(len(half))])) for v in range(3)]
+    near = [f"n{k}" for k in range(136)]  # 132 and 126 shingles: tables of 256 and 128 places
+    rows += [(5000, " ".join(near)), (5001, " ".join(near[:130]))]
+    docs = documents(rows).select("doc_id", "text")
+    join = similarity._Join(docs, 5, 75, similarity.Order(np.zeros(0, np.uint64), np.zeros(0, np.int64)))
+    assert join.to_hubs().count() > 12
+    left = {(r.na, r.nb) for r in join._promising(join.to_hubs()).collect()}
+    assert {tuple(sorted(p)) for p in left} == {(126, 132)}
+    assert sorted(map(tuple, jaccard_components(docs).collect())) == brute(rows)
+
+
+def test_bits_in_which_parities_differ_bound_the_difference():
+    from procatlas.llm.similarity import _parities
+
+    rng = np.random.default_rng(5)
+    for n, more, fewer in ((1, 0, 0), (64, 1, 0), (65, 0, 2), (300, 40, 30), (1024, 300, 0), (5000, 100, 900)):
+        a = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
+        b = np.concatenate([a[fewer:], np.unique(rng.integers(0, 1 << 63, more, dtype=np.uint64))])
+        x, y = _parities(a), _parities(b)
+        while x.size != y.size:
+            x, y = (z[:z.size // 2] ^ z[z.size // 2:] if z.size > min(x.size, y.size) else z for z in (x, y))
+        assert int(np.bitwise_count((x ^ y).view(np.uint64)).sum()) <= np.setxor1d(a, b).size
