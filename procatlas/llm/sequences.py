@@ -13,7 +13,6 @@ that Spark can write, and a lost task is written again.
 from __future__ import annotations
 
 import hashlib
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,6 +29,8 @@ ROUNDS = 4
 #: Sequences compressed together on their way.
 _GROUP = 256
 _HELD = 32 << 20
+#: Bytes of dealt records in one Arrow batch: the JVM holds a batch outside its heap.
+_SENT = 1 << 20
 
 
 class Permutation:
@@ -140,15 +141,23 @@ def materialise(docs: DataFrame, path: str, key: int = 1, length: int = LENGTH,
         held: dict[int, list] = {}
         size = 0
 
-        def flush() -> pa.RecordBatch:
-            rows = []
+        def batch_of(rows: list[tuple[int, bytes, bytes]]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.binary(), pa.binary()))],
+                                              names=["shard", "slots", "data"])
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            rows, sent = [], 0
             for shard, pieces in held.items():
                 slots, records = (np.concatenate(x) for x in zip(*pieces))
                 for at in range(0, slots.size, _GROUP):
                     part = slice(at, at + _GROUP)
                     rows.append((shard, slots[part].tobytes(), squeeze.compress(records[part].tobytes())))
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.binary(), pa.binary()))],
-                                              names=["shard", "slots", "data"])
+                    sent += len(rows[-1][1]) + len(rows[-1][2])
+                    if sent > _SENT:
+                        yield batch_of(rows)
+                        rows, sent = [], 0
+            if rows:
+                yield batch_of(rows)
 
         for batch in batches:
             for first, n, data in zip(*(batch.column(k).to_pylist() for k in range(3))):
@@ -159,10 +168,9 @@ def materialise(docs: DataFrame, path: str, key: int = 1, length: int = LENGTH,
                     held.setdefault(k, []).append((slots[shard == k], records[shard == k]))
                 size += records.size
             if size > _HELD:
-                yield flush()
+                yield from flush()
                 held, size = {}, 0
-        if held:
-            yield flush()
+        yield from flush()
 
     def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """One shard's records in the order of their slots: a task holds one shard."""
@@ -195,25 +203,20 @@ def _shards_from(first: int) -> str:
 
 def read_sequences(spark: SparkSession, path: str, total: int, length: int = LENGTH, shard_slots: int = SHARD_SLOTS,
                    first_slot: int = 0, wide: bool = False) -> DataFrame:
-    """(slot, shard, offset, ids binary) of all records from ``first_slot`` on; earlier shards are not opened."""
-    stride = length * (4 if wide else 2) + 1
-    names = re.compile(r"part-(\d+)")
+    """(slot, shard, offset, ids binary) of all records from ``first_slot`` on; earlier shards are not opened.
 
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for file, data in zip(batch.column(0).to_pylist(), batch.column(1)):
-                shard = int(names.search(file.rsplit("/", 1)[-1])[1])
-                data = data.as_buffer()
-                n = data.size // stride
-                for at in range(max(0, first_slot - shard * shard_slots), n, 4096):
-                    here = range(at, min(n, at + 4096))
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([shard * shard_slots + k for k in here], pa.int64()), pa.array([shard] * len(here), pa.int32()),
-                         pa.array([k * stride for k in here], pa.int64()),
-                         pa.array([bytes(data[k * stride:(k + 1) * stride - 1]) for k in here], pa.binary())], names=["slot", "shard", "offset", "ids"])
-
-    schema = "slot long, shard int, offset long, ids binary"
+    A task holds one shard and cuts it into records inside the JVM's heap; only records leave it, never a shard as one value.
+    """
+    stride = length * (4 if wide else 2) + 1
     if not total:
-        return spark.createDataFrame([], schema)
+        return spark.createDataFrame([], "slot long, shard int, offset long, ids binary")
     opened = spark.read.format("binaryFile").option("pathGlobFilter", _shards_from(first_slot // shard_slots)).load(path)
-    return opened.select("path", "content").mapInArrow(task, schema)
+    shard = F.regexp_extract("path", r"part-(\d+)[^/]*$", 1).cast("long")
+    least, n = F.greatest(F.lit(0), first_slot - shard * shard_slots).cast("int"), F.floor(F.col("length") / stride).cast("int")
+    places = F.when(least < n, F.sequence(least, n - 1)).otherwise(F.array().cast("array<int>"))
+    # the array of one holds the content, which a column reference would copy for every record
+    records = F.transform(F.array("content"), lambda content: F.transform(
+        places, lambda k: F.struct(k.alias("k"), content.substr(k * stride + 1, F.lit(stride - 1)).alias("ids"))))[0]
+    return (opened.select(shard.alias("shard"), F.explode(records).alias("record"))
+            .select((F.col("shard") * shard_slots + F.col("record.k")).alias("slot"), F.col("shard").cast("int").alias("shard"),
+                    (F.col("record.k").cast("long") * stride).alias("offset"), F.col("record.ids").alias("ids")))

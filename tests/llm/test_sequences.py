@@ -77,3 +77,17 @@ def test_ranked_encoder_gives_the_same_ids():
     ranked_call, one_by_one.model = one_by_one.ranked, None  # new words need no call each
     one_by_one.ranked = lambda text: calls.append(text) or ranked_call(text)
     assert one_by_one.encode("never met before, these words") == own.encode("never met before, these words") and len(calls) == 1
+
+
+def test_shards_are_cut_inside_the_jvm(spark, documents, monkeypatch):
+    """No shard goes to a Python worker as one value; dealt records go out in small batches; any first slot works."""
+    monkeypatch.setattr(sequences, "_SENT", 1)
+    path = fresh_path(spark, "shards")
+    total = sequences.materialise(documents([(k, f"text {k}: one two three " * 9) for k in range(50)]), path, key=7, length=4, shard_slots=100)
+    read = lambda first: sequences.read_sequences(spark, path, total, length=4, shard_slots=100, first_slot=first)
+    assert "MapInArrow" not in read(0)._jdf.queryExecution().executedPlan().toString()
+    whole = {r.slot: bytes(r.ids) for r in read(0).collect()}
+    assert sorted(whole) == list(range(total)) and total > 300 and all(len(ids) == 8 for ids in whole.values())
+    for first in (1, 99, 100, 101, 250, total - 1, total, total + 500):
+        rows = read(first).collect()
+        assert {r.slot: bytes(r.ids) for r in rows} == {s: ids for s, ids in whole.items() if s >= first} and len(rows) == max(0, total - first)
