@@ -20,6 +20,7 @@ from collections.abc import Iterator
 from hashlib import blake2b
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -184,10 +185,10 @@ def leading(docs: DataFrame, width: int, percent: int, order: Order) -> DataFram
 
 
 class Members:
-    """Bits by hashed text of the sets a step needs: the others need not be cut into shingles again, nor moved.
+    """Bits by hashed text (or doc_id) of the rows a step needs: the others need not be cut into shingles again, nor moved.
 
-    A text has three of 32 bits, up to ``MOST_BITS``; the few others that pass find no pair later.  Only 64-bit words of the
-    table come to the driver, never texts or nodes.
+    A key has three of 32 bits, up to ``MOST_BITS``; the few others that pass find no partner later.  Only 64-bit words of the
+    table come to the driver, never texts, nodes or ids.
     """
 
     MOST_BITS = 1 << 25
@@ -212,6 +213,14 @@ class Members:
                 return False
         return True
 
+    def holds(self, keys: np.ndarray) -> np.ndarray:
+        """Which of many signed keys pass."""
+        keys, found = keys.view(np.uint64), np.ones(keys.size, bool)
+        for k in self.SHIFTS:
+            place = keys >> np.uint64(k) & np.uint64(self.mask)
+            found &= (self.words[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63)) & np.uint64(1)).astype(bool)
+        return found
+
 
 def fragments(docs: DataFrame, width: int, order: Order, members: Members) -> DataFrame:
     """(node, fragment, grams) of the sets whose texts are in ``members``: full sets, cut where the global order is cut (eight ranges of
@@ -386,11 +395,21 @@ def keep_one_of_each(docs: DataFrame, width: int = 5, percent: int = 75) -> Data
     its text equals that of a row that has one.
     """
     groups = cut(jaccard_components(docs, width, percent), "groups")
-    keep = groups.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("rows"))
+    ids = cut(groups.where("doc_id IS NOT NULL").groupBy("doc_id")
+              .agg(F.max(F.col("doc_id") == F.col("component_id")).alias("stays"), F.count("*").alias("rows")), "ids")
     nameless = not is_empty(docs.where("doc_id IS NULL"))
-    kept = docs.join(keep.select("doc_id"), "doc_id", "left_semi")
-    if not is_empty(keep.where("rows > 1")):
-        kept = kept.dropDuplicates(["doc_id", "text"])
+    named, key = docs.where("doc_id IS NOT NULL"), F.xxhash64(F.col("doc_id").cast("long"))
+    asked = named.sparkSession.sparkContext.broadcast(Members(ids.where("NOT stays OR rows > 1").select(key.alias("text_key"))))
+
+    @F.pandas_udf("boolean")
+    def in_question(keys: pd.Series) -> pd.Series:
+        return pd.Series(asked.value.holds(keys.to_numpy(np.int64)))
+
+    # only rows in question move to their ids; the texts of all others stay where they are
+    some = named.where(in_question(key)).join(ids.where("stays").select("doc_id"), "doc_id", "left_semi")
+    if not is_empty(ids.where("stays AND rows > 1")):
+        some = some.dropDuplicates(["doc_id", "text"])
+    kept = named.where(~in_question(key)).unionByName(some)
     if nameless:
         digest = lambda text: F.sha2(F.coalesce(text, F.lit("")), 256)
         known = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(digest(F.col("text")).alias("known")).distinct().alias("k")

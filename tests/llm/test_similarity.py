@@ -185,3 +185,17 @@ def test_bits_in_which_parities_differ_bound_the_difference():
         while x.size != y.size:
             x, y = (z[:z.size // 2] ^ z[z.size // 2:] if z.size > min(x.size, y.size) else z for z in (x, y))
         assert int(np.bitwise_count((x ^ y).view(np.uint64)).sum()) <= np.setxor1d(a, b).size
+
+
+def test_only_texts_in_question_move_and_repeats_go(spark, documents):
+    """Rows whose doc_id stays and is there once are kept without a join; a text that an id repeats stays once."""
+    one, two = (" ".join(f"{c}{k}" for k in range(40)) for c in "ab")
+    rows = [(k, " ".join(f"t{k}x{j}" for j in range(30))) for k in range(20, 60)]
+    rows += [(5, one), (3, two), (5, two), (5, two), (8, one), (9, None), (9, ""), (9, "")]
+    kept = keep_one_of_each(documents(rows))
+    assert sorted((r.doc_id, r.text or "") for r in kept.where("text > ''").collect()) == sorted(rows[:40] + [(3, two), (5, one), (5, two)])
+    assert sorted(r.text is None for r in kept.where("doc_id = 9").collect()) == [False, True]
+    lines = kept._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    union = next(k for k, line in enumerate(lines) if "Union" in line)
+    first = lines[union + 1:next(k for k in range(union + 2, len(lines)) if lines[k].lstrip().startswith("+- ") and len(lines[k]) - len(lines[k].lstrip()) == lines[union + 1].index(":-"))]
+    assert not any("Join" in line or "Aggregate" in line for line in lines[:union] + first)
