@@ -2,16 +2,10 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import zipfile
-from pathlib import Path
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from procatlas.session import cut
+from procatlas.session import BATCH_ROWS, cut, ship  # noqa: F401
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,28 +36,3 @@ def components(edges: DataFrame, src: str = "a", dst: str = "b") -> DataFrame:
         labels = new.select("node", "component")
         if is_empty(new.where("changed")):
             return labels
-
-
-_shipped: set[str] = set()
-
-
-#: Rows of an Arrow batch: whole texts are among them, so far fewer than Spark sends by default.
-BATCH_ROWS = 1000
-_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
-
-
-def ship(spark: SparkSession) -> None:
-    """Give the executors' Python workers this package, once per application, and texts in small batches."""
-    app = spark.sparkContext.applicationId
-    if not 0 < int(spark.conf.get(_BATCH)) <= BATCH_ROWS:
-        spark.conf.set(_BATCH, str(BATCH_ROWS))
-    if app in _shipped:
-        return
-    root = Path(__file__).resolve().parents[1]
-    folder = Path(tempfile.mkdtemp(prefix="procatlas-code-"))
-    atexit.register(shutil.rmtree, folder, True)
-    with zipfile.ZipFile(folder / "procatlas_code.zip", "w") as z:
-        for p in sorted(root.rglob("*.py")):
-            z.write(p, p.relative_to(root.parent))
-    spark.sparkContext.addPyFile(str(folder / "procatlas_code.zip"))
-    _shipped.add(app)
