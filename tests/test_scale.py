@@ -1,7 +1,10 @@
 """How often texts and facts are read, and in what form; rows are checked elsewhere."""
 
+from datetime import datetime
+
 from procatlas.operators import extract, resolve
 from procatlas.plans.analysis import Analysis
+from procatlas.streaming import jobs as streams
 from pyspark.sql import functions as F
 
 OBJECTS = ("object_id long, connection_id int, dialect string, schema_name string, object_name string, fqn string, object_type string, "
@@ -37,3 +40,29 @@ def test_texts_are_searched_once_for_calls(spark, monkeypatch):
     run = Analysis(spark, corpus(spark))
     assert run.dependencies.where(F.col("target_id") == 2).count() == 1
     assert len(seen) == 1 and "definition" not in seen[0]
+
+
+def test_names_that_share_a_group_keep_apart(spark, tmp_path, monkeypatch):
+    """A thousand names in two groups of state: each name has its own changes, late rows and time to be forgotten."""
+    schema = "connection_id int, fqn string, definition_hash string, seen_at timestamp"
+    at = lambda k: datetime(2024, 1, k)
+    names = [(c, n) for c in (None, 1) for n in (None, *(f"n{k}" for k in range(500)))]
+    batches = [[(*n, "A", at(3)) for n in names], [(*n, "B" if i % 2 else "A", at(4)) for i, n in enumerate(names)],
+               [(*names[0], "C", at(1)), (*names[1], "A", at(9))]]
+    for i, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / f"in/b{i}"))
+    monkeypatch.setattr(streams, "NAME_GROUPS", 2)
+
+    def run(label, **options):
+        source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in/*"))
+        progress = streams.run_to_end(streams.changed_definitions(source, **options), str(tmp_path / label), str(tmp_path / f"{label}-log"))
+        got = spark.read.parquet(str(tmp_path / label))
+        return progress, sorted((str(r.connection_id), str(r.fqn), r.definition_hash, r.seen_at.day, r.kind) for r in got.collect())
+
+    text = lambda n, *rest: (str(n[0]), str(n[1]), *rest)
+    changed = [text(n, "A", 3, "changed") for n in names] + [text(n, "B", 4, "changed") for n in names[1::2]]
+    progress, got = run("kept")
+    assert got == sorted(changed + [text(names[0], "C", 1, "late"), text(names[1], "A", 9, "changed")])
+    assert [p["state"] for p in progress] == [2, 2, 2]
+    progress, got = run("forgotten", forget_ms=3_600_000)
+    assert got == sorted(changed + [text(names[0], "C", 1, "late"), text(names[1], "A", 9, "changed")])
