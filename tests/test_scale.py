@@ -4,6 +4,7 @@ from datetime import datetime
 
 from procatlas.operators import extract, resolve
 from procatlas.plans.analysis import Analysis
+from procatlas.sources.scripts import objects_of_scripts
 from procatlas.streaming import jobs as streams
 from pyspark.sql import functions as F
 
@@ -26,6 +27,13 @@ def test_accesses_take_no_interpreted_fold(spark):
     assert "MapInArrow" in shown and "aggregate(" not in shown
 
 
+def test_parameters_and_scripts_take_no_interpreted_fold(spark):
+    texts = corpus(spark)
+    for found in (extract.parameters(texts), objects_of_scripts(texts.select(F.col("fqn").alias("path"), "dialect", F.col("definition").alias("sql")))):
+        shown = plan(found)
+        assert "MapInArrow" in shown and "aggregate(" not in shown and found.count() >= 0
+
+
 def test_edges_ask_for_no_measures(spark):
     run = Analysis(spark, corpus(spark))
     got = {(r.source, r.target, r.dep_type) for r in run.edges.collect()}
