@@ -1,8 +1,10 @@
 """How often texts and facts are read, and in what form; rows are checked elsewhere."""
 
+import random
 from datetime import datetime
 
-from procatlas.operators import extract, resolve
+import pytest
+from procatlas.operators import extract, graph, resolve
 from procatlas.plans.analysis import Analysis
 from procatlas.sources.scripts import objects_of_scripts
 from procatlas.streaming import jobs as streams
@@ -74,3 +76,33 @@ def test_names_that_share_a_group_keep_apart(spark, tmp_path, monkeypatch):
     assert [p["state"] for p in progress] == [2, 2, 2]
     progress, got = run("forgotten", forget_ms=3_600_000)
     assert got == sorted(changed + [text(names[0], "C", 1, "late"), text(names[1], "A", 9, "changed")])
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_depth_does_not_walk_to_leaves(spark, seed, monkeypatch):
+    """Against a plain search; a leaf may be behind the last level, or nearer by another way."""
+    rnd = random.Random(seed)
+    pairs = {(f"n{rnd.randrange(14)}", f"n{rnd.randrange(14)}") for _ in range(16)}
+    pairs |= {(f"n{rnd.randrange(14)}", f"leaf{rnd.randrange(5)}") for _ in range(9)} | {("top", "n1"), ("alone", "leaf0")}
+    ids, sources, targets = {n for p in pairs for n in p}, {a for a, _ in pairs}, {b for _, b in pairs}
+    want = 0
+    for root in sources - targets:
+        far, level = {root}, {root}
+        for depth in range(len(ids)):
+            want = max(want, depth)
+            level = {b for a, b in pairs if a in level} - far
+            far |= level
+            if not level:
+                break
+    kept = []
+
+    class Kept(graph.Levels):
+        def __init__(self, *args):
+            super().__init__(*args)
+            kept.append(self)
+
+    monkeypatch.setattr(graph, "Levels", Kept)
+    nodes = spark.createDataFrame([(n,) for n in ids], "id string")
+    edges = spark.createDataFrame(list(pairs), "source string, target string")
+    assert graph.max_depth(nodes, edges).collect()[0].max_depth == want
+    assert {r.id for r in kept[0].all().select("id").collect()} <= sources
