@@ -106,3 +106,11 @@ def test_depth_does_not_walk_to_leaves(spark, seed, monkeypatch):
     edges = spark.createDataFrame(list(pairs), "source string, target string")
     assert graph.max_depth(nodes, edges).collect()[0].max_depth == want
     assert {r.id for r in kept[0].all().select("id").collect()} <= sources
+
+
+def test_calls_are_found_in_one_scan(spark, tmp_path):
+    corpus(spark).write.parquet(str(tmp_path / "objects"))
+    found = extract.dependencies(spark.read.parquet(str(tmp_path / "objects")))
+    assert {(r.object_id, r.target_name, r.line, r.is_dynamic, r.snippet) for r in found.collect()} == {
+        (1, "s.b", 2, False, None), (1, "<dynamic_sql>", 3, True, "EXEC(@x);\nDELETE FROM t WHERE k = 1;")}
+    assert found._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
